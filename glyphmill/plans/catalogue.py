@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import curation_queries, structure_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = structure_queries.QUERIES | curation_queries.QUERIES
+ORACLES: dict[str, str] = structure_queries.ORACLES | curation_queries.ORACLES
