@@ -42,7 +42,7 @@ from .layout import cut
 
 KEPT, SIMILARITY = 32, (4, 5)
 LIST_SIZE, CHUNK = 24, 1000
-SKETCHED = "doc_id long, n_shingles long, set_key binary, sketch array<long>"
+SKETCHED = "row_key long, doc_id long, n_shingles long, set_key binary, sketch array<long>"
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -70,27 +70,27 @@ def set_key(hashes: np.ndarray) -> bytes:
 
 
 def _sketcher(width: int, kept: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, keys, sketches, ends = [], [], [], [0]
-            for s in shingle_sets(batch.column(1), width):
-                sizes.append(len(s))
-                keys.append(set_key(s))
-                sketches.append(s[:kept])
-                ends.append(ends[-1] + min(len(s), kept))
-            values = np.concatenate(sketches).view(np.int64) if sketches else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], names=["doc_id", "n_shingles", "set_key", "sketch"])
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sizes, keys, sketches, ends = [], [], [np.zeros(0, np.uint64)], [0]
+        for s in shingle_sets(batch.column(2), width):
+            sizes.append(len(s))
+            keys.append(set_key(s))
+            sketches.append(s[:kept].copy())
+            ends.append(ends[-1] + min(len(s), kept))
+        values = np.concatenate(sketches).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], names=["row_key", "doc_id", "n_shingles", "set_key", "sketch"])
 
-    return run
+    return W.lean(step)
 
 
 def _setter(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [W.pack_sorted(s) for s in shingle_sets(batch.column(1), width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["set_key", "hashes"])
+    """Sets of texts, for those whose set is the one that the key names (a doc_id may have other texts)."""
 
-    return run
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [(k, W.pack_sorted(s)) for k, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), width), strict=True) if set_key(s) == k]
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.binary()), pa.array([x for _, x in found], pa.binary())], names=["set_key", "hashes"])
+
+    return W.lean(step)
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: tuple[int, int]) -> bool:
@@ -99,22 +99,24 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: tuple[int, int]) -> bool:
     return both > 0 and similarity[1] * both >= similarity[0] * (len(a) + len(b) - both)
 
 
-def _estimate(batches: Iterator[pa.RecordBatch], kept: int, least: float) -> Iterator[pa.RecordBatch]:
+def _estimate(kept: int, least: float):
     """Keeps the pairs whose union sketch does not speak against them."""
-    for batch in batches:
-        keep = []
-        for a, b in zip(batch.column("a_sketch"), batch.column("b_sketch"), strict=True):
-            x, y = (np.asarray(s.values).view(np.uint64) for s in (a, b))
-            union = np.union1d(x, y)[:kept]
-            both = np.isin(union, x, assume_unique=True) & np.isin(union, y, assume_unique=True)
-            keep.append(both.mean() >= least)
-        yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
+    def near(a: pa.Scalar, b: pa.Scalar) -> bool:
+        x, y = (np.asarray(s.values).view(np.uint64) for s in (a, b))
+        union = np.union1d(x, y)[:kept]
+        return (np.isin(union, x, assume_unique=True) & np.isin(union, y, assume_unique=True)).mean() >= least
+
+    return W.lean(lambda batch: batch.filter(pa.array([near(a, b) for a, b in zip(batch.column("a_sketch"), batch.column("b_sketch"), strict=True)], pa.bool_())).select(["a", "b"]))
+
+
+def _verify(similarity: tuple[int, int]):
+    """Keeps the pairs whose full sets are similar enough."""
+
+    def holds(x: pa.Scalar, y: pa.Scalar) -> bool:
+        return similar(W.unpack_sorted(x.as_py()), W.unpack_sorted(y.as_py()), similarity)
 
-def _verify(batches: Iterator[pa.RecordBatch], similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = [similar(W.unpack_sorted(x.as_py()), W.unpack_sorted(y.as_py()), similarity) for x, y in zip(batch.column("a_hashes"), batch.column("b_hashes"), strict=True)]
-        yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+    return W.lean(lambda batch: batch.filter(pa.array([holds(x, y) for x, y in zip(batch.column("a_hashes"), batch.column("b_hashes"), strict=True)], pa.bool_())).select(["a", "b"]))
 
 
 def forest(sets: list[np.ndarray], similarity: tuple[int, int], outside: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -165,6 +167,7 @@ def _crowd(similarity: tuple[int, int]):
         rows = list(first.values())
         outside = table.column("outside").to_numpy(zero_copy_only=False).astype(bool)[rows]
         hashes = table.column("hashes")
+        W.release()
         edges = forest([W.unpack_sorted(hashes[i].as_py()) for i in rows], similarity, outside if outside.any() else None)
         return pa.table([pa.array([keys[rows[i]] for i, _ in edges], pa.binary()), pa.array([keys[rows[j]] for _, j in edges], pa.binary())], names=["a", "b"])
 
@@ -186,7 +189,7 @@ def _links(classes: DataFrame, texts_of, kept: int, similarity: tuple[int, int],
     least = share - 5 * (share * (1 - share) / kept) ** 0.5
     with_a = pairs.join(sketch.select(F.col("set_key").alias("a"), F.col("sketch").alias("a_sketch")), "a")
     with_both = with_a.join(sketch.select(F.col("set_key").alias("b"), F.col("sketch").alias("b_sketch")), "b")
-    likely = cut(with_both.mapInArrow(lambda it: _estimate(it, kept, least), "a binary, b binary"))
+    likely = cut(with_both.mapInArrow(_estimate(kept, least), "a binary, b binary"))
 
     long = members.where(F.col("length") > list_size)
     keys = F.least(F.col("n_shingles"), F.lit(kept)) - 1
@@ -195,7 +198,7 @@ def _links(classes: DataFrame, texts_of, kept: int, similarity: tuple[int, int],
     sets = cut(texts_of(needed))
     one = likely.join(sets.select(F.col("set_key").alias("a"), F.col("hashes").alias("a_hashes")), "a")
     two = one.join(sets.select(F.col("set_key").alias("b"), F.col("hashes").alias("b_hashes")), "b")
-    links = cut(two.mapInArrow(lambda it: _verify(it, similarity), "a binary, b binary"))
+    links = cut(two.mapInArrow(_verify(similarity), "a binary, b binary"))
 
     in_lists = long.join(crowded, "set_key", "left_semi").select("list", "set_key")
     # Each list's own order of its classes decides its chunks and its pivot.
@@ -218,38 +221,42 @@ def _links(classes: DataFrame, texts_of, kept: int, similarity: tuple[int, int],
 
 
 def groups(docs: DataFrame, *, width: int = 5, kept: int = KEPT, similarity: tuple[int, int] = SIMILARITY, list_size: int = LIST_SIZE, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, n_shingles, set_key and component_id for each row of ``docs`` (doc_id, text)."""
+    """row_key (a hash of doc_id and text), doc_id, n_shingles, group (null without shingles) and component_id for each row of ``docs`` (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = cut(rows.mapInArrow(_sketcher(width, kept), SKETCHED))
-    classes = sketched.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    classes = cut(classes)
+    sketched = cut(rows.select(row_key().alias("row_key"), "doc_id", "text").mapInArrow(_sketcher(width, kept), SKETCHED))
+    classes = cut(sketched.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
 
     def texts_of(needed: DataFrame) -> DataFrame:
-        # The class's least id finds its text; where an id has several rows, each is hashed and the class's own set stays.
-        wanted = needed.join(classes.select("set_key", "doc_id"), "set_key")
-        found = wanted.join(rows, wanted["doc_id"].eqNullSafe(rows["doc_id"])).select("set_key", "text").mapInArrow(_setter(width), "set_key binary, hashes binary")
-        return found.mapInArrow(_own_set, "set_key binary, hashes binary").dropDuplicates(["set_key"])
+        # The class's least id finds its text.
+        wanted = needed.join(classes.select("set_key", F.col("doc_id").alias("least_id")), "set_key")
+        found = wanted.join(rows, F.col("least_id").eqNullSafe(F.col("doc_id"))).select("set_key", "text")
+        return found.mapInArrow(_setter(width), "set_key binary, hashes binary").dropDuplicates(["set_key"])
 
     links = _links(classes, texts_of, kept, similarity, list_size, chunk)
     rooted = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     placed = classes.select("set_key", "doc_id").join(rooted, F.col("set_key") == F.col("node"), "left").select("set_key", "doc_id", F.coalesce("root", "set_key").alias("root"))
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_class = cut(placed.join(least, "root").select("set_key", "component_id"))
-    joined = sketched.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
-    return joined.select("doc_id", "n_shingles", "set_key", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    of_class = placed.join(least, "root").select("set_key", "root", "component_id")
+    joined = sketched.select("row_key", "doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
+    shingled = F.col("n_shingles") > 0
+    return joined.select("row_key", "doc_id", "n_shingles", F.when(shingled, F.col("root")).alias("group"), F.when(shingled, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _own_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = [set_key(W.unpack_sorted(h)) == k for k, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-        yield batch.filter(pa.array(keep, pa.bool_()))
+def row_key():
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each group: that with the least doc_id; of equal ids with shingles, one."""
-    kept = groups(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gm_id")).distinct()
-    own = docs.withColumn("gm_doc", F.col("doc_id").cast("long"))
-    return own.join(kept, F.col("gm_doc").eqNullSafe(F.col("gm_id")), "left_semi").dropDuplicates(["doc_id"]).drop("gm_doc")
+    """``docs`` with one row of each group: that with the least doc_id, then the least row key; rows without shingles all stay."""
+    found = cut(groups(docs, **options))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")).alias("first")
+    stay = found.where("group is not null").groupBy("group").agg(first).select("first.row_key").join(found.groupBy("row_key").agg(F.count(F.lit(1)).alias("copies")), "row_key")
+    stay = cut(stay.unionByName(found.where("group is null").select("row_key").distinct().withColumn("copies", F.lit(1).cast("long"))).select(F.col("row_key").alias("gm_stay"), F.col("copies").alias("gm_copies")))
+    kept = docs.withColumn("gm_row", row_key()).join(stay, F.col("gm_row") == F.col("gm_stay"))
+    if stay.where("gm_copies > 1").isEmpty():
+        return kept.select(*docs.columns)
+    # Rows that come more than once as they are: one of them stays.
+    return kept.where("gm_copies = 1").unionByName(kept.where("gm_copies > 1").dropDuplicates(["gm_row"])).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

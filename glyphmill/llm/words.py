@@ -11,7 +11,8 @@ n**2 / 2**65 for n distinct words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,27 @@ def _upto(n: int) -> tuple[np.ndarray, np.ndarray]:
     return made[0], made[1]
 
 
+def lean(step: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A map over batches that gives what each batch took back to the system, since idle workers keep their memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield step(batch)
+            del batch
+            release()
+
+    return run
+
+
+def release() -> None:
+    """Gives unused memory of Arrow and of the C library back."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over the 64 output bits."""
     with np.errstate(over="ignore"):
