@@ -35,10 +35,16 @@ def style_change(left: str = "l_", right: str = "") -> Column:
 
 def score_boundaries(elements: DataFrame, policy: BoundaryPolicy | None = None, markers: tuple[str, ...] = SECTION_MARKERS) -> DataFrame:
     """A row for each pair of neighbours, keyed by the right element's ord: class, score, guard, reasons and components."""
+    rows = annotate(elements, policy, markers).where("boundary_id is not null")
+    return rows.select("document_id", "ord", "boundary_id", F.col("l_element_id").alias("left_id"), F.col("element_id").alias("right_id"), "class", "score", "guard", "reasons", "explicit", "style_change", "type_change", "separator", "pattern_start", "paragraph_break")
+
+
+def annotate(elements: DataFrame, policy: BoundaryPolicy | None = None, markers: tuple[str, ...] = SECTION_MARKERS) -> DataFrame:
+    """Elements with markers and the boundary before them (nulls at a document's first); one window over the document, no join."""
     p = policy or BoundaryPolicy()
     rows = with_markers(elements, markers)
     carried = ["element_id", "type", "integrity_group_id", "question_marker", "bold", "font_size", "indentation", "alignment"]
-    rows = rows.withColumns({f"l_{c}": F.lag(c).over(DOC) for c in carried} | {"gm_n": F.row_number().over(DOC)}).where("gm_n > 1")
+    rows = rows.withColumns({f"l_{c}": F.lag(c).over(DOC) for c in carried})
     left, right = F.col("l_type"), F.col("type")
     native = F.when(F.col("l_integrity_group_id") == F.col("integrity_group_id"), F.lit("SAME")).when(F.col("l_integrity_group_id") != F.col("integrity_group_id"), F.lit("DIFFERENT"))
     qa = ((left == "QUESTION") & (right == "ANSWER")) | (F.col("l_question_marker").isNotNull() & F.col("answer_marker").isNotNull())
@@ -68,8 +74,7 @@ def score_boundaries(elements: DataFrame, policy: BoundaryPolicy | None = None,
         ("PARAGRAPH_BREAK", F.col("paragraph_break")), ("NATIVE_INTEGRITY_CONTINUITY", F.col("native") == "SAME"), ("NATIVE_INTEGRITY_BOUNDARY", F.col("native") == "DIFFERENT"),
         ("TABLE_BOUNDARY", F.col("hard_reason") == "TABLE_BOUNDARY"), ("CODE_BOUNDARY", F.col("hard_reason") == "CODE_BOUNDARY"), ("INSUFFICIENT_EVIDENCE", insufficient), ("CONTENT_INTEGRITY_UNRESOLVED", insufficient & F.col("family")),
     ]
-    return rows.select(
-        "document_id", "ord", T.joined_id("bnd_", F.col("l_element_id"), F.col("element_id")).alias("boundary_id"), F.col("l_element_id").alias("left_id"), F.col("element_id").alias("right_id"),
-        "class", "score", "guard", F.array_compact(F.array(*[F.when(c, F.lit(r)) for r, c in reasons])).alias("reasons"),
-        "explicit", "style_change", "type_change", "separator", "pattern_start", "paragraph_break",
-    )
+    inner = F.col("l_element_id").isNotNull()
+    found = F.array_compact(F.array(*[F.when(c, F.lit(r)) for r, c in reasons]))
+    rows = rows.withColumns({"boundary_id": F.when(inner, T.joined_id("bnd_", F.col("l_element_id"), F.col("element_id"))), "reasons": F.when(inner, found)})
+    return rows.withColumns({"class": F.when(inner, F.col("class")), "score": F.when(inner, F.col("score"))})

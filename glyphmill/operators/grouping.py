@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .boundaries import score_boundaries
+from .boundaries import annotate
 from .frames import BEFORE, DOC, DOC_ALL, SO_FAR, complete, islands
-from .signals import PARENTHESISED, with_markers
+from .signals import PARENTHESISED
 
 CONFIDENCE = {"QA_EXPLICIT": 0.95, "QA_LEXICAL": 0.80, "LIST_GROUP": 0.85, "DIALOGUE_SEGMENT": 0.90, "LOG_WINDOW": 0.90, "ATOMIC": 0.95, "TEXT_BLOCK": 0.70, "UNKNOWN_GROUP": 0.50}
 TEXT_TYPES = ["PARAGRAPH", "SENTENCE", "LINE", "CAPTION", "FOOTNOTE"]
@@ -19,9 +19,7 @@ INTEGRITY_SENSITIVE = ["LIST", "LIST_ITEM", "TABLE", "TABLE_ROW", "TABLE_CELL",
 
 def with_boundaries(elements: DataFrame) -> DataFrame:
     """Elements with markers and, from the second of a document on, the boundary before them."""
-    rows = with_markers(elements)
-    bounds = score_boundaries(elements).select("document_id", "ord", "class", "guard", "boundary_id", "reasons", "score")
-    return rows.join(bounds, ["document_id", "ord"], "left")
+    return annotate(elements)
 
 
 def _broken(soft: bool = False) -> Column:
