@@ -6,18 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, lm_scoring, mixing, near_dedup, quality_rules, sharding, token_shards
+from . import chat_format, decontamination, language_id, line_dedup, lm_scoring, mixing, near_dedup, quality_rules, sharding, token_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": lm_scoring.query,
     "op2_minhash_near_dedup": near_dedup.query,
     "op3_language_id": language_id.query,
     "op4_quality_rules": quality_rules.query,
+    "op5_line_dedup": line_dedup.query,
     "op6_decontamination": decontamination.query,
+    "op7_chat_formatting": chat_format.query,
     "op8_token_shards": token_shards.query,
     "op9_mixing": mixing.query,
     "op10_sharding": sharding.query,
 }
 ORACLES: dict[str, str] = {
+    "op7_chat_formatting": chat_format.SQL,
     "op9_mixing": mixing.SQL,
 }
