@@ -110,6 +110,9 @@ class Encoder:
             cut = np.zeros(len(part) + 1, dtype=bool)
             if len(part):
                 cut[1:-1] = _CUT[kinds[:-1], kinds[1:]]
+                # The last blank of a run of several is a piece of its own: the run stays with what follows.
+                blank = (kinds == _SPACE) | (kinds == _BLANK)
+                cut[2:-1] &= ~(blank[:-2] & blank[1:-1] & ~blank[2:])
             cut[edges] = True
             wide = {int(np.searchsorted(edges, m.start(), side="right")) - 1 for m in _WIDE_BYTES.finditer(raw)}
             for r in wide:
