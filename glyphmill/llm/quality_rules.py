@@ -30,7 +30,7 @@ from .layout import cut
 BLANK = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS, MAX_REPEATED = 50, 50
-RISK, DELTA = 0.02, 0.05
+RISK, DELTA = 0.005, 0.05
 BROADCAST_STRATA = 20_000
 #: Candidate cutoffs of each rule in ascending order.
 CUTOFFS: dict[str, list[float]] = {
@@ -113,7 +113,8 @@ def thresholds(measured: DataFrame, labels: DataFrame, *, risk: float = RISK, de
     """Stratum and cutoff of each rule (null: off) from counts with doc_id, gm_stratum and base_failed, and labels (doc_id, quality)."""
     grid = cutoffs or CUTOFFS
     good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("gm_label_id")).agg((F.min("quality") >= 1).alias("gm_good")).where("gm_good")
-    held = measured.where(~F.col("base_failed")).join(good, F.col("doc_id").cast("long") == F.col("gm_label_id")).select("gm_stratum", *[F.size(F.filter(F.array(*map(F.lit, grid[r])), lambda c, v=v: c < v)).alias(r) for r, v in _ratios().items()])
+    above = lambda rule, value: F.size(F.filter(F.array(*map(F.lit, grid[rule])), lambda cutoff: cutoff < value)).alias(rule)
+    held = measured.where(~F.col("base_failed")).join(good, F.col("doc_id").cast("long") == F.col("gm_label_id")).select("gm_stratum", *[above(r, v) for r, v in _ratios().items()])
     cells = held.select("gm_stratum", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("above")) for r in grid])).alias("x")).groupBy("gm_stratum", "x.rule", "x.above").agg(F.count(F.lit(1)).alias("n"))
     # A row whose value is above j cutoffs is rejected by the first j.
     by_rule = cells.groupBy("gm_stratum", "rule").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("above", "n"))).alias("hist"))
