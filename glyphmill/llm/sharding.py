@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .layout import cut, pieces
 
 SHARDS, SEED = 16, "shard-1"
-RANGE_BYTES = 8 << 20
+RANGE_BYTES = 1 << 20
 
 
 def _placed(df: DataFrame, part: list[str], order: list[Column], bucket: str, out: str) -> DataFrame:
