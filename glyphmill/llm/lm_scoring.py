@@ -39,7 +39,7 @@ from .layout import pieces
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
 START = np.uint64(0x57A757A757A757A7)
 
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 6 << 20
 ASKED = "bucket int, shard int, words binary, word_counts binary, pairs binary, pair_counts binary"
 TOLD = "shard int, bucket int, tokens long, types long, word_counts binary, pair_counts binary"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
