@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 BLANKS = "(?U)\\s"
 
@@ -73,12 +74,12 @@ def truncate(c: Column, limit: int) -> Column:
     return F.when(F.length(c) > limit, F.concat(F.rtrim(F.substring(c, 1, limit - 1)), F.lit("…"))).otherwise(c)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def folded(s: pd.Series) -> pd.Series:
     """NFKC, white space compacted, case folded: how annotation values are compared."""
     return s.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).split()).casefold())
@@ -89,7 +90,7 @@ def canonical_json(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical(s: pd.Series) -> pd.Series:
     """A JSON text in canonical form; null where it can't be parsed strictly."""
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .frames import CODE_TYPES, DOC, TABLE_TYPES, same_family
+from .frames import CODE_TYPES, in_doc, TABLE_TYPES, same_family
 from .signals import SECTION_MARKERS, with_markers
 
 
@@ -44,7 +44,7 @@ def annotate(elements: DataFrame, policy: BoundaryPolicy | None = None, markers:
     p = policy or BoundaryPolicy()
     rows = with_markers(elements, markers)
     carried = ["element_id", "type", "integrity_group_id", "question_marker", "bold", "font_size", "indentation", "alignment"]
-    rows = rows.withColumns({f"l_{c}": F.lag(c).over(DOC) for c in carried})
+    rows = rows.withColumns({f"l_{c}": F.lag(c).over(in_doc()) for c in carried})
     left, right = F.col("l_type"), F.col("type")
     native = F.when(F.col("l_integrity_group_id") == F.col("integrity_group_id"), F.lit("SAME")).when(F.col("l_integrity_group_id") != F.col("integrity_group_id"), F.lit("DIFFERENT"))
     qa = ((left == "QUESTION") & (right == "ANSWER")) | (F.col("l_question_marker").isNotNull() & F.col("answer_marker").isNotNull())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..functions import metrics as M
 from ..functions import text as T
@@ -68,7 +69,7 @@ def text_preservation(pairs: DataFrame) -> DataFrame:
 
     import pandas as pd
 
-    @F.pandas_udf("long")
+    @F.pandas_udf(LongType())
     def kept(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([sum(m.size for m in difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).get_matching_blocks()) for x, y in zip(a, b, strict=True)])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 #: Optional element columns and their types; absent ones read as null.
@@ -39,11 +39,21 @@ CATEGORIES: dict[str, list[str]] = {
     "unknown": ["UNKNOWN"],
 }
 
-#: The order of a document; every per-document operator uses this one spec, so one exchange and sort serve them all.
-DOC = Window.partitionBy("document_id").orderBy("ord")
-DOC_ALL = Window.partitionBy("document_id")
-SO_FAR = DOC.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-BEFORE = DOC.rowsBetween(Window.unboundedPreceding, -1)
+def in_doc() -> WindowSpec:
+    """The order of a document; every per-document operator uses this one spec, so one exchange and sort serve them all."""
+    return Window.partitionBy("document_id").orderBy("ord")
+
+
+def whole_doc() -> WindowSpec:
+    return Window.partitionBy("document_id")
+
+
+def up_to_here() -> WindowSpec:
+    return in_doc().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def until_here() -> WindowSpec:
+    return in_doc().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def complete(df: DataFrame) -> DataFrame:
@@ -73,5 +83,5 @@ def same_family(a: Column, b: Column) -> Column:
 def islands(df: DataFrame, member: Column, broken: Column, name: str = "island") -> DataFrame:
     """Member rows with the number of their maximal run; a run also ends where ``broken`` holds between a row and the one before."""
     inside = F.coalesce(member, F.lit(False))
-    fresh = inside & (~F.coalesce(F.lag(inside).over(DOC), F.lit(False)) | F.coalesce(broken, F.lit(False)))
-    return df.withColumn(name, F.sum(fresh.cast("int")).over(SO_FAR)).where(inside)
+    fresh = inside & (~F.coalesce(F.lag(inside).over(in_doc()), F.lit(False)) | F.coalesce(broken, F.lit(False)))
+    return df.withColumn(name, F.sum(fresh.cast("int")).over(up_to_here())).where(inside)

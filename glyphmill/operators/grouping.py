@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .boundaries import annotate
-from .frames import BEFORE, DOC, DOC_ALL, SO_FAR, complete, islands
+from .frames import until_here, in_doc, whole_doc, up_to_here, complete, islands
 from .signals import PARENTHESISED
 
 CONFIDENCE = {"QA_EXPLICIT": 0.95, "QA_LEXICAL": 0.80, "LIST_GROUP": 0.85, "DIALOGUE_SEGMENT": 0.90, "LOG_WINDOW": 0.90, "ATOMIC": 0.95, "TEXT_BLOCK": 0.70, "UNKNOWN_GROUP": 0.50}
@@ -56,17 +56,17 @@ def qa_members(rows: DataFrame) -> DataFrame:
     In a chain of overlapping candidates every second one counts from the left: the parity of the place in the chain decides.
     """
     guarded = (F.col("class") == "NONE") & (F.col("guard") == "QA_PAIR")
-    marked = rows.withColumn("gm_left", F.coalesce(F.lead(guarded).over(DOC), F.lit(False)))
+    marked = rows.withColumn("gm_left", F.coalesce(F.lead(guarded).over(in_doc()), F.lit(False)))
     # A left side that the row before is also the left side of continues a chain.
-    fresh = F.col("gm_left") & ~F.coalesce(F.lag("gm_left").over(DOC), F.lit(False))
-    marked = marked.withColumn("gm_chain", F.sum(fresh.cast("int")).over(SO_FAR))
+    fresh = F.col("gm_left") & ~F.coalesce(F.lag("gm_left").over(in_doc()), F.lit(False))
+    marked = marked.withColumn("gm_chain", F.sum(fresh.cast("int")).over(up_to_here()))
     place = F.sum(F.col("gm_left").cast("int")).over(Window.partitionBy("document_id", "gm_chain").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     marked = marked.withColumn("gm_take", F.col("gm_left") & (place % 2 == 1))
-    explicit = (F.col("type") == "QUESTION") & (F.lead("type").over(DOC) == "ANSWER")
+    explicit = (F.col("type") == "QUESTION") & (F.lead("type").over(in_doc()) == "ANSWER")
     marked = marked.withColumn("rule", F.when(explicit, F.lit("EXPLICIT_TYPE")).otherwise(F.lit("LEXICAL_MARKER")))
-    marked = marked.withColumn("gm_second", F.coalesce(F.lag("gm_take").over(DOC), F.lit(False)))
-    marked = marked.withColumn("pair", F.when(F.col("gm_take"), F.col("ord")).when(F.col("gm_second"), F.lag("ord").over(DOC)))
-    marked = marked.withColumn("rule", F.when(F.col("gm_take"), F.col("rule")).otherwise(F.lag("rule").over(DOC)))
+    marked = marked.withColumn("gm_second", F.coalesce(F.lag("gm_take").over(in_doc()), F.lit(False)))
+    marked = marked.withColumn("pair", F.when(F.col("gm_take"), F.col("ord")).when(F.col("gm_second"), F.lag("ord").over(in_doc())))
+    marked = marked.withColumn("rule", F.when(F.col("gm_take"), F.col("rule")).otherwise(F.lag("rule").over(in_doc())))
     return marked.where("pair is not null")
 
 
@@ -99,17 +99,17 @@ def lexical_lists(rows: DataFrame, consumed: Column | None = None, *, least: int
     marker = (F.col("type") == "PARAGRAPH") & ~used & (F.col("numbering_marker").isNotNull() | parenthesised)
     rows = rows.withColumns({"gm_blank": blank & ~marker, "gm_marker": marker, "gm_paren": parenthesised, "gm_cut": F.coalesce(_broken(), F.lit(False))})
     before = rows.withColumns({
-        "gm_prev": F.last(F.when(F.col("gm_marker"), F.col("ord")), ignorenulls=True).over(BEFORE),
-        "gm_rank": F.row_number().over(DOC), "gm_cuts": F.sum(F.col("gm_cut").cast("int")).over(SO_FAR), "gm_blanks": F.sum(F.col("gm_blank").cast("int")).over(SO_FAR),
+        "gm_prev": F.last(F.when(F.col("gm_marker"), F.col("ord")), ignorenulls=True).over(until_here()),
+        "gm_rank": F.row_number().over(in_doc()), "gm_cuts": F.sum(F.col("gm_cut").cast("int")).over(up_to_here()), "gm_blanks": F.sum(F.col("gm_blank").cast("int")).over(up_to_here()),
     })
-    at = lambda c: F.last(F.when(F.col("gm_marker"), F.col(c)), ignorenulls=True).over(BEFORE)
+    at = lambda c: F.last(F.when(F.col("gm_marker"), F.col(c)), ignorenulls=True).over(until_here())
     before = before.withColumns({"gm_p_rank": at("gm_rank"), "gm_p_cuts": at("gm_cuts"), "gm_p_blanks": at("gm_blanks")})
     between = F.col("gm_rank") - F.col("gm_p_rank") - 1
     joins = F.col("gm_marker") & F.col("gm_prev").isNotNull() & (F.col("gm_cuts") == F.col("gm_p_cuts")) & (between <= bridges) & (F.col("gm_blanks") - F.col("gm_p_blanks") == between)
     # What the paragraph before a run of markers, blanks skipped, says.
-    told = F.last(F.when(~F.col("gm_blank"), F.struct(F.col("type").alias("t"), F.rtrim(F.coalesce("text", F.lit(""))).alias("x"))), ignorenulls=True).over(BEFORE)
+    told = F.last(F.when(~F.col("gm_blank"), F.struct(F.col("type").alias("t"), F.rtrim(F.coalesce("text", F.lit(""))).alias("x"))), ignorenulls=True).over(until_here())
     before = before.withColumns({"gm_fresh": F.col("gm_marker") & ~F.coalesce(joins, F.lit(False)), "gm_told": told})
-    before = before.withColumn("gm_run", F.sum(F.col("gm_fresh").cast("int")).over(SO_FAR))
+    before = before.withColumn("gm_run", F.sum(F.col("gm_fresh").cast("int")).over(up_to_here()))
     last = F.max(F.when(F.col("gm_marker"), F.col("ord"))).over(Window.partitionBy("document_id", "gm_run"))
     count = F.sum(F.col("gm_marker").cast("int")).over(Window.partitionBy("document_id", "gm_run"))
     introduced = F.col("gm_paren") | ((F.col("gm_told.t") == "LIST_ITEM") & F.col("gm_told.x").endswith(":"))
@@ -163,8 +163,8 @@ def subdocuments(elements: DataFrame) -> DataFrame:
     """Parts of documents with two or more explicit titles; what is before the first is left out, and a separator before the next is trimmed."""
     rows = with_boundaries(elements)
     start = (F.col("type") == "TITLE") & (F.col("source") == "EXPLICIT") & (F.col("class").isNull() | ((F.col("class") == "HARD") & F.array_contains("reasons", "EXPLICIT_STRUCTURE_START")))
-    rows = rows.withColumn("gm_start", F.coalesce(start, F.lit(False))).withColumn("part", F.sum(F.col("gm_start").cast("int")).over(SO_FAR))
-    rows = rows.withColumns({"gm_starts": F.sum(F.col("gm_start").cast("int")).over(DOC_ALL), "gm_next": F.coalesce(F.lead("gm_start").over(DOC), F.lit(False))})
+    rows = rows.withColumn("gm_start", F.coalesce(start, F.lit(False))).withColumn("part", F.sum(F.col("gm_start").cast("int")).over(up_to_here()))
+    rows = rows.withColumns({"gm_starts": F.sum(F.col("gm_start").cast("int")).over(whole_doc()), "gm_next": F.coalesce(F.lead("gm_start").over(in_doc()), F.lit(False))})
     members = rows.where((F.col("part") > 0) & (F.col("gm_starts") >= 2) & ~(F.col("gm_next") & (F.col("type") == "SEPARATOR")))
     made = members.groupBy("document_id", "part").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "element_id"))), lambda x: x["element_id"]).alias("element_ids"), F.min_by("text", "ord").alias("label"), F.min("ord").alias("first_ord"))
     return made.select("document_id", T.short_id("subdoc_", F.array_join("element_ids", "|")).alias("subdocument_id"), "element_ids", F.when(F.length("label") <= 2048, F.col("label")).alias("label"), "first_ord", F.lit(0.85).alias("confidence"))
@@ -172,7 +172,7 @@ def subdocuments(elements: DataFrame) -> DataFrame:
 
 def integrity_spans(elements: DataFrame) -> DataFrame:
     """Elements grouped by their native integrity id: ordered ids, family, parent group, and whether anything foreign lies inside."""
-    rows = complete(elements).withColumn("gm_rank", F.row_number().over(DOC)).where("integrity_group_id is not null")
+    rows = complete(elements).withColumn("gm_rank", F.row_number().over(in_doc())).where("integrity_group_id is not null")
     made = rows.groupBy("document_id", "integrity_group_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("ord", "element_id"))), lambda x: x["element_id"]).alias("element_ids"), F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord"),
         F.count(F.lit(1)).alias("n"), (F.max("gm_rank") - F.min("gm_rank") + 1).alias("extent"), F.max("integrity_parent_group_id").alias("parent_group_id"), F.countDistinct("integrity_parent_group_id").alias("parents"),

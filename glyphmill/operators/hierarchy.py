@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .frames import BEFORE, DOC, DOC_ALL, SO_FAR
+from .frames import until_here, in_doc, whole_doc, up_to_here
 from .signals import NAVIGATION, with_markers
 
 LEVELS = 65
@@ -41,16 +41,16 @@ def calibrate_root(rows: DataFrame, *, min_headings: int = 3, min_navigation: in
     """Re-bases levels where the first heading is the document's title: two adjacent headings of one level, or contents lines after it."""
     heading = F.col("is_node") & (F.col("type") == "HEADING")
     rows = rows.withColumn("gm_h", F.when(heading, F.row_number().over(Window.partitionBy("document_id", heading).orderBy("ord"))))
-    at = lambda n, c: F.max(F.when(F.col("gm_h") == n, c)).over(DOC_ALL)
-    rows = rows.withColumns({"gm_first": at(1, F.col("ord")), "gm_second": at(2, F.col("ord")), "gm_l1": at(1, F.col("heading_level")), "gm_l2": at(2, F.col("heading_level")), "gm_numbered": at(1, F.col("numbering_marker").isNotNull().cast("int")), "gm_heads": F.max("gm_h").over(DOC_ALL), "gm_zero": F.max((F.col("level") == 0).cast("int")).over(DOC_ALL)})
+    at = lambda n, c: F.max(F.when(F.col("gm_h") == n, c)).over(whole_doc())
+    rows = rows.withColumns({"gm_first": at(1, F.col("ord")), "gm_second": at(2, F.col("ord")), "gm_l1": at(1, F.col("heading_level")), "gm_l2": at(2, F.col("heading_level")), "gm_numbered": at(1, F.col("numbering_marker").isNotNull().cast("int")), "gm_heads": F.max("gm_h").over(whole_doc()), "gm_zero": F.max((F.col("level") == 0).cast("int")).over(whole_doc())})
     inside = (F.col("ord") > F.col("gm_first")) & (F.col("ord") < F.col("gm_second")) & F.col("text").rlike(NAVIGATION)
-    rows = rows.withColumn("gm_nav", F.sum(F.coalesce(inside, F.lit(False)).cast("int")).over(DOC_ALL))
+    rows = rows.withColumn("gm_nav", F.sum(F.coalesce(inside, F.lit(False)).cast("int")).over(whole_doc()))
     eligible = (F.coalesce("gm_zero", F.lit(0)) == 0) & (F.col("gm_heads") >= min_headings) & (F.col("gm_first") == 0) & (F.col("gm_numbered") == 0)
     adjacent = eligible & (F.col("gm_second") == F.col("gm_first") + 1) & (F.col("gm_l1") == F.col("gm_l2")) & (F.col("gm_heads") >= 4)
     rows = rows.withColumn("gm_mode", F.when(adjacent, F.lit("ADJACENT")).when(eligible & (F.col("gm_nav") >= min_navigation), F.lit("NAVIGATION")))
     section = F.col("gm_h") > F.when(F.col("gm_mode") == "ADJACENT", 2).otherwise(1)
     native = F.col("heading_level").between(1, 64)
-    base = F.min_by(F.when(section & native, F.col("heading_level")), F.when(section & native, F.col("ord"))).over(DOC_ALL)
+    base = F.min_by(F.when(section & native, F.col("heading_level")), F.when(section & native, F.col("ord"))).over(whole_doc())
     rows = rows.withColumn("gm_base", base)
     relative = F.when(F.col("heading_level") <= F.col("gm_base"), F.lit(1)).otherwise(1 + F.col("heading_level") - F.col("gm_base"))
     based = F.col("gm_mode").isNotNull() & section & native & F.col("numbering_marker").isNull() & F.col("gm_base").isNotNull() & (relative != F.col("level"))
@@ -77,7 +77,7 @@ def with_paths(rows: DataFrame) -> DataFrame:
     """
     nid = T.joined_id("ctx_", F.col("element_id"), F.col("node_type"), F.col("level").cast("string"), F.col("label"))
     rows = rows.withColumn("node_id", F.when(F.col("is_node"), nid))
-    rows = rows.withColumns({"gm_now": _stack(SO_FAR), "gm_before": _stack(BEFORE)})
+    rows = rows.withColumns({"gm_now": _stack(up_to_here()), "gm_before": _stack(until_here())})
     start = F.struct(F.lit(-1).cast("int").alias("top"), F.array().cast("array<string>").alias("path"))
     step = lambda a, x: F.when(x.isNotNull() & (x["ord"] > a["top"]), F.struct(x["ord"].cast("int").alias("top"), F.concat(a["path"], F.array(x["node_id"])).alias("path"))).otherwise(a)
     rows = rows.withColumn("path", F.aggregate("gm_now", start, step, lambda a: a["path"]))
@@ -122,7 +122,7 @@ def common_path(members: DataFrame, key: list[str]) -> DataFrame:
 
 def heading_violations(elements: DataFrame, boundaries: DataFrame) -> DataFrame:
     """Explicit titles and headings, not first in their document, that no hard boundary with an explicit start precedes."""
-    rows = with_markers(elements).withColumn("gm_rank", F.row_number().over(DOC)).where(F.col("type").isin("TITLE", "HEADING") & (F.col("source") == "EXPLICIT") & (F.col("gm_rank") > 1))
+    rows = with_markers(elements).withColumn("gm_rank", F.row_number().over(in_doc())).where(F.col("type").isin("TITLE", "HEADING") & (F.col("source") == "EXPLICIT") & (F.col("gm_rank") > 1))
     joined = rows.select("document_id", "ord", "element_id").join(boundaries.select("document_id", "ord", "class", "reasons"), ["document_id", "ord"], "left")
     fine = (F.col("class") == "HARD") & F.array_contains("reasons", "EXPLICIT_STRUCTURE_START")
     return joined.where(~F.coalesce(fine, F.lit(False))).select("document_id", "ord", "element_id", F.lit("HEADING_WITHOUT_HARD_START").alias("code"))

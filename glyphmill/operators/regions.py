@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .elements import with_category
-from .frames import DOC, DOC_ALL, SO_FAR
+from .frames import in_doc, whole_doc, up_to_here
 
 BRIDGES = ["boilerplate", "separator"]
 INTERACTION = ["dialogue", "qa", "log"]
@@ -30,11 +30,11 @@ def member_rows(elements: DataFrame, categories: bool = False) -> DataFrame:
     rows = elements if categories else with_category(elements)
     bridge = F.col("category").isin(BRIDGES)
     own = F.when(~bridge, F.col("category"))
-    first = F.min_by(own, F.when(~bridge, F.col("ord"))).over(DOC_ALL)
-    rows = rows.withColumns({"gm_fill": F.coalesce(F.last(own, ignorenulls=True).over(SO_FAR), first), "bridge": bridge})
+    first = F.min_by(own, F.when(~bridge, F.col("ord"))).over(whole_doc())
+    rows = rows.withColumns({"gm_fill": F.coalesce(F.last(own, ignorenulls=True).over(up_to_here()), first), "bridge": bridge})
     # Documents of bridges alone are one region of their most frequent category, the earliest of equals.
-    fresh = F.coalesce(F.col("gm_fill") != F.lag("gm_fill").over(DOC), F.lit(False))
-    return rows.withColumn("region", F.sum(fresh.cast("int")).over(SO_FAR)).withColumnRenamed("gm_fill", "region_category")
+    fresh = F.coalesce(F.col("gm_fill") != F.lag("gm_fill").over(in_doc()), F.lit(False))
+    return rows.withColumn("region", F.sum(fresh.cast("int")).over(up_to_here())).withColumnRenamed("gm_fill", "region_category")
 
 
 def segments(elements: DataFrame, *, version: str = "1", categories: bool = False) -> DataFrame:

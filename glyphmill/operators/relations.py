@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .frames import DOC
+from .frames import in_doc
 
 SEMANTIC = ["EXPLAINS", "REFERS_TO", "SAME_TOPIC", "PREREQUISITE_OF"]
 
@@ -21,7 +21,7 @@ def _edges(df: DataFrame, kind: str, source: Column, target: Column, confidence:
 
 
 def next_edges(elements: DataFrame) -> DataFrame:
-    rows = elements.withColumn("gm_next", F.lead("element_id").over(DOC)).where("gm_next is not null")
+    rows = elements.withColumn("gm_next", F.lead("element_id").over(in_doc())).where("gm_next is not null")
     return _edges(rows, "NEXT", F.col("element_id"), F.col("gm_next"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .frames import DOC, DOC_ALL, complete
+from .frames import in_doc, whole_doc, complete
 
 #: Patterns at the start of a text.
 NUMBERING = "(?U)^\\s*((?:\\d+\\.\\d+(?:\\.\\d+)*|\\d+[.)]|[A-Za-z][.)]|[IVXLCDMivxlcdm]+[.)]))\\s+"
@@ -41,7 +41,7 @@ def with_markers(elements: DataFrame, markers: tuple[str, ...] = SECTION_MARKERS
 
 def extract_signals(elements: DataFrame, markers: tuple[str, ...] = SECTION_MARKERS) -> DataFrame:
     """Long table of signals: kind, left element, right element (transitions only), text and numeric value, source, id."""
-    rows = with_markers(elements, markers).withColumns({"gm_prev_id": F.lag("element_id").over(DOC), "gm_prev_type": F.lag("type").over(DOC)})
+    rows = with_markers(elements, markers).withColumns({"gm_prev_id": F.lag("element_id").over(in_doc()), "gm_prev_type": F.lag("type").over(in_doc())})
     none = F.lit(None)
 
     def signal(when: Column, kind: str, text: Column = none, number: Column = none, source: Column = F.col("source")) -> Column:
@@ -73,7 +73,7 @@ def list_outline(elements: DataFrame, *, min_sections: int = 5, min_children: in
     section = (F.col("numbering_level") == 0) & F.col("bold") & label
     count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("int"))
     fit = rows.groupBy(*key).agg(count(section).alias("sections"), count(F.col("numbering_level") > 0).alias("children")).where((F.col("sections") >= min_sections) & (F.col("children") >= min_children))
-    only = fit.withColumn("gm_n", F.count(F.lit(1)).over(DOC_ALL)).where("gm_n = 1").select(*[F.col(k).alias(f"gm_{k}") for k in key])
+    only = fit.withColumn("gm_n", F.count(F.lit(1)).over(whole_doc())).where("gm_n = 1").select(*[F.col(k).alias(f"gm_{k}") for k in key])
     same = [F.col(k).eqNullSafe(F.col(f"gm_{k}")) for k in key]
     condition = same[0]
     for c in same[1:]:
@@ -86,11 +86,11 @@ def preface_outline(elements: DataFrame, *, min_navigation: int = 3, min_section
     rows = complete(elements).where(F.col("type").isin("PARAGRAPH", "LINE", "UNKNOWN"))
     navigation = F.coalesce(F.col("text").rlike(NAVIGATION), F.lit(False))
     usable = F.col("font_size").isNotNull() & F.length(T.strip(F.coalesce("text", F.lit("")))).between(1, max_label) & ~navigation
-    rows = rows.withColumns({"gm_nav": F.sum(navigation.cast("int")).over(DOC_ALL), "gm_max": F.max(F.when(usable, F.col("font_size"))).over(DOC_ALL)})
+    rows = rows.withColumns({"gm_nav": F.sum(navigation.cast("int")).over(whole_doc()), "gm_max": F.max(F.when(usable, F.col("font_size"))).over(whole_doc())})
     candidates = rows.where(usable & (F.col("gm_nav") >= min_navigation))
     sizes = candidates.groupBy("document_id", "font_size", "gm_max").agg(F.count(F.lit(1)).alias("n"))
     top = sizes.where((F.col("font_size") == F.col("gm_max")) & (F.col("n") == 1)).select("document_id", F.col("font_size").alias("title_size"))
-    rest = sizes.where((F.col("font_size") < F.col("gm_max")) & (F.col("n") >= min_sections)).withColumn("gm_best", F.max("n").over(DOC_ALL)).where("n = gm_best").withColumn("gm_ties", F.count(F.lit(1)).over(DOC_ALL)).where("gm_ties = 1").select("document_id", F.col("font_size").alias("section_size"))
+    rest = sizes.where((F.col("font_size") < F.col("gm_max")) & (F.col("n") >= min_sections)).withColumn("gm_best", F.max("n").over(whole_doc())).where("n = gm_best").withColumn("gm_ties", F.count(F.lit(1)).over(whole_doc())).where("gm_ties = 1").select("document_id", F.col("font_size").alias("section_size"))
     level = F.when(F.col("font_size") == F.col("title_size"), F.lit(0)).when(F.col("font_size") == F.col("section_size"), F.lit(1))
     return candidates.join(top, "document_id").join(rest, "document_id").withColumn("outline_level", level).where("outline_level is not null").select("document_id", "ord", "element_id", "outline_level", F.when(F.col("outline_level") == 0, F.lit("DOCUMENT_TITLE")).otherwise(F.lit("SECTION")).alias("context_role"))
 
@@ -105,7 +105,7 @@ def post_outline_label(elements: DataFrame, outlined: DataFrame) -> DataFrame:
     """The single unnumbered list item of level 0 after the outline and before the first table; none if a heading comes first."""
     last = outlined.groupBy("document_id").agg(F.max("ord").alias("gm_last"))
     rows = complete(elements).join(last, "document_id").where(F.col("ord") > F.col("gm_last"))
-    stop = F.min(F.when(F.col("type").isin("TABLE", "HEADING", "TITLE"), F.col("ord"))).over(DOC_ALL)
+    stop = F.min(F.when(F.col("type").isin("TABLE", "HEADING", "TITLE"), F.col("ord"))).over(whole_doc())
     inside = rows.withColumn("gm_stop", stop).where(F.coalesce(F.col("ord") < F.col("gm_stop"), F.lit(True)))
     candidate = inside.where((F.col("type") == "LIST_ITEM") & F.col("bold") & F.coalesce(F.col("numbering_level") == 0, F.lit(True)))
-    return candidate.withColumn("gm_n", F.count(F.lit(1)).over(DOC_ALL)).where("gm_n = 1").select("document_id", "ord", "element_id", F.lit(1).alias("outline_level"), F.lit("SECTION").alias("context_role"))
+    return candidate.withColumn("gm_n", F.count(F.lit(1)).over(whole_doc())).where("gm_n = 1").select("document_id", "ord", "element_id", F.lit(1).alias("outline_level"), F.lit("SECTION").alias("context_role"))
