@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -65,10 +68,6 @@ def heading_levels(pairs: DataFrame) -> DataFrame:
 
 def text_preservation(pairs: DataFrame) -> DataFrame:
     """Exact matches and the share of gold characters kept, from gold_text and predicted_text."""
-    import difflib
-
-    import pandas as pd
-
     @F.pandas_udf(LongType())
     def kept(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([sum(m.size for m in difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).get_matching_blocks()) for x, y in zip(a, b, strict=True)])
@@ -131,8 +130,6 @@ def best_overlaps(gold: DataFrame, predicted: DataFrame, key: tuple[str, ...] =
 
     Ties: smallest start, then end.  The fold runs for each key, over the spans of one element.
     """
-    import pandas as pd
-
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         g = pdf[pdf["side"] == "g"].sort_values(["start", "end"])
         p = pdf[pdf["side"] == "p"].sort_values(["start", "end"])

@@ -14,9 +14,11 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..operators.frames import in_doc
 
@@ -31,7 +33,6 @@ SCHEMA = (
     "document_id string, ord int, type string, source string, raw_text string, source_zone string, source_part string, heading_level int, numbering_id string, numbering_level int, number_format string, integrity_group_id string, integrity_parent_group_id string, "
     "row_index int, cell_index int, grid_span int, vertical_merge string, style_name string, navigation_role string, bold boolean, font_size double, indentation double, alignment string, source_anchor struct<kind:string,id:string>, source_references array<struct<kind:string,id:string>>, revision string, assets array<string>, diagnostic string"
 )
-_NAMES = re.findall(r"(?:^|, )(\w+) (?=\w)", re.sub(r"<[^>]*>+", "", SCHEMA))
 
 
 class PackageError(ValueError):
@@ -291,17 +292,18 @@ class Reader:
 def docx(files: DataFrame, revisions: str = "FINAL") -> DataFrame:
     """Elements of Word files (document_id, content); a file that can't be read is one UNKNOWN element with its diagnostic."""
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for d, content in zip(pdf["document_id"], pdf["content"], strict=True):
+    schema = to_arrow_schema(StructType.fromDDL(SCHEMA))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for d, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
-                    rows = Reader(bytes(content), revisions).read()
+                    rows = Reader(content or b"", revisions).read()
                 except PackageError as e:
                     rows = [{"type": "UNKNOWN", "source": "EXPLICIT", "diagnostic": str(e)}]
-                made = pd.DataFrame([{**r, "document_id": d, "ord": i} for i, r in enumerate(rows)], columns=_NAMES)
-                yield made.astype({c: "Int32" for c in ("heading_level", "numbering_level", "row_index", "cell_index", "grid_span")} | {"bold": "boolean"})
+                yield from pa.Table.from_pylist([{**r, "document_id": d, "ord": i} for i, r in enumerate(rows)], schema=schema).to_batches()
 
-    return list_runs(files.select("document_id", "content").mapInPandas(parse, SCHEMA))
+    return list_runs(files.select(F.col("document_id").cast("string").alias("document_id"), "content").mapInArrow(parse, SCHEMA))
 
 
 def read_docx(spark: SparkSession, path: str, revisions: str = "FINAL") -> DataFrame:

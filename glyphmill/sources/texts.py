@@ -9,9 +9,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..operators import elements as E
 
@@ -116,11 +118,11 @@ def plain_text(texts: DataFrame) -> DataFrame:
 def markdown(texts: DataFrame) -> DataFrame:
     """Elements of Markdown texts (document_id, text); null and empty texts have none."""
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.split()[0] for f in RAW.split(", ")]
-        for pdf in batches:
-            rows = [{"document_id": d, "ord": i, "source": "EXPLICIT", "source_zone": "body", **b} for d, t in zip(pdf["document_id"], pdf["text"], strict=True) for i, b in enumerate(markdown_blocks(t or ""))]
-            made = pd.DataFrame(rows, columns=names)
-            yield made.astype({"heading_level": "Int32"})
+    schema = to_arrow_schema(StructType.fromDDL(RAW))
 
-    return texts.select(F.col("document_id").cast("string").alias("document_id"), "text").mapInPandas(parse, RAW)
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [{"document_id": d, "ord": i, "source": "EXPLICIT", "source_zone": "body", **b} for d, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for i, b in enumerate(markdown_blocks(t or ""))]
+            yield from pa.Table.from_pylist(rows, schema=schema).to_batches()
+
+    return texts.select(F.col("document_id").cast("string").alias("document_id"), "text").mapInArrow(parse, RAW)
