@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,9 +32,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read from there: lineage ends, and lost executors cost no rows."""
+    """``df`` written to the shared folder and read from there: lineage ends, and lost executors cost no rows.
+
+    Shuffle files that no frame needs any more go when the driver collects its garbage, so it does that here.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:

@@ -41,7 +41,7 @@ from .graph import components
 from .layout import cut
 
 KEPT, SIMILARITY = 32, (4, 5)
-LIST_SIZE, CHUNK = 24, 1000
+LIST_SIZE, CHUNK = 24, 4000
 SKETCHED = "row_key long, doc_id long, n_shingles long, set_key binary, sketch array<long>"
 
 
@@ -174,8 +174,8 @@ def _crowd(similarity: tuple[int, int]):
     return run
 
 
-def _links(classes: DataFrame, texts_of, kept: int, similarity: tuple[int, int], list_size: int, chunk: int) -> DataFrame:
-    """Verified links a, b between classes (set_key, n_shingles, sketch); ``texts_of`` gives the sets of chosen classes."""
+def _roots(classes: DataFrame, texts_of, kept: int, similarity: tuple[int, int], list_size: int, chunk: int) -> DataFrame:
+    """node and root of linked classes (set_key, n_shingles, sketch) but the roots themselves; ``texts_of`` gives the sets of chosen classes."""
     share = similarity[0] / similarity[1]
     keyed = classes.where(F.size("sketch") > 1).select("set_key", "n_shingles", F.explode(F.transform(F.sequence(F.lit(0), F.size("sketch") - 2), lambda i: F.xxhash64(F.get("sketch", i), F.get("sketch", i + 1)))).alias("list"))
     lengths = keyed.groupBy("list").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
@@ -211,15 +211,19 @@ def _links(classes: DataFrame, texts_of, kept: int, similarity: tuple[int, int],
     rows = placed.select("list", "set_key", "part").unionByName(lists.where("chunks > 1").select("list", F.col("pivot").alias("set_key"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part")))
     crowd = lambda r: r.join(sets, "set_key").groupBy("list", "part").applyInArrow(_crowd(similarity), "a binary, b binary")
     links = links.unionByName(cut(crowd(rows.withColumn("outside", F.lit(False))).distinct()))
+    rooted = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     if lists.where("chunks > 1").isEmpty():
-        return links
-    rooted = cut(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+        return rooted
     root = lambda c: rooted.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     split = placed.where("chunks > 1").join(root("set_key"), "set_key", "left").join(root("pivot"), "pivot", "left")
     apart = F.coalesce("set_key_root", "set_key") != F.coalesce("pivot_root", "pivot")
     strangers = split.where(apart).select("list", "set_key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part"), F.lit(True).alias("outside"))
     again = strangers.unionByName(split.where(~apart).select("list", "set_key", "part", F.lit(False).alias("outside")).join(strangers.select("list").distinct(), "list", "left_semi"))
-    return links.unionByName(cut(crowd(again).distinct()))
+    found = cut(crowd(again).distinct())
+    if found.isEmpty():
+        return rooted
+    # The components so far are stars: with the new links they converge in few rounds.
+    return components(rooted.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
 
 def groups(docs: DataFrame, *, width: int = 5, kept: int = KEPT, similarity: tuple[int, int] = SIMILARITY, list_size: int = LIST_SIZE, chunk: int = CHUNK) -> DataFrame:
@@ -234,8 +238,7 @@ def groups(docs: DataFrame, *, width: int = 5, kept: int = KEPT, similarity: tup
         found = wanted.join(rows, F.col("least_id").eqNullSafe(F.col("doc_id"))).select("set_key", "text")
         return found.mapInArrow(_setter(width), "set_key binary, hashes binary").dropDuplicates(["set_key"])
 
-    links = _links(classes, texts_of, kept, similarity, list_size, chunk)
-    rooted = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    rooted = _roots(classes, texts_of, kept, similarity, list_size, chunk)
     placed = classes.select("set_key", "doc_id").join(rooted, F.col("set_key") == F.col("node"), "left").select("set_key", "doc_id", F.coalesce("root", "set_key").alias("root"))
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class = placed.join(least, "root").select("set_key", "root", "component_id")
