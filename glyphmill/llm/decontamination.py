@@ -233,6 +233,8 @@ def _mapper(blocks: list, render: Callable[[pa.RecordBatch, list[dict]], pa.Reco
         phrases = [x.value for x in blocks]
         for batch in batches:
             yield render(batch, list(scan(batch.column(batch.schema.get_field_index("text")), phrases)))
+            del batch
+            W.release()
 
     return run
 

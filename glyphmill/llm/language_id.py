@@ -38,6 +38,8 @@ FEATURES = 1 << 16
 PER_LANGUAGE, MOST_BYTES = 1000, 1 << 16
 #: Texts whose best two codewords differ by less than this share of the loss range are ambiguous.
 AMBIGUOUS = 0.1
+#: Text bytes whose n-grams are in memory at once.
+PART_BYTES = 1 << 18
 SMOOTHING = 0.5
 
 _FOLD = np.full(256, 0x20, dtype=np.uint8)
@@ -127,7 +129,7 @@ class Model:
         """Each classifier's mean evidence over a text's n-grams."""
         data, offsets = W.utf8(texts)
         out = np.zeros((len(texts), self.table.shape[1]))
-        for a, b in W.blocks(offsets):
+        for a, b in W.blocks(offsets, PART_BYTES):
             for feature, row in _grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
                 if len(row):
                     heads = np.flatnonzero(np.concatenate(([True], np.diff(row) != 0)))
@@ -186,25 +188,23 @@ def identify(docs: DataFrame, model: Model, *, held_out: Column | None = None) -
     held = default_held_out() if held_out is None else held_out
     kept = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, score, close = kept.value.predict(batch.column(2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(close, pa.bool_())], names=["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        names, score, close = kept.value.predict(batch.column(2))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(close, pa.bool_())], names=["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, PREDICTED)
+    return rows.mapInArrow(W.lean(step), PREDICTED)
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` whose text is in some language, with all their columns: ``und`` goes."""
     kept = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, _, _ = kept.value.predict(batch.column(batch.schema.get_field_index("text")))
-            yield batch.filter(pa.array([x != "und" for x in names], pa.bool_()))
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        names, _, _ = kept.value.predict(batch.column(batch.schema.get_field_index("text")))
+        return batch.filter(pa.array([x != "und" for x in names], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(W.lean(step), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -79,6 +79,7 @@ def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 def _ask(buckets: int):
     def ask(table: pa.Table) -> pa.Table:
+        W.release()
         g = _grams(table)
         held = table.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
         learned = np.repeat(~held, np.diff(g["starts"])).astype(np.float64)
@@ -155,6 +156,7 @@ class Automaton:
 
 def _score(mu: float):
     def score(_key, docs: pa.Table, told: pa.Table) -> pa.Table:
+        W.release()
         g = _grams(docs)
         told = told.sort_by("bucket")
         total, types = sum(told.column("tokens").to_pylist()), sum(told.column("types").to_pylist())

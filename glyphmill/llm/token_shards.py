@@ -277,6 +277,8 @@ def _writer(path: str, folder: str, end_id: int):
                     whole[np.arange(len(flat)) + np.repeat(np.arange(len(per)), per)] = flat
                     out.write(whole.tobytes())
                     counts.append(per + 1)
+                del batch, column
+                W.release()
         counts, ids, nulls = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((counts, np.int64), (ids, np.int64), (nulls, bool)))
         nth = _occurrences(ids, nulls)
         keys = key_hash(ids, nulls, nth)
