@@ -3,11 +3,18 @@
 Each text gets counts (words, symbols, repeated lines and words) and from them five
 ratios, of which a high value is bad.  A rule rejects a text whose ratio is above a
 cutoff.  Cutoffs are chosen for each stratum (by default the language) on the labelled
-rows: for each candidate, of the n good rows of the stratum k would be rejected, and the
-candidate is safe if P(Binomial(n, risk) <= k) <= delta / m, m being all candidates of
-all rules and strata.  Then, with probability 1 - delta, no chosen rule rejects more
-than ``risk`` of the good texts of any stratum, and all five together no more than five
-times that.  The lowest safe cutoff of each rule is taken; without one, the rule is off.
+rows: of the n good rows of the stratum that pass the base rule, a cutoff would reject k,
+and it is safe if P(Binomial(n, risk) <= k) <= delta / m.  A rule's cutoffs are tested
+from the loosest to the strictest up to the first that is not safe; in such a fixed
+sequence the cutoffs need no correction among themselves, so m counts only the rules times
+the strata with good rows and the pool.  A stratum that has good rows, but so few that no
+cutoff could be safe ((1 - risk)**n > delta / m), takes the cutoffs of the pool of all
+strata's good rows, held back where they would reject more than a share ``risk`` of its
+own good rows.  Then, with probability 1 - delta, no chosen rule rejects more than
+``risk`` of the good texts of a stratum with a test of its own, nor of the pool (for a
+stratum that takes the pool's cutoffs the bound is the pool's), and all five together no
+more than five times that.  The last safe cutoff of each rule is taken; without one, the
+rule is off.
 
 Only DataFrame functions run here: texts are taken apart by array functions within their
 row, so nothing but a few numbers of each text is shuffled.
@@ -15,7 +22,8 @@ row, so nothing but a few numbers of each text is shuffled.
 Defined results.  Null, empty and wordless texts: all counts 0, not kept (fewer words
 than the least).  A null stratum is a stratum.  Rows without doc_id have no label.
 Several labels of one document: good only if all are.  Null labels count as none.
-Repeated rows: each has its result.  No labels: only the base rule rejects.
+Repeated rows: each has its result.  No labels: only the base rule rejects; so it is for a
+stratum without good rows, of which the pool says nothing.
 """
 
 from __future__ import annotations
@@ -116,15 +124,24 @@ def thresholds(measured: DataFrame, labels: DataFrame, *, risk: float = RISK, de
     above = lambda rule, value: F.size(F.filter(F.array(*map(F.lit, grid[rule])), lambda cutoff: cutoff < value)).alias(rule)
     held = measured.where(~F.col("base_failed")).join(good, F.col("doc_id").cast("long") == F.col("gm_label_id")).select("gm_stratum", *[above(r, v) for r, v in _ratios().items()])
     cells = held.select("gm_stratum", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("above")) for r in grid])).alias("x")).groupBy("gm_stratum", "x.rule", "x.above").agg(F.count(F.lit(1)).alias("n"))
+    cells = cut(cells)
+    counted = cells.select("gm_stratum").distinct().count()
+    level = delta / ((counted + 1) * len(grid))
     # A row whose value is above j cutoffs is rejected by the first j.
-    by_rule = cells.groupBy("gm_stratum", "rule").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("above", "n"))).alias("hist"))
+    held_by = lambda *keys: cells.groupBy(*keys).agg(F.sum("n").alias("n"))
+    hist = lambda df, *keys: df.groupBy(*keys).agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("above", "n"))).alias("hist"))
+    pool = hist(held_by("rule", "above"), "rule").select("rule", F.col("n").alias("pool_n"), F.col("hist").alias("pool_hist"))
+    by_rule = hist(cells, "gm_stratum", "rule").join(F.broadcast(pool), "rule")
     grids = F.create_map(*[y for r, g in grid.items() for y in (F.lit(r), F.array(*map(F.lit, g)))])
-    tests = by_rule.select("gm_stratum", "rule", "n", "hist", F.posexplode(grids[F.col("rule")]).alias("place", "cutoff"))
-    rejected = F.aggregate(F.map_entries("hist"), F.lit(0).cast("long"), lambda a, e: a + F.when(e["key"] > F.col("place"), e["value"]).otherwise(F.lit(0).cast("long")))
-    strata = measured.select("gm_stratum").distinct()
-    m = F.lit(float(max(1, strata.count()) * sum(map(len, grid.values()))))
-    safe = tests.withColumn("k", rejected).where(binomial_tail(F.col("k"), F.col("n"), risk) <= delta / m)
+    tests = by_rule.select("gm_stratum", "rule", "n", "hist", "pool_n", "pool_hist", F.posexplode(grids[F.col("rule")]).alias("place", "cutoff"))
+    rejected = lambda of: F.aggregate(F.map_entries(of), F.lit(0).cast("long"), lambda a, e: a + F.when(e["key"] > F.col("place"), e["value"]).otherwise(F.lit(0).cast("long")))
+    own = binomial_tail(F.col("k"), F.col("n"), risk) <= level
+    pooled = (binomial_tail(F.col("pool_k"), F.col("pool_n"), risk) <= level) & (F.col("k") <= risk * F.col("n"))
+    short = F.pow(F.lit(1 - risk), F.col("n")) > level
+    # The number rejected falls as the cutoff rises, so the safe cutoffs are the last ones and their least ends the sequence.
+    safe = tests.withColumns({"k": rejected("hist"), "pool_k": rejected("pool_hist")}).where(F.when(short, pooled).otherwise(own))
     chosen = safe.groupBy("gm_stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"gm_{r}") for r in grid])
+    strata = measured.select("gm_stratum").distinct()
     return strata.join(chosen, strata["gm_stratum"].eqNullSafe(chosen["gm_stratum"]), "left").select(strata["gm_stratum"].alias("gm_key"), *[f"gm_{r}" for r in grid])
 
 

@@ -229,6 +229,26 @@ def test_cutoffs_reject_bad_texts_only(spark):
     assert few.where("not kept").count() == 0
 
 
+def test_production_cutoffs_reach_languages_with_few_labels(spark):
+    good = " ".join(f"word{i}" for i in range(60))
+    bad = " ".join(f"w{i}#$%" for i in range(60))
+    langs = ["en"] * 1500 + ["de"] * 300 + [None] * 60
+    rows = [(i, bad if i % 10 == 9 else good, lang) for i, lang in enumerate(langs)] + [(5000 + i, bad, "unlabelled") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 10 != 9), 0) for i in range(len(langs))], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.kept for r in quality_rules.judge(docs, labels).collect()}
+    assert all(got[i] == (i % 10 != 9) for i in range(len(langs)))
+    assert all(got[5000 + i] for i in range(5))
+
+
+def test_pooled_cutoffs_spare_a_language_that_differs(spark):
+    plain, marked = (" ".join(f"word{i}{x}" for i in range(60)) for x in ("", "#"))
+    rows = [(i, plain, "en") for i in range(9000)] + [(9000 + i, marked if i % 2 else plain, "xx") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(len(rows))], "doc_id long, quality int, toxic int")
+    assert quality_rules.judge(docs, labels).where("not kept").count() == 0
+
+
 def test_quality_of_nothing(spark, empty):
     assert quality_rules.judge(empty, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
 
