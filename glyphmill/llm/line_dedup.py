@@ -1,17 +1,20 @@
-"""Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one occurrence per group.
+"""Fuzzy line dedup: prefixes of word pairs as a lossless filter, edit similarity, one occurrence per group.
 
 1. A line is normalised (ASCII lower case, digits as 0, words of letters and digits only)
-   and gets a 128-bit key and a 64-bit SimHash of its words.  Lines of fewer than
-   ``min_words`` words stay as they are.
-2. Lines with equal keys are one class.  Classes that agree in one of four 16-bit blocks of
-   the SimHash, differ in at most ``distance`` of its bits and fit in length are pairs: those
-   within three bits always meet, others with the chance that a block is free of changes.
+   and gets a 128-bit key of its words.  Lines of fewer than ``min_words`` words stay as
+   they are.
+2. Lines with equal keys are one class.  A class is keyed by the first of its neighbouring
+   word pairs (line start and end count as words) in one order for all lines, rare pairs
+   first.  An edit changes two pairs at most, so with as many keys as all allowed edits
+   can change and one more, any two classes within the similarity share a key.  Classes
+   that share one, fit in length and differ in no more bits of a parity of word hashes
+   than the edits can flip are pairs.  None of these tests loses a pair.
 3. Pairs are verified by edit similarity over words: 1 - edits / words of the longer line.
 4. Of each connected group of classes the first occurrence (least doc_id, then line) stays.
 
-The equality join on a block carries the bit and length tests, so only pairs near enough
-leave it; lists that are long are split by adaptive execution and nothing is gathered by
-key.  Texts of lines are fetched only for classes that are in a pair.
+How rare a word pair is comes from a bounded sample: that decides how long lists get, not
+what is found.  The equality join carries the bit and length tests, so only pairs near
+enough leave it.  Texts of lines are fetched only for classes that are in a pair.
 
 Defined results.  Null texts: no lines, the result is null.  Empty texts stay.  Blank
 lines stay.  Rows with equal doc_id and text are treated alike.  Very long lines are
@@ -25,14 +28,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
 from .graph import components
 from .layout import cut
 
-MIN_WORDS, DISTANCE, SIMILARITY, BLOCKS = 5, 10, 0.8, 4
+MIN_WORDS, SIMILARITY = 5, 0.8
+#: Documents whose word pairs are counted for the order of keys, and counts that are kept.
+SAMPLED, COUNTED = 4000, 1 << 17
 _CLEAN = np.full(256, 0x20, dtype=np.uint8)
 _CLEAN[0x30:0x3A] = 0x30
 _CLEAN[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -41,7 +46,8 @@ _CLEAN[0x80:] = np.arange(0x80, 0x100)
 _CLEAN[0x0A] = 0x0A
 _INSIDE = _CLEAN > 0x20
 
-LINES = "row_key long, doc_id long, line long, class_key binary, simhash long, n_words int"
+LINES = "row_key long, doc_id long, line long, class_key binary"
+KEYS = "key long, id long, bits long, n_words int"
 
 
 def normalised(line: str) -> list[str]:
@@ -50,12 +56,70 @@ def normalised(line: str) -> list[str]:
     return [x for x in _CLEAN[raw].tobytes().decode().replace("\n", " ").split(" ") if x]
 
 
-def simhash(hashes: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    """SimHash of consecutive runs of word hashes that start at ``heads``."""
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    votes = np.add.reduceat(bits.astype(np.int32), heads, axis=0)
-    size = np.diff(np.concatenate((heads, [len(hashes)])))
-    return np.packbits((2 * votes > size[:, None]).astype(np.uint8), axis=1, bitorder="little").view("<u8").reshape(-1)
+def allowed(n_words, similarity: float):
+    """Edits between a line and a longest one of ``n_words`` words."""
+    return np.floor((1 - similarity) * n_words + 1e-9).astype(np.int64)
+
+
+def prefix(n_words: np.ndarray, similarity: float) -> np.ndarray:
+    """Keys that each line needs: one more than its word pairs that a line within the similarity can lack.
+
+    Of e edits that lead to a line longer by d words, d at least are insertions, which part one pair and not two.
+    """
+    most = [2 * allowed(n_words + d, similarity) - d for d in range(int(np.ceil(1 / (1 - similarity + 1e-9))) + 1)]
+    return 1 + np.max(most, axis=0)
+
+
+def grams(h: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of neighbouring words of each line, with its start and end, and the line of each."""
+    owner = np.repeat(np.arange(len(sizes)), sizes + 1)
+    at = np.arange(len(h)) + np.repeat(np.arange(len(sizes)), sizes)
+    left, right = np.full(len(owner), 0x51A7, np.uint64), np.full(len(owner), 0xE0D, np.uint64)
+    left[at + 1] = h
+    right[at] = h
+    left[heads + np.arange(len(sizes))] = 0x51A7
+    return W.pair(left, right), owner
+
+
+def keys(h: np.ndarray, heads: np.ndarray, sizes: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of each line and the line of each; ``common`` has word pairs in ascending order and their counts."""
+    gram, owner = grams(h, heads, sizes)
+    count = np.zeros(len(gram), np.uint64)
+    if len(common[0]):
+        place = np.minimum(np.searchsorted(common[0], gram), len(common[0]) - 1)
+        count = np.where(common[0][place] == gram, common[1][place], 0).astype(np.uint64)
+    order = np.lexsort((gram, count, owner))
+    gram, owner = gram[order], owner[order]
+    # The n-th occurrence of a pair in its line is a key of its own.
+    at = np.arange(len(gram))
+    new = np.concatenate(([True], (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])))
+    nth = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
+    first = np.cumsum(sizes + 1) - (sizes + 1)
+    taken = at - first[owner] < prefix(sizes, similarity)[owner]
+    return np.where(nth > 0, W.pair(gram, nth), gram)[taken], owner[taken]
+
+
+def _split(batch: pa.RecordBatch, text: int, min_words: int) -> Iterator[tuple]:
+    """For blocks of rows: first row, row and number of each line, hashes of all words, first word and words of each line, and its key."""
+    data, offsets = W.utf8(batch.column(text))
+    for a, b in W.blocks(offsets):
+        part, edges = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        clean = _CLEAN[part]
+        starts, ends, row = W.spans(clean, edges, _INSIDE)
+        # Lines: after each line feed and at each text's start.
+        feeds = np.flatnonzero(part == 0x0A)
+        begins = np.union1d(feeds + 1, edges[:-1]) if len(edges) > 1 else feeds
+        line = np.searchsorted(begins, starts, side="right") - 1
+        keep = np.bincount(line, minlength=len(begins) + 1)[line] >= min_words
+        starts, ends, row, line = starts[keep], ends[keep], row[keep], line[keep]
+        if not len(starts):
+            continue
+        h = W.hashes(clean, starts, ends)
+        heads = np.flatnonzero(np.concatenate(([True], np.diff(line) != 0)))
+        tails = np.concatenate((heads[1:], [len(line)]))
+        key = [hashlib.blake2b(h[x:y].tobytes(), digest_size=16).digest() for x, y in zip(heads.tolist(), tails.tolist(), strict=True)]
+        owner = row[heads]
+        yield a, owner, line[heads] - np.searchsorted(begins, edges[owner], side="left"), h, heads, tails - heads, key
 
 
 def _lines(min_words: int):
@@ -63,30 +127,43 @@ def _lines(min_words: int):
         for batch in batches:
             rows, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             nulls = batch.column(1).is_null().to_numpy(zero_copy_only=False)
-            data, offsets = W.utf8(batch.column(2))
-            for a, b in W.blocks(offsets):
-                part, edges = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                clean = _CLEAN[part]
-                starts, ends, row = W.spans(clean, edges, _INSIDE)
-                # Lines: after each line feed and at each text's start.
-                feeds = np.flatnonzero(part == 0x0A)
-                begins = np.union1d(feeds + 1, edges[:-1]) if len(edges) > 1 else feeds
-                line = np.searchsorted(begins, starts, side="right") - 1
-                keep = np.bincount(line, minlength=len(begins) + 1)[line] >= min_words
-                starts, ends, row, line = starts[keep], ends[keep], row[keep], line[keep]
-                if not len(starts):
-                    continue
-                h = W.hashes(clean, starts, ends)
-                heads = np.flatnonzero(np.concatenate(([True], np.diff(line) != 0)))
-                tails = np.concatenate((heads[1:], [len(line)]))
-                key = [hashlib.blake2b(h[x:y].tobytes(), digest_size=16).digest() for x, y in zip(heads.tolist(), tails.tolist(), strict=True)]
-                owner = row[heads]
-                number = line[heads] - np.searchsorted(begins, edges[owner], side="left")
-                yield pa.RecordBatch.from_arrays([pa.array(rows[a + owner], pa.int64()), pa.array(np.where(nulls[a + owner], 0, ids[a + owner]).astype(np.int64), pa.int64(), mask=nulls[a + owner]), pa.array(number, pa.int64()), pa.array(key, pa.binary()), pa.array(simhash(h, heads).view(np.int64), pa.int64()), pa.array(tails - heads, pa.int32())], names=["row_key", "doc_id", "line", "class_key", "simhash", "n_words"])
+            for a, owner, number, _, _, _, key in _split(batch, 2, min_words):
+                yield pa.RecordBatch.from_arrays([pa.array(rows[a + owner], pa.int64()), pa.array(np.where(nulls[a + owner], 0, ids[a + owner]).astype(np.int64), pa.int64(), mask=nulls[a + owner]), pa.array(number, pa.int64()), pa.array(key, pa.binary())], names=["row_key", "doc_id", "line", "class_key"])
 
     return run
 
 
+def _pairs_of_words(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, _, h, heads, sizes, _ in _split(batch, 0, min_words):
+                yield pa.RecordBatch.from_arrays([pa.array(grams(h, heads, sizes)[0].view(np.int64), pa.int64())], names=["gram"])
+
+    return run
+
+
+def _keys(min_words: int, similarity: float, common):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, _, h, heads, sizes, key in _split(batch, 0, min_words):
+                ids = np.frombuffer(b"".join(x[:8] for x in key), dtype=">i8").astype(np.int64)
+                bits = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), heads).view(np.int64)
+                found, owner = keys(h, heads, sizes, similarity, common.value)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64), pa.int64()), pa.array(ids[owner], pa.int64()), pa.array(bits[owner], pa.int64()), pa.array(sizes[owner], pa.int32())], names=["key", "id", "bits", "n_words"])
+
+    return run
+
+
+def _common(texts: DataFrame, min_words: int):
+    """A broadcast of the word pairs that a sample of ``texts`` has often, in ascending order, and their counts."""
+    share = min(1.0, SAMPLED / max(1, texts.count()))
+    some = texts.where(F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1 << 30)) < share * (1 << 30))
+    rows = some.mapInArrow(_pairs_of_words(min_words), "gram long").groupBy("gram").count().where("count > 1").orderBy(F.desc("count"), "gram").limit(COUNTED).toArrow()
+    gram, count = (np.asarray(rows.column(i)) for i in (0, 1))
+    order = np.argsort(gram.view(np.uint64))
+    return texts.sparkSession.sparkContext.broadcast((gram.view(np.uint64)[order], count[order]))
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of a wanted line of a text."""
     for batch in batches:
@@ -118,19 +195,29 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "n_lines", "n_removed", "text"])
 
 
-def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, distance: int = DISTANCE, similarity: float = SIMILARITY) -> DataFrame:
+def _id() -> Column:
+    return F.conv(F.hex(F.substring("class_key", 1, 8)), 16, -10).cast("long")
+
+
+def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, n_lines, n_removed and the text that stays, for each row of ``docs`` (doc_id, text)."""
+    if not 0.5 <= similarity <= 1:
+        raise ValueError("below a similarity of 0.5 two lines need not share a word pair")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
     lines = cut(rows.where("text is not null").select("row_key", "doc_id", "text").mapInArrow(_lines(min_words), LINES))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line", "row_key")).alias("first")
-    classes = cut(lines.groupBy("class_key").agg(first, F.first("simhash").alias("simhash"), F.first("n_words").alias("n_words"), F.count(F.lit(1)).alias("n")))
-    blocks = F.explode(F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("simhash", 16 * i).bitwiseAND(F.lit(0xFFFF)).alias("value")) for i in range(BLOCKS)])).alias("x")
-    keyed = classes.select("class_key", "simhash", "n_words", blocks).select("class_key", "simhash", "n_words", "x.block", "x.value")
-    side = lambda p: keyed.select("block", "value", *[F.col(c).alias(f"{p}_{c}") for c in ("class_key", "simhash", "n_words")])
-    near = (F.bit_count(F.col("a_simhash").bitwiseXOR(F.col("b_simhash"))) <= distance) & (F.least("a_n_words", "b_n_words") >= similarity * F.greatest("a_n_words", "b_n_words"))
+    classes = cut(lines.groupBy("class_key").agg(first, F.count(F.lit(1)).alias("n")))
+    texts = rows.where("text is not null").select("text")
+    # Repeats of a line go within the exchange on the key.
+    keyed = texts.mapInArrow(_keys(min_words, similarity, _common(texts, min_words)), KEYS).repartition("key").groupBy("key", "id").agg(F.max("bits").alias("bits"), F.max("n_words").alias("n_words"))
+    side = lambda p: keyed.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("id", "bits", "n_words")])
+    longer = F.greatest("a_n_words", "b_n_words")
+    near = (F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) <= 2 * F.floor((1 - similarity) * longer + 1e-9)) & (F.least("a_n_words", "b_n_words") >= similarity * longer - 1e-9)
     a, b = side("a"), side("b")
-    pairs = a.join(b, (a["block"] == b["block"]) & (a["value"] == b["value"]) & (F.col("a_class_key") < F.col("b_class_key")) & near).select(F.col("a_class_key").alias("a"), F.col("b_class_key").alias("b")).distinct()
-    pairs = cut(pairs)
+    close = cut(a.join(b, (a["key"] == b["key"]) & (F.col("a_id") < F.col("b_id")) & near).select("a_id", "b_id").distinct())
+    # An id is half of a class's key.
+    named = lambda p: classes.select(_id().alias(f"{p}_id"), F.col("class_key").alias(p))
+    pairs = cut(close.join(named("a"), "a_id").join(named("b"), "b_id").select("a", "b"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class_key")).distinct().join(classes.select("class_key", "first.row_key", "first.line"), "class_key")
     texts = cut(wanted.join(rows.select("row_key", "text").dropDuplicates(["row_key"]), "row_key").select("class_key", "text", "line").mapInArrow(_texts, "class_key binary, words string"))
     both = pairs.join(texts.select(F.col("class_key").alias("a"), F.col("words").alias("a_words")), "a").join(texts.select(F.col("class_key").alias("b"), F.col("words").alias("b_words")), "b")

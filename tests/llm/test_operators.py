@@ -1,6 +1,7 @@
 import hashlib
 import json
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -277,6 +278,28 @@ def test_near_lines_are_found(spark):
     assert line_dedup.dedup_lines(docs).where("n_removed = 0").count() <= 2
 
 
+def test_lone_pairs_of_near_lines_are_all_found(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(400):
+        n = rng.randint(7, 60)
+        w = [f"w{rng.randrange(300)}" for _ in range(n)]
+        # As many edits as the similarity allows, of one kind or mixed, spread over the line.
+        v, kind = list(w), i % 4
+        for k, at in enumerate(sorted(rng.sample(range(n), n // 5), reverse=True)):
+            how = k % 3 if kind == 3 else kind
+            v[at : at + (how != 1)] = [] if how == 2 else [f"e{i}x{k}"]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert line_dedup.dedup_lines(docs).where("doc_id % 2 = 1 and n_removed = 0").count() == 0
+
+
+def test_near_lines_of_repeated_words_are_found(spark):
+    rows = [(1, "a b a b a b a b a b"), (2, "a b a b x b a b a b"), (3, "q q q q q"), (4, "q q q q z"), (5, "k l m n o"), (6, "k l m y z")]
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 1, 5: 0, 6: 0}
+
+
 # Decontamination
 
 
