@@ -6,9 +6,10 @@
 2. Lines with equal keys are one class.  A class is keyed by the first of its neighbouring
    word pairs (line start and end count as words) in one order for all lines, rare pairs
    first.  An edit changes two pairs at most, so with as many keys as all allowed edits
-   can change and one more, any two classes within the similarity share a key.  Classes
-   that share one, fit in length and differ in no more bits of a parity of word hashes
-   than the edits can flip are pairs.  None of these tests loses a pair.
+   can change and a few more, any two classes within the similarity share those few (three,
+   or what the shortest lines allow).  Classes that share as many, fit in length and differ
+   in no more bits of a parity of word hashes than the edits can flip are pairs.  None of
+   these tests loses a pair.
 3. Pairs are verified by edit similarity over words: 1 - edits / words of the longer line.
 4. Of each connected group of classes the first occurrence (least doc_id, then line) stays.
 
@@ -38,6 +39,8 @@ from .layout import cut
 MIN_WORDS, SIMILARITY = 5, 0.8
 #: Documents whose word pairs are counted for the order of keys, and counts that are kept.
 SAMPLED, COUNTED = 4000, 1 << 17
+#: Keys that two lines have to share, where lines of the least length have as many in common.
+SHARED = 3
 _CLEAN = np.full(256, 0x20, dtype=np.uint8)
 _CLEAN[0x30:0x3A] = 0x30
 _CLEAN[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -61,13 +64,19 @@ def allowed(n_words, similarity: float):
     return np.floor((1 - similarity) * n_words + 1e-9).astype(np.int64)
 
 
-def prefix(n_words: np.ndarray, similarity: float) -> np.ndarray:
-    """Keys that each line needs: one more than its word pairs that a line within the similarity can lack.
+def shared(min_words: int, similarity: float) -> int:
+    """Word pairs that any two lines within the similarity have in common, up to SHARED."""
+    n_words = np.arange(max(1, min_words), max(1, min_words) + 50)
+    return int(min(SHARED, (n_words + 1 - 2 * allowed(n_words, similarity)).min()))
+
+
+def prefix(n_words: np.ndarray, similarity: float, least: int) -> np.ndarray:
+    """Keys that each line needs to share ``least``: as many more than its word pairs that a line within the similarity can lack.
 
     Of e edits that lead to a line longer by d words, d at least are insertions, which part one pair and not two.
     """
-    most = [2 * allowed(n_words + d, similarity) - d for d in range(int(np.ceil(1 / (1 - similarity + 1e-9))) + 1)]
-    return 1 + np.max(most, axis=0)
+    most = [2 * allowed(n_words + d, similarity) - d for d in range(int(np.ceil(1 / (1 - similarity + 1e-9))) + 1)] if similarity < 1 else [0 * n_words]
+    return least + np.max(most, axis=0)
 
 
 def grams(h: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +90,7 @@ def grams(h: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarr
     return W.pair(left, right), owner
 
 
-def keys(h: np.ndarray, heads: np.ndarray, sizes: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def keys(h: np.ndarray, heads: np.ndarray, sizes: np.ndarray, similarity: float, least: int, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The keys of each line and the line of each; ``common`` has word pairs in ascending order and their counts."""
     gram, owner = grams(h, heads, sizes)
     count = np.zeros(len(gram), np.uint64)
@@ -95,7 +104,7 @@ def keys(h: np.ndarray, heads: np.ndarray, sizes: np.ndarray, similarity: float,
     new = np.concatenate(([True], (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])))
     nth = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
     first = np.cumsum(sizes + 1) - (sizes + 1)
-    taken = at - first[owner] < prefix(sizes, similarity)[owner]
+    taken = at - first[owner] < prefix(sizes, similarity, least)[owner]
     return np.where(nth > 0, W.pair(gram, nth), gram)[taken], owner[taken]
 
 
@@ -142,13 +151,13 @@ def _pairs_of_words(min_words: int):
     return run
 
 
-def _keys(min_words: int, similarity: float, common):
+def _keys(min_words: int, similarity: float, least: int, common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, _, h, heads, sizes, key in _split(batch, 0, min_words):
                 ids = np.frombuffer(b"".join(x[:8] for x in key), dtype=">i8").astype(np.int64)
                 bits = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), heads).view(np.int64)
-                found, owner = keys(h, heads, sizes, similarity, common.value)
+                found, owner = keys(h, heads, sizes, similarity, least, common.value)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64), pa.int64()), pa.array(ids[owner], pa.int64()), pa.array(bits[owner], pa.int64()), pa.array(sizes[owner], pa.int32())], names=["key", "id", "bits", "n_words"])
 
     return run
@@ -208,13 +217,14 @@ def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, similarity: floa
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line", "row_key")).alias("first")
     classes = cut(lines.groupBy("class_key").agg(first, F.count(F.lit(1)).alias("n")))
     texts = rows.where("text is not null").select("text")
+    least = shared(min_words, similarity)
     # Repeats of a line go within the exchange on the key.
-    keyed = texts.mapInArrow(_keys(min_words, similarity, _common(texts, min_words)), KEYS).repartition("key").groupBy("key", "id").agg(F.max("bits").alias("bits"), F.max("n_words").alias("n_words"))
+    keyed = texts.mapInArrow(_keys(min_words, similarity, least, _common(texts, min_words)), KEYS).repartition("key").groupBy("key", "id").agg(F.max("bits").alias("bits"), F.max("n_words").alias("n_words"))
     side = lambda p: keyed.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("id", "bits", "n_words")])
     longer = F.greatest("a_n_words", "b_n_words")
     near = (F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) <= 2 * F.floor((1 - similarity) * longer + 1e-9)) & (F.least("a_n_words", "b_n_words") >= similarity * longer - 1e-9)
     a, b = side("a"), side("b")
-    close = cut(a.join(b, (a["key"] == b["key"]) & (F.col("a_id") < F.col("b_id")) & near).select("a_id", "b_id").distinct())
+    close = cut(a.join(b, (a["key"] == b["key"]) & (F.col("a_id") < F.col("b_id")) & near).groupBy("a_id", "b_id").count().where(F.col("count") >= least).select("a_id", "b_id"))
     # An id is half of a class's key.
     named = lambda p: classes.select(_id().alias(f"{p}_id"), F.col("class_key").alias(p))
     pairs = cut(close.join(named("a"), "a_id").join(named("b"), "b_id").select("a", "b"))
