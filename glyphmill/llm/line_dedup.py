@@ -1,8 +1,9 @@
 """Fuzzy line dedup: prefixes of word pairs as a lossless filter, edit similarity, one occurrence per group.
 
 1. A line is normalised (ASCII lower case, digits as 0, words of letters and digits only)
-   and gets a 128-bit key of its words.  Lines of fewer than ``min_words`` words stay as
-   they are.
+   and gets a 128-bit key of its words; a line with other signs but no word gets one of its
+   bytes without outer blanks.  Lines of fewer than ``min_words`` words have no near
+   copies; with ``short`` (as the query runs) their exact repeats go, else they stay.
 2. Lines with equal keys are one class.  A class is keyed by the first of its neighbouring
    word pairs (line start and end count as words) in one order for all lines, rare pairs
    first.  An edit changes two pairs at most, so with as many keys as all allowed edits
@@ -108,7 +109,7 @@ def keys(h: np.ndarray, heads: np.ndarray, sizes: np.ndarray, similarity: float,
     return np.where(nth > 0, W.pair(gram, nth), gram)[taken], owner[taken]
 
 
-def _split(batch: pa.RecordBatch, text: int, min_words: int) -> Iterator[tuple]:
+def _split(batch: pa.RecordBatch, text: int, min_words: int, short: bool = False) -> Iterator[tuple]:
     """For blocks of rows: first row, row and number of each line, hashes of all words, first word and words of each line, and its key."""
     data, offsets = W.utf8(batch.column(text))
     for a, b in W.blocks(offsets):
@@ -119,7 +120,10 @@ def _split(batch: pa.RecordBatch, text: int, min_words: int) -> Iterator[tuple]:
         feeds = np.flatnonzero(part == 0x0A)
         begins = np.union1d(feeds + 1, edges[:-1]) if len(edges) > 1 else feeds
         line = np.searchsorted(begins, starts, side="right") - 1
-        keep = np.bincount(line, minlength=len(begins) + 1)[line] >= min_words
+        size = np.bincount(line, minlength=len(begins) + 1)
+        if short:
+            yield from _wordless(part, edges, begins, size, a)
+        keep = size[line] >= (1 if short else min_words)
         starts, ends, row, line = starts[keep], ends[keep], row[keep], line[keep]
         if not len(starts):
             continue
@@ -131,12 +135,24 @@ def _split(batch: pa.RecordBatch, text: int, min_words: int) -> Iterator[tuple]:
         yield a, owner, line[heads] - np.searchsorted(begins, edges[owner], side="left"), h, heads, tails - heads, key
 
 
-def _lines(min_words: int):
+def _wordless(part: np.ndarray, edges: np.ndarray, begins: np.ndarray, size: np.ndarray, a: int) -> Iterator[tuple]:
+    """Like :func:`_split`, for the lines that have signs but no words."""
+    ends = np.append(begins[1:], len(part))
+    bare = np.flatnonzero((size[: len(begins)] == 0) & (ends > begins))
+    found = [(i, x) for i in bare.tolist() if (x := part[begins[i] : ends[i]].tobytes().strip(W.SPACES))]
+    if found:
+        at = np.array([i for i, _ in found])
+        owner = np.searchsorted(edges, begins[at], side="right") - 1
+        none = np.zeros(0, np.int64)
+        yield a, owner, at - np.searchsorted(begins, edges[owner], side="left"), none, none, none, [hashlib.blake2b(x, digest_size=16, person=b"wordless").digest() for _, x in found]
+
+
+def _lines(min_words: int, short: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             nulls = batch.column(1).is_null().to_numpy(zero_copy_only=False)
-            for a, owner, number, _, _, _, key in _split(batch, 2, min_words):
+            for a, owner, number, _, _, _, key in _split(batch, 2, min_words, short):
                 yield pa.RecordBatch.from_arrays([pa.array(rows[a + owner], pa.int64()), pa.array(np.where(nulls[a + owner], 0, ids[a + owner]).astype(np.int64), pa.int64(), mask=nulls[a + owner]), pa.array(number, pa.int64()), pa.array(key, pa.binary())], names=["row_key", "doc_id", "line", "class_key"])
 
     return run
@@ -208,12 +224,12 @@ def _id() -> Column:
     return F.conv(F.hex(F.substring("class_key", 1, 8)), 16, -10).cast("long")
 
 
-def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, short: bool = False) -> DataFrame:
     """doc_id, n_lines, n_removed and the text that stays, for each row of ``docs`` (doc_id, text)."""
     if not 0.5 <= similarity <= 1:
         raise ValueError("below a similarity of 0.5 two lines need not share a word pair")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
-    lines = cut(rows.where("text is not null").select("row_key", "doc_id", "text").mapInArrow(_lines(min_words), LINES))
+    lines = cut(rows.where("text is not null").select("row_key", "doc_id", "text").mapInArrow(_lines(min_words, short), LINES))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line", "row_key")).alias("first")
     classes = cut(lines.groupBy("class_key").agg(first, F.count(F.lit(1)).alias("n")))
     texts = rows.where("text is not null").select("text")
@@ -242,4 +258,4 @@ def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, similarity: floa
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), short=True)

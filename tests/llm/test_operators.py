@@ -300,6 +300,13 @@ def test_near_lines_of_repeated_words_are_found(spark):
     assert got == {1: 0, 2: 1, 3: 0, 4: 1, 5: 0, 6: 0}
 
 
+def test_query_drops_exact_repeats_of_short_lines(spark, tmp_path):
+    docs = [(1, "Short line\n---\n\n***\n\nend"), (2, "short LINE!\n ---\n\nnew\n***\n"), (3, "---"), (4, "\n\n"), (5, "1 2\nshort line x")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in line_dedup.query(spark, str(tmp_path)).collect()}
+    assert got == {1: docs[0][1], 2: "\nnew\n", 3: "", 4: "\n\n", 5: docs[4][1]}
+
+
 # Decontamination
 
 
