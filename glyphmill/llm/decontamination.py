@@ -15,7 +15,7 @@ of at most ``block_bytes`` of text, however large the table is; an item that is
 alone is a block of its own.
 
 Defined results.  Null, empty and wordless texts: no words, no hits.  Wordless or null
-items: no windows.  Items with equal texts are all reported.  Repeated rows: each is
+items: no windows.  Windows of texts without an item id hit, but name no item.  Items with equal texts are all reported.  Repeated rows: each is
 searched.  An empty table, or an empty benchmark: every text is clean.  Other columns
 are not read, or pass through whole in :func:`remove_contaminated`.
 """
@@ -44,7 +44,7 @@ _FOUND = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", p
 class Phrases:
     """The windows of some items: distinct rows of word codes, and the items that have each."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int):
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int):
         names, texts = [x for x, _ in items], pa.array([x for _, x in items], pa.string())
         self.names = names
         rows, own, lengths = [], [], []
@@ -207,7 +207,8 @@ def scan(texts: pa.Array, blocks: list[Phrases]) -> Iterator[dict]:
             own, pairs = _search(h, row, phrases)
             hit |= own
             for r, i in pairs.tolist():
-                items[r].add(phrases.names[i])
+                if phrases.names[i] is not None:
+                    items[r].add(phrases.names[i])
         n_hit = np.bincount(row[hit], minlength=b - a)
         first = np.cumsum(n_words) - n_words
         edges = np.flatnonzero(hit & np.concatenate(([True], ~hit[:-1] | (np.diff(row) != 0))[: len(hit)])) if len(hit) else np.zeros(0, np.int64)
@@ -221,11 +222,11 @@ def scan(texts: pa.Array, blocks: list[Phrases]) -> Iterator[dict]:
 
 def _blocks(phrases: DataFrame, window: int, block_bytes: int) -> list:
     """Broadcasts of the phrases, a block of items each."""
-    rows = phrases.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
+    rows = phrases.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = -(-total // block_bytes)
     context = phrases.sparkSession.sparkContext
-    return [context.broadcast(Phrases([(r[0], r[1]) for r in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(count)) == k).orderBy("item_id", "text").collect()], window)) for k in range(count)]
+    return [context.broadcast(Phrases([(r[0], r[1]) for r in rows.where(F.pmod(F.xxhash64(F.coalesce("item_id", "text")), F.lit(count)) == k).orderBy("item_id", "text").collect()], window)) for k in range(count)]
 
 
 def _mapper(blocks: list, render: Callable[[pa.RecordBatch, list[dict]], pa.RecordBatch]):

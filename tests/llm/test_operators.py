@@ -342,6 +342,15 @@ def test_hits_equal_brute_force(spark, docs, rows, block):
     assert kept.columns == clash(docs).columns and kept.count() == sum(not x[-1] for x in brute_hits(rows, items, 6))
 
 
+@pytest.mark.parametrize("block", [10, 1 << 20])
+def test_texts_without_an_item_id_hit(spark, block):
+    phrases = spark.createDataFrame([(None, "a passage that nobody gave an id"), (None, "another such passage of seven words"), (7, "one with its own id")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "see a passage that nobody gave an id here"), (2, "one with its own id, another such passage of seven words"), (3, "clean")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontamination.find_contamination(docs, phrases, window=6, block_bytes=block).collect()}
+    assert got == {1: (7, 0, True), 2: (11, 1, True), 3: (0, 0, False)}
+    assert [r.doc_id for r in decontamination.remove_contaminated(docs, phrases, window=6, block_bytes=block).collect()] == [3]
+
+
 def test_fm_index_counts_and_locates():
     rng = np.random.default_rng(1)
     text = rng.integers(0, 5, 400)
