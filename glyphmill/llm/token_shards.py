@@ -12,7 +12,8 @@ a task that runs again writes the same bytes.
 
 Encoding.  A text is cut where the byte-level pattern ends a piece whatever follows, each
 distinct chunk is encoded once by the tokenizers library, and the ids are laid out.  Texts
-with white space outside ASCII are encoded whole.
+with white space outside ASCII or with the string of an added token (which is that token's
+id, as in the library's default) are encoded whole.
 
 Defined results.  Null and empty texts: the end id alone.  Null ids sort first.  Equal
 rows are stored as often as they come.  Empty table: no shard has documents, no rows.
@@ -69,7 +70,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # Every place where the string of an added token (special or not) begins; without such tokens, none.
+        added = [re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile(b"(?=" + b"|".join(added) + b")" if added else b"(?!)")
         self.model = self.tokenizer.model
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -86,7 +89,7 @@ class Encoder:
             out[i] = got
         for i in missing:
             x = chunks[i]
-            if _PLAIN.fullmatch(x):
+            if _PLAIN.fullmatch(x) and not self.added.search(x):
                 out[i] = struct.pack(f"<{len(t)}I", *t) if (t := [k.id for k in self.model.tokenize(x.decode().replace(" ", "Ġ"))]) else b""
             else:
                 longer.append(i)
@@ -114,7 +117,7 @@ class Encoder:
                 blank = (kinds == _SPACE) | (kinds == _BLANK)
                 cut[2:-1] &= ~(blank[:-2] & blank[1:-1] & ~blank[2:])
             cut[edges] = True
-            wide = {int(np.searchsorted(edges, m.start(), side="right")) - 1 for m in _WIDE_BYTES.finditer(raw)}
+            wide = {int(np.searchsorted(edges, m.start(), side="right")) - 1 for found in (_WIDE_BYTES, self.added) for m in found.finditer(raw)}
             for r in wide:
                 cut[edges[r] + 1 : edges[r + 1]] = False
             bounds = np.flatnonzero(cut)

@@ -420,6 +420,21 @@ def test_chunks_encode_as_whole_texts():
     assert got == [e.tokenizer.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
+def test_added_tokens_are_encoded_as_by_an_unmodified_tokenizer():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, e = Tokenizer.from_file(path), token_shards.Encoder(path)
+    texts = ["<|endoftext|>", "a b <|endoftext|> c", "x<|endoftext|><|endoftext|>y", "cut <|endof", "text|> here", "<|endof text|>", "plain words"]
+    got = []
+    for ids, per in e.encode(pa.array(texts, pa.string())):
+        ends = np.cumsum(per)
+        got += [ids[b - n : b].tolist() for b, n in zip(ends, per, strict=True)]
+    assert got == [plain.encode(x, add_special_tokens=False).ids for x in texts]
+    assert len(got[0]) == 1
+
+
 def test_perfect_hash_is_minimal():
     keys = words.mix(np.arange(5000, dtype=np.uint64))
     table, end = token_shards.PerfectHash.load(token_shards.PerfectHash.build(keys).dump())
