@@ -20,10 +20,12 @@ def pieces(df: DataFrame, bytes_each: int) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where that is unset (tests), one below /tmp."""
+    """The folder that the cluster names in spark.checkpoint.dir; where that is unset, one below /tmp in local mode (tests), else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     context = spark.sparkContext
     if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = f"file:///tmp/glyphmill-{context.applicationId}"
         spark.conf.set("spark.checkpoint.dir", named)
     if context._jsc.sc().getCheckpointDir().isEmpty():
@@ -43,6 +45,15 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def written(df: DataFrame, kind: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: packed, cut off from its lineage, and of a size that the planner knows, which decides its joins."""
+    path = new_folder(df.sparkSession, kind)
+    df.write.parquet(path)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def new_folder(spark: SparkSession, kind: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"

@@ -6,21 +6,26 @@
    copies; with ``short`` (as the query runs) their exact repeats go, else they stay.
 2. Lines with equal keys are one class.  A class is keyed by the first of its neighbouring
    word pairs (line start and end count as words) in one order for all lines, rare pairs
-   first.  An edit changes two pairs at most, so with as many keys as all allowed edits
-   can change and a few more, any two classes within the similarity share those few (three,
-   or what the shortest lines allow).  Classes that share as many, fit in length and differ
-   in no more bits of a parity of word hashes than the edits can flip are pairs.  None of
-   these tests loses a pair.
-3. Pairs are verified by edit similarity over words: 1 - edits / words of the longer line.
-4. Of each connected group of classes the first occurrence (least doc_id, then line) stays.
+   first.  An edit changes two pairs at most, so with one key more than all allowed edits
+   can change any two classes within the similarity share a key.  This filter loses no pair.
+   Nearly all keys belong to one class alone, so they travel packed: 40 bits of a key and
+   the id of its class, in one row for each batch and range of keys.
+3. Classes that share a key are pairs where they are few.  In a longer list each class is
+   paired with the list's most frequent class, its pivot; that is the line of which the
+   others are variants, where there is such a line.
+4. Pairs are verified by edit similarity over words: 1 - edits / words of the longer line.
+   Components of the links are groups.  In a longer list whose classes are not yet in one
+   group, those outside of its largest group are paired with all others, verified, and the
+   groups joined; so the pairs that are left out are within a group already.
+5. Of each group the first occurrence (least doc_id, then line) stays.
 
 How rare a word pair is comes from a bounded sample: that decides how long lists get, not
-what is found.  The equality join carries the bit and length tests, so only pairs near
-enough leave it.  Texts of lines are fetched only for classes that are in a pair.
+what is found.  Texts of lines are fetched only for classes that are in a pair.
 
 Defined results.  Null texts: no lines, the result is null.  Empty texts stay.  Blank
-lines stay.  Rows with equal doc_id and text are treated alike.  Very long lines are
-compared whole.  Empty table: no rows.  Only doc_id and text are read.
+lines stay.  Rows with equal doc_id and text: one is the first, all lines with a key go
+from the others.  Very long lines are compared whole.  Null ids come last.  Empty table:
+no rows.  Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -30,18 +35,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
 from .graph import components
-from .layout import cut
+from .layout import pieces, written
 
 MIN_WORDS, SIMILARITY = 5, 0.8
-#: Documents whose word pairs are counted for the order of keys, and counts that are kept.
-SAMPLED, COUNTED = 4000, 1 << 17
-#: Keys that two lines have to share, where lines of the least length have as many in common.
-SHARED = 3
+#: Documents whose word pairs are counted for the order of keys.
+SAMPLED = 4000
+#: Classes that share a key and are all paired; input bytes whose keys go to one range.
+LIST_SIZE, RANGE_BYTES = 24, 16 << 20
+#: Bits of a key, and of the cell of the table that says how frequent it is.
+KEY_BITS, CELL_BITS = 40, 20
+#: Lines that are keyed at once: their numbers, frequencies and keys share 64 bits.
+LINES_AT_ONCE = 1 << 17
 _CLEAN = np.full(256, 0x20, dtype=np.uint8)
 _CLEAN[0x30:0x3A] = 0x30
 _CLEAN[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -50,8 +59,8 @@ _CLEAN[0x80:] = np.arange(0x80, 0x100)
 _CLEAN[0x0A] = 0x0A
 _INSIDE = _CLEAN > 0x20
 
-LINES = "row_key long, doc_id long, line long, class_key binary"
-KEYS = "key long, id long, bits long, n_words int"
+FOUND = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary())])
+FOUND_DDL = "row_key long, doc_id long, line int, k1 long, k2 long, bucket int, keys binary, ids binary, counts binary"
 
 
 def normalised(line: str) -> list[str]:
@@ -65,19 +74,13 @@ def allowed(n_words, similarity: float):
     return np.floor((1 - similarity) * n_words + 1e-9).astype(np.int64)
 
 
-def shared(min_words: int, similarity: float) -> int:
-    """Word pairs that any two lines within the similarity have in common, up to SHARED."""
-    n_words = np.arange(max(1, min_words), max(1, min_words) + 50)
-    return int(min(SHARED, (n_words + 1 - 2 * allowed(n_words, similarity)).min()))
-
-
-def prefix(n_words: np.ndarray, similarity: float, least: int) -> np.ndarray:
-    """Keys that each line needs to share ``least``: as many more than its word pairs that a line within the similarity can lack.
+def prefix(n_words: np.ndarray, similarity: float) -> np.ndarray:
+    """Keys that a line needs: one more than its word pairs that a line within the similarity can lack.
 
     Of e edits that lead to a line longer by d words, d at least are insertions, which part one pair and not two.
     """
     most = [2 * allowed(n_words + d, similarity) - d for d in range(int(np.ceil(1 / (1 - similarity + 1e-9))) + 1)] if similarity < 1 else [0 * n_words]
-    return least + np.max(most, axis=0)
+    return 1 + np.max(most, axis=0)
 
 
 def grams(h: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,48 +94,74 @@ def grams(h: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarr
     return W.pair(left, right), owner
 
 
-def keys(h: np.ndarray, heads: np.ndarray, sizes: np.ndarray, similarity: float, least: int, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of each line and the line of each; ``common`` has word pairs in ascending order and their counts."""
-    gram, owner = grams(h, heads, sizes)
-    count = np.zeros(len(gram), np.uint64)
-    if len(common[0]):
-        place = np.minimum(np.searchsorted(common[0], gram), len(common[0]) - 1)
-        count = np.where(common[0][place] == gram, common[1][place], 0).astype(np.uint64)
-    order = np.lexsort((gram, count, owner))
-    gram, owner = gram[order], owner[order]
-    # The n-th occurrence of a pair in its line is a key of its own.
-    at = np.arange(len(gram))
-    new = np.concatenate(([True], (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])))
-    nth = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
-    first = np.cumsum(sizes + 1) - (sizes + 1)
-    taken = at - first[owner] < prefix(sizes, similarity, least)[owner]
-    return np.where(nth > 0, W.pair(gram, nth), gram)[taken], owner[taken]
-
-
-def _split(batch: pa.RecordBatch, text: int, min_words: int, short: bool = False) -> Iterator[tuple]:
-    """For blocks of rows: first row, row and number of each line, hashes of all words, first word and words of each line, and its key."""
+def keys(h: np.ndarray, heads: np.ndarray, sizes: np.ndarray, similarity: float, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of each line and the line of each; ``frequency`` ranks the cells of word pairs (0 to 63)."""
+    found, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for a in range(0, len(sizes), LINES_AT_ONCE):
+        size = sizes[a : a + LINES_AT_ONCE]
+        begin = heads[a]
+        gram, owner = grams(h[begin : heads[a + len(size) - 1] + size[-1]], heads[a : a + len(size)] - begin, size)
+        rank = frequency[gram >> np.uint64(64 - CELL_BITS)].astype(np.uint64)
+        value = (owner.astype(np.uint64) << np.uint64(46)) | (rank << np.uint64(KEY_BITS)) | (gram & np.uint64((1 << KEY_BITS) - 1))
+        value.sort()
+        # Lines are whole runs of the sorted values, so each keeps its places.
+        first = np.cumsum(size + 1) - (size + 1)
+        at = np.arange(len(value))
+        taken = at - first[owner] < prefix(size, similarity)[owner]
+        key = value & np.uint64((1 << KEY_BITS) - 1)
+        again = np.concatenate(([False], value[1:] == value[:-1]))
+        if again.any():
+            # The n-th occurrence of a pair in its line is a key of its own.
+            nth = (at - np.maximum.accumulate(np.where(again, 0, at))).astype(np.uint64)
+            key = np.where(again, W.pair(key, nth) >> np.uint64(64 - KEY_BITS), key)
+        found.append(key[taken])
+        owners.append(owner[taken] + a)
+    return np.concatenate(found), np.concatenate(owners)
+
+
+def class_keys(h: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the words of each line in their order."""
+    if not len(heads):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.arange(len(h)) - np.repeat(heads, sizes)
+    out = []
+    with np.errstate(over="ignore"):
+        for salt, base in ((0, 0x9E3779B97F4A7C15), (0x6A09E667F3BCC909, 0xD6E8FEB86659FD93)):
+            power = np.full(int(sizes.max()), base, dtype=np.uint64)
+            power[0] = 1
+            np.multiply.accumulate(power, out=power)
+            each = (h if not salt else W.mix(h ^ np.uint64(salt))) * power[at]
+            out.append(W.mix(np.add.reduceat(each, heads) + sizes.astype(np.uint64)).view(np.int64))
+    return out[0], out[1]
+
+
+def _split(batch: pa.RecordBatch, text: int, short: bool, min_words: int) -> Iterator[tuple]:
+    """For blocks of rows: row and number of each line, hashes of all words, first word and words of each line, and its keys."""
     data, offsets = W.utf8(batch.column(text))
     for a, b in W.blocks(offsets):
         part, edges = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         clean = _CLEAN[part]
         starts, ends, row = W.spans(clean, edges, _INSIDE)
         # Lines: after each line feed and at each text's start.
-        feeds = np.flatnonzero(part == 0x0A)
-        begins = np.union1d(feeds + 1, edges[:-1]) if len(edges) > 1 else feeds
-        line = np.searchsorted(begins, starts, side="right") - 1
+        fresh = np.zeros(len(part) + 1, dtype=bool)
+        fresh[1:][part == 0x0A] = True
+        fresh[edges[:-1]] = True
+        line_of = np.cumsum(fresh) - 1
+        begins = np.flatnonzero(fresh)
+        line = line_of[starts]
         size = np.bincount(line, minlength=len(begins) + 1)
         if short:
             yield from _wordless(part, edges, begins, size, a)
-        keep = size[line] >= (1 if short else min_words)
-        starts, ends, row, line = starts[keep], ends[keep], row[keep], line[keep]
+        if not short:
+            keep = size[line] >= min_words
+            starts, ends, row, line = starts[keep], ends[keep], row[keep], line[keep]
         if not len(starts):
             continue
         h = W.hashes(clean, starts, ends)
         heads = np.flatnonzero(np.concatenate(([True], np.diff(line) != 0)))
-        tails = np.concatenate((heads[1:], [len(line)]))
-        key = [hashlib.blake2b(h[x:y].tobytes(), digest_size=16).digest() for x, y in zip(heads.tolist(), tails.tolist(), strict=True)]
+        sizes = np.diff(np.append(heads, len(line)))
         owner = row[heads]
-        yield a, owner, line[heads] - np.searchsorted(begins, edges[owner], side="left"), h, heads, tails - heads, key
+        yield a + owner, line[heads] - line_of[edges[owner]], h, heads, sizes, *class_keys(h, heads, sizes)
 
 
 def _wordless(part: np.ndarray, edges: np.ndarray, begins: np.ndarray, size: np.ndarray, a: int) -> Iterator[tuple]:
@@ -144,56 +173,128 @@ def _wordless(part: np.ndarray, edges: np.ndarray, begins: np.ndarray, size: np.
         at = np.array([i for i, _ in found])
         owner = np.searchsorted(edges, begins[at], side="right") - 1
         none = np.zeros(0, np.int64)
-        yield a, owner, at - np.searchsorted(begins, edges[owner], side="left"), none, none, none, [hashlib.blake2b(x, digest_size=16, person=b"wordless").digest() for _, x in found]
+        key = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16, person=b"wordless").digest() for _, x in found), "<i8").reshape(-1, 2)
+        yield a + owner, at - np.searchsorted(begins, edges[owner], side="left"), none, none, none, key[:, 0], key[:, 1]
 
 
-def _lines(min_words: int, short: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            nulls = batch.column(1).is_null().to_numpy(zero_copy_only=False)
-            for a, owner, number, _, _, _, key in _split(batch, 2, min_words, short):
-                yield pa.RecordBatch.from_arrays([pa.array(rows[a + owner], pa.int64()), pa.array(np.where(nulls[a + owner], 0, ids[a + owner]).astype(np.int64), pa.int64(), mask=nulls[a + owner]), pa.array(number, pa.int64()), pa.array(key, pa.binary())], names=["row_key", "doc_id", "line", "class_key"])
+def _rows(n: int, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in FOUND], schema=FOUND)
 
-    return run
+
+def _packets(key: np.ndarray, ids: np.ndarray, counts: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """A row for each range of keys that has some."""
+    order = np.argsort(key)
+    key, ids, counts = key[order], ids[order], counts[order]
+    bucket = (key * np.uint64(ranges) >> np.uint64(KEY_BITS)).astype(np.int64) if ranges < 1 << 24 else ((key >> np.uint64(16)) * np.uint64(ranges) >> np.uint64(KEY_BITS - 16)).astype(np.int64)
+    heads = np.flatnonzero(np.concatenate(([True], np.diff(bucket) != 0)))
+    sides = list(zip(heads.tolist(), [*heads[1:].tolist(), len(key)], strict=True))
+    pack = lambda f, v: pa.array([f(v[x:y]) for x, y in sides], pa.binary())
+    return _rows(len(heads), bucket=pa.array(bucket[heads], pa.int32()), keys=pack(W.pack_sorted, key), ids=pack(lambda v: v.astype("<i8").tobytes(), ids), counts=pack(W.pack, counts))
 
 
-def _pairs_of_words(min_words: int):
+def _find(min_words: int, similarity: float, short: bool, frequency, ranges: int):
+    """A row for each line with its key, and packed rows of the keys of classes for each range."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, _, h, heads, sizes, _ in _split(batch, 0, min_words):
-                yield pa.RecordBatch.from_arrays([pa.array(grams(h, heads, sizes)[0].view(np.int64), pa.int64())], names=["gram"])
+            keyed = []
+            for row, number, h, heads, sizes, k1, k2 in _split(batch, 2, short, min_words):
+                at = pa.array(row)
+                yield _rows(len(row), row_key=batch.column(0).take(at), doc_id=batch.column(1).take(at), line=pa.array(number, pa.int32()), k1=pa.array(k1), k2=pa.array(k2))
+                long = np.flatnonzero(sizes >= min_words) if len(sizes) else sizes
+                if len(long):
+                    ids, first, n = np.unique(k1[long], return_index=True, return_counts=True)
+                    chosen = long[first]
+                    word = np.repeat(heads[chosen], sizes[chosen]) + np.arange(sizes[chosen].sum()) - np.repeat(np.cumsum(sizes[chosen]) - sizes[chosen], sizes[chosen])
+                    key, owner = keys(h[word], np.cumsum(sizes[chosen]) - sizes[chosen], sizes[chosen], similarity, frequency.value)
+                    keyed.append((key, ids[owner], n[owner]))
+            if keyed:
+                yield _packets(*(np.concatenate(x) for x in zip(*keyed, strict=True)), ranges)
+            del batch, keyed
+            W.release()
 
     return run
 
 
-def _keys(min_words: int, similarity: float, least: int, common):
+def _cells(min_words: int):
+    """How often the cells of word pairs come in a batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, _, h, heads, sizes, key in _split(batch, 0, min_words):
-                ids = np.frombuffer(b"".join(x[:8] for x in key), dtype=">i8").astype(np.int64)
-                bits = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), heads).view(np.int64)
-                found, owner = keys(h, heads, sizes, similarity, least, common.value)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64), pa.int64()), pa.array(ids[owner], pa.int64()), pa.array(bits[owner], pa.int64()), pa.array(sizes[owner], pa.int32())], names=["key", "id", "bits", "n_words"])
+            for _, _, h, heads, sizes, _, _ in _split(batch, 0, False, min_words):
+                cell, n = np.unique(grams(h, heads, sizes)[0] >> np.uint64(64 - CELL_BITS), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(n, pa.int64())], names=["cell", "n"])
 
     return run
 
 
-def _common(texts: DataFrame, min_words: int):
-    """A broadcast of the word pairs that a sample of ``texts`` has often, in ascending order, and their counts."""
+def _frequency(texts: DataFrame, min_words: int):
+    """A broadcast table of fixed size: how frequent the word pairs of a cell are in a sample of ``texts``, on a scale of logarithms."""
     share = min(1.0, SAMPLED / max(1, texts.count()))
     some = texts.where(F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1 << 30)) < share * (1 << 30))
-    rows = some.mapInArrow(_pairs_of_words(min_words), "gram long").groupBy("gram").count().where("count > 1").orderBy(F.desc("count"), "gram").limit(COUNTED).toArrow()
-    gram, count = (np.asarray(rows.column(i)) for i in (0, 1))
-    order = np.argsort(gram.view(np.uint64))
-    return texts.sparkSession.sparkContext.broadcast((gram.view(np.uint64)[order], count[order]))
+    rows = some.mapInArrow(_cells(min_words), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    table = np.zeros(1 << CELL_BITS, np.uint8)
+    table[np.asarray(rows.column("cell"))] = np.minimum(63, 4 * np.log2(np.asarray(rows.column("n"), dtype=np.float64)))
+    return texts.sparkSession.sparkContext.broadcast(table)
+
+
+def _lists(list_size: int):
+    """Pairs of classes that share a key (list is null), and the classes of longer lists."""
+
+    def run(table: pa.Table) -> pa.Table:
+        W.release()
+        key = np.concatenate([W.unpack_sorted(x.as_py()) for x in table.column("keys")]).astype(np.int64)
+        ids = np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in table.column("ids")])
+        counts = np.concatenate([W.unpack(x.as_py()) for x in table.column("counts")]).astype(np.int64)
+        del table
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        shared = np.concatenate(([False], key[1:] == key[:-1]))
+        shared[:-1] |= shared[1:]
+        order, key = order[shared], key[shared]
+        ids, counts = ids[order], counts[order]
+        order = np.lexsort((ids, key))
+        key, ids, counts = key[order], ids[order], counts[order]
+        heads = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])))[: len(key)])
+        counts = np.add.reduceat(counts, heads) if len(heads) else counts
+        key, ids = key[heads], ids[heads]
+        begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))[: len(key)])
+        n = np.diff(np.append(begins, len(key)))
+        size = np.repeat(n, n)
+        a, b, lists, members = [], [], [], []
+        for lag in range(1, list_size):
+            x = np.flatnonzero((key[lag:] == key[:-lag]) & (size[lag:] <= list_size))
+            a.append(ids[x])
+            b.append(ids[x + lag])
+        for i in np.flatnonzero(n > list_size).tolist():
+            mine = ids[begins[i] : begins[i] + n[i]]
+            pivot = int(np.argmax(counts[begins[i] : begins[i] + n[i]]))
+            others = np.delete(mine, pivot)
+            a.append(np.minimum(others, mine[pivot]))
+            b.append(np.maximum(others, mine[pivot]))
+            lists.append(np.full(n[i], key[begins[i]]))
+            members.append(mine)
+        a, b, lists, members = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b, lists, members))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)]
+        a, b = a[new], b[new]
+        return pa.table([pa.array(np.concatenate((np.zeros(len(a), np.int64), lists)), pa.int64(), mask=np.arange(len(a) + len(lists)) < len(a)), pa.array(np.concatenate((a, members)), pa.int64()), pa.array(np.concatenate((b, np.zeros(len(lists), np.int64))), pa.int64())], names=["list", "a", "b"])
+
+    return run
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of a wanted line of a text."""
+    """The words of the wanted lines of a text."""
     for batch in batches:
-        found = [" ".join(normalised(t.as_py().split("\n")[n.as_py()])) for t, n in zip(batch.column(1), batch.column(2), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["class_key", "words"])
+        k1, k2, words = [], [], []
+        for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
+            lines = text.as_py().split("\n")
+            for w in wanted.as_py():
+                k1.append(w["k1"])
+                k2.append(w["k2"])
+                words.append(" ".join(normalised(lines[w["line"]])))
+        yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(words, pa.string())], names=["k1", "k2", "words"])
 
 
 def _as_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,41 +321,70 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "n_lines", "n_removed", "text"])
 
 
-def _id() -> Column:
-    return F.conv(F.hex(F.substring("class_key", 1, 8)), 16, -10).cast("long")
-
-
-def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, short: bool = False) -> DataFrame:
+def _node(k1, k2):
+    return F.format_string("%016x%016x", k1, k2)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The links (u, v) among pairs of ids (a, b)."""
+    side = lambda p: texts.select(F.col("k1").alias(f"{p}_id"), F.col("node").alias(p), F.col("words").alias(f"{p}_words"))
+    both = pairs.select(F.col("a").alias("a_id"), F.col("b").alias("b_id")).join(side("a"), "a_id").join(side("b"), "b_id").where("a != b")
+    codes = both.select("a", "b", "a_words", "b_words").mapInArrow(_as_codes, "a string, b string, a_codes string, b_codes string")
+    longer = F.greatest(F.length("a_codes"), F.length("b_codes"))
+    fits = F.least(F.length("a_codes"), F.length("b_codes")) >= similarity * longer - 1e-9
+    alike = F.levenshtein("a_codes", "b_codes") <= F.floor((1 - similarity) * longer + 1e-9)
+    return written(codes.where(F.when(fits, alike).otherwise(F.lit(False))).select(F.col("a").alias("u"), F.col("b").alias("v")), "line-links")
+
+
+def _groups(classes: DataFrame, rows: DataFrame, packets: DataFrame, ranges: int, similarity: float, list_size: int) -> DataFrame:
+    """node and root of every class that is linked with another, roots included."""
+    listed = written(packets.repartition(ranges, "bucket").groupBy("bucket").applyInArrow(_lists(list_size), "list long, a long, b long"), "line-lists")
+    pairs = listed.where("list is null").select("a", "b").distinct()
+    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct(), "line-ends")
+    wanted = written(classes.join(ends, "k1").groupBy("first.row_key").agg(F.collect_list(F.struct("k1", "k2", "first.line")).alias("wanted")), "line-wanted")
+    # Of equal rows one gives the texts.
+    texts = rows.join(wanted, "row_key").select("text", "wanted").mapInArrow(_texts, "k1 long, k2 long, words string").dropDuplicates(["k1", "k2"])
+    texts = written(texts.withColumn("node", _node(F.col("k1"), F.col("k2"))), "line-texts")
+    links = _verified(pairs, texts, similarity)
+    rooted = written(components(links), "line-roots")
+    labels = texts.select("k1", "node").join(rooted, "node", "left").select("k1", F.coalesce("root", "node").alias("label"))
+    members = listed.where("list is not null").select("list", F.col("a").alias("k1")).join(labels, "k1")
+    largest = members.groupBy("list", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("list").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    outside = written(members.join(largest, "list").where("label != largest").select("list", F.col("k1").alias("o"), F.col("label").alias("o_label")), "line-outside")
+    if not outside.isEmpty():
+        again = outside.join(members, "list").where("label != o_label").select(F.least("o", "k1").alias("a"), F.greatest("o", "k1").alias("b")).distinct()
+        more = _verified(again, texts, similarity)
+        rooted = written(components(rooted.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "line-roots")
+    return rooted.unionByName(rooted.select(F.col("root").alias("node"), "root").distinct())
+
+
+def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, short: bool = False, list_size: int = LIST_SIZE) -> DataFrame:
     """doc_id, n_lines, n_removed and the text that stays, for each row of ``docs`` (doc_id, text)."""
     if not 0.5 <= similarity <= 1:
         raise ValueError("below a similarity of 0.5 two lines need not share a word pair")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
-    lines = cut(rows.where("text is not null").select("row_key", "doc_id", "text").mapInArrow(_lines(min_words, short), LINES))
+    texts = rows.where("text is not null")
+    ranges = pieces(docs.select("doc_id", "text"), RANGE_BYTES)
+    found = written(texts.select("row_key", "doc_id", "text").mapInArrow(_find(min_words, similarity, short, _frequency(texts.select("text"), min_words), ranges), FOUND_DDL), "lines")
+    lines = found.where("bucket is null").select("row_key", "doc_id", "line", "k1", "k2")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line", "row_key")).alias("first")
-    classes = cut(lines.groupBy("class_key").agg(first, F.count(F.lit(1)).alias("n")))
-    texts = rows.where("text is not null").select("text")
-    least = shared(min_words, similarity)
-    # Repeats of a line go within the exchange on the key.
-    keyed = texts.mapInArrow(_keys(min_words, similarity, least, _common(texts, min_words)), KEYS).repartition("key").groupBy("key", "id").agg(F.max("bits").alias("bits"), F.max("n_words").alias("n_words"))
-    side = lambda p: keyed.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("id", "bits", "n_words")])
-    longer = F.greatest("a_n_words", "b_n_words")
-    near = (F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) <= 2 * F.floor((1 - similarity) * longer + 1e-9)) & (F.least("a_n_words", "b_n_words") >= similarity * longer - 1e-9)
-    a, b = side("a"), side("b")
-    close = cut(a.join(b, (a["key"] == b["key"]) & (F.col("a_id") < F.col("b_id")) & near).groupBy("a_id", "b_id").count().where(F.col("count") >= least).select("a_id", "b_id"))
-    # An id is half of a class's key.
-    named = lambda p: classes.select(_id().alias(f"{p}_id"), F.col("class_key").alias(p))
-    pairs = cut(close.join(named("a"), "a_id").join(named("b"), "b_id").select("a", "b"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class_key")).distinct().join(classes.select("class_key", "first.row_key", "first.line"), "class_key")
-    texts = cut(wanted.join(rows.select("row_key", "text").dropDuplicates(["row_key"]), "row_key").select("class_key", "text", "line").mapInArrow(_texts, "class_key binary, words string"))
-    both = pairs.join(texts.select(F.col("class_key").alias("a"), F.col("words").alias("a_words")), "a").join(texts.select(F.col("class_key").alias("b"), F.col("words").alias("b_words")), "b")
-    codes = both.select("a", "b", "a_words", "b_words").mapInArrow(_as_codes, "a binary, b binary, a_codes string, b_codes string")
-    alike = 1 - F.levenshtein("a_codes", "b_codes") / F.greatest(F.length("a_codes"), F.length("b_codes")) >= similarity
-    rooted = components(codes.where(alike).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    grouped = classes.select("class_key", "first", "n").join(rooted, F.col("class_key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class_key"))
-    kept = grouped.groupBy("root").agg(F.min("first").alias("stays"), F.sum("n").alias("n")).where("n > 1")
-    repeated = cut(grouped.join(kept.select("root", "stays"), "root").select("class_key", "stays"))
-    drop = lines.join(repeated, "class_key").where((F.col("row_key") != F.col("stays.row_key")) | (F.col("line") != F.col("stays.line"))).groupBy("row_key").agg(F.collect_set("line").alias("drop"))
-    return rows.join(drop, "row_key", "left").select("doc_id", "text", "drop").mapInArrow(_removed, "doc_id long, n_lines long, n_removed long, text string")
+    classes = written(lines.groupBy("k1", "k2").agg(first, F.count(F.lit(1)).alias("n")), "line-classes")
+    packets = found.where("bucket is not null").select("bucket", "keys", "ids", "counts")
+    rooted = _groups(classes, texts.select("row_key", "text"), packets, ranges, similarity, list_size)
+    node = _node(F.col("k1"), F.col("k2"))
+    grouped = classes.withColumn("own", node).join(rooted, F.col("own") == F.col("node"), "left").where("n > 1 or root is not null").select("k1", "k2", "first", F.coalesce("root", "own").alias("root"))
+    stays = grouped.groupBy("root").agg(F.min("first").alias("stays"))
+    repeated = written(grouped.join(stays, "root").select("k1", "k2", F.col("stays.row_key").alias("stays_row"), F.col("stays.line").alias("stays_line")), "line-repeats")
+    drop = lines.join(repeated, ["k1", "k2"]).where("row_key != stays_row or line != stays_line").groupBy("row_key").agg(F.collect_set("line").alias("drop"))
+    drop = written(drop, "line-drops")
+    marked = rows.join(drop, "row_key", "left")
+    copied = written(texts.groupBy("row_key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("row_key"), "row-copies")
+    if not copied.isEmpty():
+        every = lines.join(copied, "row_key").groupBy("row_key").agg(F.collect_set("line").alias("every"))
+        several = marked.join(copied, "row_key").withColumn("nth", F.row_number().over(Window.partitionBy("row_key").orderBy("doc_id"))).join(every, "row_key", "left")
+        several = several.withColumn("drop", F.when(F.col("nth") > 1, F.col("every")).otherwise(F.col("drop")))
+        marked = marked.join(copied, "row_key", "left_anti").unionByName(several.select(marked.columns))
+    return marked.select("doc_id", "text", "drop").mapInArrow(_removed, "doc_id long, n_lines long, n_removed long, text string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
