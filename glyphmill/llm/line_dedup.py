@@ -6,17 +6,19 @@
    copies; with ``short`` (as the query runs) their exact repeats go, else they stay.
 2. Lines with equal keys are one class.  A class is keyed by the first of its neighbouring
    word pairs (line start and end count as words) in one order for all lines, rare pairs
-   first.  An edit changes two pairs at most, so with one key more than all allowed edits
-   can change any two classes within the similarity share a key.  This filter loses no pair.
-   Nearly all keys belong to one class alone, so they travel packed: 40 bits of a key and
-   the id of its class, in one row for each batch and range of keys.
-3. Classes that share a key are pairs where they are few.  In a longer list each class is
-   paired with the list's most frequent class, its pivot; that is the line of which the
-   others are variants, where there is such a line.
+   first.  An edit changes two pairs at most, so with as many keys as all allowed edits can
+   change and a few more, any two classes within the similarity share those few (three, or
+   what the shortest lines allow) and are within the similarity in length.  None of these
+   tests loses a pair.  Nearly all keys belong to one class alone, so they travel packed:
+   40 bits of a key and the id of its class, in one row for each batch and range of keys.
+3. Lists of classes that share a key give pairs where they are short.  In a longer list
+   each class is paired with the list's most frequent class, its pivot; that is the line of
+   which the others are variants, where there is such a line.
 4. Pairs are verified by edit similarity over words: 1 - edits / words of the longer line.
    Components of the links are groups.  In a longer list whose classes are not yet in one
-   group, those outside of its largest group are paired with all others, verified, and the
-   groups joined; so the pairs that are left out are within a group already.
+   group, those outside of its largest group are paired with all others; pairs with enough
+   keys in common are verified and their groups joined.  So every pair that is left out is
+   within a group already.
 5. Of each group the first occurrence (least doc_id, then line) stays.
 
 How rare a word pair is comes from a bounded sample: that decides how long lists get, not
@@ -44,11 +46,13 @@ from .layout import pieces, written
 
 MIN_WORDS, SIMILARITY = 5, 0.8
 #: Documents whose word pairs are counted for the order of keys.
-SAMPLED = 4000
+SAMPLED = 20_000
+#: Keys that two lines have to share, where lines of the least length have as many in common.
+SHARED = 3
 #: Classes that share a key and are all paired; input bytes whose keys go to one range.
-LIST_SIZE, RANGE_BYTES = 24, 16 << 20
-#: Bits of a key, and of the cell of the table that says how frequent it is.
-KEY_BITS, CELL_BITS = 40, 20
+LIST_SIZE, RANGE_BYTES = 64, 16 << 20
+#: Bits of a key, of the cell of the table that says how frequent it is, and of a line's length in its class id.
+KEY_BITS, CELL_BITS, LENGTH_BITS = 40, 22, 10
 #: Lines that are keyed at once: their numbers, frequencies and keys share 64 bits.
 LINES_AT_ONCE = 1 << 17
 _CLEAN = np.full(256, 0x20, dtype=np.uint8)
@@ -59,8 +63,8 @@ _CLEAN[0x80:] = np.arange(0x80, 0x100)
 _CLEAN[0x0A] = 0x0A
 _INSIDE = _CLEAN > 0x20
 
-FOUND = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary())])
-FOUND_DDL = "row_key long, doc_id long, line int, k1 long, k2 long, bucket int, keys binary, ids binary, counts binary"
+LINES = "row_key long, doc_id long, line int, k1 long, k2 long"
+PACKETS = "bucket int, keys binary, ids binary, counts binary"
 
 
 def normalised(line: str) -> list[str]:
@@ -74,13 +78,19 @@ def allowed(n_words, similarity: float):
     return np.floor((1 - similarity) * n_words + 1e-9).astype(np.int64)
 
 
-def prefix(n_words: np.ndarray, similarity: float) -> np.ndarray:
-    """Keys that a line needs: one more than its word pairs that a line within the similarity can lack.
+def shared(min_words: int, similarity: float) -> int:
+    """Word pairs that any two lines within the similarity have in common, up to SHARED."""
+    n_words = np.arange(max(1, min_words), max(1, min_words) + 50)
+    return int(min(SHARED, (n_words + 1 - 2 * allowed(n_words, similarity)).min()))
+
+
+def prefix(n_words: np.ndarray, similarity: float, least: int) -> np.ndarray:
+    """Keys that a line needs to share ``least``: as many more than its word pairs that a line within the similarity can lack.
 
     Of e edits that lead to a line longer by d words, d at least are insertions, which part one pair and not two.
     """
     most = [2 * allowed(n_words + d, similarity) - d for d in range(int(np.ceil(1 / (1 - similarity + 1e-9))) + 1)] if similarity < 1 else [0 * n_words]
-    return 1 + np.max(most, axis=0)
+    return least + np.max(most, axis=0)
 
 
 def grams(h: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +104,7 @@ def grams(h: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarr
     return W.pair(left, right), owner
 
 
-def keys(h: np.ndarray, heads: np.ndarray, sizes: np.ndarray, similarity: float, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def keys(h: np.ndarray, heads: np.ndarray, sizes: np.ndarray, similarity: float, least: int, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The keys of each line and the line of each; ``frequency`` ranks the cells of word pairs (0 to 63)."""
     found, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for a in range(0, len(sizes), LINES_AT_ONCE):
@@ -107,7 +117,7 @@ def keys(h: np.ndarray, heads: np.ndarray, sizes: np.ndarray, similarity: float,
         # Lines are whole runs of the sorted values, so each keeps its places.
         first = np.cumsum(size + 1) - (size + 1)
         at = np.arange(len(value))
-        taken = at - first[owner] < prefix(size, similarity)[owner]
+        taken = at - first[owner] < prefix(size, similarity, least)[owner]
         key = value & np.uint64((1 << KEY_BITS) - 1)
         again = np.concatenate(([False], value[1:] == value[:-1]))
         if again.any():
@@ -120,7 +130,7 @@ def keys(h: np.ndarray, heads: np.ndarray, sizes: np.ndarray, similarity: float,
 
 
 def class_keys(h: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of the words of each line in their order."""
+    """The id of the words of each line in their order (its length, up to what fits, and a hash), and another 64-bit hash of them."""
     if not len(heads):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     at = np.arange(len(h)) - np.repeat(heads, sizes)
@@ -131,8 +141,14 @@ def class_keys(h: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> tuple[np.
             power[0] = 1
             np.multiply.accumulate(power, out=power)
             each = (h if not salt else W.mix(h ^ np.uint64(salt))) * power[at]
-            out.append(W.mix(np.add.reduceat(each, heads) + sizes.astype(np.uint64)).view(np.int64))
-    return out[0], out[1]
+            out.append(W.mix(np.add.reduceat(each, heads) + sizes.astype(np.uint64)))
+    length = np.minimum(sizes, (1 << LENGTH_BITS) - 1).astype(np.uint64)
+    return ((length << np.uint64(64 - LENGTH_BITS)) | (out[0] >> np.uint64(LENGTH_BITS))).view(np.int64), out[1].view(np.int64)
+
+
+def lengths(ids: np.ndarray) -> np.ndarray:
+    """The lengths that class ids hold."""
+    return (ids.view(np.uint64) >> np.uint64(64 - LENGTH_BITS)).astype(np.int64)
 
 
 def _split(batch: pa.RecordBatch, text: int, short: bool, min_words: int) -> Iterator[tuple]:
@@ -177,37 +193,44 @@ def _wordless(part: np.ndarray, edges: np.ndarray, begins: np.ndarray, size: np.
         yield a + owner, at - np.searchsorted(begins, edges[owner], side="left"), none, none, none, key[:, 0], key[:, 1]
 
 
-def _rows(n: int, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in FOUND], schema=FOUND)
+def _lines(min_words: int, short: bool):
+    """A row for each line with its key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, number, _, _, _, k1, k2 in _split(batch, 2, short, min_words):
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(number, pa.int32()), pa.array(k1), pa.array(k2)], names=["row_key", "doc_id", "line", "k1", "k2"])
+            del batch
+            W.release()
+
+    return run
 
 
 def _packets(key: np.ndarray, ids: np.ndarray, counts: np.ndarray, ranges: int) -> pa.RecordBatch:
     """A row for each range of keys that has some."""
     order = np.argsort(key)
     key, ids, counts = key[order], ids[order], counts[order]
-    bucket = (key * np.uint64(ranges) >> np.uint64(KEY_BITS)).astype(np.int64) if ranges < 1 << 24 else ((key >> np.uint64(16)) * np.uint64(ranges) >> np.uint64(KEY_BITS - 16)).astype(np.int64)
+    bucket = ((key >> np.uint64(8)) * np.uint64(ranges) >> np.uint64(KEY_BITS - 8)).astype(np.int64)
     heads = np.flatnonzero(np.concatenate(([True], np.diff(bucket) != 0)))
     sides = list(zip(heads.tolist(), [*heads[1:].tolist(), len(key)], strict=True))
     pack = lambda f, v: pa.array([f(v[x:y]) for x, y in sides], pa.binary())
-    return _rows(len(heads), bucket=pa.array(bucket[heads], pa.int32()), keys=pack(W.pack_sorted, key), ids=pack(lambda v: v.astype("<i8").tobytes(), ids), counts=pack(W.pack, counts))
+    return pa.RecordBatch.from_arrays([pa.array(bucket[heads], pa.int32()), pack(W.pack_sorted, key), pack(lambda v: v.astype("<i8").tobytes(), ids), pack(W.pack, counts)], names=["bucket", "keys", "ids", "counts"])
 
 
-def _find(min_words: int, similarity: float, short: bool, frequency, ranges: int):
-    """A row for each line with its key, and packed rows of the keys of classes for each range."""
+def _keyed(min_words: int, similarity: float, least: int, frequency, ranges: int):
+    """Packed keys of the classes of each batch, with their occurrences in it, a row for each range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keyed = []
-            for row, number, h, heads, sizes, k1, k2 in _split(batch, 2, short, min_words):
-                at = pa.array(row)
-                yield _rows(len(row), row_key=batch.column(0).take(at), doc_id=batch.column(1).take(at), line=pa.array(number, pa.int32()), k1=pa.array(k1), k2=pa.array(k2))
-                long = np.flatnonzero(sizes >= min_words) if len(sizes) else sizes
-                if len(long):
-                    ids, first, n = np.unique(k1[long], return_index=True, return_counts=True)
-                    chosen = long[first]
-                    word = np.repeat(heads[chosen], sizes[chosen]) + np.arange(sizes[chosen].sum()) - np.repeat(np.cumsum(sizes[chosen]) - sizes[chosen], sizes[chosen])
-                    key, owner = keys(h[word], np.cumsum(sizes[chosen]) - sizes[chosen], sizes[chosen], similarity, frequency.value)
-                    keyed.append((key, ids[owner], n[owner]))
+            for _, _, h, heads, sizes, k1, _ in _split(batch, 0, False, min_words):
+                ids, chosen, n = np.unique(k1, return_index=True, return_counts=True)
+                size = sizes[chosen]
+                begin = np.cumsum(size) - size
+                word = np.repeat(heads[chosen] - begin, size) + np.arange(size.sum())
+                key, owner = keys(h[word], begin, size, similarity, least, frequency.value)
+                keyed.append((key, ids[owner], n[owner]))
             if keyed:
                 yield _packets(*(np.concatenate(x) for x in zip(*keyed, strict=True)), ranges)
             del batch, keyed
@@ -238,8 +261,12 @@ def _frequency(texts: DataFrame, min_words: int):
     return texts.sparkSession.sparkContext.broadcast(table)
 
 
-def _lists(list_size: int):
-    """Pairs of classes that share a key (list is null), and the classes of longer lists."""
+def _lists(list_size: int, similarity: float, least: int):
+    """Pairs of classes that share keys and fit in length, with the number of keys in short lists (list is null), and the classes of longer lists."""
+
+    def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x, y = lengths(a), lengths(b)
+        return np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9
 
     def run(table: pa.Table) -> pa.Table:
         W.release()
@@ -249,9 +276,9 @@ def _lists(list_size: int):
         del table
         order = np.argsort(key, kind="stable")
         key = key[order]
-        shared = np.concatenate(([False], key[1:] == key[:-1]))
-        shared[:-1] |= shared[1:]
-        order, key = order[shared], key[shared]
+        common = np.concatenate(([False], key[1:] == key[:-1]))
+        common[:-1] |= common[1:]
+        order, key = order[common], key[common]
         ids, counts = ids[order], counts[order]
         order = np.lexsort((ids, key))
         key, ids, counts = key[order], ids[order], counts[order]
@@ -261,25 +288,33 @@ def _lists(list_size: int):
         begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))[: len(key)])
         n = np.diff(np.append(begins, len(key)))
         size = np.repeat(n, n)
-        a, b, lists, members = [], [], [], []
-        for lag in range(1, list_size):
-            x = np.flatnonzero((key[lag:] == key[:-lag]) & (size[lag:] <= list_size))
-            a.append(ids[x])
-            b.append(ids[x + lag])
+        none = np.zeros(0, np.int64)
+        a, b, often, lists, members = [none], [none], [none], [none], [none]
+
+        def pair(x: np.ndarray, y: np.ndarray, shared_keys: int) -> None:
+            ok = fits(x, y)
+            a.append(np.minimum(x, y)[ok])
+            b.append(np.maximum(x, y)[ok])
+            often.append(np.full(int(ok.sum()), shared_keys))
+
+        short = np.flatnonzero(size <= list_size)
+        place = np.arange(len(key)) - np.repeat(begins, n)
+        for lag in range(1, int(size[short].max()) if len(short) else 0):
+            x = short[place[short] >= lag]
+            pair(ids[x - lag], ids[x], 1)
         for i in np.flatnonzero(n > list_size).tolist():
             mine = ids[begins[i] : begins[i] + n[i]]
             pivot = int(np.argmax(counts[begins[i] : begins[i] + n[i]]))
-            others = np.delete(mine, pivot)
-            a.append(np.minimum(others, mine[pivot]))
-            b.append(np.maximum(others, mine[pivot]))
+            pair(np.delete(mine, pivot), mine[pivot : pivot + 1], least)
             lists.append(np.full(n[i], key[begins[i]]))
             members.append(mine)
-        a, b, lists, members = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b, lists, members))
+        a, b, often, lists, members = (np.concatenate(x) for x in (a, b, often, lists, members))
         order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)]
-        a, b = a[new], b[new]
-        return pa.table([pa.array(np.concatenate((np.zeros(len(a), np.int64), lists)), pa.int64(), mask=np.arange(len(a) + len(lists)) < len(a)), pa.array(np.concatenate((a, members)), pa.int64()), pa.array(np.concatenate((b, np.zeros(len(lists), np.int64))), pa.int64())], names=["list", "a", "b"])
+        a, b, often = a[order], b[order], often[order]
+        heads = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)])
+        a, b, often = a[heads], b[heads], np.add.reduceat(often, heads) if len(heads) else often
+        zeros = np.zeros(len(lists), np.int64)
+        return pa.table([pa.array(np.concatenate((0 * a, lists)), pa.int64(), mask=np.arange(len(a) + len(lists)) < len(a)), pa.array(np.concatenate((a, members))), pa.array(np.concatenate((b, zeros))), pa.array(np.concatenate((often, zeros)))], names=["list", "a", "b", "n"])
 
     return run
 
@@ -336,25 +371,40 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return written(codes.where(F.when(fits, alike).otherwise(F.lit(False))).select(F.col("a").alias("u"), F.col("b").alias("v")), "line-links")
 
 
-def _groups(classes: DataFrame, rows: DataFrame, packets: DataFrame, ranges: int, similarity: float, list_size: int) -> DataFrame:
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
+
+
+def _words_of(ends: DataFrame, classes: DataFrame, rows: DataFrame, repeated_rows: bool) -> DataFrame:
+    """k1, k2, node and words of the classes with the ids ``ends``."""
+    wanted = classes.join(written(ends, "line-ends"), "k1").groupBy("first.row_key").agg(F.collect_list(F.struct("k1", "k2", "first.line")).alias("wanted"))
+    texts = rows.join(written(wanted, "line-wanted"), "row_key").select("text", "wanted").mapInArrow(_texts, "k1 long, k2 long, words string")
+    texts = texts.dropDuplicates(["k1", "k2"]) if repeated_rows else texts
+    return written(texts.withColumn("node", _node(F.col("k1"), F.col("k2"))), "line-texts")
+
+
+def _groups(classes: DataFrame, rows: DataFrame, repeated_rows: bool, packets: DataFrame, ranges: int, similarity: float, list_size: int, least: int) -> DataFrame:
     """node and root of every class that is linked with another, roots included."""
-    listed = written(packets.repartition(ranges, "bucket").groupBy("bucket").applyInArrow(_lists(list_size), "list long, a long, b long"), "line-lists")
-    pairs = listed.where("list is null").select("a", "b").distinct()
-    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct(), "line-ends")
-    wanted = written(classes.join(ends, "k1").groupBy("first.row_key").agg(F.collect_list(F.struct("k1", "k2", "first.line")).alias("wanted")), "line-wanted")
-    # Of equal rows one gives the texts.
-    texts = rows.join(wanted, "row_key").select("text", "wanted").mapInArrow(_texts, "k1 long, k2 long, words string").dropDuplicates(["k1", "k2"])
-    texts = written(texts.withColumn("node", _node(F.col("k1"), F.col("k2"))), "line-texts")
+    listed = written(packets.repartition(ranges, "bucket").groupBy("bucket").applyInArrow(_lists(list_size, similarity, least), "list long, a long, b long, n long"), "line-lists")
+    short = listed.where("list is null").select("a", "b", "n")
+    pairs = written(short.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("a", "b"), "line-pairs")
+    texts = _words_of(_ends(pairs), classes, rows, repeated_rows)
     links = _verified(pairs, texts, similarity)
     rooted = written(components(links), "line-roots")
-    labels = texts.select("k1", "node").join(rooted, "node", "left").select("k1", F.coalesce("root", "node").alias("label"))
-    members = listed.where("list is not null").select("list", F.col("a").alias("k1")).join(labels, "k1")
+    labels = texts.select("k1", "node").join(rooted, "node").select("k1", "root").unionByName(texts.select("k1", F.col("node").alias("root")).join(rooted.select("root").distinct(), "root"))
+    members = listed.where("list is not null").select("list", F.col("a").alias("k1")).join(labels, "k1", "left").select("list", "k1", F.coalesce("root", F.hex("k1")).alias("label"))
     largest = members.groupBy("list", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("list").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
     outside = written(members.join(largest, "list").where("label != largest").select("list", F.col("k1").alias("o"), F.col("label").alias("o_label")), "line-outside")
     if not outside.isEmpty():
-        again = outside.join(members, "list").where("label != o_label").select(F.least("o", "k1").alias("a"), F.greatest("o", "k1").alias("b")).distinct()
-        more = _verified(again, texts, similarity)
-        rooted = written(components(rooted.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "line-roots")
+        length = lambda c: F.shiftrightunsigned(c, 64 - LENGTH_BITS)
+        fits = F.least(length("o"), length("k1")) >= similarity * F.greatest(length("o"), length("k1")) - 1e-9
+        apart = outside.join(members, "list").where((F.col("label") != F.col("o_label")) & fits).select("list", F.least("o", "k1").alias("a"), F.greatest("o", "k1").alias("b")).distinct()
+        # A pair's keys in short lists count too.
+        counted = apart.select("a", "b", F.lit(1).cast("long").alias("n"), F.lit(True).alias("apart")).unionByName(short.select("a", "b", "n", F.lit(False).alias("apart")))
+        again = written(counted.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("apart").alias("apart")).where((F.col("n") >= least) & F.col("apart")).select("a", "b").join(pairs, ["a", "b"], "left_anti"), "line-pairs")
+        more = _words_of(_ends(again).join(texts.select("k1"), "k1", "left_anti"), classes, rows, repeated_rows)
+        found = _verified(again, texts.unionByName(more), similarity)
+        rooted = written(components(rooted.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found)), "line-roots")
     return rooted.unionByName(rooted.select(F.col("root").alias("node"), "root").distinct())
 
 
@@ -364,22 +414,21 @@ def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, similarity: floa
         raise ValueError("below a similarity of 0.5 two lines need not share a word pair")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
     texts = rows.where("text is not null")
-    ranges = pieces(docs.select("doc_id", "text"), RANGE_BYTES)
-    found = written(texts.select("row_key", "doc_id", "text").mapInArrow(_find(min_words, similarity, short, _frequency(texts.select("text"), min_words), ranges), FOUND_DDL), "lines")
-    lines = found.where("bucket is null").select("row_key", "doc_id", "line", "k1", "k2")
+    copied = written(texts.groupBy("row_key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("row_key"), "row-copies")
+    repeated_rows = not copied.isEmpty()
+    lines = written(texts.select("row_key", "doc_id", "text").mapInArrow(_lines(min_words, short), LINES), "lines")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line", "row_key")).alias("first")
     classes = written(lines.groupBy("k1", "k2").agg(first, F.count(F.lit(1)).alias("n")), "line-classes")
-    packets = found.where("bucket is not null").select("bucket", "keys", "ids", "counts")
-    rooted = _groups(classes, texts.select("row_key", "text"), packets, ranges, similarity, list_size)
+    ranges, least = pieces(docs.select("doc_id", "text"), RANGE_BYTES), shared(min_words, similarity)
+    packets = texts.select("text").mapInArrow(_keyed(min_words, similarity, least, _frequency(texts.select("text"), min_words), ranges), PACKETS)
+    rooted = _groups(classes, texts.select("row_key", "text"), repeated_rows, packets, ranges, similarity, list_size, least)
     node = _node(F.col("k1"), F.col("k2"))
     grouped = classes.withColumn("own", node).join(rooted, F.col("own") == F.col("node"), "left").where("n > 1 or root is not null").select("k1", "k2", "first", F.coalesce("root", "own").alias("root"))
     stays = grouped.groupBy("root").agg(F.min("first").alias("stays"))
     repeated = written(grouped.join(stays, "root").select("k1", "k2", F.col("stays.row_key").alias("stays_row"), F.col("stays.line").alias("stays_line")), "line-repeats")
     drop = lines.join(repeated, ["k1", "k2"]).where("row_key != stays_row or line != stays_line").groupBy("row_key").agg(F.collect_set("line").alias("drop"))
-    drop = written(drop, "line-drops")
-    marked = rows.join(drop, "row_key", "left")
-    copied = written(texts.groupBy("row_key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("row_key"), "row-copies")
-    if not copied.isEmpty():
+    marked = rows.join(written(drop, "line-drops"), "row_key", "left")
+    if repeated_rows:
         every = lines.join(copied, "row_key").groupBy("row_key").agg(F.collect_set("line").alias("every"))
         several = marked.join(copied, "row_key").withColumn("nth", F.row_number().over(Window.partitionBy("row_key").orderBy("doc_id"))).join(every, "row_key", "left")
         several = several.withColumn("drop", F.when(F.col("nth") > 1, F.col("every")).otherwise(F.col("drop")))
