@@ -7,10 +7,16 @@ import os
 from pyspark.sql import SparkSession
 
 
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def reach(spark: SparkSession) -> SparkSession:
     """Lets Python workers import this package from where the driver has it; on a cluster that shares no such path, ship it with ``--py-files``."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     paths = [p for p in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    # Whole texts can be long: batches for Python workers are bounded by bytes, unless the session already sets another bound than the default.
+    if spark.conf.get(_BYTES) in ("67108864b", "64m"):
+        spark.conf.set(_BYTES, "8m")
     return spark
