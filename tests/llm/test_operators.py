@@ -69,22 +69,23 @@ def test_packing_round_trips():
 # LM scoring
 
 
-def brute_lm(rows, mu):
+def brute_lm(rows, m2, m3):
     tokens = [(i, [*WORD.findall(low(t)), None]) for i, t, *_ in rows]
-    one, two = Counter(), Counter()
+    one, two, three = Counter(), Counter(), Counter()
     for i, ts in tokens:
         if not held(i, 7):
             one.update(ts)
             two.update(zip(["<s>", *ts[:-1]], ts, strict=True))
+            three.update((ts[j - 2] if j > 1 else "<s>", ts[j - 1], ts[j]) for j in range(1, len(ts)))
     total, types = sum(one.values()), len(one)
     out = []
     for i, ts in tokens:
         base = score = 0.0
-        for h, w in zip(["<s>", *ts[:-1]], ts, strict=True):
+        for g, h, w in zip([0, "<s>", *ts[:-2]], ["<s>", *ts[:-1]], ts, strict=False):
             p1 = (one[w] + 1) / (total + types + 1)
-            n = one[None] if h == "<s>" else one[h]
+            p2 = (two[h, w] + m2 * p1) / ((one[None] if h == "<s>" else one[h]) + m2)
             base += math.log10(p1)
-            score += math.log10((two[h, w] + mu * p1) / (n + mu))
+            score += math.log10((three[g, h, w] + m3 * p2) / (two[g, h] + m3) if g else p2)
         out.append((i, held(i, 7), len(ts), sum(one[w] > 0 for w in ts), total, round(base, 6), round(score, 6)))
     return sorted(out, key=repr)
 
@@ -92,8 +93,8 @@ def brute_lm(rows, mu):
 @pytest.mark.parametrize("shard_bytes", [1, 1 << 30])
 def test_lm_scores_equal_brute_force(docs, rows, shard_bytes, monkeypatch):
     monkeypatch.setattr(lm_scoring, "pieces", lambda df, n: 7 if n == 1 else 1)
-    got = [(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lm_scoring.score_documents(clash(docs), mu=50.0, shard_bytes=shard_bytes).collect()]
-    assert sorted(got, key=repr) == brute_lm(rows, 50.0)
+    got = [(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lm_scoring.score_documents(clash(docs), m2=50.0, m3=3.0, shard_bytes=shard_bytes).collect()]
+    assert sorted(got, key=repr) == brute_lm(rows, 50.0, 3.0)
 
 
 def test_lm_empty(empty):
