@@ -13,8 +13,8 @@
 5. A class of which a quarter of the keys stand in longer lists belongs to a large group
    of near copies.  Such classes bring their full sets to half of these lists, where a worker
    verifies links by pivots: once most of a list is one component, only the classes
-   outside are compared with it.  Lists are split into chunks of ``chunk`` classes that
-   all hold the list's pivot; a second pass compares the classes that a split list left
+   outside are compared with it.  Lists are split into chunks of about ``chunk`` classes
+   and ``CHUNK_SHINGLES`` shingles that all hold the list's pivot; a second pass compares the classes that a split list left
    outside its pivot's component with all chunks of that list.  Only the edges of a
    spanning forest leave a worker, never the pairs of a group.
 6. Components of the links give each document the least doc_id that it reaches.
@@ -42,6 +42,8 @@ from .layout import cut
 
 KEPT, SIMILARITY = 32, (4, 5)
 LIST_SIZE, CHUNK = 24, 4000
+#: Shingles of all sets of a chunk, unless one set alone has more.
+CHUNK_SHINGLES = 2 << 20
 SKETCHED = "row_key long, doc_id long, n_shingles long, set_key binary, sketch array<long>"
 
 
@@ -202,10 +204,10 @@ def _roots(classes: DataFrame, texts_of, kept: int, similarity: tuple[int, int],
 
     # Of whole sketches the even keys: linked classes have ten of these in common on average, and none with a chance of 0.36 ** 15.
     even = (F.least(F.col("n_shingles"), F.lit(kept)) < kept) | (F.col("list") % 2 == 0)
-    in_lists = long.where(even).join(crowded, "set_key", "left_semi").select("list", "set_key")
+    in_lists = long.where(even).join(crowded, "set_key", "left_semi").select("list", "set_key", "n_shingles")
     # Each list's own order of its classes decides its chunks and its pivot.
     dealt = in_lists.withColumn("turn", F.xxhash64("list", "set_key"))
-    lists = dealt.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("turn", "set_key")).alias("least")).where("n > 1").select("list", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"), F.col("least.set_key").alias("pivot"))
+    lists = dealt.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"), F.min(F.struct("turn", "set_key")).alias("least")).where("n > 1").select("list", F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("shingles") / CHUNK_SHINGLES)).cast("int").alias("chunks"), F.col("least.set_key").alias("pivot"))
     lists = cut(lists)
     placed = dealt.join(lists, "list").select("list", "set_key", "chunks", "pivot", F.pmod("turn", F.col("chunks")).cast("int").alias("part"))
     rows = placed.select("list", "set_key", "part").unionByName(lists.where("chunks > 1").select("list", F.col("pivot").alias("set_key"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part")))
@@ -256,12 +258,12 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     found = cut(groups(docs, **options))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")).alias("first")
     stay = found.where("group is not null").groupBy("group").agg(first).select("first.row_key").join(found.groupBy("row_key").agg(F.count(F.lit(1)).alias("copies")), "row_key")
-    stay = cut(stay.unionByName(found.where("group is null").select("row_key").distinct().withColumn("copies", F.lit(1).cast("long"))).select(F.col("row_key").alias("gm_stay"), F.col("copies").alias("gm_copies")))
-    kept = docs.withColumn("gm_row", row_key()).join(stay, F.col("gm_row") == F.col("gm_stay"))
-    if stay.where("gm_copies > 1").isEmpty():
-        return kept.select(*docs.columns)
-    # Rows that come more than once as they are: one of them stays.
-    return kept.where("gm_copies = 1").unionByName(kept.where("gm_copies > 1").dropDuplicates(["gm_row"])).select(*docs.columns)
+    stay = cut(stay.unionByName(found.where("group is null").select("row_key").distinct().withColumn("copies", F.lit(1).cast("long"))).select(F.col("row_key").alias("stay"), "copies"))
+    kept = docs.select(F.struct("*").alias("row"), row_key().alias("own_key")).join(stay, F.col("own_key") == F.col("stay"))
+    if not stay.where("copies > 1").isEmpty():
+        # Rows that come more than once as they are: one of them stays.
+        kept = kept.where("copies = 1").unionByName(kept.where("copies > 1").dropDuplicates(["own_key"]))
+    return kept.select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
