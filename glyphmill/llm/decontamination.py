@@ -10,14 +10,16 @@ Words outside the benchmark's vocabulary cannot be in an occurrence.  They part
 into stretches, and only stretches at least as long as the shortest window are indexed,
 so that the index holds every place where an occurrence can be, and little else.
 
-The benchmark is the stated query set.  It goes to the workers in blocks of items, each
-of at most ``block_bytes`` of text, however large the table is; an item that is larger
-alone is a block of its own.
+The benchmark is the stated query set.  It goes to the workers in blocks of items of about
+``block_bytes`` of text.  Where it is one block, as benchmarks are, one pass over the
+texts finds all.  A larger one takes a pass for each block, one block in memory at a
+time; what the passes find is written, then joined by a hash of doc_id and text.
 
 Defined results.  Null, empty and wordless texts: no words, no hits.  Wordless or null
-items: no windows.  Windows of texts without an item id hit, but name no item.  Items with equal texts are all reported.  Repeated rows: each is
-searched.  An empty table, or an empty benchmark: every text is clean.  Other columns
-are not read, or pass through whole in :func:`remove_contaminated`.
+items: no windows.  Windows of texts without an item id hit, but name no item.  Items with
+equal texts are all reported.  Repeated rows: each is searched.  An empty table, or an
+empty benchmark: every text is clean.  Other columns are not read, or pass through whole
+in :func:`remove_contaminated`.
 """
 
 from __future__ import annotations
@@ -27,13 +29,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .layout import written
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
+WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+BLOCK_BYTES = 4 << 20
 #: Text bytes that one index covers, and the distance between sampled positions.
 SHARD_BYTES, SAMPLE = 8 << 20, 8
 
@@ -220,20 +224,20 @@ def scan(texts: pa.Array, blocks: list[Phrases]) -> Iterator[dict]:
             yield {"n_words": int(n_words[r]), "n_hit": int(n_hit[r]), "items": sorted(items[r]), "spans": spans[r]}
 
 
-def _blocks(phrases: DataFrame, window: int, block_bytes: int) -> list:
-    """Broadcasts of the phrases, a block of items each."""
+def _blocks(phrases: DataFrame, window: int, block_bytes: int) -> Iterator:
+    """Broadcasts of the phrases, a block of items each, read one at a time."""
     rows = phrases.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = -(-total // block_bytes)
-    context = phrases.sparkSession.sparkContext
-    return [context.broadcast(Phrases([(r[0], r[1]) for r in rows.where(F.pmod(F.xxhash64(F.coalesce("item_id", "text")), F.lit(count)) == k).orderBy("item_id", "text").collect()], window)) for k in range(count)]
+    count = max(1, -(-total // block_bytes))
+    for k in range(count):
+        block = rows.where(F.pmod(F.xxhash64(F.coalesce("item_id", "text")), F.lit(count)) == k).orderBy("item_id", "text").collect()
+        yield count, phrases.sparkSession.sparkContext.broadcast(Phrases([(r[0], r[1]) for r in block], window))
 
 
-def _mapper(blocks: list, render: Callable[[pa.RecordBatch, list[dict]], pa.RecordBatch]):
+def _mapper(block, render: Callable[[pa.RecordBatch, list[dict]], pa.RecordBatch]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = [x.value for x in blocks]
         for batch in batches:
-            yield render(batch, list(scan(batch.column(batch.schema.get_field_index("text")), phrases)))
+            yield render(batch, list(scan(batch.column(batch.schema.get_field_index("text")), [block.value])))
             del batch
             W.release()
 
@@ -245,16 +249,65 @@ def _report(batch: pa.RecordBatch, found: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(([x["n_words"] for x in found], [x["n_hit"] for x in found], [len(x["items"]) for x in found], digest, [x["n_hit"] > 0 for x in found], [x["spans"] for x in found]), _FOUND.types[1:], strict=True))], schema=_FOUND)
 
 
+def _hits(batch: pa.RecordBatch, found: list[dict]) -> pa.RecordBatch:
+    """The rows that are hit: their keys, items and spans."""
+    at = [i for i, x in enumerate(found) if x["n_hit"]]
+    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array([found[i]["items"] for i in at], pa.list_(pa.string())), pa.array([found[i]["spans"] for i in at], _FOUND.field("spans").type)], names=["row_key", "items", "spans"])
+
+
+def _merged(spans: Column) -> Column:
+    """Spans in order, those that overlap or touch as one."""
+
+    def step(done: Column, x: Column) -> Column:
+        last = F.element_at(done, -1)
+        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["first"].alias("first"), F.greatest(last["last"], x["last"]).alias("last"))))
+        return F.when((F.size(done) > 0) & (x["first"] <= F.get(done, F.size(done) - 1)["last"] + 1), joined).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(F.array_sort(spans), F.slice(spans, 1, 0), step)
+
+
+def _row_key() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def _hits_of_blocks(docs: DataFrame, first, rest: Iterator) -> DataFrame:
+    """row_key, items and spans of the rows that any block hits, a pass for each block."""
+    rows, parts = docs.select(_row_key().alias("row_key"), F.col("text").cast("string").alias("text")), []
+    for block in (first, *(x for _, x in rest)):
+        parts.append(written(rows.mapInArrow(_mapper(block, _hits), "row_key long, items array<string>, spans array<struct<first:long,last:long>>"), "benchmark-hits"))
+        block.unpersist()
+    hits = parts[0]
+    for part in parts[1:]:
+        hits = hits.unionByName(part)
+    return hits.groupBy("row_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), _merged(F.flatten(F.collect_list("spans"))).alias("spans"))
+
+
 def find_contamination(docs: DataFrame, phrases: DataFrame, *, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text): hit words, items and merged spans of word numbers."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_mapper(_blocks(phrases, window, block_bytes), _report), FOUND)
+    blocks = _blocks(phrases, window, block_bytes)
+    count, first = next(blocks)
+    if count == 1:
+        return rows.mapInArrow(_mapper(first, _report), FOUND)
+    hits = written(_hits_of_blocks(rows, first, blocks), "benchmark-hits")
+    n_words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    all_rows = rows.select("doc_id", _row_key().alias("row_key"), n_words.alias("n_words")).join(hits, "row_key", "left")
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    spans = F.coalesce("spans", F.array().cast("array<struct<first:long,last:long>>"))
+    n_hit = F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x["last"] - x["first"] + 1)
+    return all_rows.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (F.size(spans) > 0).alias("contaminated"), spans.alias("spans"))
 
 
 def remove_contaminated(docs: DataFrame, phrases: DataFrame, *, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` without any hit word, with all their columns."""
-    keep = lambda batch, found: batch.filter(pa.array([x["n_hit"] == 0 for x in found], pa.bool_()))
-    return docs.mapInArrow(_mapper(_blocks(phrases, window, block_bytes), keep), docs.schema)
+    blocks = _blocks(phrases, window, block_bytes)
+    count, first = next(blocks)
+    if count == 1:
+        keep = lambda batch, found: batch.filter(pa.array([x["n_hit"] == 0 for x in found], pa.bool_()))
+        return docs.mapInArrow(_mapper(first, keep), docs.schema)
+    hits = written(_hits_of_blocks(docs, first, blocks).select(F.col("row_key").alias("hit_key")), "benchmark-hits")
+    rows = docs.select(F.struct("*").alias("row"), _row_key().alias("own_key"))
+    return rows.join(hits, F.col("own_key") == F.col("hit_key"), "left_anti").select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
