@@ -6,6 +6,10 @@ The index is a minimal perfect hash of the shard's keys (levels of bits with a r
 into slots of fingerprint, first id and number of ids, so that a key is found in constant
 time, and a key that was never stored is told by its fingerprint, but for one in 2**32.
 
+The folder holds a manifest beside the shards: for each shard its documents, ids, and
+least and greatest doc_id.  :class:`Folder` finds the shards of a key by it, reads the
+index, and of the payload only the ids asked for.
+
 A key is (doc_id, how many rows of this id are before it in the shard), so repeated ids
 have keys of their own.  Files are written beside their final name and then renamed;
 a task that runs again writes the same bytes.
@@ -22,6 +26,7 @@ Other columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -40,6 +45,7 @@ END_ID = 0
 #: Input bytes of a shard, text bytes encoded at once, and chunks that a worker remembers (twice this at most).
 SHARD_BYTES, ENCODE_BYTES, REMEMBERED = 8 << 20, 2 << 20, 150_000
 MAGIC = b"GMIDS001"
+MANIFEST = "manifest.json"
 _SLOT = np.dtype([("fingerprint", "<u4"), ("count", "<u4"), ("first", "<u8")])
 
 _OTHER, _SPACE, _BLANK, _LETTER, _MARK, _DIGIT, _APOSTROPHE = range(7)
@@ -215,6 +221,8 @@ def _filesystem(uri: str):
 
     if re.match(r"file:/[^/]", uri):
         uri = "file://" + uri[5:]
+    # Hadoop's name of a scheme that Arrow has under another.
+    uri = re.sub(r"^s3[an]://", "s3://", uri)
     return fs.FileSystem.from_uri(uri) if ":/" in uri else (fs.LocalFileSystem(), uri)
 
 
@@ -233,8 +241,15 @@ class Shard:
         self.doc_ids, at = np.frombuffer(index, "<i8", n, at), at + 8 * n
         self.null, at = np.frombuffer(index, np.uint8, n, at).astype(bool), at + n
         self.nth = np.frombuffer(index, "<u4", n, at)
-        with files.open_input_stream(f"{path}/{number:06d}.ids") as f:
-            self.ids = np.frombuffer(f.read(), f"<u{self.width}")
+        self._files, self._payload, self._all = files, f"{path}/{number:06d}.ids", None
+
+    @property
+    def ids(self) -> np.ndarray:
+        """All ids of the shard."""
+        if self._all is None:
+            with self._files.open_input_stream(self._payload) as f:
+                self._all = np.frombuffer(f.read(), f"<u{self.width}")
+        return self._all
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Slot of each key hash, -1 for keys that are not in this shard."""
@@ -249,7 +264,29 @@ class Shard:
         if slot < 0:
             return None
         first, count = int(self.slots["first"][slot]), int(self.slots["count"][slot])
-        return self.ids[first : first + count]
+        with self._files.open_input_file(self._payload) as f:
+            return np.frombuffer(f.read_at(count * self.width, first * self.width), f"<u{self.width}")
+
+
+class Folder:
+    """All shards of a folder, by its manifest."""
+
+    def __init__(self, folder: str):
+        files, path = _filesystem(folder)
+        with files.open_input_stream(f"{path}/{MANIFEST}") as f:
+            self.shards = json.loads(bytes(f.read()))
+        self.folder = folder
+
+    def get(self, doc_id: int, nth: int = 0) -> np.ndarray | None:
+        """Ids of the ``nth`` document with this id, in the order of the shards; None where there is none."""
+        for s in self.shards:
+            if s["least"] is not None and s["least"] <= doc_id <= s["greatest"]:
+                shard = Shard(self.folder, s["shard"])
+                here = int(((shard.doc_ids == doc_id) & ~shard.null).sum())
+                if nth < here:
+                    return shard.get(doc_id, nth)
+                nth -= here
+        return None
 
 
 def _occurrences(ids: np.ndarray, null: np.ndarray) -> np.ndarray:
@@ -293,18 +330,24 @@ def _writer(path: str, folder: str, end_id: int):
             out.write(MAGIC + struct.pack("<IQ", tokenizer.width, len(ids)) + table.dump() + slots.tobytes() + ids.astype("<i8").tobytes() + nulls.astype(np.uint8).tobytes() + nth.astype("<u4").tobytes())
         for kind in ("ids", "idx"):
             files.move(f"{own}.{kind}", f"{name}.{kind}")
-        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([int(counts.sum())], pa.int64())], names=["shard", "n_docs", "n_ids"])
+        known = ids[~nulls]
+        ends = [int(known.min()), int(known.max())] if len(known) else [None, None]
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((number, len(ids), int(counts.sum()), *ends), (pa.int32(), *[pa.int64()] * 4), strict=True)], names=["shard", "n_docs", "n_ids", "least", "greatest"])
 
     return write
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, *, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> list[tuple[int, int, int]]:
-    """Writes ``docs`` (doc_id, text) in ascending order to ``folder``; shard, documents and ids of each shard."""
+    """Writes ``docs`` (doc_id, text) in ascending order and a manifest to ``folder``; shard, documents and ids of each shard."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     files, root = _filesystem(folder)
     files.create_dir(root, recursive=True)
     dealt = rows.repartitionByRange(pieces(rows, shard_bytes), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    found = dealt.mapInArrow(_writer(tokenizer_path, folder, end_id), "shard int, n_docs long, n_ids long").collect()
+    found = dealt.mapInArrow(_writer(tokenizer_path, folder, end_id), "shard int, n_docs long, n_ids long, least long, greatest long").orderBy("shard").collect()
+    # A row for each shard, whatever its size: as many as the input has shards.
+    with files.open_output_stream(f"{root}/.{MANIFEST}") as out:
+        out.write(json.dumps([r.asDict() for r in found]).encode())
+    files.move(f"{root}/.{MANIFEST}", f"{root}/{MANIFEST}")
     return sorted((r.shard, r.n_docs, r.n_ids) for r in found)
 
 
