@@ -6,9 +6,15 @@ each weighted by how well its classifier did in training, and takes the codeword
 least loss.  A text whose two best codewords are close is flagged as ambiguous.
 
 The classifiers are fitted on a bounded sample: about ``per_language`` labelled texts of
-each language (chosen by a hash of doc_id, at most ``most_bytes`` long each).  Prediction
+each language (chosen by a hash of doc_id, at most ``most_bytes`` long each; of a language
+with fewer than ``FEW`` such texts about ``FEW`` longer ones too, whole).  Prediction
 reads every byte of every text and nothing but the text.
 
+Rejection, for filters: a fifth of the sample is not fitted but calibrates a bound on the
+least loss, so that a text of a learned language is above it with a chance of at most
+``REJECTED`` (a conformal bound; with fewer than 499 texts to calibrate there is none).
+A text above it, in no learned language or no language at all, is rejected.
+
 Codes: for up to five languages the exhaustive code (2**(L-1) - 1 bits, two codewords
 differ in 2**(L-2)); beyond, random codewords of 10 * log2(L) bits from a fixed seed, the
 best of several draws by least distance.
@@ -19,7 +25,7 @@ is no letter read as a blank; n-grams of blanks alone don't count.
 Defined results.  Null texts and texts without a letter: ``und``, score 0, not ambiguous.
 Texts with letters but without known n-grams: the likeliest language by chance of the
 decoding, flagged as ambiguous.  No labelled rows: every text is ``und``.  One language:
-that language with score 1.  Repeated rows: each has its result.  Null labels are not
+that language with score 1, nothing with letters is rejected.  Repeated rows: each has its result.  Null labels are not
 learned from.
 """
 
@@ -41,6 +47,8 @@ AMBIGUOUS = 0.1
 #: Text bytes whose n-grams are in memory at once.
 PART_BYTES = 1 << 18
 SMOOTHING = 0.5
+#: Texts of a language that are enough to learn it, and the share of texts in learned languages that may be rejected.
+FEW, REJECTED = 20, 0.002
 
 _FOLD = np.full(256, 0x20, dtype=np.uint8)
 _FOLD[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -96,7 +104,7 @@ class Model:
     """Languages, codewords, the classifiers' weights with their slopes, and each bit's weight in decoding."""
 
     def __init__(self, languages: list[str], texts: pa.Array, labels: np.ndarray):
-        self.languages, self.code = languages, codewords(len(languages))
+        self.languages, self.code, self.most_loss = languages, codewords(len(languages)), np.inf
         counts = np.zeros((len(languages), FEATURES))
         for feature, own in self._features(texts, labels):
             np.add.at(counts, (own, feature), 1.0)
@@ -136,6 +144,25 @@ class Model:
                     out[a + row[heads]] += np.add.reduceat(self.table[feature], heads, axis=0)
         return out[:, :-1] / np.maximum(out[:, -1:], 1.0)
 
+    def losses(self, texts: pa.Array) -> np.ndarray:
+        """Weighted loss of each codeword for each text."""
+        z = self.margins(texts) * self.slope
+        return np.stack([(np.logaddexp(0, -z * c) * self.weight).sum(axis=1) for c in self.code], axis=1)
+
+    def calibrate(self, texts: pa.Array) -> None:
+        """Sets the least loss from which on texts are rejected, by texts that were not fitted."""
+        if len(self.languages) > 1:
+            least = np.sort(self.losses(texts.filter(pa.array(has_letter(texts)))).min(axis=1))
+            place = int(np.ceil((len(least) + 1) * (1 - REJECTED)))
+            self.most_loss = float(least[place - 1]) if place <= len(least) else np.inf
+
+    def accepts(self, texts: pa.Array) -> np.ndarray:
+        """Whether each text has a letter and, by its least loss, may be in a learned language."""
+        lettered = has_letter(texts)
+        if len(self.languages) < 2:
+            return lettered & bool(self.languages)
+        return lettered & (self.losses(texts).min(axis=1) <= self.most_loss)
+
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         n = len(texts)
         lettered = has_letter(texts)
@@ -143,8 +170,7 @@ class Model:
             return ["und"] * n, np.zeros(n), np.zeros(n, bool)
         if len(self.languages) == 1:
             return [self.languages[0] if x else "und" for x in lettered], lettered.astype(float), np.zeros(n, bool)
-        z = self.margins(texts) * self.slope
-        loss = np.stack([(np.logaddexp(0, -z * c) * self.weight).sum(axis=1) for c in self.code], axis=1)
+        loss = self.losses(texts)
         order = np.sort(loss, axis=1)
         likely = np.exp(order[:, :1] - loss)
         best = loss.argmin(axis=1)
@@ -170,17 +196,23 @@ def default_held_out() -> Column:
 def fit(docs: DataFrame, *, held_out: Column | None = None, per_language: int = PER_LANGUAGE, most_bytes: int = MOST_BYTES) -> Model:
     """A model from ``docs`` (doc_id, text, lang) but for the rows held out."""
     held = default_held_out() if held_out is None else held_out
-    rows = docs.where(~F.coalesce(held, F.lit(False)) & F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.octet_length(F.col("text").cast("string")) <= most_bytes)).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    rows = docs.where(~F.coalesce(held, F.lit(False)) & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    long = F.octet_length("text") > most_bytes
+    sizes = rows.groupBy("lang").agg(F.count_if(~long).alias("short"), F.count_if(long).alias("long"))
     # Each language's rows are kept with the chance per_language / n, by hash: at most a few standard deviations more than asked for.
-    shares = sorted((r.lang, min(1.0, per_language / r.n)) for r in sizes.collect())
+    shares = sorted((r.lang, min(1.0, per_language / max(1, r.short)), min(1.0, FEW / max(1, r.long)) if r.short < FEW else 0.0) for r in sizes.collect())
     if not shares:
         return Model([], pa.array([], pa.string()), np.zeros(0, np.int64))
-    share = F.create_map(*[x for lang, s in shares for x in (F.lit(lang), F.lit(s))])[F.col("lang")]
-    chosen = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < share * (1 << 30)).orderBy("lang", "doc_id", "text").select("lang", "text").toArrow()
-    languages = [x for x, _ in shares]
+    share = F.create_map(*[x for lang, a, b in shares for x in (F.lit(lang), F.array(F.lit(a), F.lit(b)))])[F.col("lang")]
+    chosen = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < F.get(share, long.cast("int")) * (1 << 30)).orderBy("lang", "doc_id", "text").select("lang", "text").toArrow()
+    languages = [x for x, *_ in shares]
     place = {x: i for i, x in enumerate(languages)}
-    return Model(languages, chosen.column("text").combine_chunks(), np.array([place[x] for x in chosen.column("lang").to_pylist()], dtype=np.int64))
+    texts, own = chosen.column("text").combine_chunks(), np.array([place[x] for x in chosen.column("lang").to_pylist()], dtype=np.int64)
+    # Every fifth text of a language that has enough of them calibrates; the others are fitted.
+    aside = (np.arange(len(own)) % 5 == 4) & (np.bincount(own, minlength=len(languages))[own] >= FEW)
+    model = Model(languages, texts.filter(pa.array(~aside)), own[~aside])
+    model.calibrate(texts.filter(pa.array(aside)))
+    return model
 
 
 def identify(docs: DataFrame, model: Model, *, held_out: Column | None = None) -> DataFrame:
@@ -197,12 +229,11 @@ def identify(docs: DataFrame, model: Model, *, held_out: Column | None = None) -
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` whose text is in some language, with all their columns: ``und`` goes."""
+    """The rows of ``docs`` whose text has a letter and is not rejected by the model, with all their columns."""
     kept = docs.sparkSession.sparkContext.broadcast(model)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        names, _, _ = kept.value.predict(batch.column(batch.schema.get_field_index("text")))
-        return batch.filter(pa.array([x != "und" for x in names], pa.bool_()))
+        return batch.filter(pa.array(kept.value.accepts(batch.column(batch.schema.get_field_index("text"))), pa.bool_()))
 
     return docs.mapInArrow(W.lean(step), docs.schema)
 
