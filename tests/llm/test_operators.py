@@ -179,6 +179,25 @@ def test_language_id_learns_and_predicts(spark):
     assert language_id.keep_identified(docs, language_id.fit(docs)).count() == len(made) + 3
 
 
+def test_texts_in_no_learned_language_are_rejected(spark):
+    rng = random.Random(2)
+    words = {x: TEXTS[x].split() for x in TEXTS}
+    made = [(i, " ".join(rng.choices(words[x], k=12)), x) for i, x in enumerate(list(TEXTS) * 1700)]
+    odd = [(90001, "zqx vkj wqz kzx jqv xzk qvw zjx", None), (90002, None, None), (90003, "4 5 6", "en"), (90004, "the old man and the garden", None)]
+    docs = spark.createDataFrame(made + odd, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in language_id.keep_identified(clash(docs), language_id.fit(docs)).collect()}
+    assert not kept & {90001, 90002, 90003} and 90004 in kept
+    assert len(kept & set(range(len(made)))) >= 0.99 * len(made)
+
+
+def test_a_language_of_long_texts_is_learned(spark):
+    made = [(i, " ".join([TEXTS[x]] * (3 if x == "de" else 1)), x) for i, x in enumerate(list(TEXTS) * 20)]
+    docs = spark.createDataFrame([*made, *made[:6]], "doc_id long, text string, lang string")
+    got = language_id.identify(docs, language_id.fit(docs, most_bytes=100)).collect()
+    assert len(got) == len(made) + 6
+    assert {r.lang_pred for r in got if r.doc_id % 3 == 2} == {"de"}
+
+
 def test_language_id_without_labels_or_with_one(spark, empty):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert language_id.identify(docs, language_id.fit(docs)).first().lang_pred == "und"
@@ -373,7 +392,7 @@ def brute_hits(rows, items, window):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block", [10, 1 << 20])
+@pytest.mark.parametrize("block", [300, 1 << 20])
 def test_hits_equal_brute_force(spark, docs, rows, block):
     texts = [r[1] for r in rows if r[1] and len(r[1]) > 200]
     items = [(0, texts[0][:150]), (1, " ".join(texts[1].split()[5:9])), (2, texts[2].upper()), (3, None), (4, "..."), (5, texts[0][:150]), (10, "one"), (6, "not there at all in any text of these"), (7, " ".join(texts[-1].split()[:60]))]
@@ -386,7 +405,7 @@ def test_hits_equal_brute_force(spark, docs, rows, block):
     assert kept.columns == clash(docs).columns and kept.count() == sum(not x[-1] for x in brute_hits(rows, items, 6))
 
 
-@pytest.mark.parametrize("block", [10, 1 << 20])
+@pytest.mark.parametrize("block", [40, 1 << 20])
 def test_texts_without_an_item_id_hit(spark, block):
     phrases = spark.createDataFrame([(None, "a passage that nobody gave an id"), (None, "another such passage of seven words"), (7, "one with its own id")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "see a passage that nobody gave an id here"), (2, "one with its own id, another such passage of seven words"), (3, "clean")], "doc_id long, text string")
@@ -439,7 +458,6 @@ def test_shards_give_back_every_text(spark, docs, rows, empty):
     manifest = token_shards.write_shards(clash(docs), path, folder, shard_bytes=2000)
     got = token_shards.read_shards(spark, folder, manifest).orderBy("start").collect()
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     ids = {i: [*t.encode(r[1] or "", add_special_tokens=False).ids, 0] for i, r in enumerate(rows)}
     assert sum(r.n_tokens for r in got) == sum(map(len, ids.values())) and len(got) == len(rows)
     assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda d: (d is not None, d or 0))
@@ -448,6 +466,9 @@ def test_shards_give_back_every_text(spark, docs, rows, empty):
     for r in got:
         assert r.start == at
         at += r.n_tokens
+    whole = token_shards.Folder(folder)
+    assert whole.get(10).tolist() == ids[10] and whole.get(123456789) is None and whole.get(4, 3) is None
+    assert sorted(whole.get(4, n).tolist() for n in (0, 1, 2)) == sorted(ids[i] for i, r in enumerate(rows) if r[0] == 4)
     shard = next(s for s in (token_shards.Shard(folder, n) for n, d, _ in manifest if d) if 10 in s.doc_ids.tolist())
     assert shard.get(10).tolist() == ids[10] and shard.get(123456789) is None
     assert token_shards.read_shards(spark, new_folder(spark, "none"), token_shards.write_shards(empty, path, new_folder(spark, "none"))).count() == 0
@@ -526,6 +547,14 @@ def test_taken_words_come_near_targets(spark):
         assert abs(r.t - r.target) < 0.1 * r.target
 
 
+def test_taken_words_come_near_targets_of_small_sources(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(["w"] * int(20 * rng.paretovariate(2))), f"s{i % 12}") for i in range(600)]
+    got = mixing.mixture(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    off = [abs(r.t - r.target) / r.target for r in got.groupBy("source_size", "target").agg(F.sum("taken").alias("t")).collect()]
+    assert max(off) < 0.15 and sum(off) / len(off) < 0.05
+
+
 # Sharding
 
 
@@ -545,7 +574,40 @@ def test_shards_are_even_and_match_the_mixture(docs, rows, empty):
 
 def test_sharding_is_the_same_again(docs):
     once = {(r.doc_id, r.text_crc32, r.shard, r.slot) for r in sharding.assignments(docs).collect()}
-    assert once == {(r.doc_id, r.text_crc32, r.shard, r.slot) for r in sharding.assignments(docs.repartition(9)).collect()} or len(once) == 0
+    assert once and once == {(r.doc_id, r.text_crc32, r.shard, r.slot) for r in sharding.assignments(docs.repartition(9)).collect()}
+
+
+def test_sharding_equals_brute_force(docs, rows):
+    def point(*parts):
+        return hashlib.md5("|".join(parts).encode()).digest()
+
+    marks = [(zlib.crc32((t or "").encode()), d, s) for d, t, _, s, _ in rows]
+    by_source = defaultdict(list)
+    for m, d, s in marks:
+        by_source[s].append((point("shard-1", "" if d is None else str(d), str(m)), d, m))
+    order = []
+    for s, own in by_source.items():
+        u = (int.from_bytes(point("shard-1", "false" if s is not None else "true", s or "")[:6], "big") + 0.5) / 2.0**48
+        order += [((rank - u) / len(own), s is None, s or "", rank, d, m) for rank, (_, d, m) in enumerate(sorted(own, key=lambda x: (x[0], x[1] or 0)), 1)]
+    places = {k: (x[4], x[5]) for k, x in enumerate(sorted(order, key=lambda x: x[:4]))}
+    n, want = len(rows), Counter()
+    for k, (d, m) in places.items():
+        shard = k * 5 // n
+        want[d, m, shard, k - -(-shard * n // 5)] += 1
+    assert Counter((r.doc_id, r.text_crc32, r.shard, r.slot) for r in sharding.assignments(docs, shards=5).collect()) == want
+
+
+def test_many_small_sources_fill_all_shards_alike(spark):
+    rows = spark.createDataFrame([(i, "x", f"s{i}") for i in range(400)], "doc_id long, text string, source string")
+    got = sharding.assignments(rows, shards=4).collect()
+    assert Counter(r.shard for r in got) == dict.fromkeys(range(4), 100)
+
+
+def test_rows_are_carried_whole(docs):
+    taken = docs.limit(20).withColumns({c: F.lit("mine") for c in ("row", "key", "range", "rank", "place", "fraction", "rate", "turn", "chance", "copy", "copies", "plan", "gm_key", "gm_stay", "gm_chance", "gm_source", "own_key", "stay", "hit_key", "into")})
+    for out in (sharding.interleave(taken), mixing.mix(taken), near_dedup.deduplicate(taken)):
+        assert [c for c in out.columns if c not in ("shard", "slot")] == taken.columns
+        assert all(r[c] == "mine" for r in out.collect() for c in taken.columns[5:])
 
 
 def test_registry_has_every_operator():
