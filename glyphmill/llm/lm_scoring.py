@@ -31,6 +31,8 @@ before they travel, so that neither a common word nor a common pair is hot.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,10 +46,12 @@ END = np.uint64(0x0E0D0E0D0E0D0E0D)
 START = np.uint64(0x57A757A757A757A7)
 
 SHARD_BYTES = 3 << 20
+#: Distinct tokens that a task holds before it sends them.
+HELD_WORDS = 4 << 20
 #: Prior strengths of pairs and of triples; of a few tried, those under which held-out texts of a small table are likeliest.
 M2, M3 = 400.0, 8.0
-#: Bits of the key of an n-gram of several words.
-KEY_BITS = 56
+#: An n-gram of several words has a key of this many bits more than the number of tokens has: at any size it shares its key with a chance of about one in a million.
+SPARE_BITS = 20
 KINDS = ("word", "pair", "triple")
 ASKED = "bucket int, shard int, " + ", ".join(f"{k}s binary, {k}_counts binary" for k in KINDS)
 TOLD = "shard int, bucket int, " + ", ".join(f"{k}_counts binary" for k in KINDS)
@@ -67,7 +71,7 @@ def _tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(tokens), np.concatenate(starts)
 
 
-def _grams(table: pa.Table) -> dict:
+def _grams(table: pa.Table, bits: int) -> dict:
     """Distinct n-grams of a shard in ascending order of their keys, and each token's place in them."""
     tokens, starts = _tokens(table)
     out: dict = {"starts": starts}
@@ -77,7 +81,7 @@ def _grams(table: pa.Table) -> dict:
     before[1:] = tokens[:-1]
     before[starts[:-1]] = START
     pair = W.pair(before, tokens)
-    short = np.uint64(64 - KEY_BITS)
+    short = np.uint64(64 - bits)
     out["pairs"], at = np.unique(pair >> short, return_inverse=True)
     out["pair_at"] = at.astype(np.int32)
     del before
@@ -95,19 +99,19 @@ def _cuts(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:
     return np.searchsorted((keys >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
 
 
-def _sides(g: dict, buckets: int) -> tuple[list[int], dict[str, np.ndarray]]:
+def _sides(g: dict, buckets: int, bits: int) -> tuple[list[int], dict[str, np.ndarray]]:
     """The buckets that hold n-grams of a shard, and where each bucket begins in the n-grams of each kind."""
-    cuts = {k: _cuts(g[f"{k}s"], buckets, 64 if k == "word" else KEY_BITS) for k in KINDS}
+    cuts = {k: _cuts(g[f"{k}s"], buckets, 64 if k == "word" else bits) for k in KINDS}
     return np.flatnonzero(sum(np.diff(c) for c in cuts.values())).tolist(), cuts
 
 
-def _ask(buckets: int):
+def _ask(buckets: int, bits: int):
     def ask(table: pa.Table) -> pa.Table:
         W.release()
-        g = _grams(table)
+        g = _grams(table, bits)
         held = table.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
         learned = np.repeat(~held, np.diff(g["starts"])).astype(np.float64)
-        asked, cuts = _sides(g, buckets)
+        asked, cuts = _sides(g, buckets, bits)
         columns = [pa.array(asked, pa.int32()), pa.array([table.column("shard")[0].as_py()] * len(asked), pa.int32())]
         for k in KINDS:
             counts = np.bincount(g.pop(f"{k}_at"), weights=learned, minlength=len(g[f"{k}s"])).astype(np.uint64)
@@ -173,10 +177,10 @@ class Automaton:
         return out
 
 
-def _score(total: int, types: int, m2: float, m3: float):
+def _score(total: int, types: int, bits: int, m2: float, m3: float):
     def score(_key, docs: pa.Table, told: pa.Table) -> pa.Table:
         W.release()
-        g = _grams(docs)
+        g = _grams(docs, bits)
         told = told.sort_by("bucket")
         counts = {k: np.concatenate([np.zeros(0, np.uint64), *(W.unpack(x.as_py()) for x in told.column(f"{k}_counts"))]) for k in KINDS}
         del told
@@ -192,9 +196,27 @@ def _score(total: int, types: int, m2: float, m3: float):
     return score
 
 
-def _vocabulary(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """The distinct tokens of a batch and how often each comes."""
-    w, n = np.unique(_tokens(pa.table([batch.column(0)], names=["text"]))[0], return_counts=True)
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct tokens of a task's texts and how often each comes, in parts of some millions at most."""
+
+    def merged(found: list) -> tuple[np.ndarray, np.ndarray]:
+        w, at = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
+        return w, np.bincount(at, weights=np.concatenate([n for _, n in found])).astype(np.int64)
+
+    found: list = []
+    for batch in batches:
+        found.append(np.unique(_tokens(pa.table([batch.column(0)], names=["text"]))[0], return_counts=True))
+        if sum(len(x) for x, _ in found) > HELD_WORDS:
+            found = [merged(found)]
+            if len(found[0][0]) > HELD_WORDS // 2:
+                yield _counted(*found.pop())
+        del batch
+        W.release()
+    if found:
+        yield _counted(*merged(found))
+
+
+def _counted(w: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n, pa.int64())], names=["word", "n"])
 
 
@@ -208,11 +230,12 @@ def score_documents(docs: DataFrame, *, held_out=None, m2: float = M2, m3: float
     buckets = -(-shards // 2)
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2 if held_out is None else held_out
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held, F.lit(False)).alias("held_out")).withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int")).repartition(shards, "shard")
-    words = docs.where(~F.coalesce(held, F.lit(False))).select(F.col("text").cast("string").alias("text")).mapInArrow(W.lean(_vocabulary), "word long, n long")
+    words = docs.where(~F.coalesce(held, F.lit(False))).select(F.col("text").cast("string").alias("text")).mapInArrow(_vocabulary, "word long, n long")
     total, types = words.groupBy("word").agg(F.sum("n").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    asked = dealt.groupBy("shard").applyInArrow(_ask(buckets), ASKED).repartition(buckets, "bucket")
+    bits = min(64, max(32, int(total).bit_length() + SPARE_BITS))
+    asked = dealt.groupBy("shard").applyInArrow(_ask(buckets, bits), ASKED).repartition(buckets, "bucket")
     told = asked.groupBy("bucket").applyInArrow(_tell, TOLD)
-    return dealt.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_score(total, types, m2, m3), SCORED)
+    return dealt.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_score(total, types, bits, m2, m3), SCORED)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
