@@ -30,8 +30,9 @@ def align(gold: DataFrame, predicted: DataFrame) -> DataFrame:
         extra = [] if name == "anchor" else ["type"]
         g = nth(left).select("document_id", *extra, key.cast("string").alias("k"), F.col("id").alias("gold_id"), F.col("ord").alias("gold_ord")).where("k is not null")
         p = nth(right).select("document_id", *extra, key.cast("string").alias("k"), F.col("id").alias("predicted_id")).where("k is not null")
+        # A gold element's candidates are the free predictions with its key: keys with one candidate alone are joined, so no repeated line is paired with all its repeats.
+        p = p.groupBy("document_id", *extra, "k").agg(F.count(F.lit(1)).alias("n"), F.min("predicted_id").alias("predicted_id"))
         both = g.join(p, ["document_id", *extra, "k"])
-        both = both.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("document_id", "gold_id")))
         found = both.where("n = 1").withColumn("r", F.row_number().over(Window.partitionBy("document_id", "predicted_id").orderBy("gold_ord", "gold_id"))).where("r = 1").select("document_id", "gold_id", "predicted_id", F.lit(name).alias("matched_by"))
         out = found if out is None else out.unionByName(found)
         left = left.join(found.select("document_id", F.col("gold_id").alias("id")), ["document_id", "id"], "left_anti")
@@ -77,13 +78,6 @@ def text_preservation(pairs: DataFrame) -> DataFrame:
     return rows.agg(F.sum(equal.cast("int")).cast("long").alias("exact"), F.count(F.lit(1)).alias("total"), M.ratio(F.sum("kept"), F.sum(F.length(F.coalesce("gold_text", F.lit(""))))).alias("character_ratio"))
 
 
-def co_members(units: DataFrame, unit: str = "unit_id", member: str = "element_id") -> DataFrame:
-    """Unordered pairs of members of one unit; a unit is a stated small group, and pairs are what the metric counts."""
-    a = units.select("document_id", unit, F.col(member).alias("a"))
-    b = units.select("document_id", unit, F.col(member).alias("b"))
-    return a.join(b, ["document_id", unit]).where("a < b").select("document_id", "a", "b").distinct()
-
-
 def co_member_counts(units: DataFrame, unit: str = "unit_id") -> DataFrame:
     """How many pairs each unit has, without making them."""
     return units.groupBy("document_id", unit).agg(F.count(F.lit(1)).alias("n")).withColumn("pairs", (F.col("n") * (F.col("n") - 1) / 2).cast("long"))

@@ -130,12 +130,11 @@ def heading_violations(elements: DataFrame, boundaries: DataFrame) -> DataFrame:
 
 def tree_paths(edges: DataFrame, roots: DataFrame, *, limit: int = 100) -> DataFrame:
     """Paths from the roots of a forest given as id and parent_id, by a recursive query; ids deeper than ``limit`` are not reached."""
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("gm_edges")
-    roots.createOrReplaceTempView("gm_roots")
-    return spark.sql(
-        f"with recursive walk(id, depth, path) as (select id, 0, array(id) from gm_roots union all "
-        f"select e.id, w.depth + 1, concat(w.path, array(e.id)) from walk w join gm_edges e on e.parent_id = w.id where w.depth < {int(limit)}) select id, depth, path from walk"
+    return edges.sparkSession.sql(
+        "with recursive walk(id, depth, path) as (select id, 0, array(id) from {roots} union all "
+        f"select e.id, w.depth + 1, concat(w.path, array(e.id)) from walk w join {{edges}} e on e.parent_id = w.id where w.depth < {int(limit)}) select id, depth, path from walk",
+        edges=edges,
+        roots=roots,
     )
 
 

@@ -11,11 +11,10 @@ def unreachable(edges: DataFrame, *, limit: int = 100) -> DataFrame:
 
     A root has no parent, or one that is not an id itself.
     """
-    spark = edges.sparkSession
-    edges.select("id", "parent_id").createOrReplaceTempView("gm_forest")
-    return spark.sql(
-        f"with recursive reached(id, depth) as (select f.id, 0 from gm_forest f left anti join gm_forest p on p.id = f.parent_id union all "
-        f"select f.id, r.depth + 1 from reached r join gm_forest f on f.parent_id = r.id where r.depth < {int(limit)}) select distinct f.id from gm_forest f left anti join reached r on r.id = f.id"
+    return edges.sparkSession.sql(
+        "with recursive reached(id, depth) as (select f.id, 0 from {forest} f left anti join {forest} p on p.id = f.parent_id union all "
+        f"select f.id, r.depth + 1 from reached r join {{forest}} f on f.parent_id = r.id where r.depth < {int(limit)}) select distinct f.id from {{forest}} f left anti join reached r on r.id = f.id",
+        forest=edges.select("id", "parent_id"),
     )
 
 

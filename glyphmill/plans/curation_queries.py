@@ -152,7 +152,7 @@ def aligned_elements(spark, d):
     return evaluation.align(rows, moved).groupBy("matched_by").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("marker_annotations", f"with {LINES} select document_id, ord, 'NOTE' as type, 6::bigint as start_char, trim(substr(text, 7)) as value from el where k = 11 and ord > 0 and length(trim(substr(text, 7))) > 0 and text[7] <> ' '")
+@query("marker_annotations", f"with {LINES} select document_id, ord, 'NOTE' as type, 6::bigint as start_char, rtrim(left(trim(substr(text, 7)), 1024)) as value from el where k = 11 and ord > 0 and length(trim(substr(text, 7))) > 0 and text[7] <> ' '")
 def marker_annotations(spark, d):
     return semantics.marker_annotations(line_elements(spark, d).where("type != 'TITLE'")).where("type = 'NOTE'").select("document_id", "ord", "type", "start_char", "value")
 

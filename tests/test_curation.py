@@ -46,9 +46,18 @@ def test_co_member_counts_equal_pairs(spark):
     schema = "document_id string, unit_id string, element_id string"
     gold = spark.createDataFrame([("d", "g", e) for e in "abcd"] + [("d", "h", "e")], schema)
     predicted = spark.createDataFrame([("d", "x", e) for e in "abc"] + [("d", "y", e) for e in "de"], schema)
-    a, b = evaluation.co_members(gold), evaluation.co_members(predicted)
+    pairs = lambda *units: {frozenset((x, y)) for u in units for x in u for y in u if x != y}
+    a, b = pairs("abcd", "e"), pairs("abc", "de")
     r = evaluation.co_member_scores(gold, predicted).first()
-    assert (r.tp, r.fp, r.fn) == (a.intersect(b).count(), b.subtract(a).count(), a.subtract(b).count())
+    assert (r.tp, r.fp, r.fn) == (len(a & b), len(b - a), len(a - b))
+
+
+def test_repeated_lines_are_not_all_paired(spark):
+    schema = "document_id string, id string, ord int, type string, text string, anchor string"
+    side = lambda p: spark.createDataFrame([("d", f"{p}{i}", i, "PARAGRAPH", "same" if i < 3 else f"own {i}", None) for i in range(5)], schema)
+    got = {(r.gold_id, r.predicted_id): r.matched_by for r in evaluation.align(side("g"), side("p")).collect()}
+    assert {k for k, v in got.items() if v == "exact_text"} == {("g3", "p3"), ("g4", "p4")}
+    assert {k for k, v in got.items() if v == "occurrence"} == {("g0", "p0"), ("g1", "p1"), ("g2", "p2")}
 
 
 def test_greedy_spans(spark):
@@ -124,9 +133,9 @@ def test_hashes_do_not_depend_on_order(spark):
 
 
 def test_marker_rules(spark):
-    rows = [("d", 0, "e0", "PARAGRAPH", "Note: watch out"), ("d", 1, "e1", "PARAGRAPH", "  DEFINITION - a thing "), ("d", 2, "e2", "PARAGRAPH", "nothing: here"), ("d", 3, "e3", "PARAGRAPH", "Note:")]
+    rows = [("d", 0, "e0", "PARAGRAPH", "Note: watch out"), ("d", 1, "e1", "PARAGRAPH", "  DEFINITION: - a thing "), ("d", 2, "e2", "PARAGRAPH", "nothing: here"), ("d", 3, "e3", "PARAGRAPH", "Note:")]
     got = {r.element_id: (r.type, r.value, r.start_char) for r in semantics.marker_annotations(spark.createDataFrame(rows, "document_id string, ord int, element_id string, type string, text string")).collect()}
-    assert got == {"e0": ("NOTE", "watch out", 6), "e1": ("DEFINITION", "a thing", 15)}
+    assert got == {"e0": ("NOTE", "watch out", 6), "e1": ("DEFINITION", "a thing", 16), "e3": ("NOTE", "Note:", 0)}
     tags = spark.createDataFrame([("VI-vn",), ("de",), (None,)], "t string").select(semantics.route(F.col("t"))).collect()
     assert [r[0] for r in tags] == ["vi", "en", "en"]
 
