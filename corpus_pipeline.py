@@ -1,4 +1,12 @@
-"""The corpus pipeline: documents that are in a language, without near copies and benchmark passages, mixed and sharded."""
+"""The corpus pipeline: documents that are in a learned language, without near copies and benchmark passages, mixed and sharded.
+
+Defined results.  Null texts and texts without a letter go in the first stage.  Rows that
+come more than once as they are: one stays after near-dedup.  A null doc_id is the last of
+its group; a null source is a source.  Ties are broken by doc_id, then by a hash of the
+row.  Very long texts are treated whole.  An empty table gives no rows.  Columns beside
+those of documents pass through all stages whatever their names, but shard and slot,
+which the last stage sets.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +20,7 @@ ORACLE_SQL = None
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in some language; those without a letter go."""
+    """Documents in a learned language: those without a letter go, and those whose least loss is above the bound that held-back labelled texts set."""
     return language_id.keep_identified(docs, language_id.fit(docs))
 
 
