@@ -81,7 +81,7 @@ def codewords(languages: int) -> np.ndarray:
 def _grams(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """For 3- and 4-grams: the feature of each n-gram that lies within a text and isn't blank, and its text."""
     folded = _FOLD[data].astype(np.uint32)
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
     out = []
     for n in (3, 4):
         m = len(data) - n + 1
@@ -182,8 +182,10 @@ class Model:
 def has_letter(texts: pa.Array) -> np.ndarray:
     """Whether each text has a letter of any script."""
     data, offsets = W.utf8(texts)
-    seen = np.concatenate(([0], np.cumsum(_ASCII_LETTER[data], dtype=np.int64)))
-    out = seen[offsets[1:]] > seen[offsets[:-1]]
+    out = np.zeros(len(texts), dtype=bool)
+    for a, b in W.blocks(offsets, PART_BYTES):
+        seen = np.concatenate(([0], np.cumsum(_ASCII_LETTER[data[offsets[a] : offsets[b]]], dtype=np.int32)))
+        out[a:b] = seen[offsets[a + 1 : b + 1] - offsets[a]] > seen[offsets[a:b] - offsets[a]]
     for i in np.flatnonzero(~out & (np.diff(offsets) > 0)):
         out[i] = any(c.isalpha() for c in data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace"))
     return out
