@@ -33,6 +33,7 @@ no rows.  Only doc_id and text are read.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,6 +54,8 @@ SHARED = 3
 LIST_SIZE, RANGE_BYTES = 64, 16 << 20
 #: Bits of a key, of the cell of the table that says how frequent it is, and of a line's length in its class id.
 KEY_BITS, CELL_BITS, LENGTH_BITS = 40, 22, 10
+#: Ranges of cells whose occurrences are added together.
+CELL_PARTS = 16
 #: Lines that are keyed at once: their numbers, frequencies and keys share 64 bits.
 LINES_AT_ONCE = 1 << 17
 _CLEAN = np.full(256, 0x20, dtype=np.uint8)
@@ -240,25 +243,41 @@ def _keyed(min_words: int, similarity: float, least: int, frequency, ranges: int
 
 
 def _cells(min_words: int):
-    """How often the cells of word pairs come in a batch."""
+    """How often the cells of word pairs come in a task, packed, a row for each range of cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
         for batch in batches:
             for _, _, h, heads, sizes, _, _ in _split(batch, 0, False, min_words):
+                total = np.zeros(1 << CELL_BITS, np.int64) if total is None else total
                 cell, n = np.unique(grams(h, heads, sizes)[0] >> np.uint64(64 - CELL_BITS), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(n, pa.int64())], names=["cell", "n"])
+                total[cell] += n
+        for part in range(CELL_PARTS if total is not None else 0):
+            mine = total.reshape(CELL_PARTS, -1)[part]
+            cell = np.flatnonzero(mine)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([W.pack_sorted(cell)], pa.binary()), pa.array([W.pack(mine[cell])], pa.binary())], names=["part", "cells", "counts"])
 
     return run
 
 
+def _ranks(table: pa.Table) -> pa.Table:
+    """The ranks of a range of cells: logarithms of their occurrences, 0 to 63."""
+    total = np.zeros((1 << CELL_BITS) // CELL_PARTS, np.int64)
+    for cells, counts in zip(table.column("cells"), table.column("counts"), strict=True):
+        total[W.unpack_sorted(cells.as_py()).astype(np.int64)] += W.unpack(counts.as_py()).astype(np.int64)
+    ranks = np.minimum(63, 4 * np.log2(np.maximum(total, 1))).astype(np.uint8)
+    return pa.table([table.column("part")[:1], pa.array([ranks.tobytes()], pa.binary())], names=["part", "ranks"])
+
+
 def _frequency(texts: DataFrame, min_words: int):
     """A broadcast table of fixed size: how frequent the word pairs of a cell are in a sample of ``texts``, on a scale of logarithms."""
     share = min(1.0, SAMPLED / max(1, texts.count()))
     some = texts.where(F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1 << 30)) < share * (1 << 30))
-    rows = some.mapInArrow(_cells(min_words), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
-    table = np.zeros(1 << CELL_BITS, np.uint8)
-    table[np.asarray(rows.column("cell"))] = np.minimum(63, 4 * np.log2(np.asarray(rows.column("n"), dtype=np.float64)))
-    return texts.sparkSession.sparkContext.broadcast(table)
+    rows = some.mapInArrow(_cells(min_words), "part int, cells binary, counts binary").groupBy("part").applyInArrow(_ranks, "part int, ranks binary").collect()
+    table = np.zeros((CELL_PARTS, (1 << CELL_BITS) // CELL_PARTS), np.uint8)
+    for row in rows:
+        table[row.part] = np.frombuffer(row.ranks, np.uint8)
+    return texts.sparkSession.sparkContext.broadcast(table.reshape(-1))
 
 
 def _lists(list_size: int, similarity: float, least: int):
@@ -332,16 +351,41 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(words, pa.string())], names=["k1", "k2", "words"])
 
 
-def _as_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each pair of lines as two strings of one character for each word, equal for equal words."""
-    for batch in batches:
-        left, right = [], []
-        for x, y in zip(batch.column("a_words").to_pylist(), batch.column("b_words").to_pylist(), strict=True):
-            code: dict[str, str] = {}
-            for words, out in ((x, left), (y, right)):
-                # From U+0100 on, past the surrogates.
-                out.append("".join(code.setdefault(w, chr((n := len(code) + 0x100) + 0x800 * (n >= 0xD800))) for w in words.split(" ")))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(left, pa.string()), pa.array(right, pa.string())], names=["a", "b", "a_codes", "b_codes"])
+def _apart(x: str, y: str, similarity: float) -> tuple[str, str, int] | None:
+    """What two lines differ in, as strings of one character for each word, and the edits they may need; None where they need more.
+
+    Words that both begin or end with take no edit.  What is left takes at least as many
+    as the longer part has words that the other lacks.
+    """
+    u, v = x.split(" "), y.split(" ")
+    n, m = len(u), len(v)
+    most = int(allowed(max(n, m), similarity))
+    head = 0
+    while head < min(n, m) and u[head] == v[head]:
+        head += 1
+    tail = 0
+    while tail < min(n, m) - head and u[n - 1 - tail] == v[m - 1 - tail]:
+        tail += 1
+    u, v = u[head : n - tail], v[head : m - tail]
+    if max(len(u), len(v)) - (Counter(u) & Counter(v)).total() > most:
+        return None
+    code: dict[str, str] = {}
+    # From U+0100 on, past the surrogates.
+    left, right = ("".join(code.setdefault(w, chr((k := len(code) + 0x100) + 0x800 * (k >= 0xD800))) for w in words) for words in (u, v))
+    return left, right, most
+
+
+def _as_codes(similarity: float):
+    """The pairs of lines that may be within the similarity, with what :func:`_apart` says of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_apart(x, y, similarity) for x, y in zip(batch.column("a_words").to_pylist(), batch.column("b_words").to_pylist(), strict=True)]
+            at = pa.array([i for i, x in enumerate(found) if x], pa.int32())
+            left, right, most = zip(*(x for x in found if x), strict=True) if len(at) else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(left, pa.string()), pa.array(right, pa.string()), pa.array(most, pa.int32())], names=["a", "b", "a_codes", "b_codes", "most"])
+
+    return run
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,11 +408,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     """The links (u, v) among pairs of ids (a, b)."""
     side = lambda p: texts.select(F.col("k1").alias(f"{p}_id"), F.col("node").alias(p), F.col("words").alias(f"{p}_words"))
     both = pairs.select(F.col("a").alias("a_id"), F.col("b").alias("b_id")).join(side("a"), "a_id").join(side("b"), "b_id").where("a != b")
-    codes = both.select("a", "b", "a_words", "b_words").mapInArrow(_as_codes, "a string, b string, a_codes string, b_codes string")
-    longer = F.greatest(F.length("a_codes"), F.length("b_codes"))
-    fits = F.least(F.length("a_codes"), F.length("b_codes")) >= similarity * longer - 1e-9
-    alike = F.levenshtein("a_codes", "b_codes") <= F.floor((1 - similarity) * longer + 1e-9)
-    return written(codes.where(F.when(fits, alike).otherwise(F.lit(False))).select(F.col("a").alias("u"), F.col("b").alias("v")), "line-links")
+    codes = both.select("a", "b", "a_words", "b_words").mapInArrow(_as_codes(similarity), "a string, b string, a_codes string, b_codes string, most int")
+    # Beyond the allowed edits the distance is -1, and nothing far from the diagonal is looked at.
+    alike = codes.where(F.expr("levenshtein(a_codes, b_codes, most) >= 0"))
+    return written(alike.select(F.col("a").alias("u"), F.col("b").alias("v")), "line-links")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
