@@ -298,6 +298,27 @@ def test_near_lines_are_found(spark):
     assert line_dedup.dedup_lines(docs).where("n_removed = 0").count() <= 2
 
 
+def test_what_lines_differ_in_takes_as_many_edits():
+    def edits(u, v):
+        row = list(range(len(v) + 1))
+        for i, x in enumerate(u, 1):
+            now = [i]
+            for j, y in enumerate(v, 1):
+                now.append(min(now[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+            row = now
+        return row[-1]
+
+    pick = random.Random(1)
+    for _ in range(3000):
+        u = [pick.choice("abcdef") for _ in range(pick.randint(1, 14))]
+        v = [pick.choice("abcdefg") if pick.random() < 0.1 else x for x in u for _ in range(pick.choice((0, 1, 1, 1, 1, 1, 1, 2)))] or ["a"]
+        got = line_dedup._apart(" ".join(u), " ".join(v), 0.8)
+        most = int(0.2 * max(len(u), len(v)) + 1e-9)
+        assert (got is None) <= (edits(u, v) > most)
+        if got is not None:
+            assert got[2] == most and edits(got[0], got[1]) == edits(u, v)
+
+
 def test_lone_pairs_of_near_lines_are_all_found(spark):
     rng = random.Random(3)
     rows = []
