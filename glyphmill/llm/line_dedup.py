@@ -8,17 +8,20 @@
    word pairs (line start and end count as words) in one order for all lines, rare pairs
    first.  An edit changes two pairs at most, so with as many keys as all allowed edits can
    change and a few more, any two classes within the similarity share those few (three, or
-   what the shortest lines allow) and are within the similarity in length.  None of these
-   tests loses a pair.  Nearly all keys belong to one class alone, so they travel packed:
-   40 bits of a key and the id of its class, in one row for each batch and range of keys.
-3. Lists of classes that share a key give pairs where they are short.  In a longer list
-   each class is paired with the list's most frequent class, its pivot; that is the line of
-   which the others are variants, where there is such a line.
+   what the shortest lines allow), are within the similarity in length, and have those keys
+   at places that so many edits can bring together.  None of these tests loses a pair.
+   Texts are read once for lines and keys; both travel packed, in one row for each batch
+   and range: 40 bits of a key, the id of its class and its place.
+3. Lists of classes that share a key give all their pairs that pass these tests, unless the
+   list is long and dense: more than ``list_size`` classes that pass with as many others
+   each.  In such a list each class is paired with the list's most frequent class, its
+   pivot; that is the line of which the others are variants, where there is such a line.
+   Pairs travel packed and are added up by ranges.
 4. Pairs are verified by edit similarity over words: 1 - edits / words of the longer line.
-   Components of the links are groups.  In a longer list whose classes are not yet in one
-   group, those outside of its largest group are paired with all others; pairs with enough
-   keys in common are verified and their groups joined.  So every pair that is left out is
-   within a group already.
+   Components of the links are groups.  In a dense list whose classes are not yet in one
+   group, those outside of its largest group are held against all others; pairs that pass
+   and have enough keys in common are verified and their groups joined.  So every pair that
+   is left out is within a group already.
 5. Of each group the first occurrence (least doc_id, then line) stays.
 
 How rare a word pair is comes from a bounded sample: that decides how long lists get, not
@@ -33,11 +36,11 @@ no rows.  Only doc_id and text are read.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,7 +53,7 @@ MIN_WORDS, SIMILARITY = 5, 0.8
 SAMPLED = 20_000
 #: Keys that two lines have to share, where lines of the least length have as many in common.
 SHARED = 3
-#: Classes that share a key and are all paired; input bytes whose keys go to one range.
+#: Classes that share a key and are all paired, or may be paired with each on average; input bytes whose keys go to one range.
 LIST_SIZE, RANGE_BYTES = 64, 16 << 20
 #: Bits of a key, of the cell of the table that says how frequent it is, and of a line's length in its class id.
 KEY_BITS, CELL_BITS, LENGTH_BITS = 40, 22, 10
@@ -58,6 +61,10 @@ KEY_BITS, CELL_BITS, LENGTH_BITS = 40, 22, 10
 CELL_PARTS = 16
 #: Lines that are keyed at once: their numbers, frequencies and keys share 64 bits.
 LINES_AT_ONCE = 1 << 17
+#: The place of a key that may be anywhere in its line; pairs of a list that are looked at at once.
+ANYWHERE, AT_ONCE = 255, 1 << 20
+#: Text bytes that a task splits at once, and keys that it holds before it packs them.
+SPLIT_BYTES, KEYS_AT_ONCE = 1 << 18, 1 << 18
 _CLEAN = np.full(256, 0x20, dtype=np.uint8)
 _CLEAN[0x30:0x3A] = 0x30
 _CLEAN[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -66,8 +73,11 @@ _CLEAN[0x80:] = np.arange(0x80, 0x100)
 _CLEAN[0x0A] = 0x0A
 _INSIDE = _CLEAN > 0x20
 
-LINES = "row_key long, doc_id long, line int, k1 long, k2 long"
-PACKETS = "bucket int, keys binary, ids binary, counts binary"
+PACKETS = "bucket int, a binary, b binary, c binary, d binary, e binary"
+#: What comes of the packets: classes with their first occurrence, their other occurrences, and packed pairs and members of dense lists.
+FOUND = "kind int, k1 long, node long, row_key long, doc_id long, line int, bucket int, a binary, b binary, c binary, d binary"
+FOUND_TYPES = pa.schema([(name, {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[t]) for name, t in (x.split(" ") for x in FOUND.split(", "))])
+CLASS, REPEAT, PAIRS, MEMBERS, CROSSING = range(5)
 
 
 def normalised(line: str) -> list[str]:
@@ -107,29 +117,39 @@ def grams(h: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarr
     return W.pair(left, right), owner
 
 
-def keys(h: np.ndarray, heads: np.ndarray, sizes: np.ndarray, similarity: float, least: int, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of each line and the line of each; ``frequency`` ranks the cells of word pairs (0 to 63)."""
-    found, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+def keys(h: np.ndarray, heads: np.ndarray, sizes: np.ndarray, similarity: float, least: int, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of each line, the line of each and its place there; ``frequency`` ranks the cells of word pairs (0 to 63).
+
+    ANYWHERE is the place of a pair that its line holds more than once, or that is too far on.
+    """
+    found, owners, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
     for a in range(0, len(sizes), LINES_AT_ONCE):
         size = sizes[a : a + LINES_AT_ONCE]
         begin = heads[a]
         gram, owner = grams(h[begin : heads[a + len(size) - 1] + size[-1]], heads[a : a + len(size)] - begin, size)
         rank = frequency[gram >> np.uint64(64 - CELL_BITS)].astype(np.uint64)
         value = (owner.astype(np.uint64) << np.uint64(46)) | (rank << np.uint64(KEY_BITS)) | (gram & np.uint64((1 << KEY_BITS) - 1))
-        value.sort()
+        order = np.argsort(value)
+        value = value[order]
         # Lines are whole runs of the sorted values, so each keeps its places.
         first = np.cumsum(size + 1) - (size + 1)
         at = np.arange(len(value))
-        taken = at - first[owner] < prefix(size, similarity, least)[owner]
+        head = first[owner]
+        taken = at - head < prefix(size, similarity, least)[owner]
         key = value & np.uint64((1 << KEY_BITS) - 1)
+        # Lengths in ids end at what fits, so longer lines have no places.
+        place = np.where((size >= (1 << LENGTH_BITS) - 1)[owner], ANYWHERE, np.minimum(order - head, ANYWHERE)).astype(np.uint8)
         again = np.concatenate(([False], value[1:] == value[:-1]))
         if again.any():
             # The n-th occurrence of a pair in its line is a key of its own.
             nth = (at - np.maximum.accumulate(np.where(again, 0, at))).astype(np.uint64)
             key = np.where(again, W.pair(key, nth) >> np.uint64(64 - KEY_BITS), key)
+            place[again] = ANYWHERE
+            place[:-1][again[1:]] = ANYWHERE
         found.append(key[taken])
         owners.append(owner[taken] + a)
-    return np.concatenate(found), np.concatenate(owners)
+        places.append(place[taken])
+    return np.concatenate(found), np.concatenate(owners), np.concatenate(places)
 
 
 def class_keys(h: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +177,7 @@ def lengths(ids: np.ndarray) -> np.ndarray:
 def _split(batch: pa.RecordBatch, text: int, short: bool, min_words: int) -> Iterator[tuple]:
     """For blocks of rows: row and number of each line, hashes of all words, first word and words of each line, and its keys."""
     data, offsets = W.utf8(batch.column(text))
-    for a, b in W.blocks(offsets):
+    for a, b in W.blocks(offsets, SPLIT_BYTES):
         part, edges = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         clean = _CLEAN[part]
         starts, ends, row = W.spans(clean, edges, _INSIDE)
@@ -197,46 +217,93 @@ def _wordless(part: np.ndarray, edges: np.ndarray, begins: np.ndarray, size: np.
 
 
 def _lines(min_words: int, short: bool):
-    """A row for each line with its key."""
+    """A row for each line that has a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, number, _, _, _, k1, k2 in _split(batch, 2, short, min_words):
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(number, pa.int32()), pa.array(k1), pa.array(k2)], names=["row_key", "doc_id", "line", "k1", "k2"])
+            for row, number, *_ in _split(batch, 1, short, min_words):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(number, pa.int32())], names=["row_key", "line"])
             del batch
             W.release()
 
     return run
 
 
-def _packets(key: np.ndarray, ids: np.ndarray, counts: np.ndarray, ranges: int) -> pa.RecordBatch:
-    """A row for each range of keys that has some."""
-    order = np.argsort(key)
-    key, ids, counts = key[order], ids[order], counts[order]
-    bucket = ((key >> np.uint64(8)) * np.uint64(ranges) >> np.uint64(KEY_BITS - 8)).astype(np.int64)
-    heads = np.flatnonzero(np.concatenate(([True], np.diff(bucket) != 0)))
-    sides = list(zip(heads.tolist(), [*heads[1:].tolist(), len(key)], strict=True))
-    pack = lambda f, v: pa.array([f(v[x:y]) for x, y in sides], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(bucket[heads], pa.int32()), pack(W.pack_sorted, key), pack(lambda v: v.astype("<i8").tobytes(), ids), pack(W.pack, counts)], names=["bucket", "keys", "ids", "counts"])
+def _runs(sorted_values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate(([True], sorted_values[1:] != sorted_values[:-1]))[: len(sorted_values)])
+
+
+def _part(ids: np.ndarray, ranges: int) -> np.ndarray:
+    """The range that ids are dealt to, by their low bits."""
+    return ((ids & 0xFFFFFFFF) * ranges) >> 32
+
+
+def _packets(bucket: np.ndarray, columns: list[tuple]) -> pa.RecordBatch:
+    """A row for each of the ascending buckets, with its slices of the columns (values, how they are packed)."""
+    heads = _runs(bucket)
+    sides = list(zip(heads.tolist(), [*heads[1:].tolist(), len(bucket)], strict=True))
+    packed = [pa.array([f(v[x:y]) for x, y in sides] if f else [b""] * len(sides), pa.binary()) for v, f in columns]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[heads], pa.int32()), *packed], names=["bucket", *"abcde"[: len(columns)]])
+
+
+def _raw(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values, "<i8").tobytes()
 
 
-def _keyed(min_words: int, similarity: float, least: int, frequency, ranges: int):
-    """Packed keys of the classes of each batch, with their occurrences in it, a row for each range."""
+def _unraw(column: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x.as_buffer(), "<i8") for x in column])
+
+
+def _bytes(column: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in column])
+
+
+def _unpacked(column: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([W.unpack(x.as_py()).astype(np.int32) for x in column]).astype(np.int64)
+
+
+def _keyed(min_words: int, similarity: float, least: int, frequency, ranges: int, short: bool):
+    """From one pass over the texts, packed: the lines of each batch by ranges of their ids, and the keys of its classes by ranges of keys."""
+
+    def packed(lines: list[tuple], keyed: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if lines:
+            k1, k2, row, doc, number = (np.concatenate(x) for x in zip(*lines, strict=True))
+            lines.clear()
+            part = _part(k1, ranges)
+            order = np.argsort(part, kind="stable")
+            yield _packets(part[order], [(k1[order], _raw), (k2[order], _raw), (row[order], _raw), (doc[order], _raw), (number[order], W.pack)])
+        if keyed:
+            key, ids, n, place = (np.concatenate(x) for x in zip(*keyed, strict=True))
+            keyed.clear()
+            order = np.argsort(key)
+            key = key[order]
+            part = ((key >> np.uint64(8)) * np.uint64(ranges) >> np.uint64(KEY_BITS - 8)).astype(np.int64)
+            yield _packets(ranges + part, [(key, W.pack_sorted), (ids[order], _raw), (n[order], W.pack), (place[order], lambda v: v.tobytes()), (key, None)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keyed = []
-            for _, _, h, heads, sizes, k1, _ in _split(batch, 0, False, min_words):
-                ids, chosen, n = np.unique(k1, return_index=True, return_counts=True)
+            lines, keyed = [], []
+            row_key = batch.column(0).to_numpy(zero_copy_only=False)
+            null = np.asarray(batch.column(1).is_null().to_numpy(zero_copy_only=False), bool)
+            doc_id = batch.column(1).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for row, number, h, heads, sizes, k1, k2 in _split(batch, 2, short, min_words):
+                lines.append((k1, k2, row_key[row], doc_id[row], 2 * number + null[row]))
+                long = np.flatnonzero(sizes >= max(1, min_words))
+                if not len(long):
+                    continue
+                ids, chosen, n = np.unique(k1[long], return_index=True, return_counts=True)
+                chosen = long[chosen]
                 size = sizes[chosen]
                 begin = np.cumsum(size) - size
                 word = np.repeat(heads[chosen] - begin, size) + np.arange(size.sum())
-                key, owner = keys(h[word], begin, size, similarity, least, frequency.value)
-                keyed.append((key, ids[owner], n[owner]))
-            if keyed:
-                yield _packets(*(np.concatenate(x) for x in zip(*keyed, strict=True)), ranges)
-            del batch, keyed
+                key, owner, place = keys(h[word], begin, size, similarity, least, frequency.value)
+                keyed.append((key, ids[owner], n[owner].astype(np.int32), place))
+                if sum(len(x[0]) for x in keyed) >= KEYS_AT_ONCE:
+                    yield from packed(lines, keyed)
+                    W.release()
+            yield from packed(lines, keyed)
+            del batch
             W.release()
 
     return run
@@ -269,9 +336,9 @@ def _ranks(table: pa.Table) -> pa.Table:
     return pa.table([table.column("part")[:1], pa.array([ranks.tobytes()], pa.binary())], names=["part", "ranks"])
 
 
-def _frequency(texts: DataFrame, min_words: int):
+def _frequency(texts: DataFrame, n_rows: int, min_words: int):
     """A broadcast table of fixed size: how frequent the word pairs of a cell are in a sample of ``texts``, on a scale of logarithms."""
-    share = min(1.0, SAMPLED / max(1, texts.count()))
+    share = min(1.0, SAMPLED / max(1, n_rows))
     some = texts.where(F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1 << 30)) < share * (1 << 30))
     rows = some.mapInArrow(_cells(min_words), "part int, cells binary, counts binary").groupBy("part").applyInArrow(_ranks, "part int, ranks binary").collect()
     table = np.zeros((CELL_PARTS, (1 << CELL_BITS) // CELL_PARTS), np.uint8)
@@ -280,60 +347,191 @@ def _frequency(texts: DataFrame, min_words: int):
     return texts.sparkSession.sparkContext.broadcast(table.reshape(-1))
 
 
-def _lists(list_size: int, similarity: float, least: int):
-    """Pairs of classes that share keys and fit in length, with the number of keys in short lists (list is null), and the classes of longer lists."""
+def _table(kind: int, n: int, **columns) -> pa.Table:
+    """Rows of FOUND of a kind; columns that are not given are null."""
+    return pa.table([pa.array(np.full(n, kind), pa.int32()) if f.name == "kind" else columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in FOUND_TYPES], schema=FOUND_TYPES)
+
+
+def _packed(kind: int, bucket: np.ndarray, columns: list[tuple]) -> pa.Table:
+    rows = _packets(bucket, columns)
+    return _table(kind, len(rows), **{name: rows.column(name) for name in rows.schema.names})
+
+
+def _classes(table: pa.Table) -> pa.Table:
+    """The classes of a range of lines with their first occurrences, and all other occurrences."""
+    k1, k2, row, doc = (_unraw(table.column(c)) for c in "abcd")
+    number = _unpacked(table.column("e"))
+    line, null = number >> 1, number & 1
+    order = np.lexsort((row, line, doc, null, k2, k1))
+    k1, k2, row, doc, line, null = (x[order] for x in (k1, k2, row, doc, line, null))
+    fresh = np.concatenate(([True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])))
+    heads = np.flatnonzero(fresh)
+    first = np.repeat(heads, np.diff(np.append(heads, len(k1))))
+    # A range has fewer than 2**32 classes, so each gets a number that no other class has.
+    node = (int(table.column("bucket")[0].as_py()) << 32) + np.arange(len(heads))
+    more = np.flatnonzero((row != row[first]) | (line != line[first]))
+    found = _table(CLASS, len(heads), k1=pa.array(k1[heads]), node=pa.array(node), row_key=pa.array(row[heads]), doc_id=pa.array(doc[heads], pa.int64(), mask=null[heads] == 1), line=pa.array(line[heads]))
+    return pa.concat_tables([found, _table(REPEAT, len(more), row_key=pa.array(row[more]), line=pa.array(line[more]))])
+
+
+def _near(similarity: float):
+    """Whether lines of n and m words with a shared key at these places can be within the similarity.
+
+    What is before the key and what is behind it differ in length by as many edits at least.
+    """
+    most = allowed(np.arange(1 << LENGTH_BITS), similarity).astype(np.int16)
+
+    def near(n: np.ndarray, m: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+        longer, behind = n - m, at - to
+        edits = np.where((at == ANYWHERE) | (to == ANYWHERE), np.abs(longer), np.abs(behind) + np.abs(longer - behind))
+        return edits <= most[np.maximum(n, m)]
+
+    return near
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, often: np.ndarray, ranges: int, kind: int) -> pa.Table:
+    """Pairs (the lesser id first) with the sum of their shared keys, packed by ranges of the lesser id."""
+    if not len(a):
+        return _table(kind, 0)
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    # By range of the lesser id; where pairs agree in these bits, one may come twice, and _counted adds them.
+    order = np.argsort((a.view(np.uint64) << np.uint64(32)) | (b.view(np.uint64) & np.uint64(0xFFFFFFFF)))
+    a, b, often = a[order], b[order], often[order]
+    heads = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+    a, b, often = a[heads], b[heads], np.add.reduceat(often, heads)
+    return _packed(kind, _part(a, ranges), [(a, _raw), (b, _raw), (often, W.pack)])
+
+
+def _lists(table: pa.Table, list_size: int, similarity: float, least: int, ranges: int) -> pa.Table:
+    """Pairs of classes that share keys, and the members of dense lists."""
+    near = _near(similarity)
+    key = np.concatenate([W.unpack_sorted(x.as_py()) for x in table.column("a")]).astype(np.int64)
+    ids, counts, place = _unraw(table.column("b")), _unpacked(table.column("c")).astype(np.int32), _bytes(table.column("d"))
+    order = np.argsort(key)
+    key = key[order]
+    common = np.concatenate(([False], key[1:] == key[:-1]))
+    common[:-1] |= common[1:]
+    order, key = order[common], key[common]
+    if not len(key):
+        return _table(PAIRS, 0)
+    # By key and id; ids that agree in their low bits may come mixed, and a class twice in a list does no harm.
+    again = np.argsort((np.cumsum(np.diff(key, prepend=key[:1]) != 0) << 40) | (ids[order] & ((1 << 40) - 1)))
+    order = order[again]
+    key, ids, counts, place = key[again], ids[order], counts[order], place[order]
+    heads = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]))))
+    counts = np.add.reduceat(counts, heads)
+    key, ids, place = key[heads], ids[heads], place[heads]
+    begins = _runs(key)
+    n = np.diff(np.append(begins, len(key)))
+    size = np.repeat(n, n)
+    words, place = lengths(ids).astype(np.int16), place.astype(np.int16)
+    none = np.zeros(0, np.int64)
+    a, b, often, members = [none], [none], [none], [none]
+
+    def pair(x: np.ndarray, y: np.ndarray, shared_keys: int) -> None:
+        ok = near(words[x], words[y], place[x], place[y])
+        a.append(ids[x[ok]])
+        b.append(ids[y[ok]])
+        often.append(np.full(int(ok.sum()), shared_keys))
+
+    x = np.flatnonzero(size <= list_size)
+    nth = np.arange(len(key)) - np.repeat(begins, n)
+    for lag in range(1, int(size[x].max()) if len(x) else 0):
+        x = x[nth[x] >= lag]
+        pair(x - lag, x, 1)
+    for i in np.flatnonzero(n > list_size).tolist():
+        mine = np.arange(begins[i], begins[i] + n[i])
+        some = mine[:: max(1, len(mine) // 32)]
+        if near(words[some][:, None], words[mine], place[some][:, None], place[mine]).mean() * len(mine) <= list_size + 1:
+            for at in range(0, len(mine), AT_ONCE // len(mine) + 1):
+                x = mine[at : at + AT_ONCE // len(mine) + 1]
+                u, v = np.nonzero(near(words[x][:, None], words[mine], place[x][:, None], place[mine]) & (x[:, None] < mine))
+                a.append(ids[x[u]])
+                b.append(ids[mine[v]])
+                often.append(np.ones(len(u), np.int64))
+        else:
+            pivot = mine[np.argmax(counts[mine])]
+            pair(mine[mine != pivot], np.full(len(mine) - 1, pivot), least)
+            members.append(mine)
+    found = _pairs(*(np.concatenate(x) for x in (a, b, often)), ranges, PAIRS)
+    members = np.concatenate(members)
+    if not len(members):
+        return found
+    members = members[np.argsort(_part(ids[members], ranges), kind="stable")]
+    return pa.concat_tables([found, _packed(MEMBERS, _part(ids[members], ranges), [(key[members], _raw), (ids[members], _raw), (place[members].astype(np.uint8), lambda v: v.tobytes())])])
+
+
+def _gathered(list_size: int, similarity: float, least: int, ranges: int):
+    def run(table: pa.Table) -> pa.Table:
+        W.release()
+        return _classes(table) if table.column("bucket")[0].as_py() < ranges else _lists(table, list_size, similarity, least, ranges)
+
+    return run
+
+
+def _labelled(ranges: int):
+    """Members of dense lists with the groups of their classes (-1: none), packed by ranges of lists."""
+
+    def run(members: pa.Table, labels: pa.Table) -> pa.Table:
+        W.release()
+        if not len(members):
+            return _table(MEMBERS, 0)
+        key, ids, place = _unraw(members.column("a")), _unraw(members.column("b")), _bytes(members.column("c"))
+        known, root = (labels.column(c).to_numpy() for c in ("k1", "root"))
+        order = np.argsort(known, kind="stable")
+        known, root = np.append(known[order], np.int64(-1)), np.append(root[order], np.int64(-1))
+        at = np.searchsorted(known[:-1], ids)
+        label = np.where(known[at] == ids, root[at], -1)
+        part = ((key >> 8) * ranges) >> (KEY_BITS - 8)
+        order = np.argsort(part, kind="stable")
+        return _packed(MEMBERS, part[order], [(key[order], _raw), (ids[order], _raw), (place[order], lambda v: v.tobytes()), (label[order], _raw)])
+
+    return run
 
-    def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        x, y = lengths(a), lengths(b)
-        return np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9
+
+def _crossing(similarity: float, ranges: int):
+    """Pairs of members of a dense list that are not in one group."""
+    near = _near(similarity)
 
     def run(table: pa.Table) -> pa.Table:
         W.release()
-        key = np.concatenate([W.unpack_sorted(x.as_py()) for x in table.column("keys")]).astype(np.int64)
-        ids = np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in table.column("ids")])
-        counts = np.concatenate([W.unpack(x.as_py()) for x in table.column("counts")]).astype(np.int64)
-        del table
+        key, ids, place, label = _unraw(table.column("a")), _unraw(table.column("b")), _bytes(table.column("c")), _unraw(table.column("d"))
         order = np.argsort(key, kind="stable")
-        key = key[order]
-        common = np.concatenate(([False], key[1:] == key[:-1]))
-        common[:-1] |= common[1:]
-        order, key = order[common], key[common]
-        ids, counts = ids[order], counts[order]
-        order = np.lexsort((ids, key))
-        key, ids, counts = key[order], ids[order], counts[order]
-        heads = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])))[: len(key)])
-        counts = np.add.reduceat(counts, heads) if len(heads) else counts
-        key, ids = key[heads], ids[heads]
-        begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))[: len(key)])
-        n = np.diff(np.append(begins, len(key)))
-        size = np.repeat(n, n)
-        none = np.zeros(0, np.int64)
-        a, b, often, lists, members = [none], [none], [none], [none], [none]
-
-        def pair(x: np.ndarray, y: np.ndarray, shared_keys: int) -> None:
-            ok = fits(x, y)
-            a.append(np.minimum(x, y)[ok])
-            b.append(np.maximum(x, y)[ok])
-            often.append(np.full(int(ok.sum()), shared_keys))
-
-        short = np.flatnonzero(size <= list_size)
-        place = np.arange(len(key)) - np.repeat(begins, n)
-        for lag in range(1, int(size[short].max()) if len(short) else 0):
-            x = short[place[short] >= lag]
-            pair(ids[x - lag], ids[x], 1)
-        for i in np.flatnonzero(n > list_size).tolist():
-            mine = ids[begins[i] : begins[i] + n[i]]
-            pivot = int(np.argmax(counts[begins[i] : begins[i] + n[i]]))
-            pair(np.delete(mine, pivot), mine[pivot : pivot + 1], least)
-            lists.append(np.full(n[i], key[begins[i]]))
-            members.append(mine)
-        a, b, often, lists, members = (np.concatenate(x) for x in (a, b, often, lists, members))
+        key, ids, place, label = key[order], ids[order], place[order].astype(np.int16), label[order]
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        begins = _runs(key)
+        for begin, end in zip(begins.tolist(), [*begins[1:].tolist(), len(key)], strict=True):
+            i, p, g = ids[begin:end], place[begin:end], label[begin:end]
+            w = lengths(i).astype(np.int16)
+            groups, n = np.unique(g[g >= 0], return_counts=True)
+            # Two members outside of the largest group are both here; they are paired once.
+            out = np.flatnonzero(g != groups[np.argmax(n)]) if len(groups) else np.arange(len(g))
+            rank = np.full(len(g), -1)
+            rank[out] = np.arange(len(out))
+            for at in range(0, len(out), AT_ONCE // len(g) + 1):
+                x = out[at : at + AT_ONCE // len(g) + 1]
+                u, v = np.nonzero(near(w[x][:, None], w, p[x][:, None], p) & ((g[x][:, None] != g) | (g[x][:, None] < 0)) & (rank < rank[x][:, None]))
+                a.append(i[x[u]])
+                b.append(i[v])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return _pairs(a, b, np.ones(len(a), np.int64), ranges, CROSSING)
+
+    return run
+
+
+def _counted(least: int):
+    """The pairs of a range that share enough keys; where members of dense lists were paired, those of them that were not found before."""
+
+    def run(table: pa.Table) -> pa.Table:
+        W.release()
+        crossing = np.concatenate([np.full(len(x.as_buffer()) // 8, k) for k, x in zip(table.column("kind").to_pylist(), table.column("a"), strict=True)]) == CROSSING
+        a, b, n = _unraw(table.column("a")), _unraw(table.column("b")), _unpacked(table.column("c"))
         order = np.lexsort((b, a))
-        a, b, often = a[order], b[order], often[order]
-        heads = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)])
-        a, b, often = a[heads], b[heads], np.add.reduceat(often, heads) if len(heads) else often
-        zeros = np.zeros(len(lists), np.int64)
-        return pa.table([pa.array(np.concatenate((0 * a, lists)), pa.int64(), mask=np.arange(len(a) + len(lists)) < len(a)), pa.array(np.concatenate((a, members))), pa.array(np.concatenate((b, zeros))), pa.array(np.concatenate((often, zeros)))], names=["list", "a", "b", "n"])
+        a, b, n, crossing = a[order], b[order], n[order], crossing[order]
+        heads = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+        before, total = np.add.reduceat(np.where(crossing, 0, n), heads), np.add.reduceat(n, heads)
+        keep = (total >= least) & ((before < least) if crossing.any() else True)
+        return pa.table([pa.array(a[heads][keep]), pa.array(b[heads][keep])], names=["a", "b"])
 
     return run
 
@@ -341,46 +539,67 @@ def _lists(list_size: int, similarity: float, least: int):
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of the wanted lines of a text."""
     for batch in batches:
-        k1, k2, words = [], [], []
+        k1, node, words = [], [], []
         for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
             lines = text.as_py().split("\n")
             for w in wanted.as_py():
                 k1.append(w["k1"])
-                k2.append(w["k2"])
+                node.append(w["node"])
                 words.append(" ".join(normalised(lines[w["line"]])))
-        yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(words, pa.string())], names=["k1", "k2", "words"])
+        yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(node, pa.int64()), pa.array(words, pa.string())], names=["k1", "node", "words"])
 
 
-def _apart(x: str, y: str, similarity: float) -> tuple[str, str, int] | None:
-    """What two lines differ in, as strings of one character for each word, and the edits they may need; None where they need more.
-
-    Words that both begin or end with take no edit.  What is left takes at least as many
-    as the longer part has words that the other lacks.
-    """
+def _trimmed(x: str, y: str, similarity: float) -> tuple[list[str], list[str], int]:
+    """The words of two lines without what both begin or end with, which takes no edit, and the edits they may need."""
     u, v = x.split(" "), y.split(" ")
     n, m = len(u), len(v)
-    most = int(allowed(max(n, m), similarity))
-    head = 0
-    while head < min(n, m) and u[head] == v[head]:
+    least, head, tail = min(n, m), 0, 0
+    while head < least and u[head] == v[head]:
         head += 1
-    tail = 0
-    while tail < min(n, m) - head and u[n - 1 - tail] == v[m - 1 - tail]:
+    while tail < least - head and u[-1 - tail] == v[-1 - tail]:
         tail += 1
-    u, v = u[head : n - tail], v[head : m - tail]
-    if max(len(u), len(v)) - (Counter(u) & Counter(v)).total() > most:
+    return u[head : n - tail], v[head : m - tail], int((1 - similarity) * max(n, m) + 1e-9)
+
+
+def _coded(u: list[str], v: list[str], most: int) -> tuple[str, str, int] | None:
+    """Words as strings of one character for each, and ``most``; None where they need more edits.
+
+    They take at least as many as the longer one has words that the other lacks.  Words that only ``v`` has are one
+    character: none of them is equal to a word of ``u``.
+    """
+    code = dict.fromkeys(u)
+    code = dict(zip(code, _CODES if len(code) <= len(_CODES) else _codes(len(code)), strict=False))
+    right = "".join([code.get(w, _OTHER) for w in v])
+    if max(len(u), len(v)) - len(v) + right.count(_OTHER) > most:
         return None
-    code: dict[str, str] = {}
-    # From U+0100 on, past the surrogates.
-    left, right = ("".join(code.setdefault(w, chr((k := len(code) + 0x100) + 0x800 * (k >= 0xD800))) for w in words) for words in (u, v))
-    return left, right, most
+    return "".join([code[w] for w in u]), right, most
+
+
+def _codes(n: int) -> str:
+    """Different characters from U+0100 on, past the surrogates."""
+    return "".join(chr(k + 0x800 * (k >= 0xD800)) for k in range(0x100, 0x100 + n))
+
+
+_OTHER, _CODES = "\u00ff", _codes(4096)
+
+
+def _apart(x: str, y: str, similarity: float) -> tuple[str, str, int] | None:
+    """What two lines differ in, as :func:`_coded` has it."""
+    return _coded(*_trimmed(x, y, similarity))
+
+
+def _compared(x: str, y: str, similarity: float) -> tuple[str, str, int] | None:
+    """Like :func:`_apart`, but nothing of lines that differ in no more words than they may."""
+    u, v, most = _trimmed(x, y, similarity)
+    return ("", "", most) if max(len(u), len(v)) <= most else _coded(u, v, most)
 
 
 def _as_codes(similarity: float):
-    """The pairs of lines that may be within the similarity, with what :func:`_apart` says of them."""
+    """The pairs of lines that may be within the similarity, with what :func:`_compared` says of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_apart(x, y, similarity) for x, y in zip(batch.column("a_words").to_pylist(), batch.column("b_words").to_pylist(), strict=True)]
+            found = [_compared(x, y, similarity) for x, y in zip(batch.column("a_words").to_pylist(), batch.column("b_words").to_pylist(), strict=True)]
             at = pa.array([i for i, x in enumerate(found) if x], pa.int32())
             left, right, most = zip(*(x for x in found if x), strict=True) if len(at) else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(left, pa.string()), pa.array(right, pa.string()), pa.array(most, pa.int32())], names=["a", "b", "a_codes", "b_codes", "most"])
@@ -390,25 +609,22 @@ def _as_codes(similarity: float):
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, totals, gone = [], [], []
-        for text, drop in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            lines = [] if text is None else text.split("\n")
-            out = set(drop or ())
-            texts.append(None if text is None else text if not out else "\n".join(x for i, x in enumerate(lines) if i not in out))
-            totals.append(len(lines))
-            gone.append(len(out))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "n_lines", "n_removed", "text"])
-
-
-def _node(k1, k2):
-    return F.format_string("%016x%016x", k1, k2)
+        text, drops = batch.column(1), batch.column(2).to_pylist()
+        left, gone = [], [len(set(drop or ())) for drop in drops]
+        for i, drop in enumerate(drops):
+            if drop:
+                out = set(drop)
+                left.append("\n".join(x for k, x in enumerate(text[i].as_py().split("\n")) if k not in out))
+        kept = pc.replace_with_mask(text, pa.array([n > 0 for n in gone], pa.bool_()), pa.array(left, text.type))
+        totals = pc.add(pc.cast(pc.count_substring(text, "\n"), pa.int64()), 1).fill_null(0)
+        yield pa.RecordBatch.from_arrays([batch.column(0), totals, pa.array(gone, pa.int64()), kept.cast(pa.string())], names=["doc_id", "n_lines", "n_removed", "text"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The links (u, v) among pairs of ids (a, b)."""
     side = lambda p: texts.select(F.col("k1").alias(f"{p}_id"), F.col("node").alias(p), F.col("words").alias(f"{p}_words"))
     both = pairs.select(F.col("a").alias("a_id"), F.col("b").alias("b_id")).join(side("a"), "a_id").join(side("b"), "b_id").where("a != b")
-    codes = both.select("a", "b", "a_words", "b_words").mapInArrow(_as_codes(similarity), "a string, b string, a_codes string, b_codes string, most int")
+    codes = both.select("a", "b", "a_words", "b_words").mapInArrow(_as_codes(similarity), "a long, b long, a_codes string, b_codes string, most int")
     # Beyond the allowed edits the distance is -1, and nothing far from the diagonal is looked at.
     alike = codes.where(F.expr("levenshtein(a_codes, b_codes, most) >= 0"))
     return written(alike.select(F.col("a").alias("u"), F.col("b").alias("v")), "line-links")
@@ -419,35 +635,37 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def _words_of(ends: DataFrame, classes: DataFrame, rows: DataFrame, repeated_rows: bool) -> DataFrame:
-    """k1, k2, node and words of the classes with the ids ``ends``."""
-    wanted = classes.join(written(ends, "line-ends"), "k1").groupBy("first.row_key").agg(F.collect_list(F.struct("k1", "k2", "first.line")).alias("wanted"))
-    texts = rows.join(written(wanted, "line-wanted"), "row_key").select("text", "wanted").mapInArrow(_texts, "k1 long, k2 long, words string")
-    texts = texts.dropDuplicates(["k1", "k2"]) if repeated_rows else texts
-    return written(texts.withColumn("node", _node(F.col("k1"), F.col("k2"))), "line-texts")
+    """k1, node and words of the classes with the ids ``ends``."""
+    wanted = classes.join(written(ends, "line-ends"), "k1").groupBy("row_key").agg(F.collect_list(F.struct("k1", "node", "line")).alias("wanted"))
+    texts = rows.join(written(wanted, "line-wanted"), "row_key").select("text", "wanted").mapInArrow(_texts, "k1 long, node long, words string")
+    return written(texts.dropDuplicates(["node"]) if repeated_rows else texts, "line-texts")
 
 
-def _groups(classes: DataFrame, rows: DataFrame, repeated_rows: bool, packets: DataFrame, ranges: int, similarity: float, list_size: int, least: int) -> DataFrame:
+def _groups(found: DataFrame, rows: DataFrame, repeated_rows: bool, ranges: int, similarity: float, least: int) -> DataFrame:
     """node and root of every class that is linked with another, roots included."""
-    listed = written(packets.repartition(ranges, "bucket").groupBy("bucket").applyInArrow(_lists(list_size, similarity, least), "list long, a long, b long, n long"), "line-lists")
-    short = listed.where("list is null").select("a", "b", "n")
-    pairs = written(short.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("a", "b"), "line-pairs")
+    classes, packed = found.where(F.col("kind") == CLASS), found.select("kind", "bucket", "a", "b", "c", "d")
+    counted = lambda x: x.repartition(ranges, "bucket").groupBy("bucket").applyInArrow(_counted(least), "a long, b long")
+    shared_short = packed.where(F.col("kind") == PAIRS)
+    pairs = written(counted(shared_short), "line-pairs")
     texts = _words_of(_ends(pairs), classes, rows, repeated_rows)
     links = _verified(pairs, texts, similarity)
     rooted = written(components(links), "line-roots")
-    labels = texts.select("k1", "node").join(rooted, "node").select("k1", "root").unionByName(texts.select("k1", F.col("node").alias("root")).join(rooted.select("root").distinct(), "root"))
-    members = listed.where("list is not null").select("list", F.col("a").alias("k1")).join(labels, "k1", "left").select("list", "k1", F.coalesce("root", F.hex("k1")).alias("label"))
-    largest = members.groupBy("list", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("list").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    outside = written(members.join(largest, "list").where("label != largest").select("list", F.col("k1").alias("o"), F.col("label").alias("o_label")), "line-outside")
-    if not outside.isEmpty():
-        length = lambda c: F.shiftrightunsigned(c, 64 - LENGTH_BITS)
-        fits = F.least(length("o"), length("k1")) >= similarity * F.greatest(length("o"), length("k1")) - 1e-9
-        apart = outside.join(members, "list").where((F.col("label") != F.col("o_label")) & fits).select("list", F.least("o", "k1").alias("a"), F.greatest("o", "k1").alias("b")).distinct()
-        # A pair's keys in short lists count too.
-        counted = apart.select("a", "b", F.lit(1).cast("long").alias("n"), F.lit(True).alias("apart")).unionByName(short.select("a", "b", "n", F.lit(False).alias("apart")))
-        again = written(counted.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("apart").alias("apart")).where((F.col("n") >= least) & F.col("apart")).select("a", "b").join(pairs, ["a", "b"], "left_anti"), "line-pairs")
-        more = _words_of(_ends(again).join(texts.select("k1"), "k1", "left_anti"), classes, rows, repeated_rows)
-        found = _verified(again, texts.unionByName(more), similarity)
-        rooted = written(components(rooted.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found)), "line-roots")
+    members = packed.where(F.col("kind") == MEMBERS)
+    if not members.isEmpty():
+        part = F.shiftright(F.col("k1").bitwiseAND(F.lit(0xFFFFFFFF)) * F.lit(ranges), 32).cast("int").alias("bucket")
+        labels = texts.select("k1", "node").join(_with_roots(rooted), "node").select(part, "k1", "root")
+        labelled = members.groupBy("bucket").cogroup(labels.groupBy("bucket")).applyInArrow(_labelled(ranges), FOUND).select("bucket", "a", "b", "c", "d")
+        crossing = written(labelled.repartition(ranges, "bucket").groupBy("bucket").applyInArrow(_crossing(similarity, ranges), FOUND).select(packed.columns), "line-crossing")
+        if not crossing.isEmpty():
+            # A pair's keys in other lists count too.
+            again = written(counted(crossing.unionByName(shared_short)), "line-pairs")
+            more = _words_of(_ends(again).join(texts.select("k1"), "k1", "left_anti"), classes, rows, repeated_rows)
+            found = _verified(again, texts.unionByName(more), similarity)
+            rooted = written(components(rooted.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found)), "line-roots")
+    return _with_roots(rooted)
+
+
+def _with_roots(rooted: DataFrame) -> DataFrame:
     return rooted.unionByName(rooted.select(F.col("root").alias("node"), "root").distinct())
 
 
@@ -455,24 +673,29 @@ def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, similarity: floa
     """doc_id, n_lines, n_removed and the text that stays, for each row of ``docs`` (doc_id, text)."""
     if not 0.5 <= similarity <= 1:
         raise ValueError("below a similarity of 0.5 two lines need not share a word pair")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = plain.withColumn("row_key", F.xxhash64("doc_id", "text"))
     texts = rows.where("text is not null")
-    copied = written(texts.groupBy("row_key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("row_key"), "row-copies")
-    repeated_rows = not copied.isEmpty()
-    lines = written(texts.select("row_key", "doc_id", "text").mapInArrow(_lines(min_words, short), LINES), "lines")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line", "row_key")).alias("first")
-    classes = written(lines.groupBy("k1", "k2").agg(first, F.count(F.lit(1)).alias("n")), "line-classes")
+    # Only rows of equal ids can be equal.
+    several = written(plain.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "row-ids")
+    repeated_rows = not several.isEmpty()
+    if repeated_rows:
+        alike = texts.alias("t").join(several.alias("s"), F.col("t.doc_id").eqNullSafe(F.col("s.doc_id")), "left_semi")
+        copied = written(alike.groupBy("row_key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("row_key"), "row-copies")
+        repeated_rows = not copied.isEmpty()
     ranges, least = pieces(docs.select("doc_id", "text"), RANGE_BYTES), shared(min_words, similarity)
-    packets = texts.select("text").mapInArrow(_keyed(min_words, similarity, least, _frequency(texts.select("text"), min_words), ranges), PACKETS)
-    rooted = _groups(classes, texts.select("row_key", "text"), repeated_rows, packets, ranges, similarity, list_size, least)
-    node = _node(F.col("k1"), F.col("k2"))
-    grouped = classes.withColumn("own", node).join(rooted, F.col("own") == F.col("node"), "left").where("n > 1 or root is not null").select("k1", "k2", "first", F.coalesce("root", "own").alias("root"))
+    packets = texts.select("row_key", "doc_id", "text").mapInArrow(_keyed(min_words, similarity, least, _frequency(texts.select("text"), plain.count(), min_words), ranges, short), PACKETS)
+    found = written(packets.repartition(2 * ranges, "bucket").groupBy("bucket").applyInArrow(_gathered(list_size, similarity, least, ranges), FOUND), "line-found")
+    rooted = _groups(found, texts.select("row_key", "text"), repeated_rows, ranges, similarity, least)
+    # All but the first occurrence of a class go, and of the first ones of a group's classes all but the first.
+    grouped = found.where(F.col("kind") == CLASS).join(rooted, "node").select("root", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line", "row_key").alias("first"))
+    grouped = written(grouped, "line-grouped")
     stays = grouped.groupBy("root").agg(F.min("first").alias("stays"))
-    repeated = written(grouped.join(stays, "root").select("k1", "k2", F.col("stays.row_key").alias("stays_row"), F.col("stays.line").alias("stays_line")), "line-repeats")
-    drop = lines.join(repeated, ["k1", "k2"]).where("row_key != stays_row or line != stays_line").groupBy("row_key").agg(F.collect_set("line").alias("drop"))
+    linked = grouped.join(stays, "root").where("first.row_key != stays.row_key or first.line != stays.line").select("first.row_key", "first.line")
+    drop = found.where(F.col("kind") == REPEAT).select("row_key", "line").unionByName(linked).groupBy("row_key").agg(F.collect_set("line").alias("drop"))
     marked = rows.join(written(drop, "line-drops"), "row_key", "left")
     if repeated_rows:
-        every = lines.join(copied, "row_key").groupBy("row_key").agg(F.collect_set("line").alias("every"))
+        every = texts.join(copied, "row_key").select("row_key", "text").mapInArrow(_lines(min_words, short), "row_key long, line int").groupBy("row_key").agg(F.collect_set("line").alias("every"))
         several = marked.join(copied, "row_key").withColumn("nth", F.row_number().over(Window.partitionBy("row_key").orderBy("doc_id"))).join(every, "row_key", "left")
         several = several.withColumn("drop", F.when(F.col("nth") > 1, F.col("every")).otherwise(F.col("drop")))
         marked = marked.join(copied, "row_key", "left_anti").unionByName(several.select(marked.columns))

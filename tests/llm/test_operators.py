@@ -384,6 +384,26 @@ def test_near_lines_of_repeated_words_are_found(spark):
     assert got == {1: 0, 2: 1, 3: 0, 4: 1, 5: 0, 6: 0}
 
 
+def test_long_lists_give_the_pairs_that_can_be_near_and_dense_ones_go_on_packed():
+    rng = np.random.default_rng(4)
+    n = rng.integers(9, 16, 200)
+    ids = np.unique((n << 54) | rng.integers(1, 1 << 54, 200))
+    n, at = ids >> 54, rng.integers(0, 9, len(ids))
+
+    def found(at):
+        packed = line_dedup._packets(np.full(len(ids), 7), [(np.full(len(ids), 5, np.uint64), words.pack_sorted), (ids, line_dedup._raw), (np.ones(len(ids), np.int64), words.pack), (at.astype(np.uint8), lambda v: v.tobytes()), (ids, None)])
+        rows = line_dedup._gathered(64, 0.8, 3, 7)(pa.Table.from_batches([packed])).to_pylist()
+        pairs = {x for r in rows if r["kind"] == line_dedup.PAIRS for x in zip(*(np.frombuffer(r[c], "<i8").tolist() for c in "ab"), strict=True)}
+        return pairs, [r for r in rows if r["kind"] == line_dedup.MEMBERS]
+
+    want = {(x, y) for x, n1, p in zip(ids.tolist(), n, at, strict=True) for y, n2, q in zip(ids.tolist(), n, at, strict=True) if x < y and abs(p - q) + abs((n1 - p) - (n2 - q)) <= int(0.2 * max(n1, n2) + 1e-9)}
+    assert found(at) == (want, [])
+    n[:] = 30
+    ids = (n << 54) | (ids & ((1 << 54) - 1))
+    pairs, members = found(np.full(len(ids), 3))
+    assert len(pairs) == len(ids) - 1 and len(members) <= 7 and sum(len(r["b"]) // 8 for r in members) == len(ids)
+
+
 def test_query_drops_exact_repeats_of_short_lines(spark, tmp_path):
     docs = [(1, "Short line\n---\n\n***\n\nend"), (2, "short LINE!\n ---\n\nnew\n***\n"), (3, "---"), (4, "\n\n"), (5, "1 2\nshort line x")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
