@@ -343,12 +343,13 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, *, end_id: i
     files, root = _filesystem(folder)
     files.create_dir(root, recursive=True)
     dealt = rows.repartitionByRange(pieces(rows, shard_bytes), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    found = dealt.mapInArrow(_writer(tokenizer_path, folder, end_id), "shard int, n_docs long, n_ids long, least long, greatest long").orderBy("shard").collect()
-    # A row for each shard, whatever its size: as many as the input has shards.
+    found = dealt.mapInArrow(_writer(tokenizer_path, folder, end_id), "shard int, n_docs long, n_ids long, least long, greatest long").collect()
+    # A row for each shard, whatever its size: as many as the input has shards. Sorted here, since Spark would run the tasks twice to find ranges.
+    found.sort(key=lambda r: r.shard)
     with files.open_output_stream(f"{root}/.{MANIFEST}") as out:
         out.write(json.dumps([r.asDict() for r in found]).encode())
     files.move(f"{root}/.{MANIFEST}", f"{root}/{MANIFEST}")
-    return sorted((r.shard, r.n_docs, r.n_ids) for r in found)
+    return [(r.shard, r.n_docs, r.n_ids) for r in found]
 
 
 def _reader(folder: str):

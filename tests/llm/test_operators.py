@@ -515,6 +515,27 @@ def test_shards_give_back_every_text(spark, docs, rows, empty):
     assert token_shards.read_shards(spark, new_folder(spark, "none"), token_shards.write_shards(empty, path, new_folder(spark, "none"))).count() == 0
 
 
+def test_shards_are_written_once(spark, docs, tmp_path, monkeypatch):
+    import public_tokenizers
+
+    real, runs = token_shards._writer, str(tmp_path)
+
+    def counting(*args):
+        write = real(*args)
+
+        def run(batches):
+            import uuid
+
+            open(f"{runs}/{uuid.uuid4().hex}", "w").close()
+            yield from write(batches)
+
+        return run
+
+    monkeypatch.setattr(token_shards, "_writer", counting)
+    manifest = token_shards.write_shards(docs, public_tokenizers.path("byte_bpe_50k.json"), token_shards.new_folder(spark, "once"), shard_bytes=2000)
+    assert len(list(tmp_path.iterdir())) == len(manifest) > 1
+
+
 def test_chunks_encode_as_whole_texts():
     public_tokenizers = pytest.importorskip("public_tokenizers")
     e = token_shards.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
