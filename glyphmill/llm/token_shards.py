@@ -65,6 +65,7 @@ _CUT[_LETTER, [_MARK, _DIGIT, _APOSTROPHE]] = True
 _CUT[_MARK, [_LETTER, _DIGIT]] = True
 _CUT[_DIGIT, [_LETTER, _MARK, _APOSTROPHE]] = True
 _WIDE_BYTES = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+_WIDE_LEADS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 _PLAIN = re.compile(rb" ?[A-Za-z]+")
 
 
@@ -77,8 +78,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         # Every place where the string of an added token (special or not) begins; without such tokens, none.
-        added = [re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
-        self.added = re.compile(b"(?=" + b"|".join(added) + b")" if added else b"(?!)")
+        self.strings = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile(b"(?=" + b"|".join(map(re.escape, self.strings)) + b")" if self.strings else b"(?!)")
+        # Only such a string can be inside of a plain chunk.
+        self.in_plain = any(_PLAIN.fullmatch(x) or x == b" " for x in self.strings)
         self.model = self.tokenizer.model
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -95,7 +98,7 @@ class Encoder:
             out[i] = got
         for i in missing:
             x = chunks[i]
-            if _PLAIN.fullmatch(x) and not self.added.search(x):
+            if _PLAIN.fullmatch(x) and not (self.in_plain and self.added.search(x)):
                 out[i] = struct.pack(f"<{len(t)}I", *t) if (t := [k.id for k in self.model.tokenize(x.decode().replace(" ", "Ġ"))]) else b""
             else:
                 longer.append(i)
@@ -123,7 +126,9 @@ class Encoder:
                 blank = (kinds == _SPACE) | (kinds == _BLANK)
                 cut[2:-1] &= ~(blank[:-2] & blank[1:-1] & ~blank[2:])
             cut[edges] = True
-            wide = {int(np.searchsorted(edges, m.start(), side="right")) - 1 for found in (_WIDE_BYTES, self.added) for m in found.finditer(raw)}
+            # Most blocks hold none of these; that is told faster than by the patterns.
+            sought = [_WIDE_BYTES] * any(x in raw for x in _WIDE_LEADS) + [self.added] * any(x in raw for x in self.strings)
+            wide = {int(np.searchsorted(edges, m.start(), side="right")) - 1 for found in sought for m in found.finditer(raw)}
             for r in wide:
                 cut[edges[r] + 1 : edges[r + 1]] = False
             bounds = np.flatnonzero(cut)
