@@ -63,8 +63,10 @@ CELL_PARTS = 16
 LINES_AT_ONCE = 1 << 17
 #: The place of a key that may be anywhere in its line; pairs of a list that are looked at at once.
 ANYWHERE, AT_ONCE = 255, 1 << 20
-#: Text bytes that a task splits at once, and keys that it holds before it packs them.
-SPLIT_BYTES, KEYS_AT_ONCE = 1 << 18, 1 << 18
+#: Text bytes that a task splits at once, keys that it holds before it packs them, and keys of a range whose lists are made at once.
+SPLIT_BYTES, KEYS_AT_ONCE, SLICE_KEYS = 1 << 18, 1 << 18, 1 << 18
+#: Pairs that wait to be packed together.
+PAIRS_AT_ONCE = 1 << 20
 _CLEAN = np.full(256, 0x20, dtype=np.uint8)
 _CLEAN[0x30:0x3A] = 0x30
 _CLEAN[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -398,22 +400,71 @@ def _pairs(a: np.ndarray, b: np.ndarray, often: np.ndarray, ranges: int, kind: i
     order = np.argsort((a.view(np.uint64) << np.uint64(32)) | (b.view(np.uint64) & np.uint64(0xFFFFFFFF)))
     a, b, often = a[order], b[order], often[order]
     heads = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-    a, b, often = a[heads], b[heads], np.add.reduceat(often, heads)
+    a, b, often = a[heads], b[heads], np.add.reduceat(often, heads, dtype=np.int64)
     return _packed(kind, _part(a, ranges), [(a, _raw), (b, _raw), (often, W.pack)])
 
 
+def _slices(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Key, class id, occurrences and place of the keys of a range, about SLICE_KEYS at a time; all of one key come together.
+
+    Ids and places are read where they are; only keys and occurrences are held unpacked.
+    """
+    held = []
+    for batch in (x for x in table.to_batches() if len(x)):
+        key = np.concatenate([W.unpack_sorted(x.as_py()) for x in batch.column("a")])
+        counts = np.concatenate([_small(W.unpack(x.as_py())) for x in batch.column("c")])
+        held.append((key, W.utf8(batch.column("b"))[0].view("<i8"), W.utf8(batch.column("d"))[0], counts))
+    if not held:
+        return
+    low, high = min(int(x[0].min()) for x in held), max(int(x[0].max()) for x in held)
+    n = -(-sum(len(x[0]) for x in held) // SLICE_KEYS)
+    width = (high - low) // n + 1
+    for begin in range(low, high + 1, width):
+        some = [np.flatnonzero((key >= begin) & (key < begin + width)) for key, *_ in held] if n > 1 else [slice(None)] * len(held)
+        key, ids, place, counts = (np.concatenate([x[i][at] for x, at in zip(held, some, strict=True)]) for i in range(4))
+        if len(key):
+            yield key.astype(np.int64), ids, counts.astype(np.int32), place
+
+
+def _small(counts: np.ndarray) -> np.ndarray:
+    return counts.astype(np.min_scalar_type(counts.max())) if len(counts) else np.zeros(0, np.uint8)
+
+
 def _lists(table: pa.Table, list_size: int, similarity: float, least: int, ranges: int) -> pa.Table:
     """Pairs of classes that share keys, and the members of dense lists."""
     near = _near(similarity)
-    key = np.concatenate([W.unpack_sorted(x.as_py()) for x in table.column("a")]).astype(np.int64)
-    ids, counts, place = _unraw(table.column("b")), _unpacked(table.column("c")).astype(np.int32), _bytes(table.column("d"))
+    found, waiting, members = [_table(PAIRS, 0)], [], []
+
+    def pack() -> None:
+        found.append(_pairs(*(np.concatenate(x) for x in zip(*waiting, strict=True)), ranges, PAIRS))
+        waiting.clear()
+
+    for part in _slices(table):
+        for pairs, dense in _listed(*part, near, list_size, least):
+            if pairs:
+                waiting.append(pairs)
+                if sum(len(x[0]) for x in waiting) >= PAIRS_AT_ONCE:
+                    pack()
+            if dense:
+                members.append(dense)
+    if waiting:
+        pack()
+    if members:
+        key, ids, place = (np.concatenate(x) for x in zip(*members, strict=True))
+        order = np.argsort(_part(ids, ranges), kind="stable")
+        found.append(_packed(MEMBERS, _part(ids[order], ranges), [(key[order], _raw), (ids[order], _raw), (place[order].astype(np.uint8), lambda v: v.tobytes())]))
+    return pa.concat_tables(found)
+
+
+def _listed(key: np.ndarray, ids: np.ndarray, counts: np.ndarray, place: np.ndarray, near, list_size: int, least: int) -> Iterator[tuple]:
+    """Some pairs of whole lists with their shared keys, as two ids and a number each, or the members of a dense list (key, id and place)."""
     order = np.argsort(key)
     key = key[order]
     common = np.concatenate(([False], key[1:] == key[:-1]))
     common[:-1] |= common[1:]
     order, key = order[common], key[common]
     if not len(key):
-        return _table(PAIRS, 0)
+        return
     # By key and id; ids that agree in their low bits may come mixed, and a class twice in a list does no harm.
     again = np.argsort((np.cumsum(np.diff(key, prepend=key[:1]) != 0) << 40) | (ids[order] & ((1 << 40) - 1)))
     order = order[again]
@@ -425,20 +476,16 @@ def _lists(table: pa.Table, list_size: int, similarity: float, least: int, range
     n = np.diff(np.append(begins, len(key)))
     size = np.repeat(n, n)
     words, place = lengths(ids).astype(np.int16), place.astype(np.int16)
-    none = np.zeros(0, np.int64)
-    a, b, often, members = [none], [none], [none], [none]
 
-    def pair(x: np.ndarray, y: np.ndarray, shared_keys: int) -> None:
+    def pair(x: np.ndarray, y: np.ndarray, shared_keys: int) -> tuple:
         ok = near(words[x], words[y], place[x], place[y])
-        a.append(ids[x[ok]])
-        b.append(ids[y[ok]])
-        often.append(np.full(int(ok.sum()), shared_keys))
+        return (ids[x[ok]], ids[y[ok]], np.full(int(ok.sum()), shared_keys, np.int8)), None
 
     x = np.flatnonzero(size <= list_size)
     nth = np.arange(len(key)) - np.repeat(begins, n)
     for lag in range(1, int(size[x].max()) if len(x) else 0):
         x = x[nth[x] >= lag]
-        pair(x - lag, x, 1)
+        yield pair(x - lag, x, 1)
     for i in np.flatnonzero(n > list_size).tolist():
         mine = np.arange(begins[i], begins[i] + n[i])
         some = mine[:: max(1, len(mine) // 32)]
@@ -446,19 +493,11 @@ def _lists(table: pa.Table, list_size: int, similarity: float, least: int, range
             for at in range(0, len(mine), AT_ONCE // len(mine) + 1):
                 x = mine[at : at + AT_ONCE // len(mine) + 1]
                 u, v = np.nonzero(near(words[x][:, None], words[mine], place[x][:, None], place[mine]) & (x[:, None] < mine))
-                a.append(ids[x[u]])
-                b.append(ids[mine[v]])
-                often.append(np.ones(len(u), np.int64))
+                yield (ids[x[u]], ids[mine[v]], np.ones(len(u), np.int8)), None
         else:
             pivot = mine[np.argmax(counts[mine])]
-            pair(mine[mine != pivot], np.full(len(mine) - 1, pivot), least)
-            members.append(mine)
-    found = _pairs(*(np.concatenate(x) for x in (a, b, often)), ranges, PAIRS)
-    members = np.concatenate(members)
-    if not len(members):
-        return found
-    members = members[np.argsort(_part(ids[members], ranges), kind="stable")]
-    return pa.concat_tables([found, _packed(MEMBERS, _part(ids[members], ranges), [(key[members], _raw), (ids[members], _raw), (place[members].astype(np.uint8), lambda v: v.tobytes())])])
+            yield pair(mine[mine != pivot], np.full(len(mine) - 1, pivot), least)
+            yield None, (key[mine], ids[mine], place[mine])
 
 
 def _gathered(list_size: int, similarity: float, least: int, ranges: int):
@@ -547,6 +586,8 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 node.append(w["node"])
                 words.append(" ".join(normalised(lines[w["line"]])))
         yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(node, pa.int64()), pa.array(words, pa.string())], names=["k1", "node", "words"])
+        del batch, k1, node, words
+        W.release()
 
 
 def _trimmed(x: str, y: str, similarity: float) -> tuple[list[str], list[str], int]:
@@ -603,6 +644,8 @@ def _as_codes(similarity: float):
             at = pa.array([i for i, x in enumerate(found) if x], pa.int32())
             left, right, most = zip(*(x for x in found if x), strict=True) if len(at) else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(left, pa.string()), pa.array(right, pa.string()), pa.array(most, pa.int32())], names=["a", "b", "a_codes", "b_codes", "most"])
+            del batch, found, at, left, right, most
+            W.release()
 
     return run
 
@@ -618,6 +661,9 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = pc.replace_with_mask(text, pa.array([n > 0 for n in gone], pa.bool_()), pa.array(left, text.type))
         totals = pc.add(pc.cast(pc.count_substring(text, "\n"), pa.int64()), 1).fill_null(0)
         yield pa.RecordBatch.from_arrays([batch.column(0), totals, pa.array(gone, pa.int64()), kept.cast(pa.string())], names=["doc_id", "n_lines", "n_removed", "text"])
+        # Workers are used again, so what a batch took would stay with the next stage's.
+        del batch, text, drops, left, gone, kept, totals
+        W.release()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:

@@ -3,6 +3,7 @@ import json
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -404,6 +405,29 @@ def test_long_lists_give_the_pairs_that_can_be_near_and_dense_ones_go_on_packed(
     assert len(pairs) == len(ids) - 1 and len(members) <= 7 and sum(len(r["b"]) // 8 for r in members) == len(ids)
 
 
+def test_lists_of_a_large_range_take_little_memory_and_give_all_pairs():
+    rng = np.random.default_rng(6)
+    n, each = 100, 25_000
+    key = rng.permutation(np.cumsum(rng.integers(1, 3000, n * each))).astype(np.uint64)
+    key[: n * each // 10] = key[-(n * each // 10) :]  # every tenth key comes twice
+    key, ids = rng.permutation(key), (np.int64(12) << 54) | rng.integers(1, 1 << 54, n * each)
+    packets = []
+    for i in range(0, n * each, each):
+        order = np.argsort(key[i : i + each]) + i
+        packets.append(line_dedup._packets(np.full(each, 7), [(key[order], words.pack_sorted), (ids[order], line_dedup._raw), (np.ones(each, np.int64), words.pack), (np.full(each, 3, np.uint8), lambda v: v.tobytes()), (ids[order], None)]))
+    table = pa.Table.from_batches(packets)
+    tracemalloc.start()
+    got = line_dedup._gathered(64, 0.8, 3, 7)(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    order = np.argsort(key, kind="stable")
+    same = np.flatnonzero(key[order][1:] == key[order][:-1])
+    want = {tuple(sorted(x)) for x in zip(ids[order][same].tolist(), ids[order][same + 1].tolist(), strict=True)}
+    pairs = [x for a, b in zip(got.column("a"), got.column("b"), strict=True) for x in zip(np.frombuffer(a.as_py(), "<i8").tolist(), np.frombuffer(b.as_py(), "<i8").tolist(), strict=True)]
+    assert len(want) == len(pairs) == n * each // 10 and set(pairs) == want
+    assert peak < 24 * n * each, peak / n / each
+
+
 def test_query_drops_exact_repeats_of_short_lines(spark, tmp_path):
     docs = [(1, "Short line\n---\n\n***\n\nend"), (2, "short LINE!\n ---\n\nnew\n***\n"), (3, "---"), (4, "\n\n"), (5, "1 2\nshort line x")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
