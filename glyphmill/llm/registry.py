@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontamination, language_id, line_dedup, lm_scoring, mixing, near_dedup, quality_rules, sharding, suffix_dedup, token_shards
+from . import chat_format, decontamination, language_id, lexical_search, line_dedup, lm_scoring, mixing, near_dedup, quality_rules, sharding, suffix_dedup, token_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": lm_scoring.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_shards": token_shards.query,
     "op9_mixing": mixing.query,
     "op10_sharding": sharding.query,
+    "op11_lexical_search": lexical_search.query,
     "op13_suffix_dedup": suffix_dedup.query,
 }
 ORACLES: dict[str, str] = {
