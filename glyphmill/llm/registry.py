@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontamination, language_id, lexical_search, line_dedup, lm_scoring, mixing, near_dedup, quality_rules, sharding, suffix_dedup, token_shards
+from . import chat_format, decontamination, hard_negatives, language_id, lexical_search, line_dedup, lm_scoring, mixing, near_dedup, quality_rules, sharding, suffix_dedup, token_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": lm_scoring.query,
@@ -20,9 +20,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": mixing.query,
     "op10_sharding": sharding.query,
     "op11_lexical_search": lexical_search.query,
+    "op12_hard_negatives": hard_negatives.query,
     "op13_suffix_dedup": suffix_dedup.query,
 }
 ORACLES: dict[str, str] = {
     "op7_chat_formatting": chat_format.SQL,
     "op9_mixing": mixing.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
 }
