@@ -45,6 +45,23 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def stored(df: DataFrame, kind: str) -> tuple[DataFrame, str]:
+    """``df`` as a Parquet table in the shared folder, and that table's path."""
+    path = new_folder(df.sparkSession, kind)
+    df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables of :func:`stored` that all later steps have read and written on."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def written(df: DataFrame, kind: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: packed, cut off from its lineage, and of a size that the planner knows, which decides its joins."""
     path = new_folder(df.sparkSession, kind)

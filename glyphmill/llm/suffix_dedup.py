@@ -14,11 +14,12 @@ they cover, is a *piece*.
 2. The pieces of those anchors are made; equal ones become one with the least doc_id of
    all.  An anchor with more than ``HOT`` different pieces has them cut into single windows,
    which are dealt by their own bytes, so that no anchor makes a large group.
-3. A task has some anchors.  Its pieces become one text, and the difference-cover algorithm
-   sorts its suffixes: sampled triples (positions 1 and 2 modulo 3) are sorted and named,
-   names that are not yet unique are sorted by recursion, and the remaining suffixes are
-   sorted by their first letter and the rank behind it, and merged.  Adjacent suffixes
-   whose first ``min_match`` bytes are equal form a group, with the least doc_id of its pieces.
+3. A task has some anchors.  Its different pieces become one text, and the difference-cover
+   algorithm sorts its suffixes: sampled triples (positions 1 and 2 modulo 3) are sorted and
+   named, names that are not yet unique are sorted by recursion until they stand for
+   ``min_match`` bytes, and the remaining suffixes are sorted by their first letter and the
+   rank behind it, and merged.  Adjacent suffixes whose first ``min_match`` bytes are equal
+   form a group, with the least doc_id of its pieces.
 4. Windows whose group has a smaller doc_id than their document become removal spans.
 
 Defined results.  Null text: empty, nothing removed, digest of no bytes.  Texts shorter than
@@ -36,11 +37,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .layout import pieces, written
+from .layout import discard, pieces, stored
 
 MIN_MATCH = 50
 #: Different pieces of one anchor above which they are cut into windows.
@@ -48,27 +50,29 @@ HOT = 1 << 14
 #: Windows of one piece at most.
 LONGEST_RUN = 256
 #: Planner's bytes of text for each range of anchors, and of pieces for each suffix array.
-RANGE_BYTES, ARRAY_BYTES = 8 << 20, 512 << 10
+RANGE_BYTES, ARRAY_BYTES = 16 << 20, 512 << 10
+ROWS_AT_ONCE = 1 << 14
+#: Crowded anchors of which a copy goes to each executor; more of them are joined by a shuffle.
+BROADCAST_ROWS = 1 << 16
 LAST_ID = (1 << 63) - 1
 
 _ASKED = pa.schema([("range", pa.int32()), ("key", pa.int64()), ("anchors", pa.binary()), ("owners", pa.binary()), ("keys", pa.binary())])
 _KNOWN = pa.schema([("key", pa.int64()), ("anchors", pa.binary())])
-_PIECES = pa.schema([("anchor", pa.int64()), ("piece", pa.binary()), ("windows", pa.int32()), ("key", pa.int64()), ("id", pa.int64()), ("start", pa.int64())])
+_PIECES = pa.schema([("anchor", pa.int64()), ("same", pa.int64()), ("windows", pa.int32()), ("key", pa.int64()), ("id", pa.int64()), ("start", pa.int64()), ("piece", pa.binary()), ("most", pa.int64())])
 _LEAST = pa.schema([("anchor", pa.int64()), ("same", pa.int64()), ("first", pa.int32()), ("windows", pa.int32()), ("least", pa.int64())])
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, min_match: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, first window, number of windows and row of each run of windows with one anchor."""
-    gram = max(1, min_match // 2 - 1)
+def runs(data: np.ndarray, offsets: np.ndarray, min_match: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor, first window, number of windows, row and hash of bytes of each run of windows with one anchor."""
+    gram = max(1, 2 * min_match // 5)
     width, n = min_match - gram + 1, len(data)
     if n < min_match:
-        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3, np.zeros(0, np.uint64)
     power, inverse = W._upto(n + 1)
     total = np.zeros(n + 1, np.uint64)
     with np.errstate(over="ignore"):
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
         least = W.mix((total[gram:] - total[:-gram]) * inverse[: n - gram + 1])
-    del total
     have = 1
     while have < width:
         step = min(have, width - have)
@@ -90,20 +94,22 @@ def runs(data: np.ndarray, offsets: np.ndarray, min_match: int) -> tuple[np.ndar
     nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
     first, length = np.repeat(first, parts) + nth * LONGEST_RUN, np.minimum(np.repeat(length, parts) - nth * LONGEST_RUN, LONGEST_RUN)
     low = least[first]  # a least hash is small: its lower half, which is even, goes first
-    return (low << np.uint64(32)) | (low >> np.uint64(32)), first, length, np.searchsorted(offsets, first, side="right") - 1
+    with np.errstate(over="ignore"):
+        same = W.mix((total[first + length + min_match - 1] - total[first]) * inverse[first] + length.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+    return (low << np.uint64(32)) | (low >> np.uint64(32)), first, length, np.searchsorted(offsets, first, side="right") - 1, same
 
 
-def _blocks(column: pa.Array, min_match: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For blocks of about one MiB: bytes, their offsets, the row of each text part, and the part's place in its text; parts of one text overlap by ``min_match`` - 1 bytes."""
+def _blocks(column: pa.Array, min_match: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """For blocks of about one MiB: bytes, their offsets, the row of each text part, the part's place in its text, and the block's place in the column; parts of one text overlap by ``min_match`` - 1 bytes."""
     data, offsets = W.utf8(column)
     for a, b in W.blocks(offsets):
         start, end = int(offsets[a]), int(offsets[b])
         if end - start <= 2 * W.BLOCK:
-            yield data[start:end], offsets[a : b + 1] - start, np.arange(a, b), np.zeros(b - a, np.int64)
+            yield data[start:end], offsets[a : b + 1] - start, np.arange(a, b), np.zeros(b - a, np.int64), start
             continue
         for x in range(start, end, W.BLOCK):  # one long text
             part = data[x : min(x + W.BLOCK + min_match - 1, end)]
-            yield part, np.array([0, len(part)]), np.array([a]), np.array([x - start])
+            yield part, np.array([0, len(part)]), np.array([a]), np.array([x - start]), x
 
 
 def _key() -> Column:
@@ -116,7 +122,7 @@ def _ask(ranges: int, min_match: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy()
-            found = [(anchor, rows[row]) for data, offsets, rows, _ in _blocks(batch.column(1), min_match) for anchor, _, _, row in [runs(data, offsets, min_match)]]
+            found = [(anchor, rows[row]) for data, offsets, rows, _, _ in _blocks(batch.column(1), min_match) for anchor, _, _, row, _ in [runs(data, offsets, min_match)]]
             anchor, row = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.uint64) for i in (0, 1))
             if len(anchor):
                 yield _questions(anchor, row, keys, ranges)
@@ -161,7 +167,7 @@ def _answer(table: pa.Table) -> pa.Table:
     """Which of the anchors of a range stand in several documents, to each document that asked."""
     keys, anchors = [], []
     asked = [(W.unpack_sorted(a), W.unpack(o).astype(np.int64), np.frombuffer(k, np.int64)) for key, a, o, k in zip(*(table.column(c).to_pylist() for c in _KNOWN.names), table.column("owners").to_pylist(), table.column("keys").to_pylist(), strict=True) if key is None]
-    own = table.filter(pa.compute.is_valid(table.column("key"))).select(_KNOWN.names)
+    own = table.filter(pc.is_valid(table.column("key"))).select(_KNOWN.names)
     if asked:
         anchor = np.concatenate([a for a, _, _ in asked])
         several = np.concatenate([o == 0 for _, o, _ in asked])
@@ -187,73 +193,109 @@ def _answer(table: pa.Table) -> pa.Table:
 
 
 def _cut(data: np.ndarray, first: np.ndarray, length: np.ndarray) -> pa.Array:
-    """The bytes of spans as binary values."""
+    """The bytes of spans as binary values; spans of no bytes are null."""
     ends = np.concatenate(([0], np.cumsum(length)))
-    at = np.arange(ends[-1]) - np.repeat(ends[:-1], length) + np.repeat(first, length)
-    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data[at])])
+    out = np.empty(ends[-1], np.uint8)
+    for a, b in W.blocks(ends):
+        at = np.arange(ends[a], ends[b]) - np.repeat(ends[a:b] - first[a:b], length[a:b])
+        out[ends[a] : ends[b]] = data[at]
+    return pa.Array.from_buffers(pa.binary(), len(first), [pa.array(length > 0).buffers()[1], pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(out)])
 
 
 def _make_pieces(min_match: int):
+    """A row for each piece at each of its places.  Of equal pieces in a batch one row, that of the least id, carries the bytes and the greatest id."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            own, wanted = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-            lists = [[W.unpack_sorted(x) for x in xs] for xs in batch.column(3).to_pylist()]
-            if any(lists):
-                wanted = np.concatenate([x for xs in lists for x in xs])
-                own = np.repeat(np.arange(len(lists)), [sum(map(len, xs)) for xs in lists])
-            asked = np.unique(W.pair(wanted, own.astype(np.uint64)))
-            for data, offsets, rows, begun in _blocks(batch.column(2), min_match):
-                anchor, first, length, row = runs(data, offsets, min_match)
-                kept = np.isin(W.pair(anchor, rows[row].astype(np.uint64)), asked)
-                anchor, first, length, row = anchor[kept], first[kept], length[kept], row[kept]
-                text = rows[row]
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), _cut(data, first, length + min_match - 1), pa.array(length.astype(np.int32)), pa.array(keys[text]), pa.array(ids[text]), pa.array(first - offsets[row] + begun[row])], schema=_PIECES)
-            del batch, lists, wanted, own, asked
+            yield from _pieces_of(batch, min_match)
+            del batch
             W.release()
 
     return run
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffixes of a sequence of non-negative numbers in order, by the difference cover {1, 2} modulo 3."""
+def _pieces_of(batch: pa.RecordBatch, min_match: int) -> Iterator[pa.RecordBatch]:
+    keys, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+    lists = [[W.unpack_sorted(x) for x in xs] for xs in batch.column(3).to_pylist()]
+    wanted = np.concatenate([np.zeros(0, np.uint64), *(x for xs in lists for x in xs)])
+    asked = np.unique(W.pair(wanted, np.repeat(np.arange(len(lists)), [sum(map(len, xs)) for xs in lists]).astype(np.uint64)))
+    del lists, wanted
+    parts = []
+    for data, offsets, rows, begun, origin in _blocks(batch.column(2), min_match):
+        anchor, first, length, row, same = runs(data, offsets, min_match)
+        kept = np.isin(W.pair(anchor, rows[row].astype(np.uint64)), asked)
+        anchor, first, length, row, same = anchor[kept], first[kept], length[kept], row[kept], same[kept]
+        parts.append((anchor, same, length, rows[row], first - offsets[row] + begun[row], first + origin))
+    anchor, same, length, text, start, at = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 5)
+    id_ = ids[text]
+    order = np.lexsort((id_, same, anchor))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (anchor[order][1:] != anchor[order][:-1]) | (same[order][1:] != same[order][:-1])
+    most = np.zeros(len(order), np.int64)
+    heads = np.flatnonzero(fresh)
+    most[order[heads]] = id_[order[np.append(heads[1:], len(order)) - 1]] if len(heads) else 0
+    carries = np.zeros(len(order), bool)
+    carries[order[heads]] = True
+    data = W.utf8(batch.column(2))[0]
+    for a in range(0, len(order), ROWS_AT_ONCE):
+        x = slice(a, a + ROWS_AT_ONCE)
+        yield pa.RecordBatch.from_arrays([pa.array(anchor[x].view(np.int64)), pa.array(same[x].view(np.int64)), pa.array(length[x].astype(np.int32)), pa.array(keys[text[x]]), pa.array(id_[x]), pa.array(start[x]), _cut(data, at[x], np.where(carries[x], length[x] + min_match - 1, 0)), pa.array(most[x])], schema=_PIECES)
+
+
+def _ordered(key: np.ndarray) -> np.ndarray:
+    """Places of keys in ascending order."""
+    bits = len(key).bit_length()
+    if len(key) and int(key.max()).bit_length() + bits < 64:
+        packed = (key << bits) | np.arange(len(key))
+        packed.sort()
+        return packed & ((1 << bits) - 1)
+    return np.argsort(key)
+
+
+def suffix_array(text: np.ndarray, depth: int | None = None, cover: int = 1) -> np.ndarray:
+    """Suffixes of a sequence of non-negative numbers in order, by the difference cover {1, 2} modulo 3.
+
+    With ``depth``, in the order of their first ``depth`` letters at least: names are not sorted
+    further once they stand for as many.  ``cover`` is the number of letters that one number stands for.
+    """
     n = len(text)
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: text[i:].tolist()), np.int64)
     s = np.concatenate((text.astype(np.int64) + 1, np.zeros(3, np.int64)))
-    one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
-    sample = np.concatenate((one, two))
+    sample = np.concatenate((np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)))
     # sampled triples, sorted and named
     base = int(s.max()) + 1
     head = s[sample] * base + s[sample + 1]
     if base >= 1 << 20:
         head = np.unique(head, return_inverse=True)[1].reshape(-1)
     triple = head * base + s[sample + 2]
-    order = np.argsort(triple, kind="stable")
+    order = _ordered(triple)
     ordered = triple[order]
     fresh = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-    name = np.empty(len(sample), np.int64)
-    name[order] = np.cumsum(fresh) - 1
-    if not fresh.all():
-        order = suffix_array(name)  # recursion on names
+    if not fresh.all() and (depth is None or 3 * cover < depth):
+        name = np.empty(len(sample), np.int64)
+        name[order] = np.cumsum(fresh) - 1
+        order = suffix_array(name, depth, 3 * cover)  # recursion on names
     sampled = sample[order]
+    step = len(sample) + 2
     rank = np.zeros(n + 3, np.int64)
     rank[sampled] = np.arange(1, len(sampled) + 1)
     if n % 3 == 1:  # the empty suffix behind a text of this length is sampled to close the first part
         sampled = sampled[sampled < n]
     # remaining suffixes: first letter, then the rank behind it
     rest = np.arange(0, n, 3)
-    step = len(sample) + 2
     first = s[rest] * step + rank[rest + 1]
-    order = np.argsort(first, kind="stable")
+    order = _ordered(first)
     rest, first = rest[order], first[order]
-    # merge: against samples of class 1 by (letter, rank), of class 2 by (two letters, rank)
+    # merge: against samples of class 1 by (letter, rank), of class 2 by (two letters, rank); both are in order but for suffixes that are equal to ``depth``
     ones, twos = sampled[sampled % 3 == 1], sampled[sampled % 3 == 2]
-    before = np.searchsorted(s[ones] * step + rank[ones + 1], first)
-    pairs = np.unique(np.concatenate((s[twos] * base + s[twos + 1], s[rest] * base + s[rest + 1])), return_inverse=True)[1].reshape(-1)
-    before += np.searchsorted(pairs[: len(twos)] * step + rank[twos + 2], pairs[len(twos) :] * step + rank[rest + 2])
+    before = np.searchsorted(np.sort(s[ones] * step + rank[ones + 1]), first)
+    pairs = np.concatenate((s[twos] * base + s[twos + 1], s[rest] * base + s[rest + 1]))
+    if 2 * base.bit_length() + step.bit_length() >= 63:
+        pairs = np.unique(pairs, return_inverse=True)[1].reshape(-1)
+    before += np.searchsorted(np.sort(pairs[: len(twos)] * step + rank[twos + 2]), pairs[len(twos) :] * step + rank[rest + 2])
     out = np.empty(n, np.int64)
-    place = before + np.arange(len(rest))
+    place = np.maximum.accumulate(before) + np.arange(len(rest))
     out[place] = rest
     free = np.ones(n, bool)
     free[place] = False
@@ -277,41 +319,54 @@ def _equal_prefixes(text: np.ndarray, left: np.ndarray, right: np.ndarray, size:
     return same
 
 
-def least_ids(texts: list[bytes], windows: np.ndarray, ids: np.ndarray, min_match: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window of each piece the least id of a piece that has it: piece, place and id, by piece and place."""
+def least_ids(texts: list[bytes], windows: np.ndarray, ids: np.ndarray, min_match: int) -> np.ndarray:
+    """The least id of a piece that has it, for each window of each piece in turn."""
     lengths = np.array([len(x) for x in texts], np.int64)
     data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
     begins = np.cumsum(lengths + 1) - lengths - 1
-    letters = data.astype(np.int64) + len(texts)
-    letters[begins + lengths] = np.arange(len(texts))  # each separator is a letter of its own
+    letters = data.astype(np.int64) + 1
+    letters[begins + lengths] = 0  # ends of pieces; no window reaches over one
     piece = np.repeat(np.arange(len(texts)), windows)
     place = np.arange(len(piece)) - np.repeat(np.cumsum(windows) - windows, windows)
     number = np.full(len(data), -1, np.int64)
     number[begins[piece] + place] = np.arange(len(piece))
-    array = suffix_array(letters)
+    array = suffix_array(letters, min_match)
     array = array[number[array] >= 0]
     fresh = np.ones(len(array), bool)
     fresh[1:] = ~_equal_prefixes(data, array[:-1], array[1:], min_match)
     starts = np.flatnonzero(fresh)
-    least = np.minimum.reduceat(ids[piece[number[array]]], starts) if len(starts) else np.zeros(0, np.int64)
     out = np.empty(len(piece), np.int64)
-    out[number[array]] = least[np.cumsum(fresh) - 1] if len(starts) else least
-    return piece, place, out
+    if len(starts):
+        out[number[array]] = np.minimum.reduceat(ids[piece[number[array]]], starts)[np.cumsum(fresh) - 1]
+    return out
 
 
 def _sort_suffixes(min_match: int):
+    """For the different pieces of a table: runs of windows with the least id of each, where an occurrence has a greater one."""
+
     def run(table: pa.Table) -> pa.Table:
-        windows = table.column("windows").to_numpy().astype(np.int64)
-        piece, place, least = least_ids(table.column("piece").to_pylist(), windows, table.column("id").to_numpy(), min_match)
-        fresh = np.ones(len(piece), bool)
-        fresh[1:] = (piece[1:] != piece[:-1]) | (least[1:] != least[:-1])
-        at = np.flatnonzero(fresh)
-        length = np.diff(np.append(at, len(piece)))
-        own = pa.array(piece[at])
-        first = place[at] + table.column("offset").to_numpy()[piece[at]]
-        out = pa.table([table.column("anchor").take(own), table.column("same").take(own), pa.array(first.astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(least[at])], schema=_LEAST)
+        anchor, same, offset, least, most = (table.column(c).to_numpy() for c in ("anchor", "same", "offset", "id", "most"))
+        order = np.lexsort((least, offset, same, anchor))
+        changed = lambda *columns: np.concatenate(([True], np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0)))
+        heads = np.flatnonzero(changed(anchor, same, offset))
+        most = np.maximum.reduceat(most[order], heads)
+        rows = order[heads]
+        anchor, same, offset, least = anchor[rows], same[rows], offset[rows], least[rows]
+        windows = table.column("windows").to_numpy()[rows].astype(np.int64)
+        group = np.cumsum(np.concatenate(([True], anchor[1:] != anchor[:-1]))) - 1
+        met = np.bincount(group)[group] > 1  # a piece alone with its anchor has no other to be compared with
+        at = np.repeat(np.arange(len(rows)), windows)
+        own = least[at]
+        if met.any():
+            own[met[at]] = least_ids(table.column("piece").take(pa.array(rows[met])).to_pylist(), windows[met], least[met], min_match)
+        fresh = np.concatenate(([True], (at[1:] != at[:-1]) | (own[1:] != own[:-1])))
+        begin = np.flatnonzero(fresh)
+        length = np.diff(np.append(begin, len(at)))
+        first = begin - (np.cumsum(windows) - windows)[at[begin]] + offset[at[begin]]
+        kept = own[begin] < most[at[begin]]
+        begin, length, first = begin[kept], length[kept], first[kept]
         W.release()
-        return out
+        return pa.table([pa.array(anchor[at[begin]]), pa.array(same[at[begin]]), pa.array(first.astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(own[begin])], schema=_LEAST)
 
     return run
 
@@ -340,26 +395,44 @@ def _remove(batches: Iterator[pa.RecordBatch], min_match: int) -> Iterator[pa.Re
 
 def remove_repeats(docs: DataFrame, *, min_match: int = MIN_MATCH, hot: int = HOT) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text): n_bytes, the removed spans of bytes (both ends included) and the bytes that stay."""
-    rows = docs.select(_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    spark = docs.sparkSession
+    text = F.col("text").cast("string")
+    rows = docs.select(_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    id_ = F.coalesce("doc_id", F.lit(LAST_ID))
     ranges = pieces(docs.select("text"), RANGE_BYTES)
     asked = rows.select("key", "text").mapInArrow(_ask(ranges, min_match), "range int, key long, anchors binary, owners binary, keys binary")
-    known = written(asked.groupBy("range").applyInArrow(_answer, "key long, anchors binary"), "repeat-anchors").groupBy("key").agg(F.collect_list("anchors").alias("anchors"))
-    held = rows.join(known, "key").select("key", F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "text", "anchors")
-    occurrences = written(held.mapInArrow(_make_pieces(min_match), "anchor long, piece binary, windows int, key long, id long, start long").withColumn("same", F.xxhash64("piece")), "repeat-pieces")
-
-    distinct = written(occurrences.groupBy("anchor", "same", "piece", "windows").agg(F.min("id").alias("id")), "repeat-distinct")
-    crowded = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("anchor", F.lit(True).alias("crowded"))
-    arrays = pieces(distinct, ARRAY_BYTES)
-    each = distinct.join(crowded, "anchor", "left")
-    whole = each.where("crowded is null").select("anchor", "same", "piece", "windows", "id", F.lit(0).alias("offset"), F.pmod("anchor", F.lit(arrays)).alias("array"))
+    known, known_at = stored(asked.groupBy("range").applyInArrow(_answer, "key long, anchors binary"), "repeat-anchors")
+
+    # whole texts that a smaller doc_id has go whole, and have no pieces that the other lacks
+    same_text = [F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b")]
+    texts = rows.where(F.octet_length("text") >= min_match).select("key", id_.alias("id"), (F.octet_length("text") - min_match + 1).cast("int").alias("windows"), *same_text)
+    copies = texts.join(texts.groupBy("a", "b").agg(F.min("id").alias("least")), ["a", "b"]).where("least < id").select("key", "windows").distinct()
+    copies, copies_at = stored(copies, "repeat-copies")
+
+    held = known.groupBy("key").agg(F.collect_list("anchors").alias("anchors")).join(copies, "key", "left_anti")
+    held = rows.join(held, "key").select("key", id_.alias("id"), "text", "anchors")
+    places, places_at = stored(held.mapInArrow(_make_pieces(min_match), "anchor long, same long, windows int, key long, id long, start long, piece binary, most long"), "repeat-pieces")
+    discard(spark, known_at)
+
+    each = places.where("piece is not null").select("anchor", "same", "piece", "windows", "id", "most")
+    crowded, crowded_at = stored(each.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("anchor"), "repeat-crowded")
+    many = crowded.count()
+    crowded = F.broadcast(crowded) if many <= BROADCAST_ROWS else crowded
+    arrays = pieces(places, ARRAY_BYTES)
+    whole = each.join(crowded, "anchor", "left_anti") if many else each
+    whole = whole.select("anchor", "same", "piece", "windows", "id", "most", F.lit(0).alias("offset"), F.pmod("anchor", F.lit(arrays)).alias("array"))
     window = F.substring("piece", F.col("offset") + 1, F.lit(min_match))
-    single = each.where("crowded").select("anchor", "same", "piece", "id", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("offset")).select("anchor", "same", window.alias("piece"), F.lit(1).alias("windows"), "id", "offset")
+    single = each.join(crowded, "anchor", "left_semi").groupBy("anchor", "same", "piece", "windows").agg(F.min("id").alias("id"), F.max("most").alias("most"))
+    single = single.withColumn("offset", F.explode(F.sequence(F.lit(0), F.col("windows") - 1))).select("anchor", "same", window.alias("piece"), F.lit(1).alias("windows"), "id", "most", "offset")
     single = single.withColumn("array", F.pmod(F.xxhash64("piece"), F.lit(arrays)))
-    least = whole.unionByName(single).groupBy("array").applyInArrow(_sort_suffixes(min_match), "anchor long, same long, first int, windows int, least long")
-
-    hits = occurrences.select("anchor", "same", "key", "id", "start").join(least, ["anchor", "same"]).where("least < id")
-    spans = written(hits.groupBy("key").agg(F.collect_set(F.struct((F.col("start") + F.col("first")).alias("first"), "windows")).alias("found")), "repeat-spans")
-    joined = rows.join(spans, "key", "left").select("doc_id", "text", "found")
+    least, least_at = stored((whole.unionByName(single) if many else whole).groupBy("array").applyInArrow(_sort_suffixes(min_match), "anchor long, same long, first int, windows int, least long"), "repeat-least")
+
+    hits = places.select("anchor", "same", "key", "id", "start").join(least, ["anchor", "same"]).where("least < id")
+    found = hits.groupBy("key").agg(F.collect_set(F.struct((F.col("start") + F.col("first")).alias("first"), "windows")).alias("found"))
+    found = found.unionByName(copies.select("key", F.array(F.struct(F.lit(0).cast("long").alias("first"), "windows")).alias("found")))
+    found, _ = stored(found, "repeat-spans")
+    discard(spark, places_at, least_at, copies_at, crowded_at)
+    joined = rows.join(found, "key", "left").select("doc_id", "text", "found")
     return joined.mapInArrow(lambda batches: _remove(batches, min_match), "doc_id long, n_bytes long, spans array<struct<first:long,last:long>>, kept binary")
 
 
