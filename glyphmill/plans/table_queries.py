@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import layout
 from ..operators import tables as T
 from .inputs import table
 
@@ -152,4 +153,34 @@ def region_tables(spark, d):
     strokes = _strokes(rows, F.lit(0)).unionByName(_strokes(second, F.when(k == 1, F.lit(1)).when(k == 2, F.lit(3)).otherwise(F.lit(0)), apart))
     right = _spans(second, F.lit(0), dx=apart, tag="b").withColumn("block_order", F.col("block_order") + 100)
     made = T.region_tables(strokes, _spans(rows, F.lit(0)).unionByName(right))
-    return made.select("page", "table_id", "reason", "n_rows", "strategy", F.coalesce(F.size("anchors"), F.lit(0)).cast("long").alias("cells"))
\ No newline at end of file
+    return made.select("page", "table_id", "reason", "n_rows", "strategy", F.coalesce(F.size("anchors"), F.lit(0)).cast("long").alias("cells"))
+
+@query("column_order", f"""with {PAGES}, b as (select page, r, n, c, case when page % 4 = 3 and c = 2 then null else r * 10 + c end as block_order from pages cross join (select unnest([0, 1, 2]) as c) where c < 2 + page % 2),
+t as (select page, n, -1 as r, -1 as c, 100 as block_order, page % 4 as k from pages where r = 0 and page % 4 >= 2 union all select page, n, r, c, block_order, page % 4 from b where block_order is not null)
+select page::int as page, block_order::int as block_order, row_number() over (partition by page order by case when k = 3 then 0 else c end, case when k = 3 then block_order else r end)::int - 1 as reading_order from t""")
+def column_order(spark, d):
+    """Pages of two or three columns whose blocks alternate in the native order, some below a title, and some with a row of blocks that is no column."""
+    rows = _pages(spark, d)
+    k, r, c = F.col("page") % 4, F.col("r"), F.col("c")
+    each = rows.withColumn("c", F.explode(F.sequence(F.lit(0), 1 + F.col("page") % 2))).where(~((k == 3) & (c == 2)))
+    narrow = (k == 3) & (c == 1)
+    blocks = each.select("document_id", "page", (r * 10 + c).alias("block_order"), (c * 200.0).alias("x0"), (r * 40.0 + c * 13 + 50).alias("y0"), (c * 200.0 + F.when(narrow, F.lit(20.0)).otherwise(180.0)).alias("x1"), (r * 40.0 + c * 13 + 60).alias("y1"))
+    title = rows.where((r == 0) & (k >= 2)).select("document_id", "page", F.lit(100).alias("block_order"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(600.0).alias("x1"), F.lit(20.0).alias("y1"))
+    return layout.column_order(blocks.unionByName(title).withColumn("page_width", F.lit(600.0))).select("page", "block_order", "reading_order")
+
+
+@query("text_tables", f"""with {PAGES}, p as (select distinct page, n, page % 6 as k from pages)
+select page::int as page, n::int as n_rows, 4 as n_cols, case k when 1 then 'text_aligned_operator_lane' when 2 then 'text_aligned_source_block_crosses_boundary' when 3 then 'text_aligned_insufficient_column_gap' when 5 then 'text_aligned_dense_row_spacing' end as reason,
+  case when k in (0, 4) then 4 * n else 0 end::bigint as cells, case when k in (0, 4) then 4 end as in_last, case when k in (0, 4) then 't' || (n - 1) end as last_text from p""")
+def text_tables(spark, d):
+    """Aligned rows: whole, with a lane of operators, with a block that goes on, with narrow gaps, with an indented cell, and with rows close together."""
+    rows = _pages(spark, d)
+    k = F.col("page") % 6
+    spans = _spans(rows, F.when(k == 2, F.lit(2)).otherwise(F.lit(0)))
+    wide = F.when((k == 3) & (F.col("seq") == 1), F.lit(22.0)).otherwise(F.lit(0.0))
+    shift = F.when((k == 4) & (F.col("seq") == 2) & (F.col("block_order") == 2), F.lit(5.0)).otherwise(F.lit(0.0))
+    squeeze = F.when(k == 5, F.col("block_order") * 5.5).otherwise(F.lit(0.0))
+    spans = spans.withColumns({"x0": F.col("x0") + shift, "x1": F.col("x1") + wide + shift, "y0": F.col("y0") - squeeze, "y1": F.col("y1") - squeeze, "text": F.when((k == 1) & (F.col("seq") == 1), F.lit("=")).otherwise(F.col("text"))})
+    made = layout.text_tables(spans)
+    last = F.filter("anchors", lambda a: a["row"] == F.col("n_rows") - 1)
+    return made.select("page", "n_rows", "n_cols", "reason", F.coalesce(F.size("anchors"), F.lit(0)).cast("long").alias("cells"), F.size(last).alias("in_last"), F.get(last, F.lit(3))["text"].alias("last_text"))
