@@ -26,5 +26,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op7_chat_formatting": chat_format.SQL,
     "op9_mixing": mixing.SQL,
+    "op11_lexical_search": lexical_search.SQL,
     "op12_hard_negatives": hard_negatives.SQL,
 }

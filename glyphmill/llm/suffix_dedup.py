@@ -104,7 +104,7 @@ def _blocks(column: pa.Array, min_match: int) -> Iterator[tuple[np.ndarray, np.n
     data, offsets = W.utf8(column)
     for a, b in W.blocks(offsets):
         start, end = int(offsets[a]), int(offsets[b])
-        if end - start <= 2 * W.BLOCK:
+        if b - a > 1 or end - start <= 2 * W.BLOCK:
             yield data[start:end], offsets[a : b + 1] - start, np.arange(a, b), np.zeros(b - a, np.int64), start
             continue
         for x in range(start, end, W.BLOCK):  # one long text
