@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curation_queries, record_queries, structure_queries, table_queries
+from . import curation_queries, record_queries, structure_queries, table_queries, unit_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = structure_queries.QUERIES | curation_queries.QUERIES | record_queries.QUERIES | table_queries.QUERIES
-ORACLES: dict[str, str] = structure_queries.ORACLES | curation_queries.ORACLES | record_queries.ORACLES | table_queries.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = structure_queries.QUERIES | curation_queries.QUERIES | record_queries.QUERIES | table_queries.QUERIES | unit_queries.QUERIES
+ORACLES: dict[str, str] = structure_queries.ORACLES | curation_queries.ORACLES | record_queries.ORACLES | table_queries.ORACLES | unit_queries.ORACLES
