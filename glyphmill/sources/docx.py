@@ -11,6 +11,7 @@ import io
 import posixpath
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
@@ -205,6 +206,14 @@ def _inside(parent: ET.Element, name: str) -> Iterator[ET.Element]:
                 yield from _inside(inner, name)
 
 
+def _own_paragraphs(parent: ET.Element) -> Iterator[ET.Element]:
+    for node in parent:
+        if node.tag == NS + "p":
+            yield node
+        elif node.tag != NS + "tbl":
+            yield from _own_paragraphs(node)
+
+
 def _boxes(p: ET.Element) -> Iterator[ET.Element]:
     """Text boxes of a paragraph; of a choice and its fallback only the choice."""
     for node in p:
@@ -235,10 +244,25 @@ class Reader:
             return ET.fromstring(self.z.read(part))
         except ET.ParseError:
             raise PackageError("MALFORMED_XML") from None
+        except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError):
+            raise PackageError("CORRUPT_PART") from None
+
+    def story(self, part: str, zone: str) -> None:
+        """The blocks of a header or footer; one that is named and missing shows as an element with its code."""
+        root = self.xml(part)
+        if root is None:
+            Story(self, part, zone).put("UNKNOWN", None, diagnostic="PART_MISSING")
+        else:
+            Story(self, part, zone).blocks(root)
 
     def relations(self, part: str) -> dict:
         if part not in self._rels:
-            self._rels[part] = relationships(self.z, part)
+            try:
+                self._rels[part] = relationships(self.z, part)
+            except ET.ParseError:
+                raise PackageError("MALFORMED_XML") from None
+            except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError):
+                raise PackageError("CORRUPT_PART") from None
         return self._rels[part]
 
     def shows(self, mark: str) -> bool:
@@ -266,13 +290,16 @@ class Reader:
         return "".join(out)
 
     def cell_text(self, cell: ET.Element) -> str:
-        return "\n".join(self.text(p) for p in cell.iter(NS + "p"))
+        """Text of a cell's own paragraphs; a table in it has cells of its own."""
+        return "\n".join(self.text(p) for p in _own_paragraphs(cell))
 
     def read(self) -> list[dict]:
         body = self.xml("word/document.xml").find(NS + "body")
+        if body is None:
+            raise PackageError("BODY_MISSING")
         rels = sorted(self.relations("word/document.xml").values())
         for _, part, _ in (r for r in rels if r[0] == "header"):
-            Story(self, part, "header").blocks(self.xml(part))
+            self.story(part, "header")
         Story(self, "word/document.xml", "body").blocks(body)
         for part, tag in (("word/footnotes.xml", "footnote"), ("word/endnotes.xml", "endnote"), ("word/comments.xml", "comment")):
             root = self.xml(part)
@@ -280,7 +307,7 @@ class Reader:
                 if note.get(NS + "type") is None:  # separators are not content
                     Story(self, part, tag, (tag, note.get(NS + "id"))).blocks(note)
         for _, part, _ in (r for r in rels if r[0] == "footer"):
-            Story(self, part, "footer").blocks(self.xml(part))
+            self.story(part, "footer")
         return self.rows
 
     def assets(self) -> list[dict]:

@@ -96,6 +96,42 @@ def test_docx_guards():
         docx.Reader(package("", styles=cycle))
 
 
+def test_docx_errors_are_codes(spark):
+    broken = bytearray(package(p("some text that is long enough to be changed")))
+    at = bytes(broken).index(b"long enough")
+    broken[at] ^= 1
+    header = '<Relationships><Relationship Id="r1" Type="x/header" Target="header1.xml"/></Relationships>'
+    cases = {
+        "crc": bytes(broken), "body": zipped_xml("<w:document " + W + "/>"), "xml": zipped_xml("<w:document"), "header": with_rels(p("text"), header), "none": b"",
+    }
+    got = docx.docx(spark.createDataFrame(list(cases.items()), "document_id string, content binary")).collect()
+    codes = {d: [r.diagnostic for r in got if r.document_id == d and r.diagnostic] for d in cases}
+    assert codes == {"crc": ["CORRUPT_PART"], "body": ["BODY_MISSING"], "xml": ["MALFORMED_XML"], "header": ["PART_MISSING"], "none": ["NOT_A_PACKAGE"]}
+    assert [r.raw_text for r in got if r.document_id == "header"] == [None, "text"]
+
+
+def zipped_xml(xml):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", xml)
+    return out.getvalue()
+
+
+def with_rels(body, rels):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {W}><w:body>{body}</w:body></w:document>")
+        z.writestr("word/_rels/document.xml.rels", rels)
+    return out.getvalue()
+
+
+def test_a_nested_table_keeps_its_text(spark):
+    inner = f"<w:tbl><w:tr><w:tc>{p('in')}</w:tc></w:tr></w:tbl>"
+    body = f"<w:tbl><w:tr><w:tc>{p('own')}{inner}{p('after')}</w:tc></w:tr></w:tbl>"
+    rows = docx.Reader(package(body)).read()
+    assert [r["raw_text"] for r in rows if r["type"] == "TABLE_CELL"] == ["own\nafter", "in"]
+
+
 def test_json_lines(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"record_id": "1"}\n\n{"record_id": "1"}\n[1]\n{"x": NaN}\n{"x": 1}\n')
     got = sorted(r.code for r in jsonl.line_issues(jsonl.read_lines(spark, str(tmp_path / "a.jsonl"))).collect())
