@@ -156,8 +156,7 @@ def role_report(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """Scores of annotations (document_id, target, kind, type) in total, by type, by kind and by target, in one pass of grouping sets."""
     keys = ["document_id", "target", "kind", "type"]
     both = gold.select(*keys).distinct().withColumn("g", F.lit(1)).join(predicted.select(*keys).distinct().withColumn("p", F.lit(1)), keys, "full_outer")
-    both.createOrReplaceTempView("gm_roles")
-    made = both.sparkSession.sql("select type, kind, target, grouping_id() as level, count_if(g = 1 and p = 1) as tp, count_if(g is null) as fp, count_if(p is null) as fn from gm_roles group by grouping sets ((type), (kind), (target), ())")
+    made = both.sparkSession.sql("select type, kind, target, grouping_id() as level, count_if(g = 1 and p = 1) as tp, count_if(g is null) as fp, count_if(p is null) as fn from {rows} group by grouping sets ((type), (kind), (target), ())", rows=both)
     return M.with_scores(made)
 
 
