@@ -132,17 +132,27 @@ def _ask(ranges: int, min_match: int):
     return run
 
 
-def _questions(anchor: np.ndarray, row: np.ndarray, keys: np.ndarray, ranges: int) -> pa.RecordBatch:
-    order = np.lexsort((keys[row], anchor))
-    anchor, row = anchor[order], row[order]
-    key = keys[row]
+def _grouped(anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each anchor begins in an ascending list of them, and the group of each place."""
     fresh = np.ones(len(anchor), bool)
     fresh[1:] = anchor[1:] != anchor[:-1]
-    distinct = fresh.copy()
-    distinct[1:] |= key[1:] != key[:-1]
-    anchor, key, fresh = anchor[distinct], key[distinct], fresh[distinct]
-    group = np.cumsum(fresh) - 1
-    several = np.bincount(group)[group] > 1
+    return np.flatnonzero(fresh), np.cumsum(fresh) - 1
+
+
+def _questions(anchor: np.ndarray, row: np.ndarray, keys: np.ndarray, ranges: int) -> pa.RecordBatch:
+    order = np.argsort(anchor)
+    anchor, key = anchor[order], keys[row[order]]
+    begins, group = _grouped(anchor)
+    more = np.diff(np.append(begins, len(anchor)))[group] > 1
+    # most stand once in a batch; of the others, each (anchor, key) counts once
+    again, own = anchor[more], key[more]
+    order = np.lexsort((own, again))
+    again, own = again[order], own[order]
+    distinct = np.ones(len(again), bool)
+    distinct[1:] = (again[1:] != again[:-1]) | (own[1:] != own[:-1])
+    again, own = again[distinct], own[distinct]
+    heads, group = _grouped(again)
+    several = np.bincount(group)[group] > 1 if len(group) else np.zeros(0, bool)
     out: dict[str, list] = {name: [] for name in _ASKED.names}
 
     def add(*values) -> None:
@@ -150,16 +160,22 @@ def _questions(anchor: np.ndarray, row: np.ndarray, keys: np.ndarray, ranges: in
             column.append(value)
 
     at = np.flatnonzero(several)
-    at = at[np.argsort(key[at], kind="stable")]
-    for part in np.split(at, np.flatnonzero(np.diff(key[at])) + 1) if len(at) else []:
-        own = int(key[part[0]])
-        add(own % ranges, own, W.pack_sorted(anchor[part]), b"", b"")
-    at = np.flatnonzero(~several | fresh)
-    to = ((anchor[at] >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-    for part in np.split(at, np.flatnonzero(np.diff(to)) + 1):
-        own, place = np.unique(key[part], return_inverse=True)
-        owner = np.where(several[part], 0, place.reshape(-1) + 1)
-        add(int(((int(anchor[part[0]]) >> 32) * ranges) >> 32), None, W.pack_sorted(anchor[part]), W.pack(owner), own.tobytes())
+    at = at[np.argsort(own[at], kind="stable")]
+    for part in np.split(at, np.flatnonzero(np.diff(own[at])) + 1) if len(at) else []:
+        mine = int(own[part[0]])
+        add(mine % ranges, mine, W.pack_sorted(again[part]), b"", b"")
+    first = np.zeros(len(again), bool)
+    first[heads] = True
+    shown = ~several | first
+    asked = np.concatenate((anchor[~more], again[shown]))
+    key = np.concatenate((key[~more], own[shown]))
+    shared = np.concatenate((np.zeros(np.count_nonzero(~more), bool), several[shown]))
+    order = np.argsort(asked)
+    asked, key, shared = asked[order], key[order], shared[order]
+    to = ((asked >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    for part in np.split(np.arange(len(asked)), np.flatnonzero(np.diff(to)) + 1):
+        held, place = np.unique(key[part], return_inverse=True)
+        add(int(to[part[0]]), None, W.pack_sorted(asked[part]), W.pack(np.where(shared[part], 0, place.reshape(-1) + 1)), held.tobytes())
     return pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in _ASKED], schema=_ASKED)
 
 
@@ -173,14 +189,11 @@ def _answer(table: pa.Table) -> pa.Table:
         several = np.concatenate([o == 0 for _, o, _ in asked])
         key = np.concatenate([np.concatenate((np.zeros(1, np.int64), k))[o] for _, o, k in asked])
         del asked
-        order = np.lexsort((key, several, anchor))
+        order = np.argsort(anchor)
         anchor, key, several = anchor[order], key[order], several[order]
-        fresh = np.ones(len(anchor), bool)
-        fresh[1:] = anchor[1:] != anchor[:-1]
-        other = fresh.copy()
-        other[1:] |= (key[1:] != key[:-1]) | several[1:]
-        group = np.cumsum(fresh) - 1
-        known = ((np.bincount(group, weights=other) > 1) | (np.bincount(group, weights=several) > 0))[group] & ~several
+        begins, group = _grouped(anchor)
+        met = np.logical_or.reduceat(several, begins) | (np.minimum.reduceat(key, begins) != np.maximum.reduceat(key, begins))
+        known = met[group] & ~several
         anchor, key = anchor[known], key[known]
         order = np.argsort(key, kind="stable")
         anchor, key = anchor[order], key[order]
@@ -223,7 +236,8 @@ def _pieces_of(batch: pa.RecordBatch, min_match: int) -> Iterator[pa.RecordBatch
     parts = []
     for data, offsets, rows, begun, origin in _blocks(batch.column(2), min_match):
         anchor, first, length, row, same = runs(data, offsets, min_match)
-        kept = np.isin(W.pair(anchor, rows[row].astype(np.uint64)), asked)
+        own = W.pair(anchor, rows[row].astype(np.uint64))
+        kept = asked[np.minimum(np.searchsorted(asked, own), len(asked) - 1)] == own if len(asked) else np.zeros(len(own), bool)
         anchor, first, length, row, same = anchor[kept], first[kept], length[kept], row[kept], same[kept]
         parts.append((anchor, same, length, rows[row], first - offsets[row] + begun[row], first + origin))
     anchor, same, length, text, start, at = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 5)
