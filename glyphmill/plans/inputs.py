@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import signals
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,16 +36,25 @@ el as (select doc_id::varchar as document_id, ord, doc_id || ':' || ord as eleme
   (['','1.2 ','(a) ','(b) ','Question: ','Answer: ','','','10:30 ','10:31 ','','Note: '])[k + 1] || case when k = 0 then line || ':' else line end as text,
   case when ord > 0 and k = 1 then (1 + (doc_id + ord) % 3)::int end as heading_level, k < 3 as bold, (10 + k % 3)::double as font_size, k from lines)"""
 
+
+def _with_patterns(sql: str) -> str:
+    """SQL with the patterns and types of :mod:`signals`, as the other engine writes them: its classes are always Unicode, and a look-ahead is a group."""
+    patterns = {"NUMBERING": signals.NUMBERING, "SECTION": signals.section_pattern(), "QUESTION": signals.QUESTION, "ANSWER": signals.ANSWER, "TIMESTAMP": signals.TIMESTAMP, "SPEAKER": signals.SPEAKER}
+    for name, pattern in patterns.items():
+        sql = sql.replace("{" + name + "}", "'" + pattern.replace("(?Ui)", "(?i)").replace("(?U)", "").replace("(?=", "(") + "'")
+    return sql.replace("{LEXICAL}", ",".join(f"'{t}'" for t in signals.LEXICAL_TYPES))
+
+
 #: Markers, boundaries and classes of neighbours, from el.
-MARKS = LINES + r""",
-mk as (select *, type in ('TITLE','HEADING','PARAGRAPH','SENTENCE','LINE','QUESTION','ANSWER','DIALOGUE_TURN','UNKNOWN') as lex from el),
+MARKS = LINES + _with_patterns(r""",
+mk as (select *, type in ({LEXICAL}) as lex from el),
 m1 as (select *,
-  case when lex and regexp_matches(text, '^\s*((?:\d+\.\d+(?:\.\d+)*|\d+[.)]|[A-Za-z][.)]|[IVXLCDMivxlcdm]+[.)]))\s+') then regexp_extract(text, '^\s*((?:\d+\.\d+(?:\.\d+)*|\d+[.)]|[A-Za-z][.)]|[IVXLCDMivxlcdm]+[.)]))\s+', 1) end as numbering,
-  case when lex and regexp_matches(text, '(?i)^\s*(summary|chapter|section|khoản|điều|part|todo|mục)(\s|[:.\-]|$)') then regexp_extract(text, '(?i)^\s*(summary|chapter|section|khoản|điều|part|todo|mục)(\s|[:.\-]|$)', 1) end as section,
-  case when lex and regexp_matches(text, '(?i)^\s*(q(?:uestion)?\s*[:\-])\s*') then regexp_extract(text, '(?i)^\s*(q(?:uestion)?\s*[:\-])\s*', 1) end as question,
-  case when lex and regexp_matches(text, '(?i)^\s*(a(?:nswer)?\s*[:\-])\s*') then regexp_extract(text, '(?i)^\s*(a(?:nswer)?\s*[:\-])\s*', 1) end as answer,
-  case when lex and regexp_matches(text, '^\s*(\[(?:\d{4}-\d{2}-\d{2}[ T])?\d{1,2}:\d{2}(?::\d{2})?\]|(?:\d{4}-\d{2}-\d{2}[ T])\d{1,2}:\d{2}(?::\d{2})?|\d{1,2}:\d{2}(?::\d{2})?)(\s|$)') then 'T' end as stamp,
-  lex and regexp_matches(text, '^\s*([^\s:][^:\n]{0,39})\s*:\s+\S') as says from mk),
+  case when lex and regexp_matches(text, {NUMBERING}) then regexp_extract(text, {NUMBERING}, 1) end as numbering,
+  case when lex and regexp_matches(text, {SECTION}) then regexp_extract(text, {SECTION}, 1) end as section,
+  case when lex and regexp_matches(text, {QUESTION}) then regexp_extract(text, {QUESTION}, 1) end as question,
+  case when lex and regexp_matches(text, {ANSWER}) then regexp_extract(text, {ANSWER}, 1) end as answer,
+  case when lex and regexp_matches(text, {TIMESTAMP}) then 'T' end as stamp,
+  lex and regexp_matches(text, {SPEAKER}) as says from mk),
 m2 as (select *, says and question is null and answer is null and stamp is null and section is null as speaker from m1),
 pr as (select *, lag(element_id) over w as l_id, lag(type) over w as lt, lag(question) over w as l_question, lag(bold) over w as l_bold, lag(font_size) over w as l_font from m2 window w as (partition by document_id order by ord)),
 b0 as (select *, case when (lt = 'QUESTION' and type = 'ANSWER') or (l_question is not null and answer is not null) then 'QA_PAIR' end as guard,
@@ -55,7 +66,7 @@ b0 as (select *, case when (lt = 'QUESTION' and type = 'ANSWER') or (l_question
 b1 as (select *, lt <> type and not family as type_change, case when family then 0.0::double else ((l_bold <> bold)::int + (l_font <> font_size)::int) / 2.0::double end as style_change from b0),
 b2 as (select *, 1.0::double * explicit::int + 0.25::double * style_change + 0.3::double * type_change::int + 1.0::double * separator::int + 0.45::double * pattern_start::int + 0.3::double * paragraph_break::int as score from b1),
 bd as (select *, case when guard is not null then 'NONE' when explicit or separator or hard_reason is not null then 'HARD' when score = 0 and ((lt = 'UNKNOWN' and type = 'UNKNOWN') or family) then 'UNKNOWN'
-  when score >= 0.8 then 'HARD' when score >= 0.25 then 'SOFT' else 'NONE' end as class from b2)"""
+  when score >= 0.8 then 'HARD' when score >= 0.25 then 'SOFT' else 'NONE' end as class from b2)""")
 
 
 def turn_elements(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -20,3 +20,14 @@ def reach(spark: SparkSession) -> SparkSession:
     if spark.conf.get(_BYTES) in ("67108864b", "64m"):
         spark.conf.set(_BYTES, "8m")
     return spark
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the folder that spark.checkpoint.dir names, so that a loop's plan doesn't grow; in local mode without that setting, below /tmp."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or f"file:///tmp/glyphmill-{context.applicationId}")
+    return df.checkpoint(eager=True)

@@ -172,3 +172,13 @@ def test_edges_of_boxes(spark):
     made = T.box_strokes(frame(spark, [(0.0, 0.0, 4.0, 2.0)], "x0 double, y0 double, x1 double, y1 double"))
     assert sorted((r.x0, r.y0, r.x1, r.y1) for r in made.collect()) == [(0.0, 0.0, 0.0, 2.0), (0.0, 0.0, 4.0, 0.0), (0.0, 2.0, 4.0, 2.0), (4.0, 0.0, 4.0, 2.0)]
     assert {(r.axis, r.at) for r in T.segments(made, 0.75).select("axis", F.col("at")).collect()} == {("x", 0.0), ("x", 4.0), ("y", 0.0), ("y", 2.0)}
+
+
+def test_forests_of_any_depth(spark):
+    from glyphmill.operators.mutations import unreachable
+
+    chain = [(i, i - 1 if i else None) for i in range(300)]
+    ring = [(1000 + i, 1000 + (i + 1) % 7) for i in range(7)] + [(2000 + i, 1999 + i if i else 1003) for i in range(40)]
+    made = unreachable(spark.createDataFrame(chain + ring + [(5, 4), (9000, 8999)], "id long, parent_id long"))
+    assert {r.id for r in made.collect()} == {i for i, _ in ring}
+    assert unreachable(spark.createDataFrame(chain, "id long, parent_id long")).count() == 0
