@@ -14,7 +14,7 @@ def unreachable(edges: DataFrame) -> DataFrame:
     A root has no parent, or one that is not an id itself.  Each round every id jumps twice as far up, so a forest of depth d
     takes about log2(d) joins; when a round takes nothing off what is left, that never ends.
     """
-    ids = edges.select("id", F.col("parent_id").alias("up"))
+    ids = edges.select("id", F.col("parent_id").alias("up")).distinct()
     known = edges.select(F.col("id").alias("up")).distinct().withColumn("there", F.lit(True))
     left = cut(ids.join(known, "up", "left").where("there").select("id", "up"))
     before, count = -1, left.count()
