@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import enrichment, studio
+from ..operators import assembly, enrichment, studio
+from ..sources import texts
 from .inputs import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +74,40 @@ select split, 'tree:' || sha256(string_agg(prefix || '=' || node, chr(10) order
 def tree_hashes(spark, d):
     rows = table(spark, d, "orders").select(F.col("o_orderpriority").alias("split"), F.sha2(F.concat_ws(":", F.col("o_orderkey").cast("string"), "o_orderstatus").cast("binary"), 256).alias("row_hash"))
     return studio.tree_hash(rows, ["split"], "row_hash", leaf=256)
+
+
+# Assembly
+
+
+@query("assembled_documents", """with e as (select user_id as d, event_id as id, row_number() over (partition by user_id order by event_id) - 1 as ord from events), n as (select d, count(*) as elements, max(ord // 4) + 1 as units from e group by 1),
+f as (select d, bool_or(id % 97 = 0) as unknown, bool_or(id % 89 = 0) as gap, bool_or(id % 83 = 0 and ord > 0) as twice, bool_or(id % 79 = 0) as parent from e group by 1)
+select d::varchar as document_id, elements, units::bigint as units, array_to_string(list_filter([case when d % 10 = 0 then 'CONTENT_HASH_MALFORMED' end, case when d % 10 = 1 then 'STRUCTURE_VERSION_CONFLICT' end, case when gap then 'ORDER_NOT_DENSE' end, case when unknown then 'UNIT_MEMBER_UNKNOWN' end, case when parent then 'CONTEXT_PARENT_UNKNOWN' end, case when twice then 'RELATION_TWICE' end], lambda x: x is not null), ',') as violations from n join f using (d)""")
+def assembled_documents(spark, d):
+    """Events of a user as a document: elements, units of four, a chain of contexts and of relations, with faults where keys say so."""
+    doc = F.col("user_id").cast("string").alias("document_id")
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    rows = table(spark, d, "events").select("user_id", doc, "event_id", (F.row_number().over(w) - 1).alias("ord"), F.lag("event_id").over(w).alias("before"))
+    name = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    e = F.col("event_id")
+    elements = rows.select("document_id", F.when(e % 89 == 0, F.col("ord") + 1_000_000).otherwise(F.col("ord")).alias("ord"), name("e", e).alias("element_id"))
+    member = F.when(e % 97 == 0, F.array(name("e", e), F.lit("gone"))).otherwise(F.array(name("e", e)))
+    units = rows.groupBy("document_id", name("u", F.floor(F.col("ord") / 4)).alias("unit_id")).agg(F.array_distinct(F.flatten(F.collect_list(member))).alias("element_ids"))
+    # a name that is unknown in several units is one unknown name each
+    units = units.withColumn("element_ids", F.transform("element_ids", lambda x: F.when(x == "gone", F.concat(x, F.col("unit_id"))).otherwise(x)))
+    contexts = rows.select("document_id", name("c", e).alias("node_id"), F.when(e % 79 == 0, F.lit("nowhere")).otherwise(name("c", F.col("before"))).alias("parent_id"))
+    edges = rows.where("before is not null").select("document_id", name("r", e).alias("relation_id"), name("e", F.col("before")).alias("source_id"), name("e", e).alias("target_id"), F.lit("NEXT").alias("type"))
+    again = edges.where("cast(substring(relation_id, 2) as long) % 83 = 0").withColumn("relation_id", F.concat("relation_id", F.lit("x")))
+    k = F.col("user_id") % 10
+    documents = rows.select("user_id", "document_id").distinct().select("document_id", F.when(k == 0, F.lit("md5:1")).otherwise(F.concat(F.lit("sha256:"), F.sha2("document_id", 256))).alias("content_hash"), F.when(k == 1, F.lit("0")).when(k == 2, F.lit("7")).alias("structure_version"))
+    made = assembly.assemble(documents, "7", elements=elements, units=units, contexts=contexts, relations=edges.unionByName(again))
+    return made.select("document_id", F.size("elements").cast("long").alias("elements"), F.size("units").cast("long").alias("units"), F.array_join("violations", ",").alias("violations"))
+
+
+@query("adapted_files", """select doc_id::varchar as document_id, case when doc_id % 4 = 1 then 'CONTENT_HASH_MISMATCH' when doc_id % 4 = 2 then 'NO_ELEMENTS' end as code from documents where doc_id % 4 in (1, 2)""")
+def adapted_files(spark, d):
+    """Texts as files whose expected hash is theirs, another's, or none; some are empty."""
+    k = F.col("doc_id") % 4
+    content = F.when(k == 2, F.lit("")).otherwise(F.col("text")).cast("binary")
+    files = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), content.alias("content"), F.when(k == 0, F.concat(F.lit("sha256:"), F.sha2(content, 256))).when(k == 1, F.lit("sha256:0")).alias("content_hash"))
+    read = lambda f: texts.markdown(f.select("document_id", F.col("content").cast("string").alias("text")))
+    return assembly.run_adapter(files, read)[1].select("document_id", "code")
