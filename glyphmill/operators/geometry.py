@@ -8,6 +8,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 PAGE = ["document_id", "page"]
 BOX = ["x0", "y0", "x1", "y1"]
@@ -269,29 +270,38 @@ def text_table_runs(rows: DataFrame, least_rows: int = 3, least_cols: int = 3) -
     return made.where((F.col("n_rows") >= least_rows) & (F.col("n_cols") >= least_cols))
 
 
+def _swept(boxes: list[tuple], reach: float) -> list[int]:
+    """For boxes (x0, y0, x1, y1) in order of (y0, x0) the first place of each one's connected group, by a sweep that looks at boxes still open only."""
+    up = list(range(len(boxes)))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    live: list[int] = []
+    for i, (x0, y0, x1, _) in enumerate(boxes):
+        live = [j for j in live if boxes[j][3] + reach >= y0]
+        for j in live:
+            if boxes[j][0] - reach <= x1 and x0 - reach <= boxes[j][2]:
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+        live.append(i)
+    return [root(i) for i in range(len(boxes))]
+
+
 def box_clusters(boxes: DataFrame, reach: float = 2.0) -> DataFrame:
-    """Connected groups of boxes that touch within ``reach`` on a page, by sweeping each page's boxes."""
+    """Connected groups of boxes that touch within ``reach`` on a page, by sweeping each page's boxes; a group is named by its first box."""
 
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["y0", "x0"])[["box_id", *BOX]].values.tolist()
-        up = list(range(len(rows)))
-
-        def root(i: int) -> int:
-            while up[i] != i:
-                up[i] = up[up[i]]
-                i = up[i]
-            return i
-
-        live: list[int] = []
-        for i, b in enumerate(rows):
-            live = [j for j in live if rows[j][4] + reach >= b[2]]
-            for j in live:
-                if rows[j][1] - reach <= b[3] and b[1] - reach <= rows[j][3]:
-                    up[root(i)] = root(j)
-            live.append(i)
-        return pd.DataFrame({"document_id": pdf["document_id"].iloc[0], "page": pdf["page"].iloc[0], "box_id": [r[0] for r in rows], "cluster": [rows[root(i)][0] for i in range(len(rows))]})
-
-    return boxes.select(*PAGE, "box_id", *BOX).groupBy(*PAGE).applyInPandas(page, "document_id string, page int, box_id string, cluster string")
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def swept(pages: pd.Series) -> pd.Series:
+        return pd.Series([_swept([tuple(b[c] for c in BOX) for b in page], reach) for page in pages])
+
+    row = F.struct(*[F.col(c).cast("double").alias(c) for c in ("y0", "x0", "x1", "y1")], F.col("box_id").cast("string").alias("box_id"))
+    pages = boxes.groupBy(*PAGE).agg(F.sort_array(F.collect_list(row)).alias("boxes")).withColumn("firsts", swept("boxes"))
+    each = pages.select(*PAGE, "boxes", F.posexplode("firsts").alias("at", "first"))
+    return each.select(*PAGE, F.get("boxes", F.col("at"))["box_id"].alias("box_id"), F.get("boxes", F.col("first"))["box_id"].alias("cluster"))
 
 
 def leading_row_fingerprint(cells: DataFrame) -> DataFrame:
