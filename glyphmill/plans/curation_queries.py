@@ -145,10 +145,21 @@ def role_report(spark, d):
     return evaluation.role_report(gold, predicted).where("target is null").select("type", "kind", "tp", "fp", "fn")
 
 
-@query("aligned_elements")
+def _alignment() -> str:
+    """Four passes; each matches gold elements with keys that one free prediction has, the earliest gold element first, and takes them out."""
+    keys = {"anchor": ("", "anchor"), "exact_text": ("type,", "text"), "normalized_text": ("type,", "lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))"), "occurrence": ("type,", "(row_number() over (partition by document_id, type order by ord))::varchar")}
+    sql = f"with {LINES}, g0 as (select document_id, element_id as id, ord, type, text, case when k = 1 then element_id end as anchor from el), p0 as (select * replace (case when ord % 5 = 4 then translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') else text end as text) from g0 where ord % 9 <> 8)"
+    for i, (name, (extra, key)) in enumerate(keys.items()):
+        sql += f""", gk{i} as (select document_id, {extra} {key} as k, id, ord from g{i}), pe{i} as (select document_id, {extra} {key} as k, id from p{i}), pk{i} as (select document_id, {extra} k, count(*) as n, min(id) as found from pe{i} where k is not null group by all),
+f{i} as (select document_id, id as gold_id, found, '{name}' as matched_by from gk{i} join pk{i} using (document_id, {extra} k) where n = 1 qualify row_number() over (partition by document_id, found order by ord, id) = 1),
+g{i + 1} as (select * from g{i} where (document_id, id) not in (select document_id, gold_id from f{i})), p{i + 1} as (select * from p{i} where (document_id, id) not in (select document_id, found from f{i}))"""
+    return sql + " select matched_by, count(*) as n from (" + " union all ".join(f"select * from f{i}" for i in range(len(keys))) + ") group by 1"
+
+
+@query("aligned_elements", _alignment())
 def aligned_elements(spark, d):
     rows = line_elements(spark, d).select("document_id", F.col("element_id").alias("id"), "ord", "type", "text", F.when(F.col("k") == 1, F.col("element_id")).alias("anchor"))
-    moved = rows.where("ord % 9 != 8").withColumn("text", F.when(F.col("ord") % 5 == 4, F.upper("text")).otherwise(F.col("text")))
+    moved = rows.where("ord % 9 != 8").withColumn("text", F.when(F.col("ord") % 5 == 4, F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(F.col("text")))
     return evaluation.align(rows, moved).groupBy("matched_by").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -304,7 +315,10 @@ def backoff(spark, d):
     return table(spark, d, "events").select(F.col("event_id").alias("id"), library.backoff_seconds((F.col("event_id") % 9 + 1).cast("int")).alias("seconds"))
 
 
-@query("idempotent_requests", None)
+@query("idempotent_requests", """with recursive r as (select user_id, event_type, ts, event_id % 2 as h, row_number() over (partition by user_id, event_type order by ts, event_id::varchar) as i from events),
+w as (select user_id, event_type, i, ts as t0, h as h0, 'RUN' as outcome from r where i = 1 union all
+  select r.user_id, r.event_type, r.i, case when r.ts < w.t0 + interval 1 day then w.t0 else r.ts end, case when r.ts < w.t0 + interval 1 day then w.h0 else r.h end, case when r.ts >= w.t0 + interval 1 day then 'RUN' when w.h0 = r.h then 'REPLAY' else 'CONFLICT' end from w join r on r.user_id = w.user_id and r.event_type = w.event_type and r.i = w.i + 1)
+select outcome, count(*) as n from w group by 1""")
 def idempotent_requests(spark, d):
     rows = table(spark, d, "events").select("user_id", F.lit("upload").alias("scope"), F.col("event_type").alias("key"), F.col("ts").alias("requested_at"), F.col("event_id").cast("string").alias("request_id"), (F.col("event_id") % 2).cast("string").alias("request_hash"))
     return library.idempotent_requests(rows).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))

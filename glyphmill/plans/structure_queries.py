@@ -251,7 +251,10 @@ def retrieval_units(spark, d):
     return made.where("logical_unit_id is not null").select("document_id", F.array_join("element_ids", ",").alias("members"), "retrieval_text", "unit_type")
 
 
-@query("token_partitions")
+@query("token_partitions", f"""with recursive {LINES}, s as (select document_id, ord, len(regexp_extract_all(text, '\\S+')) as n, row_number() over (partition by document_id order by ord) as i from el),
+w as (select document_id, i, 0 as part, n as used from s where i = 1 union all
+  select s.document_id, s.i, case when s.n > 0 and w.used > 0 and 3 + w.used + s.n > 64 then w.part + 1 else w.part end, case when s.n > 0 and w.used > 0 and 3 + w.used + s.n > 64 then s.n else w.used + s.n end from w join s on s.document_id = w.document_id and s.i = w.i + 1)
+select document_id, string_agg(part, ',' order by i) as parts from w group by 1""")
 def token_partitions(spark, d):
     rows = line_elements(spark, d)
     sizes = rows.groupBy("document_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", T.tokens(F.col("text")).alias("n")))), lambda x: x["n"]).alias("sizes")).withColumns({"unit_id": F.col("document_id"), "head": F.lit(3)})
