@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import elements
+from ..operators import elements, references
 from ..sources import docx, jsonl, texts
 from .inputs import table
 
@@ -167,3 +167,32 @@ def line_issues(spark, d):
     line = F.when(k == 1, F.lit("  ")).when(k == 2, F.lit("[1, 2]")).when(k == 3, F.lit('{"record_id": ')).when(k == 4, F.lit('{"kind": 1}')).when(k == 5, F.lit('{"record_id": "1", "x": NaN}')).otherwise(good)
     lines = table(spark, d, "events").select(F.concat(F.lit("f"), (e % 3).cast("string")).alias("file"), line.alias("line"))
     return jsonl.line_issues(lines).groupBy("file", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("plain_blocks", f"""with {WORDS}, g as (select document_id, i // 3 as block, string_agg(w, chr(10) order by i) as t from words group by document_id, i // 3), m as (select document_id, max(block) as last from g group by 1),
+e as (select document_id, 2 * block as ord, 'PARAGRAPH' as type, t || case when block < last then chr(10) else '' end as raw from g join m using (document_id) union all select document_id, 2 * block + 1, 'SEPARATOR', ' ' || chr(9) || chr(10) from g join m using (document_id) where block < last)
+select document_id, ord::int as ord, type, sha256(raw) as hash, coalesce(sum(length(raw)) over (partition by document_id order by ord rows between unbounded preceding and 1 preceding), 0)::bigint as start_char from e""")
+def plain_blocks(spark, d):
+    """Texts with a blank line after every third line, as runs of lines and of blank lines."""
+    lines = F.sort_array(F.collect_list(F.struct("i", "w")))
+    joined = F.aggregate(lines, F.lit(""), lambda a, x: F.concat(a, F.when(x["i"] == 0, F.lit("")).when(x["i"] % 3 == 0, F.lit("\n \t\n")).otherwise(F.lit("\n")), x["w"]))
+    made = texts.plain_text(_words(spark, d).groupBy("document_id").agg(joined.alias("text")))
+    return made.select("document_id", "ord", "type", F.sha2(F.col("raw_text").cast("binary"), 256).alias("hash"), "start_char")
+
+
+@query("source_references", """with o as (select o_orderkey as id, o_orderkey % 8 as k, o_custkey as c from orders)
+select id::varchar as element_id, 'source_anchor' as field, null::int as place, case when k in (0, 1) then 'note' end as kind, case when k in (0, 1) then 'n' || c end as ref, case k when 2 then 'NOT_AN_OBJECT' when 3 then 'KIND_INVALID' when 4 then 'ID_INVALID' end as code from o where k < 5
+union all select id::varchar, 'source_references', 0, 'note', 'n' || c, null from o where k = 1 union all select id::varchar, 'source_references', 1, null, null, 'NOT_AN_OBJECT' from o where k = 1
+union all select id::varchar, 'source_references', null, null, null, 'NOT_A_LIST' from o where k = 5 union all select id::varchar, 'attributes', null, null, null, 'NOT_A_JSON_OBJECT' from o where k = 6""")
+def source_references(spark, d):
+    """Attributes with an anchor, with references too, and with values of other shapes; some state none."""
+    k, c = F.col("o_orderkey") % 8, F.col("o_custkey").cast("string")
+    good = F.concat(F.lit('{"kind": "note", "id": "n'), c, F.lit('"}'))
+    whole = lambda *parts: F.concat(F.lit("{"), *parts, F.lit("}"))
+    anchor = lambda v: F.concat(F.lit('"source_anchor": '), v)
+    attributes = (
+        F.when(k == 0, whole(anchor(good))).when(k == 1, whole(anchor(good), F.lit(', "source_references": ['), good, F.lit(", 7]"))).when(k == 2, whole(anchor(F.lit('"n1"')))).when(k == 3, whole(anchor(F.lit('{"kind": " note", "id": "n"}'))))
+        .when(k == 4, whole(anchor(F.lit('{"kind": "note", "id": 12}')))).when(k == 5, F.lit('{"source_anchor": null, "source_references": {}}')).when(k == 6, F.lit("[1]")).otherwise(F.lit('{"other": 1}'))
+    )
+    rows = table(spark, d, "orders").select((k % 3).alias("document_id"), F.col("o_orderkey").cast("string").alias("element_id"), attributes.alias("attributes"))
+    return references.source_references(rows).select("element_id", "field", "place", "kind", F.col("id").alias("ref"), "code")
