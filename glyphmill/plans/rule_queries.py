@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import evaluation, geometry, library, retrieval, semantics, studio
+from ..operators import evaluation, geometry, library, retrieval, review, semantics, studio
 from .inputs import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -263,3 +263,24 @@ def compared_values(spark, d):
     """Values as they are compared: compatible forms, blanks and case do not count."""
     wide = F.translate("o_orderpriority", "ABCDEFGHIJKLMNOPQRSTUVWXYZ-", "ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺ-")
     return table(spark, d, "orders").select(K("o_orderkey").alias("id"), T.folded(F.concat(F.lit(" \t"), wide, F.lit("　"))).alias("value"))
+
+
+# Review payloads
+
+
+@query("review_tasks", """with r as (select o_orderkey::varchar as id, 'b' || o_custkey % 5 as b, 'h' || o_orderstatus as h, case when o_orderkey % 3 > 0 then o_orderpriority end as t from orders),
+c as (select *, '{"current_decisions":[],"document_id":"d","evaluated_types":["A","N"],"target_id":"' || id || '"}' as ctx from r)
+select id as record_id, coalesce(t, '') as raw_text, 'sha256:' || sha256('{"batch_id":"' || b || '","context":"' || replace(ctx, '"', '\\"') || '","contract_version":"1","expected_decision_hash":"' || h || '","guideline_version":"g1","normalized_text":"' || lower(coalesce(t, '')) || '","raw_text":"' || coalesce(t, '') || '","record_id":"' || id || '"}') as task_hash from c""")
+def review_tasks(spark, d):
+    text = F.when(K("o_orderkey") % 3 > 0, K("o_orderpriority"))
+    rows = table(spark, d, "orders").select(K("o_orderkey").cast("string").alias("record_id"), F.concat(F.lit("b"), (K("o_custkey") % 5).cast("string")).alias("batch_id"), F.lit("g1").alias("guideline_version"), F.concat(F.lit("h"), "o_orderstatus").alias("decision_hash"), F.lit("d").alias("document_id"), K("o_orderkey").cast("string").alias("target_id"), text.alias("raw_text"), F.lower(text).alias("normalized_text"), F.array(F.lit("N"), F.lit("A")).alias("evaluated_types"), F.array().cast("array<string>").alias("decisions"))
+    return review.review_tasks(rows).select("record_id", "raw_text", "task_hash")
+
+
+@query("review_submissions", """select o_orderkey as record_id, (['CONTRACT_UNSUPPORTED','GUIDELINE_NOT_TRIMMED','NOTES_INVALID','DECISIONS_NOT_JSON','DECISIONS_NOT_A_LIST','DECISION_INVALID','DECISION_INVALID',null,null])[o_orderkey % 9 + 1] as code, case when o_orderkey % 9 = 8 then 2 end as decisions from orders""")
+def review_submissions(spark, d):
+    """Responses of every shape that is refused, one without decisions and one with two."""
+    k = K("o_orderkey") % 9
+    decisions = _pick(k, "[]", "[]", "[]", "[1", "{}", '[{"state": "POSITIVE"}]', '[{"annotation_type": "NOTE", "state": "PERHAPS"}]', "  ", '[{"annotation_type": "NOTE", "state": "POSITIVE", "value": "v"}, {"annotation_type": "NOTE", "state": "NEGATIVE"}]')
+    rows = table(spark, d, "orders").select(K("o_orderkey").alias("record_id"), F.when(k == 0, F.lit("0")).otherwise("1").alias("contract_version"), F.when(k == 1, F.lit(" g")).otherwise("g").alias("guideline_version"), F.lit("ACCEPTED").alias("outcome"), decisions.alias("decisions_json"), F.when(k == 2, F.lit(" ")).alias("notes"))
+    return review.submissions(rows).select("record_id", "code", F.size("decisions").alias("decisions"))
