@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import assembly, enrichment, studio
+from ..operators import assembly, enrichment, gold, studio
 from ..sources import texts
 from .inputs import table
 
@@ -111,3 +111,21 @@ def adapted_files(spark, d):
     files = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), content.alias("content"), F.when(k == 0, F.concat(F.lit("sha256:"), F.sha2(content, 256))).when(k == 1, F.lit("sha256:0")).alias("content_hash"))
     read = lambda f: texts.markdown(f.select("document_id", F.col("content").cast("string").alias("text")))
     return assembly.run_adapter(files, read)[1].select("document_id", "code")
+
+
+# Gold
+
+
+@query("semantic_gold_violations", """select o_orderkey::varchar as document_id, case o_orderkey % 6 when 1 then 'SCOPE_ELEMENT_UNKNOWN' when 2 then 'TYPE_NOT_EVALUATED' when 3 then 'EVIDENCE_OUT_OF_RANGE' when 4 then 'EVIDENCE_QUOTE_MISMATCH' when 5 then 'EVIDENCE_VIEW_MISSING' else '' end as violations from orders""")
+def semantic_gold_violations(spark, d):
+    """An order's priority as the one element of a gold document, with a fault that its key names."""
+    k, text = F.col("o_orderkey") % 6, F.col("o_orderpriority")
+    i = lambda n: F.lit(n).cast("int")
+    elements = F.array(F.struct(i(0).alias("ord"), text.alias("raw_text"), F.lit(None).cast("string").alias("normalized_text")))
+    scopes = F.array(F.struct(F.lit("ELEMENT").alias("kind"), F.array(i(0)).alias("element_orders"), F.array(F.lit("NOTE")).alias("evaluated_types")))
+    scopes = F.when(k == 1, F.concat(scopes, F.array(F.struct(F.lit("ELEMENT").alias("kind"), F.array(i(5)).alias("element_orders"), F.array(F.lit("NOTE")).alias("evaluated_types"))))).otherwise(scopes)
+    end = F.when(k == 3, F.length(text) + 1).otherwise(i(3)).cast("int")
+    evidence = F.array(F.struct(i(0).alias("element_order"), F.when(k == 5, F.lit("NORMALIZED")).otherwise("RAW").alias("text_view"), i(1).alias("start_char"), end.alias("end_char"), F.when(k == 4, F.lit("??")).otherwise(F.substring(text, 2, 2)).alias("quoted_text")))
+    notes = F.array(F.struct(F.lit("ELEMENT").alias("kind"), F.array(i(0)).alias("element_orders"), F.when(k == 2, F.lit("WARNING")).otherwise("NOTE").alias("type"), F.lit("v").alias("value"), evidence.alias("evidence")))
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("document_id"), elements.alias("elements"), scopes.alias("scopes"), notes.alias("annotations"))
+    return gold.semantic_gold_violations(rows).select("document_id", F.array_join("violations", ",").alias("violations"))
