@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut
 from .frames import until_here, in_doc, whole_doc, up_to_here
 from .signals import NAVIGATION, with_markers
 
@@ -128,14 +129,23 @@ def heading_violations(elements: DataFrame, boundaries: DataFrame) -> DataFrame:
     return joined.where(~F.coalesce(fine, F.lit(False))).select("document_id", "ord", "element_id", F.lit("HEADING_WITHOUT_HARD_START").alias("code"))
 
 
-def tree_paths(edges: DataFrame, roots: DataFrame, *, limit: int = 100) -> DataFrame:
-    """Paths from the roots of a forest given as id and parent_id, by a recursive query; ids deeper than ``limit`` are not reached."""
-    return edges.sparkSession.sql(
-        "with recursive walk(id, depth, path) as (select id, 0, array(id) from {roots} union all "
-        f"select e.id, w.depth + 1, concat(w.path, array(e.id)) from walk w join {{edges}} e on e.parent_id = w.id where w.depth < {int(limit)}) select id, depth, path from walk",
-        edges=edges,
-        roots=roots,
-    )
+def tree_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Paths from the roots of a forest given as id and parent_id, however deep; ids that no root reaches have none.
+
+    Each round a path is joined to the one of the id it has come up to, so its length doubles: a forest of depth d takes
+    about log2(d) joins.
+    """
+    root = roots.select("id").distinct().withColumn("done", F.lit(True))
+    state = cut(edges.join(root, "id", "left").select("id", F.when(F.col("done").isNull(), F.col("parent_id")).alias("up"), F.array("id").alias("path")))
+    # what is done has nothing above; rows above which there is no id are left out
+    before, open_ = -1, state.where("up is not null").count()
+    state = state.join(root, "id", "left").where("done or up is not null").drop("done")
+    while open_ not in (0, before):
+        above = state.select(F.col("id").alias("up"), F.col("up").alias("further"), F.col("path").alias("head"))
+        grown = state.where("up is not null").join(above, "up").select("id", F.col("further").alias("up"), F.concat("head", "path").alias("path"))
+        state = cut(state.where("up is null").unionByName(grown))
+        before, open_ = open_, state.where("up is not null").count()
+    return state.where("up is null").select("id", (F.size("path") - 1).alias("depth"), "path")
 
 
 def cycles(edges: DataFrame) -> DataFrame:

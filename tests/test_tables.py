@@ -182,3 +182,13 @@ def test_forests_of_any_depth(spark):
     made = unreachable(spark.createDataFrame(chain + ring + [(5, 4), (9000, 8999)], "id long, parent_id long"))
     assert {r.id for r in made.collect()} == {i for i, _ in ring}
     assert unreachable(spark.createDataFrame(chain, "id long, parent_id long")).count() == 0
+
+
+def test_paths_of_any_depth(spark):
+    from glyphmill.operators.hierarchy import tree_paths
+
+    rows = [(f"n{i}", f"n{i - 1}" if i else None) for i in range(140)] + [("b", "n3"), ("x", "y"), ("y", "x"), ("z", "x"), ("lost", "nowhere"), ("below", "lost")]
+    edges = spark.createDataFrame(rows, "id string, parent_id string")
+    made = {r.id: r for r in tree_paths(edges, edges.where("id = 'n0'").select("id")).collect()}
+    assert set(made) == {f"n{i}" for i in range(140)} | {"b"} and all(made[f"n{i}"].path == [f"n{j}" for j in range(i + 1)] and made[f"n{i}"].depth == i for i in range(140))
+    assert made["b"].path == ["n0", "n1", "n2", "n3", "b"]
