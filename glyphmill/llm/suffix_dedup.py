@@ -10,7 +10,8 @@ neighbouring windows mostly share one; a run of windows with one anchor, with th
 they cover, is a *piece*.
 
 1. Workers send the anchors of their texts, packed, to ranges of anchors; a range answers
-   which anchors stand in more than one document.  Windows with other anchors have no match.
+   which anchors stand in more than one document, with a row for each bucket of texts, so that
+   answers grow with the ranges and not with texts times ranges.  Windows with other anchors have no match.
 2. The pieces of those anchors are made; equal ones become one with the least doc_id of
    all.  An anchor with more than ``HOT`` different pieces has them cut into single windows,
    which are dealt by their own bytes, so that no anchor makes a large group.
@@ -56,8 +57,8 @@ ROWS_AT_ONCE = 1 << 14
 BROADCAST_ROWS = 1 << 16
 LAST_ID = (1 << 63) - 1
 
-_ASKED = pa.schema([("range", pa.int32()), ("key", pa.int64()), ("anchors", pa.binary()), ("owners", pa.binary()), ("keys", pa.binary())])
-_KNOWN = pa.schema([("key", pa.int64()), ("anchors", pa.binary())])
+_ASKED = pa.schema([("range", pa.int32()), ("bucket", pa.int32()), ("anchors", pa.binary()), ("owners", pa.binary()), ("keys", pa.binary())])
+_KNOWN = pa.schema([("bucket", pa.int32()), ("anchors", pa.binary()), ("owners", pa.binary()), ("keys", pa.binary())])
 _PIECES = pa.schema([("anchor", pa.int64()), ("same", pa.int64()), ("windows", pa.int32()), ("key", pa.int64()), ("id", pa.int64()), ("start", pa.int64()), ("piece", pa.binary()), ("most", pa.int64())])
 _LEAST = pa.schema([("anchor", pa.int64()), ("same", pa.int64()), ("first", pa.int32()), ("windows", pa.int32()), ("least", pa.int64())])
 
@@ -117,7 +118,7 @@ def _key() -> Column:
 
 
 def _ask(ranges: int, min_match: int):
-    """Anchors of each batch, to their ranges.  Those of several rows of one batch need no answer: they go once, without an owner, and straight to their rows."""
+    """Anchors of each batch, to their ranges.  Those of several rows of one batch need no answer: they go once, without an owner, and straight to their rows' buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,6 +140,16 @@ def _grouped(anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(fresh), np.cumsum(fresh) - 1
 
 
+def _by_bucket(anchor: np.ndarray, key: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """For each bucket of keys: its number, its anchors in order, the place of each one's key, and the keys."""
+    bucket = np.mod(key, buckets)
+    order = np.lexsort((anchor, bucket))
+    anchor, key, bucket = anchor[order], key[order], bucket[order]
+    for part in np.split(np.arange(len(key)), np.flatnonzero(np.diff(bucket)) + 1) if len(key) else []:
+        held, place = np.unique(key[part], return_inverse=True)
+        yield int(bucket[part[0]]), W.pack_sorted(anchor[part]), W.pack(place.reshape(-1)), held.tobytes()
+
+
 def _questions(anchor: np.ndarray, row: np.ndarray, keys: np.ndarray, ranges: int) -> pa.RecordBatch:
     order = np.argsort(anchor)
     anchor, key = anchor[order], keys[row[order]]
@@ -159,11 +170,8 @@ def _questions(anchor: np.ndarray, row: np.ndarray, keys: np.ndarray, ranges: in
         for column, value in zip(out.values(), values, strict=True):
             column.append(value)
 
-    at = np.flatnonzero(several)
-    at = at[np.argsort(own[at], kind="stable")]
-    for part in np.split(at, np.flatnonzero(np.diff(own[at])) + 1) if len(at) else []:
-        mine = int(own[part[0]])
-        add(mine % ranges, mine, W.pack_sorted(again[part]), b"", b"")
+    for bucket, *packed in _by_bucket(again[several], own[several], ranges):
+        add(bucket, bucket, *packed)
     first = np.zeros(len(again), bool)
     first[heads] = True
     shown = ~several | first
@@ -179,30 +187,30 @@ def _questions(anchor: np.ndarray, row: np.ndarray, keys: np.ndarray, ranges: in
     return pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in _ASKED], schema=_ASKED)
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """Which of the anchors of a range stand in several documents, to each document that asked."""
-    keys, anchors = [], []
-    asked = [(W.unpack_sorted(a), W.unpack(o).astype(np.int64), np.frombuffer(k, np.int64)) for key, a, o, k in zip(*(table.column(c).to_pylist() for c in _KNOWN.names), table.column("owners").to_pylist(), table.column("keys").to_pylist(), strict=True) if key is None]
-    own = table.filter(pc.is_valid(table.column("key"))).select(_KNOWN.names)
-    if asked:
-        anchor = np.concatenate([a for a, _, _ in asked])
-        several = np.concatenate([o == 0 for _, o, _ in asked])
-        key = np.concatenate([np.concatenate((np.zeros(1, np.int64), k))[o] for _, o, k in asked])
-        del asked
-        order = np.argsort(anchor)
-        anchor, key, several = anchor[order], key[order], several[order]
-        begins, group = _grouped(anchor)
-        met = np.logical_or.reduceat(several, begins) | (np.minimum.reduceat(key, begins) != np.maximum.reduceat(key, begins))
-        known = met[group] & ~several
-        anchor, key = anchor[known], key[known]
-        order = np.argsort(key, kind="stable")
-        anchor, key = anchor[order], key[order]
-        for part in np.split(np.arange(len(key)), np.flatnonzero(np.diff(key)) + 1) if len(key) else []:
-            keys.append(int(key[part[0]]))
-            anchors.append(W.pack_sorted(anchor[part]))
-    found = pa.table([pa.array(keys, pa.int64()), pa.array(anchors, pa.binary())], schema=_KNOWN)
-    W.release()
-    return pa.concat_tables([own.cast(_KNOWN), found])
+def _answer(buckets: int):
+    """Which of the anchors of a range stand in several documents, to the buckets of the documents that asked."""
+
+    def run(table: pa.Table) -> pa.Table:
+        own = table.filter(pc.is_valid(table.column("bucket"))).select(_KNOWN.names)
+        questions = table.filter(pc.is_null(table.column("bucket")))
+        asked = [(W.unpack_sorted(a), W.unpack(o).astype(np.int64), np.frombuffer(k, np.int64)) for a, o, k in zip(*(questions.column(c).to_pylist() for c in _KNOWN.names[1:]), strict=True)]
+        found: list[tuple] = []
+        if asked:
+            anchor = np.concatenate([a for a, _, _ in asked])
+            several = np.concatenate([o == 0 for _, o, _ in asked])
+            key = np.concatenate([np.concatenate((np.zeros(1, np.int64), k))[o] for _, o, k in asked])
+            del asked
+            order = np.argsort(anchor)
+            anchor, key, several = anchor[order], key[order], several[order]
+            begins, group = _grouped(anchor)
+            met = np.logical_or.reduceat(several, begins) | (np.minimum.reduceat(key, begins) != np.maximum.reduceat(key, begins))
+            known = met[group] & ~several
+            found = list(_by_bucket(anchor[known], key[known], buckets))
+        made = pa.table([pa.array([x[i] for x in found], f.type) for i, f in enumerate(_KNOWN)], schema=_KNOWN)
+        W.release()
+        return pa.concat_tables([own.cast(_KNOWN), made])
+
+    return run
 
 
 def _cut(data: np.ndarray, first: np.ndarray, length: np.ndarray) -> pa.Array:
@@ -216,27 +224,44 @@ def _cut(data: np.ndarray, first: np.ndarray, length: np.ndarray) -> pa.Array:
 
 
 def _make_pieces(min_match: int):
-    """A row for each piece at each of its places.  Of equal pieces in a batch one row, that of the least id, carries the bytes and the greatest id."""
+    """A row for each piece at each of its places.  Of equal pieces in a batch one row, that of the least id, carries the bytes and the greatest id.
+
+    Rows come in order of their bucket, with its answers (and keys to be left out) before its texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, heard, left_out, asked = None, [], [], None
         for batch in batches:
-            yield from _pieces_of(batch, min_match)
+            of, is_text = batch.column(0).to_numpy(), batch.column(1).to_numpy() > 0
+            edges = np.flatnonzero(np.diff(of)) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(of)], strict=True) if len(of) else []:
+                if of[a] != bucket:
+                    bucket, heard, left_out, asked = of[a], [], [], None
+                texts = a + int(np.count_nonzero(~is_text[a:b]))
+                for anchors, owners, keys, key in zip(*(batch.column(c).slice(a, texts - a).to_pylist() for c in (5, 6, 7, 2)), strict=True):
+                    if anchors is None:
+                        left_out.append(key)
+                    else:
+                        heard.append(W.pair(W.unpack_sorted(anchors), np.frombuffer(keys, np.int64)[W.unpack(owners).astype(np.int64)].view(np.uint64)))
+                if texts < b:
+                    if asked is None:
+                        asked, heard = np.unique(np.concatenate([np.zeros(0, np.uint64), *heard])), []
+                    part = batch.slice(texts, b - texts)
+                    part = part.filter(pa.array(~np.isin(part.column(2).to_numpy(), left_out)))
+                    yield from _pieces_of(part.column(2).to_numpy(), part.column(3).to_numpy(), part.column(4), asked, min_match)
+                    del part
             del batch
             W.release()
 
     return run
 
 
-def _pieces_of(batch: pa.RecordBatch, min_match: int) -> Iterator[pa.RecordBatch]:
-    keys, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-    lists = [[W.unpack_sorted(x) for x in xs] for xs in batch.column(3).to_pylist()]
-    wanted = np.concatenate([np.zeros(0, np.uint64), *(x for xs in lists for x in xs)])
-    asked = np.unique(W.pair(wanted, np.repeat(np.arange(len(lists)), [sum(map(len, xs)) for xs in lists]).astype(np.uint64)))
-    del lists, wanted
+def _pieces_of(keys: np.ndarray, ids: np.ndarray, texts: pa.Array, asked: np.ndarray, min_match: int) -> Iterator[pa.RecordBatch]:
+    """The pieces of texts whose (anchor, key) was ``asked``, a sorted list."""
     parts = []
-    for data, offsets, rows, begun, origin in _blocks(batch.column(2), min_match):
+    for data, offsets, rows, begun, origin in _blocks(texts, min_match):
         anchor, first, length, row, same = runs(data, offsets, min_match)
-        own = W.pair(anchor, rows[row].astype(np.uint64))
+        own = W.pair(anchor, keys[rows[row]].view(np.uint64))
         kept = asked[np.minimum(np.searchsorted(asked, own), len(asked) - 1)] == own if len(asked) else np.zeros(len(own), bool)
         anchor, first, length, row, same = anchor[kept], first[kept], length[kept], row[kept], same[kept]
         parts.append((anchor, same, length, rows[row], first - offsets[row] + begun[row], first + origin))
@@ -250,7 +275,7 @@ def _pieces_of(batch: pa.RecordBatch, min_match: int) -> Iterator[pa.RecordBatch
     most[order[heads]] = id_[order[np.append(heads[1:], len(order)) - 1]] if len(heads) else 0
     carries = np.zeros(len(order), bool)
     carries[order[heads]] = True
-    data = W.utf8(batch.column(2))[0]
+    data = W.utf8(texts)[0]
     for a in range(0, len(order), ROWS_AT_ONCE):
         x = slice(a, a + ROWS_AT_ONCE)
         yield pa.RecordBatch.from_arrays([pa.array(anchor[x].view(np.int64)), pa.array(same[x].view(np.int64)), pa.array(length[x].astype(np.int32)), pa.array(keys[text[x]]), pa.array(id_[x]), pa.array(start[x]), _cut(data, at[x], np.where(carries[x], length[x] + min_match - 1, 0)), pa.array(most[x])], schema=_PIECES)
@@ -414,8 +439,8 @@ def remove_repeats(docs: DataFrame, *, min_match: int = MIN_MATCH, hot: int = HO
     rows = docs.select(_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     id_ = F.coalesce("doc_id", F.lit(LAST_ID))
     ranges = pieces(docs.select("text"), RANGE_BYTES)
-    asked = rows.select("key", "text").mapInArrow(_ask(ranges, min_match), "range int, key long, anchors binary, owners binary, keys binary")
-    known, known_at = stored(asked.groupBy("range").applyInArrow(_answer, "key long, anchors binary"), "repeat-anchors")
+    asked = rows.select("key", "text").mapInArrow(_ask(ranges, min_match), "range int, bucket int, anchors binary, owners binary, keys binary")
+    known, known_at = stored(asked.groupBy("range").applyInArrow(_answer(ranges), "bucket int, anchors binary, owners binary, keys binary"), "repeat-anchors")
 
     # whole texts that a smaller doc_id has go whole, and have no pieces that the other lacks
     same_text = [F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b")]
@@ -423,8 +448,13 @@ def remove_repeats(docs: DataFrame, *, min_match: int = MIN_MATCH, hot: int = HO
     copies = texts.join(texts.groupBy("a", "b").agg(F.min("id").alias("least")), ["a", "b"]).where("least < id").select("key", "windows").distinct()
     copies, copies_at = stored(copies, "repeat-copies")
 
-    held = known.groupBy("key").agg(F.collect_list("anchors").alias("anchors")).join(copies, "key", "left_anti")
-    held = rows.join(held, "key").select("key", id_.alias("id"), "text", "anchors")
+    # each bucket's answers and the copies in it, then its texts
+    bucket, none = F.pmod("key", F.lit(ranges)).cast("int").alias("bucket"), F.lit(None)
+    heard = known.select("bucket", F.lit(0).alias("kind"), none.cast("long").alias("key"), none.cast("long").alias("id"), none.cast("string").alias("text"), "anchors", "owners", "keys")
+    absent = [none.cast("binary").alias(c) for c in ("anchors", "owners", "keys")]
+    out = copies.select(bucket, F.lit(0).alias("kind"), "key", none.cast("long").alias("id"), none.cast("string").alias("text"), *absent)
+    held = rows.where(F.octet_length("text") >= min_match).select(bucket, F.lit(1).alias("kind"), "key", id_.alias("id"), "text", *absent)
+    held = heard.unionByName(out).unionByName(held).repartition(ranges, "bucket").sortWithinPartitions("bucket", "kind")
     places, places_at = stored(held.mapInArrow(_make_pieces(min_match), "anchor long, same long, windows int, key long, id long, start long, piece binary, most long"), "repeat-pieces")
     discard(spark, known_at)
 

@@ -222,6 +222,18 @@ def test_removal_equals_brute_force(spark, hot):
     assert digest(suffix_dedup.remove_repeats(df, min_match=17, hot=hot)) == removed(rows, 17)
 
 
+def test_answers_are_rows_of_buckets_not_of_texts(spark, monkeypatch):
+    keys = np.arange(1, 401, dtype=np.int64)
+    asked = suffix_dedup._questions(np.repeat(np.arange(1, 9, dtype=np.uint64), 50), np.arange(400), keys, 4).to_pylist()
+    parts = [suffix_dedup._questions(np.full(400, 77, np.uint64), np.arange(400), k, 4) for k in (keys, keys + 400)]
+    assert len(asked) <= 8
+    answers = suffix_dedup._answer(4)(pa.Table.from_batches(parts))
+    assert len(answers) <= 8 and {int(k) for x in answers.column("keys").to_pylist() for k in np.frombuffer(x, np.int64)} == set(range(1, 801))
+    rows = passages()
+    monkeypatch.setattr(suffix_dedup, "RANGE_BYTES", 4096)  # many ranges and buckets
+    assert digest(suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))) == removed(rows)
+
+
 def test_removal_of_fixture_rows_and_of_nothing(docs, rows, empty):
     assert digest(suffix_dedup.remove_repeats(docs)) == removed([r[:2] for r in rows])
     assert suffix_dedup.remove_repeats(empty).count() == 0
