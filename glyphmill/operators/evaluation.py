@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -122,23 +124,45 @@ def scoped(predicted: DataFrame, gold: DataFrame, scope: tuple[str, ...] = ("typ
 def best_overlaps(gold: DataFrame, predicted: DataFrame, key: tuple[str, ...] = ("document_id", "element_id", "text_view")) -> DataFrame:
     """Greedy one-to-one matching of spans by overlap: gold spans in order of start, end take the free prediction with most overlap.
 
-    Ties: smallest start, then end.  The fold runs for each key, over the spans of one element.
+    Ties: smallest start, then end.  Spans without a start or end take no part.  The fold runs over the spans of one element, of which
+    those that end before the gold span in hand are left behind; a batch brings many elements.
     """
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = pdf[pdf["side"] == "g"].sort_values(["start", "end"])
-        p = pdf[pdf["side"] == "p"].sort_values(["start", "end"])
-        free, out = list(p[["start", "end"]].itertuples(index=False, name=None)), []
-        for a, b in g[["start", "end"]].itertuples(index=False, name=None):
-            best = max(free, key=lambda s: (min(b, s[1]) - max(a, s[0]), -s[0], -s[1]), default=None)
-            over = 0 if best is None else min(b, best[1]) - max(a, best[0])
-            if over > 0:
-                free.remove(best)
-                out.append((*[pdf[k].iloc[0] for k in key], a, b, best[0], best[1], over))
-        return pd.DataFrame(out, columns=[*key, "gold_start", "gold_end", "start", "end", "overlap"])
-
-    rows = gold.select(*key, "start", "end", F.lit("g").alias("side")).unionByName(predicted.select(*key, "start", "end", F.lit("p").alias("side")))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*key).schema) + ", gold_start long, gold_end long, start long, end long, overlap long"
-    return rows.groupBy(*key).applyInPandas(match, schema)
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, out = [], []
+            for i, (golds, spans) in enumerate(zip(_pairs(batch.column("g")), _pairs(batch.column("p")), strict=True)):
+                free, at = [], 0
+                for a, b in golds:
+                    while at < len(spans) and spans[at][0] < b:
+                        free.append(spans[at])
+                        at += 1
+                    free = [s for s in free if s[1] > a]
+                    best = max(free, key=lambda s: (min(b, s[1]) - max(a, s[0]), -s[0], -s[1]), default=None)
+                    if best is not None and min(b, best[1]) > max(a, best[0]):
+                        free.remove(best)
+                        row.append(i)
+                        out.append((a, b, *best, min(b, best[1]) - max(a, best[0])))
+            columns = [batch.column(k).take(pa.array(row, pa.int64())) for k in key]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([x[i] for x in out], pa.int64()) for i in range(5))], names=[*key, *made])
+
+    made = ("gold_start", "gold_end", "start", "end", "overlap")
+    span = F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    whole = F.col("start").isNotNull() & F.col("end").isNotNull()
+    rows = gold.select(*key, span.alias("s"), F.lit(True).alias("is_gold"), whole.alias("whole")).unionByName(predicted.select(*key, span.alias("s"), F.lit(False).alias("is_gold"), whole.alias("whole"))).where("whole")
+    spans = lambda of: F.sort_array(F.collect_list(F.when(of, F.col("s"))))
+    each = rows.groupBy(*key).agg(spans(F.col("is_gold")).alias("g"), spans(~F.col("is_gold")).alias("p"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in each.select(*key).schema) + "".join(f", {c} long" for c in made)
+    return each.mapInArrow(match, schema)
+
+
+def _pairs(column: pa.ListArray) -> Iterator[list[tuple[int, int]]]:
+    """The spans of each row of a list column."""
+    ends = column.offsets.to_numpy()
+    flat = column.flatten()
+    both = list(zip(flat.field("start").to_pylist(), flat.field("end").to_pylist(), strict=True))
+    ends = (ends - ends[0]).tolist()
+    return (both[a:b] for a, b in zip(ends, ends[1:], strict=False))
 
 
 def aggregate_reports(reports: DataFrame, by: list[str] | None = None) -> DataFrame:
