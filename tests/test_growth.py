@@ -2,7 +2,7 @@
 
 import random
 
-from glyphmill.operators import evaluation
+from glyphmill.operators import evaluation, semantics
 
 
 def plan(df) -> str:
@@ -28,3 +28,13 @@ def test_spans_of_many_elements_go_by_batches(spark):
     made = evaluation.best_overlaps(side(0), side(1))
     assert sorted((r.element_id, r.gold_start, r.gold_end, r.start, r.end) for r in made.collect()) == sorted((e, *m) for e, x in each.items() for m in greedy(*x))
     assert "FlatMapGroupsInPandas" not in plan(made)
+
+
+def test_units_reached_by_one_path_are_not_dealt_again(spark):
+    units = spark.createDataFrame([("d", "u1", ["e1", "e1"]), ("d", "u2", []), ("f", "u1", ["e1"])], "document_id string, unit_id string, element_ids array<string>")
+    bridge = lambda *rows: spark.createDataFrame(rows, "document_id string, unit_id string, target_id string")
+    notes = spark.createDataFrame([("d", "a", "e1"), ("d", "b", "c"), ("d", "b", "u2"), ("d", "x", "r"), ("d", "x", "r"), ("f", "a", "u1"), ("d", "n", "none")], "document_id string, annotation_id string, target_id string")
+    made = semantics.unit_scopes(notes, units, bridge(("d", "u1", "c"), ("d", "u2", "c"), ("d", "u2", "c")), bridge(("d", "u1", "r"), ("d", "u1", "e1")))
+    assert sorted((r.document_id, r.unit_id, r.annotation_id, r.scope_rank) for r in made.collect()) == [("d", "u1", "a", 0), ("d", "u1", "b", 2), ("d", "u1", "x", 3), ("d", "u2", "b", 1), ("f", "u1", "a", 1)]
+    # the rows of single targets are joined once and not windowed behind the join
+    assert plan(made).count("Join") == 2
