@@ -210,26 +210,27 @@ def ordered_hash(df: DataFrame, by: list[str], content: str, name: str = "conten
     return rows.groupBy(*by).agg(F.concat(F.lit("sha256:"), F.sha2(F.array_join(F.sort_array(F.collect_list("gm_row")), "\n").cast("binary"), 256)).alias(name))
 
 
-def tree_hash(df: DataFrame, by: list[str], row_hash: str, name: str = "tree_hash", leaf: int = 4096) -> DataFrame:
-    """Hash of each group's rows, whatever their order and number; no task holds more than about ``leaf`` of them.
+def tree_hash(df: DataFrame, by: list[str], row_hash: str, name: str = "tree_hash", leaf: int = 4096, deepest: int | None = None) -> DataFrame:
+    """Hash of each group's rows, whatever their order and number; no task holds more than about ``leaf`` of them at once,
+    or than a leaf at ``deepest`` digits where that is given.
 
     Definition.  Distinct row hashes (lower-case hex, evenly spread) with their counts are the entries ``hash:count``.  The depth is the
-    least d with leaf * 16**d not below the number of entries.  Entries that share their first d digits make a leaf: the SHA-256 of
+    least d with leaf * 16**d not below the number of entries, ``deepest`` at most.  Entries that share their first d digits make a leaf: the SHA-256 of
     the entries in order, a line each.  Nodes that share all digits but the last make a node: the SHA-256 of their ``digit=hash`` lines in
     order; the node of no digits is the group's.  So the hash depends on the rows alone, not on how they are dealt.
     """
     entries = df.groupBy(*by, F.col(row_hash).alias("h")).agg(F.count(F.lit(1)).alias("n"))
     sizes = df.groupBy(*by).agg(F.count_distinct(row_hash).alias("entries"))
-    limits = [leaf * 16**d for d in range(12)]
+    limits = [leaf * 16**d for d in range(12 if deepest is None else deepest)]
     depth = F.size(F.filter(F.array(*[F.lit(x) for x in limits]), lambda x: x < F.col("entries")))
     sizes = sizes.withColumn("depth", depth).drop("entries")
-    deepest = sizes.agg(F.max("depth")).first()[0] or 0
+    levels = sizes.agg(F.max("depth")).first()[0] or 0
     digest = lambda rows: F.sha2(F.array_join(F.sort_array(F.collect_list(rows)), "\n").cast("binary"), 256)
     same = [F.col(c).eqNullSafe(F.col(f"gm_{c}")) for c in by]
     named = sizes.select(*[F.col(c).alias(f"gm_{c}") for c in by], "depth")
-    joined = entries.join(named, same) if by else entries.withColumn("depth", F.lit(deepest))
+    joined = entries.join(named, same) if by else entries.withColumn("depth", F.lit(levels))
     nodes = joined.groupBy(*by, F.substring("h", F.lit(1), F.col("depth")).alias("prefix")).agg(digest(F.concat_ws(":", "h", F.col("n").cast("string"))).alias("node"))
-    for d in range(deepest, 0, -1):
+    for d in range(levels, 0, -1):
         # nodes of d digits become children of d - 1 digits; those of groups that are less deep wait
         child = F.length("prefix") == d
         up = nodes.where(child).groupBy(*by, F.substring("prefix", 1, d - 1).alias("prefix")).agg(digest(F.concat(F.substring("prefix", d, 1), F.lit("="), F.col("node"))).alias("node"))

@@ -1,8 +1,9 @@
 """Steps whose work must grow with their input: how they are planned, with their results."""
 
+import hashlib
 import random
 
-from glyphmill.operators import evaluation, semantics
+from glyphmill.operators import evaluation, semantics, studio
 
 
 def plan(df) -> str:
@@ -38,3 +39,12 @@ def test_units_reached_by_one_path_are_not_dealt_again(spark):
     assert sorted((r.document_id, r.unit_id, r.annotation_id, r.scope_rank) for r in made.collect()) == [("d", "u1", "a", 0), ("d", "u1", "b", 2), ("d", "u1", "x", 3), ("d", "u2", "b", 1), ("f", "u1", "a", 1)]
     # the rows of single targets are joined once and not windowed behind the join
     assert plan(made).count("Join") == 2
+
+
+def test_tree_hash_stops_at_a_given_depth(spark):
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    rows = sorted(sha(str(i)) for i in range(40))
+    leaves = {d: sha("\n".join(f"{h}:1" for h in rows if h[0] == d)) for d in sorted({h[0] for h in rows})}
+    want = "tree:" + sha("\n".join(f"{d}={x}" for d, x in leaves.items()))
+    df = spark.createDataFrame([(h,) for h in rows], "h string")
+    assert studio.tree_hash(df, [], "h", leaf=1, deepest=1).first()[0] == want != studio.tree_hash(df, [], "h", leaf=1).first()[0]
