@@ -316,8 +316,23 @@ def page_facts(pages: DataFrame) -> DataFrame:
 
 
 def contract_matches(contracts: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Largest one-to-one matching of table contracts and predictions of a document by page, rows and columns."""
-    pairs = contracts.join(predictions, ["document_id", "page", "n_rows", "n_cols"]).select("document_id", "contract_id", "table_id")
+    """Largest one-to-one matching of table contracts and predictions of a document by page, rows and columns.
+
+    Where ids belong to one (page, rows, columns) alone, any pairing of the two sides is a largest one: they are paired in order.  Only
+    where an id of either side has several such keys do paths of exchanges matter; they are sought among those keys of a document.
+    """
+    key = ["document_id", "page", "n_rows", "n_cols"]
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        rows = df.select(*key, F.col(name).cast("string").alias(name)).distinct()
+        rows = rows.withColumn("several", F.count(F.lit(1)).over(Window.partitionBy("document_id", name)) > 1)
+        same = Window.partitionBy(*key)
+        return rows.withColumns({"several": F.max("several").over(same), "nth": F.row_number().over(same.orderBy(name))})
+
+    wanted, offered = side(contracts.where("contract_id is not null"), "contract_id"), side(predictions, "table_id")
+    tied = wanted.where("several").select(*key).unionByName(offered.where("several").select(*key)).distinct()
+    plain = wanted.drop("several").join(offered.drop("several"), [*key, "nth"]).join(tied, key, "left_anti").select("document_id", "contract_id", "table_id")
+    pairs = wanted.join(tied, key, "left_semi").join(offered, key).select("document_id", "contract_id", "table_id")
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         wants = pdf.groupby("contract_id")["table_id"].apply(list).to_dict()
@@ -336,4 +351,5 @@ def contract_matches(contracts: DataFrame, predictions: DataFrame) -> DataFrame:
             place(c, set())
         return pd.DataFrame([(pdf["document_id"].iloc[0], c, t) for t, c in sorted(taken.items())], columns=["document_id", "contract_id", "table_id"])
 
-    return pairs.groupBy("document_id").applyInPandas(match, "document_id string, contract_id string, table_id string")
+    found = pairs.groupBy("document_id").applyInPandas(match, "document_id string, contract_id string, table_id string")
+    return plain.withColumn("document_id", F.col("document_id").cast("string")).unionByName(found)

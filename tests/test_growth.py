@@ -3,7 +3,7 @@
 import hashlib
 import random
 
-from glyphmill.operators import evaluation, semantics, studio
+from glyphmill.operators import evaluation, geometry, semantics, studio
 
 
 def plan(df) -> str:
@@ -48,3 +48,17 @@ def test_tree_hash_stops_at_a_given_depth(spark):
     want = "tree:" + sha("\n".join(f"{d}={x}" for d, x in leaves.items()))
     df = spark.createDataFrame([(h,) for h in rows], "h string")
     assert studio.tree_hash(df, [], "h", leaf=1, deepest=1).first()[0] == want != studio.tree_hash(df, [], "h", leaf=1).first()[0]
+
+
+def test_contracts_of_one_key_are_paired_without_the_rest_of_the_document(spark):
+    schema = "document_id string, page int, n_rows int, n_cols int, {} string"
+    side = lambda name, rows: spark.createDataFrame([("d", p, 2, 2, x) for p, x in rows], schema.format(name))
+    # page 1: two contracts, three tables; page 2: nothing offered; pages 3 and 4: a contract of both, whose exchange lets two match
+    contracts = side("contract_id", [(1, "a"), (1, "b"), (2, "c"), (3, "m"), (4, "m"), (3, "n"), (1, "a")])
+    tables = side("table_id", [(1, "t3"), (1, "t1"), (1, "t2"), (3, "x"), (4, "y")])
+    made = geometry.contract_matches(contracts, tables)
+    assert sorted((r.contract_id, r.table_id) for r in made.collect()) == [("a", "t1"), ("b", "t2"), ("m", "y"), ("n", "x")]
+    # a document of many keys is no group: exchanges are sought in the keys of shared ids alone
+    many = side("contract_id", [(p, f"c{p}") for p in range(3000)])
+    assert geometry.contract_matches(many, side("table_id", [(p, f"t{p}") for p in range(3000)])).count() == 3000
+    assert "LeftSemi" in plan(made)
