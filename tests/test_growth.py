@@ -3,7 +3,11 @@
 import hashlib
 import random
 
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
 from glyphmill.operators import evaluation, geometry, semantics, studio
+from glyphmill.sources import docx
 
 
 def plan(df) -> str:
@@ -62,3 +66,11 @@ def test_contracts_of_one_key_are_paired_without_the_rest_of_the_document(spark)
     many = side("contract_id", [(p, f"c{p}") for p in range(3000)])
     assert geometry.contract_matches(many, side("table_id", [(p, f"t{p}") for p in range(3000)])).count() == 3000
     assert "LeftSemi" in plan(made)
+
+
+def test_rows_of_word_files_come_in_batches_of_many_files(spark):
+    rows = [r for i in range(500) for r in docx.rows_of(str(i), b"no package", "FINAL")]
+    rows[7] = {**rows[7], "raw_text": "x" * docx.BATCH_CHARS}
+    batches = list(docx.packed(iter(rows * 10), to_arrow_schema(StructType.fromDDL(docx.SCHEMA))))
+    assert len(batches) <= 12 and all(b.num_rows <= docx.BATCH_ROWS for b in batches)
+    assert [(r["document_id"], r["ord"], r["diagnostic"]) for b in batches for r in b.to_pylist()] == [(str(i), 0, "NOT_A_PACKAGE") for i in range(500)] * 10
