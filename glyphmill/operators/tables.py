@@ -124,6 +124,18 @@ def support(lines: Column, at: Column, low: Column, high: Column, alignment: flo
     return F.when(high > low, F.least(F.lit(1.0), covered / (high - low))).otherwise(0.0)
 
 
+def _drawn(lines: Column) -> Column:
+    """Lines at one place that touch or overlap, as one line: they cover the same, and grids draw a boundary cell by cell."""
+
+    def step(out: Column, s: Column) -> Column:
+        last = F.get(out, F.size(out) - 1)
+        on = F.coalesce((s["at"] == last["at"]) & (s["start"] <= last["stop"]), F.lit(False))
+        grown = F.struct(last["at"].alias("at"), last["start"].alias("start"), F.greatest(last["stop"], s["stop"]).alias("stop"))
+        return F.when(on, F.concat(F.slice(out, 1, F.size(out) - 1), F.array(grown))).otherwise(F.concat(out, F.array(s)))
+
+    return F.aggregate(F.array_sort(lines), F.slice(lines, 1, 0), step)
+
+
 def _joined(bounds: Column, tolerance: float) -> Column:
     """Ascending boundaries, each within the tolerance of the last one kept averaged into it."""
 
@@ -203,7 +215,7 @@ def normalise_grids(candidates: DataFrame, strokes: DataFrame, policy: TablePoli
     df = candidates.join(lines.groupBy(*keys).agg(side("x").alias("vertical"), side("y").alias("horizontal")), keys, "left")
     df = df.withColumns({"vertical": F.coalesce("vertical", none), "horizontal": F.coalesce("horizontal", none)})
     own = lambda axis, drawn: F.when(F.size("cells") > 0, _edges(axis)).otherwise(F.concat(F.array(F.col(f"{axis}0"), F.col(f"{axis}1")), F.transform(drawn, lambda s: s["at"])))
-    df = _settled(df.withColumns({"xs": clustered(own("x", "vertical"), p.tolerance), "ys": clustered(own("y", "horizontal"), p.tolerance)}))
+    df = _settled(df.withColumns({"xs": clustered(own("x", "vertical"), p.tolerance), "ys": clustered(own("y", "horizontal"), p.tolerance), "vertical": _drawn(F.col("vertical")), "horizontal": _drawn(F.col("horizontal"))}))
     df = _settled(df.withColumn("x_first", _supported(F.col("xs"), F.col("vertical"), F.col("y0"), F.col("y1"), p)))
     df = _core(df, "x_first", p, "a")
     df = _settled(df.withColumn("x_second", _supported(F.col("xs"), F.col("vertical"), F.col("a_top"), F.col("a_bottom"), p)))

@@ -6,7 +6,7 @@ import random
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from glyphmill.operators import evaluation, geometry, semantics, studio
+from glyphmill.operators import evaluation, geometry, semantics, studio, tables
 from glyphmill.sources import docx
 
 
@@ -74,3 +74,10 @@ def test_rows_of_word_files_come_in_batches_of_many_files(spark):
     batches = list(docx.packed(iter(rows * 10), to_arrow_schema(StructType.fromDDL(docx.SCHEMA))))
     assert len(batches) <= 12 and all(b.num_rows <= docx.BATCH_ROWS for b in batches)
     assert [(r["document_id"], r["ord"], r["diagnostic"]) for b in batches for r in b.to_pylist()] == [(str(i), 0, "NOT_A_PACKAGE") for i in range(500)] * 10
+
+
+def test_lines_drawn_cell_by_cell_are_one_line(spark):
+    lines = [(40.0, 20.0 * i, 20.0 * i + 20) for i in range(50)] + [(40.0, 1100.0, 1200.0), (80.0, 0.0, 10.0), (80.0, 5.0, 8.0), (80.0, 9.0, 30.0)]
+    random.Random(1).shuffle(lines)
+    df = spark.createDataFrame([(lines,), ([],)], "lines array<struct<at:double,start:double,stop:double>>")
+    assert [[tuple(s) for s in r[0]] for r in df.select(tables._drawn(df["lines"])).collect()] == [[(40.0, 0.0, 1000.0), (40.0, 1100.0, 1200.0), (80.0, 0.0, 30.0)], []]
