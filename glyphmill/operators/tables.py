@@ -13,6 +13,7 @@ lattice (page, lattice cell), so a page with many objects is not all pairs.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import pandas as pd
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from .geometry import BOX, PAGE, area, box_clusters, shared_area
+from .rows import by_row
 
 KEY = [*PAGE, "table_id"]
 ANCHORS = "array<struct<row:int,col:int,row_span:int,col_span:int,x0:double,y0:double,x1:double,y1:double>>"
@@ -260,83 +262,110 @@ def normalise_grids(candidates: DataFrame, strokes: DataFrame, policy: TablePoli
 # Simple and merged grids from cells
 
 
-def _shape(candidates: DataFrame) -> DataFrame:
-    """What the cells show: rows, cells in the emptiest and fullest row, missing and flat ones."""
-    rows = F.array_distinct(F.transform("cells", lambda c: c["row"]))
-    each = F.transform(rows, lambda r: F.size(F.filter("cells", lambda c: c["row"] == r)))
-    flat = F.filter("cells", lambda c: (c["x1"] <= c["x0"]) | (c["y1"] <= c["y0"]))
-    return candidates.withColumns({"gm_rows": F.size(rows), "gm_least": F.coalesce(F.array_min(each), F.lit(0)), "gm_most": F.coalesce(F.array_max(each), F.lit(0)), "gm_missing": F.size(F.filter("cells", lambda c: c["x0"].isNull())), "gm_flat": F.size(flat)})
-
-
-def _small(p: TablePolicy) -> Column:
-    return (F.col("n_rows") < p.rows) | (F.col("n_cols") < p.cols) | (F.col("n_rows") * F.col("n_cols") < p.cells)
-
-
-def _off_columns() -> Column:
-    return (F.col("gm_least") != F.col("n_cols")) | (F.col("gm_most") != F.col("n_cols"))
+def _shape(cells: list[tuple], n_rows: int, n_cols: int, p: TablePolicy, codes: list[str]) -> tuple[str | None, int, int]:
+    """First of three codes (too small, rows, columns) against cells (row, col, box), and how many cells are missing and flat."""
+    counts: dict[int, int] = {}
+    for c in cells:
+        counts[c[0]] = counts.get(c[0], 0) + 1
+    missing = sum([c[2] is None for c in cells])
+    flat = sum([x0 is not None and (x1 <= x0 or y1 <= y0) for _, _, x0, y0, x1, y1 in cells])
+    small = n_rows < p.rows or n_cols < p.cols or n_rows * n_cols < p.cells
+    code = codes[0] if small else codes[1] if len(counts) != n_rows else codes[2] if any(n != n_cols for n in counts.values()) else None
+    return code, missing, flat
+
+
+def _irregular(box: tuple, n_rows: int, cells: list[tuple], t: float) -> bool:
+    """Whether cells leave the box or do not fill it, are out of line with their row and the first row, or run into those before or above."""
+    near = lambda a, b: abs(a - b) <= t
+    tops, lows, head, at = {}, {}, [], {}
+    for c in cells:
+        r = c[0]
+        tops[r], lows[r] = min(tops.get(r, c[3]), c[3]), max(lows.get(r, c[5]), c[5])
+        at.setdefault(c[:2], c)
+        if r == 0:
+            head.append(c)
+    for row, col, x0, y0, x1, y1 in cells:
+        if x0 < box[0] - t or x1 > box[2] + t or y0 < box[1] - t or y1 > box[3] + t:
+            return True
+        inside = 0 <= row < n_rows
+        if inside and not (near(y0, tops[row]) and near(y1, lows[row])):
+            return True
+        if 0 <= col < len(head) and not (near(x0, head[col][2]) and near(x1, head[col][4])):
+            return True
+        before = at.get((row, col - 1))
+        if (before is not None and x0 < before[4] - t) or (inside and row > 0 and row - 1 in lows and tops[row] < lows[row - 1] - t):
+            return True
+    return not (near(min(c[2] for c in cells), box[0]) and near(min(c[3] for c in cells), box[1]) and near(max(c[4] for c in cells), box[2]) and near(max(c[5] for c in cells), box[3]))
 
 
 def simple_grids(candidates: DataFrame, policy: TablePolicy = POLICY) -> DataFrame:
     """First reason against candidates from their cells alone: size, rows, columns, missing or flat cells, cells out of line."""
-    t = policy.tolerance
-    df = _settled(_shape(candidates))
-    near = lambda a, b: F.abs(a - b) <= t
-    top = lambda r: F.array_min(F.transform(F.filter("cells", lambda c: c["row"] == r), lambda c: c["y0"]))
-    low = lambda r: F.array_max(F.transform(F.filter("cells", lambda c: c["row"] == r), lambda c: c["y1"]))
-    rows = F.transform(_upto(F.col("n_rows")), lambda r: F.struct(top(r).alias("top"), low(r).alias("low")))
-    df = _settled(df.withColumns({"gm_lines": rows, "gm_head": F.filter("cells", lambda c: c["row"] == 0)}))
-
-    def out(c: Column) -> Column:
-        line, head = F.get("gm_lines", c["row"]), F.get("gm_head", c["col"])
-        before, above = F.get(F.filter("cells", lambda o: (o["row"] == c["row"]) & (o["col"] == c["col"] - 1)), F.lit(0)), F.get("gm_lines", c["row"] - 1)
-        beyond = (c["x0"] < F.col("x0") - t) | (c["x1"] > F.col("x1") + t) | (c["y0"] < F.col("y0") - t) | (c["y1"] > F.col("y1") + t)
-        crooked = ~near(c["y0"], line["top"]) | ~near(c["y1"], line["low"]) | ~near(c["x0"], head["x0"]) | ~near(c["x1"], head["x1"])
-        return beyond | crooked | F.coalesce(c["x0"] < before["x1"] - t, F.lit(False)) | F.coalesce(line["top"] < above["low"] - t, F.lit(False))
-
-    edge = lambda f, c: f(F.transform("cells", lambda x: x[c]))
-    whole = near(edge(F.array_min, "x0"), F.col("x0")) & near(edge(F.array_min, "y0"), F.col("y0")) & near(edge(F.array_max, "x1"), F.col("x1")) & near(edge(F.array_max, "y1"), F.col("y1"))
-    reason = (
-        F.when(_small(policy), F.lit(TOO_SMALL)).when(F.col("gm_rows") != F.col("n_rows"), F.lit(ROW_TOPOLOGY)).when(_off_columns(), F.lit(COLUMN_TOPOLOGY))
-        .when((F.col("gm_missing") > 0) | (F.col("gm_flat") > 0), F.lit(MISSING_CELLS)).when(F.exists("cells", out) | ~whole, F.lit(IRREGULAR))
-    )
+
+    def look(x0, y0, x1, y1, n_rows, n_cols, cells):
+        code, missing, flat = _shape(cells, n_rows, n_cols, policy, [TOO_SMALL, ROW_TOPOLOGY, COLUMN_TOPOLOGY])
+        return code or (MISSING_CELLS if missing or flat else IRREGULAR if _irregular((x0, y0, x1, y1), n_rows, cells, policy.tolerance) else None)
+
     anchors = F.transform("cells", lambda c: F.struct(c["row"].alias("row"), c["col"].alias("col"), F.lit(1).alias("row_span"), F.lit(1).alias("col_span"), *[c[x].alias(x) for x in BOX]))
-    return _settled(df.withColumns({"reason": reason, "anchors": anchors})).select(*KEY, *BOX, "n_rows", "n_cols", "cells", "reason", F.when(F.col("reason").isNull(), F.col("anchors")).alias("anchors"))
+    made = candidates.withColumn("reason", by_row("string", look)(*BOX, "n_rows", "n_cols", "cells"))
+    return made.select(*KEY, *BOX, "n_rows", "n_cols", "cells", "reason", F.when(F.col("reason").isNull(), anchors).alias("anchors"))
+
+
+def _means(ordered: list[float], tolerance: float) -> list[float]:
+    """Means of ascending values, those within the tolerance of the one before together."""
+    out: list[list] = []
+    for v in ordered:
+        if out and v - out[-1][2] <= tolerance:
+            out[-1] = [out[-1][0] + v, out[-1][1] + 1, v]
+        else:
+            out.append([v, 1, v])
+    return [total / n for total, n, _ in out]
+
+
+def _place(v: float, bounds: list[float], tolerance: float) -> int | None:
+    """The boundary nearest to a value, the lower of two as near, within the tolerance."""
+    i = bisect_left(bounds, v)
+    if i == len(bounds) or (i > 0 and v - bounds[i - 1] <= bounds[i] - v):
+        i -= 1
+    return i if i >= 0 and abs(bounds[i] - v) <= tolerance else None
+
+
+def _merged(box: tuple, n_rows: int, n_cols: int, cells: list[tuple], p: TablePolicy) -> tuple[str | None, list | None]:
+    """Reason against a candidate with merged cells, or its anchors."""
+    small, rows_off, cols_off, flat_, whole, unresolved, uncovered, edge_off, slot_off, overlapping, no_span, hole = MERGED_REASONS
+    code, missing, flat = _shape(cells, n_rows, n_cols, p, [small, rows_off, cols_off])
+    code = code or (flat_ if flat else whole if not missing else None)
+    if code:
+        return code, None
+    there = [c for c in cells if c[2] is not None]
+    xs, ys = (_means(sorted([box[i], box[i + 2], *(c[i + 2] for c in there), *(c[i + 4] for c in there)]), p.tolerance) for i in (0, 1))
+    if len(xs) != n_cols + 1 or len(ys) != n_rows + 1:
+        return unresolved, None
+    if any(abs(b - v) > p.tolerance for b, v in zip((xs[0], ys[0], xs[-1], ys[-1]), box, strict=True)):
+        return uncovered, None
+    taken: set[int] = set()
+    anchors = []
+    at_x = {v: _place(v, xs, p.tolerance) for v in {c[2] for c in there} | {c[4] for c in there}}
+    at_y = {v: _place(v, ys, p.tolerance) for v in {c[3] for c in there} | {c[5] for c in there}}
+    for row, col, x0, y0, x1, y1 in there:
+        a, c, b, d = at_x[x0], at_y[y0], at_x[x1], at_y[y1]
+        if a is None or b is None or c is None or d is None:
+            return edge_off, None
+        if a != col or c != row or b <= a or d <= c:
+            return slot_off, None
+        slots = [c * n_cols + a] if d - c == b - a == 1 else [r * n_cols + x for r in range(c, d) for x in range(a, b)]
+        if not taken.isdisjoint(slots):
+            return overlapping, None
+        taken.update(slots)
+        anchors.append((row, col, d - c, b - a, x0, y0, x1, y1))
+    if all(a[2] == 1 and a[3] == 1 for a in anchors):
+        return no_span, None
+    return (hole, None) if len(taken) < n_rows * n_cols else (None, anchors)
 
 
 def merged_grids(candidates: DataFrame, policy: TablePolicy = POLICY) -> DataFrame:
     """Anchors with row and column spans inferred from cell boxes; the spans must tile the grid of n_rows by n_cols."""
-    p = policy
-    small, rows_off, cols_off, flat, whole, unresolved, uncovered, edge_off, slot_off, overlapping, no_span, hole = MERGED_REASONS
-    near = lambda a, b: F.abs(a - b) <= p.tolerance
-    df = _settled(_shape(candidates).withColumns({"xs": clustered(_edges("x"), p.tolerance), "ys": clustered(_edges("y"), p.tolerance)}))
-    ends = near(F.get("xs", F.lit(0)), F.col("x0")) & near(F.get("xs", F.size("xs") - 1), F.col("x1")) & near(F.get("ys", F.lit(0)), F.col("y0")) & near(F.get("ys", F.size("ys") - 1), F.col("y1"))
-    first = (
-        F.when(_small(p), F.lit(small)).when(F.col("gm_rows") != F.col("n_rows"), F.lit(rows_off)).when(_off_columns(), F.lit(cols_off)).when(F.col("gm_flat") > 0, F.lit(flat)).when(F.col("gm_missing") == 0, F.lit(whole))
-        .when((F.size("xs") != F.col("n_cols") + 1) | (F.size("ys") != F.col("n_rows") + 1), F.lit(unresolved)).when(~ends, F.lit(uncovered))
-    )
-
-    def place(v: Column, bounds: str) -> Column:
-        best = F.array_min(F.transform(bounds, lambda b, i: F.struct(F.abs(b - v).alias("far"), i.alias("i"))))
-        return F.when(best["far"] <= p.tolerance, best["i"])
-
-    there = F.filter("cells", lambda c: c["x0"].isNotNull())
-    placed = F.transform(there, lambda c: F.struct(*[c[x].alias(x) for x in ("row", "col", *BOX)], place(c["x0"], "xs").alias("a"), place(c["x1"], "xs").alias("b"), place(c["y0"], "ys").alias("c"), place(c["y1"], "ys").alias("d")))
-    df = _settled(df.withColumns({"first": first, "gm_placed": placed}))
-    lost = lambda c: c["a"].isNull() | c["b"].isNull() | c["c"].isNull() | c["d"].isNull()
-    off = lambda c: (c["a"] != c["col"]) | (c["c"] != c["row"]) | (c["b"] <= c["a"]) | (c["d"] <= c["c"])
-    slots = lambda c: F.flatten(F.transform(F.sequence(c["c"], c["d"] - 1), lambda r: F.transform(F.sequence(c["a"], c["b"] - 1), lambda x: r * F.col("n_cols") + x)))
-
-    def lay(a: Column, c: Column) -> Column:
-        code = F.when(a["code"].isNotNull(), a["code"]).when(lost(c), F.lit(edge_off)).when(off(c), F.lit(slot_off)).when(F.arrays_overlap(a["taken"], slots(c)), F.lit(overlapping))
-        return F.struct(code.alias("code"), F.when(code.isNull(), F.concat(a["taken"], slots(c))).otherwise(a["taken"]).alias("taken"))
-
-    laid = F.aggregate("gm_placed", F.struct(F.lit(None).cast("string").alias("code"), F.array().cast("array<int>").alias("taken")), lay)
-    df = _settled(df.withColumn("laid", F.when(F.col("first").isNull(), laid)))
-    spread = F.exists("gm_placed", lambda c: (c["b"] - c["a"] > 1) | (c["d"] - c["c"] > 1))
-    last = F.when(~spread, F.lit(no_span)).when(F.size("laid.taken") < F.col("n_rows") * F.col("n_cols"), F.lit(hole))
-    anchors = F.transform("gm_placed", lambda c: F.struct(c["row"].alias("row"), c["col"].alias("col"), (c["d"] - c["c"]).alias("row_span"), (c["b"] - c["a"]).alias("col_span"), *[c[x].alias(x) for x in BOX]))
-    df = _settled(df.withColumns({"reason": F.coalesce("first", "laid.code", last), "anchors": anchors}))
-    return df.select(*KEY, *BOX, "n_rows", "n_cols", "cells", "reason", F.when(F.col("reason").isNull(), F.col("anchors")).alias("anchors"))
+    look = by_row(f"struct<reason:string,anchors:{ANCHORS}>", lambda x0, y0, x1, y1, n_rows, n_cols, cells: _merged((x0, y0, x1, y1), n_rows, n_cols, cells, policy))
+    return candidates.withColumn("gm", look(*BOX, "n_rows", "n_cols", "cells")).select(*KEY, *BOX, "n_rows", "n_cols", "cells", "gm.reason", "gm.anchors")
 
 
 # Inspection against text

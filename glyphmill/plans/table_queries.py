@@ -32,9 +32,11 @@ COLS, WIDE, HIGH = 4, 40.0, 20.0
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("l_orderkey")
-    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("int").alias("page"), (F.row_number().over(w.orderBy("l_linenumber")) - 1).alias("r"), F.count(F.lit(1)).over(w).cast("int").alias("n")).where("n >= 4")
-    return rows.withColumn("document_id", (F.col("page") % 50).cast("string"))
+    """Rows of pages, dealt by page once: what is made of them for the operators stays so dealt."""
+    page = F.col("l_orderkey").cast("int")
+    rows = table(spark, d, "lineitem").select((page % 50).cast("string").alias("document_id"), page.alias("page"), "l_linenumber")
+    w = Window.partitionBy("document_id", "page")
+    return rows.select("document_id", "page", (F.row_number().over(w.orderBy("l_linenumber")) - 1).alias("r"), F.count(F.lit(1)).over(w).cast("int").alias("n")).where("n >= 4")
 
 
 def _candidates(rows: DataFrame, cols: int = COLS, table_id: int = 0) -> DataFrame:

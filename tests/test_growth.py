@@ -81,3 +81,15 @@ def test_lines_drawn_cell_by_cell_are_one_line(spark):
     random.Random(1).shuffle(lines)
     df = spark.createDataFrame([(lines,), ([],)], "lines array<struct<at:double,start:double,stop:double>>")
     assert [[tuple(s) for s in r[0]] for r in df.select(tables._drawn(df["lines"])).collect()] == [[(40.0, 0.0, 1000.0), (40.0, 1100.0, 1200.0), (80.0, 0.0, 30.0)], []]
+
+
+def test_grids_from_cells_are_one_step_a_row(spark):
+    """Cells of a candidate are looked at in one function of its row, not by nested array functions that copy arrays."""
+    box = lambda r, c, wide=1: (r, c, c * 40.0, r * 20.0, (c + wide) * 40.0, r * 20.0 + 20)
+    cells = [box(r, c) for r in range(300) for c in range(4)]
+    cells[:2] = [box(0, 0, 2), (0, 1, None, None, None, None)]
+    kind = "document_id string, page int, table_id int, x0 double, y0 double, x1 double, y1 double, n_rows int, n_cols int, cells array<struct<row:int,col:int,x0:double,y0:double,x1:double,y1:double>>"
+    df = spark.createDataFrame([("d", 1, 0, 0.0, 0.0, 160.0, 6000.0, 300, 4, cells), ("d", 2, 0, 0.0, 0.0, 160.0, 6000.0, 300, 4, cells[:-1] + [box(299, 2)])], kind)
+    made = tables.merged_grids(df)
+    assert [(r.page, r.reason, r.anchors and len(r.anchors)) for r in made.orderBy("page").collect()] == [(1, None, 1199), (2, "merged_grid_overlap", None)]
+    assert "lambda" not in plan(made.select("reason", "anchors")) and "lambda" not in plan(tables.simple_grids(df).select("reason"))
