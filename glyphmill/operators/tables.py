@@ -4,11 +4,11 @@ All tables are keyed by document_id and page.  A candidate is one row: table_id,
 n_cols and ``cells``, an array of (row, col, box), the box null where a slot has no cell of its
 own (:func:`gather` makes it).  Each step adds ``reason``, the first one against it (null:
 accepted), and ``anchors``, cells with their spans.  A candidate's cells are worked on as arrays
-within its row, so a step has one shuffle at most and plans stay a chain.
+within its row, so a step has one shuffle at most and plans stay a chain; rows that come dealt by page stay so.
 
 Strokes have x0, y0, x1, y1, and table_id where they belong to one candidate; spans have
-block_order, line, seq, span_id, text and a box.  Spans and cells of a page meet through a coarse
-lattice (page, lattice cell), so a page with many objects is not all pairs.
+block_order, line, seq, span_id, text and a box.  Spans of a page are one array, which meets the
+candidate's cells through a coarse lattice, so a page with many objects is not all pairs.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from .geometry import BOX, PAGE, area, box_clusters, shared_area
+from .geometry import BOX, PAGE, box_clusters
 from .rows import by_row
 
 KEY = [*PAGE, "table_id"]
@@ -371,82 +371,133 @@ def merged_grids(candidates: DataFrame, policy: TablePolicy = POLICY) -> DataFra
 # Inspection against text
 
 
-def _contains(q: Column, x: Column, y: Column) -> Column:
-    return (x >= q["x0"]) & (x <= q["x1"]) & (y >= q["y0"]) & (y <= q["y1"])
+def _contains(q: tuple, x: float, y: float) -> bool:
+    return q[0] <= x <= q[2] and q[1] <= y <= q[3]
 
 
-def _shares(q: Column) -> Column:
-    """Share of a span's box (s_ columns) in another box."""
-    wide = F.greatest(F.lit(0.0), F.least(F.col("s_x1"), q["x1"]) - F.greatest(F.col("s_x0"), q["x0"]))
-    high = F.greatest(F.lit(0.0), F.least(F.col("s_y1"), q["y1"]) - F.greatest(F.col("s_y0"), q["y0"]))
-    return F.when(area("s_") > 0, wide * high / area("s_")).otherwise(0.0)
+def _share(s: tuple, q: tuple) -> float:
+    """Share of a box in another box."""
+    own = max(0.0, s[2] - s[0]) * max(0.0, s[3] - s[1])
+    return max(0.0, min(s[2], q[2]) - max(s[0], q[0])) * max(0.0, min(s[3], q[3]) - max(s[1], q[1])) / own if own > 0 else 0.0
+
+
+def _owner(s: tuple, anchors: list[tuple], near: list[int], least: float) -> int | None:
+    """The place of the anchor that holds a span's box, among those near it."""
+    x, y = (s[0] + s[2]) / 2, (s[1] + s[3]) / 2
+    centred = [i for i in near if _contains(anchors[i][4:], x, y)]
+    if len(centred) == 1:
+        return centred[0]
+    claims = sorted([(_share(s, anchors[i][4:]), anchors[i][:4], i) for i in near], reverse=True)[:2]
+    if not claims or claims[0][0] < least or (len(claims) > 1 and abs(claims[0][0] - claims[1][0]) <= 1e-9):
+        return None
+    return claims[0][2]
+
+
+def _owners(box: tuple, anchors: list[tuple], spans: list[tuple], p: TablePolicy) -> list[tuple[int, int | None]]:
+    """Places of the spans (order, line, inked, has text, box) that belong to a candidate, each with the place of the anchor that holds it.
+
+    Anchors are looked up by the lattice cells they lie in, so a candidate with many of them is not all pairs.
+    """
+    cells: dict[tuple[int, int], list[int]] = {}
+    for i, a in enumerate(anchors):
+        for gx in range(int(a[4] // p.lattice), int(a[6] // p.lattice) + 1):
+            for gy in range(int(a[5] // p.lattice), int(a[7] // p.lattice) + 1):
+                cells.setdefault((gx, gy), []).append(i)
+    out = []
+    for at, span in enumerate(spans):
+        s = span[4:]
+        if not span[3] or None in s or not (_contains(box, (s[0] + s[2]) / 2, (s[1] + s[3]) / 2) or _share(s, box) >= p.overlap):
+            continue
+        x0, y0, x1, y1 = (int(v // p.lattice) for v in s)
+        near = cells.get((x0, y0), []) if (x0, y0) == (x1, y1) else sorted({i for gx in range(x0, x1 + 1) for gy in range(y0, y1 + 1) for i in cells.get((gx, gy), [])})
+        out.append((at, _owner(s, anchors, near, p.overlap)))
+    return out
 
 
 def _inked() -> Column:
     return F.length(F.trim(F.regexp_replace("text", "\\s+", " "))) > 0
 
 
+SPAN = ["block_order", "line", "inked", "there", *BOX]
+
+
+def _with_spans(grids: DataFrame, spans: DataFrame, *more: str) -> DataFrame:
+    """Candidates with the spans of their page (or their own, where spans have table_id) as an array, each the numbers of it and what ``more`` names."""
+    keys = KEY if "table_id" in spans.columns else PAGE
+    numbers = F.struct("block_order", F.col("line").cast("long").alias("line"), F.coalesce(_inked(), F.lit(False)).cast("int").alias("inked"), F.coalesce(F.length("text") > 0, F.lit(False)).cast("int").alias("there"), *[F.col(c).cast("double").alias(c) for c in BOX])
+    each = spans.repartition(*PAGE).groupBy(*keys).agg(F.collect_list(F.struct(numbers.alias("n"), *more)).alias("gm_spans"))
+    return grids.join(each, keys, "left")
+
+
+def _numbers() -> Column:
+    return F.col("gm_spans.n")
+
+
 def span_cells(grids: DataFrame, spans: DataFrame, policy: TablePolicy = POLICY) -> DataFrame:
     """Spans that belong to a candidate, with the cell that holds each: the only one around its centre, else the one that covers at least half of it and more than any other.
 
     One row of nulls for a candidate to which no span belongs.  ``spans`` may have table_id: then each candidate sees its own.
     """
-    p = policy
-    keys = KEY if "table_id" in spans.columns else PAGE
-    low = lambda c: F.floor(c / p.lattice)
-    box = lambda q: F.struct(*[q[c].alias(c) for c in BOX])
-    kind = "struct<row:int,col:int,row_span:int,col_span:int>"
-    whole = F.array(F.struct(F.lit(None).cast(kind).alias("cell"), F.struct(*BOX).alias("box")))
-    cells = F.transform("anchors", lambda a: F.struct(F.struct(*[a[x].alias(x) for x in ("row", "col", "row_span", "col_span")]).alias("cell"), box(a).alias("box")))
-    rows = grids.select(*KEY, F.struct(*BOX).alias("whole"), F.explode(F.concat(whole, F.coalesce(cells, F.slice(whole, 1, 0)))).alias("q")).select(*KEY, "whole", "q.cell", "q.box")
-    rows = rows.withColumn("gx", F.explode(F.sequence(low(F.col("box.x0")), low(F.col("box.x1"))))).withColumn("gy", F.explode(F.sequence(low(F.col("box.y0")), low(F.col("box.y1")))))
-    texts = spans.where(F.length("text") > 0).select(*keys, "span_id", "block_order", "line", "seq", "text", *[F.col(c).cast("double").alias(f"s_{c}") for c in BOX])
-    texts = texts.withColumn("gx", F.explode(F.sequence(low(F.col("s_x0")), low(F.col("s_x1"))))).withColumn("gy", F.explode(F.sequence(low(F.col("s_y0")), low(F.col("s_y1")))))
-    # a pair meets in several lattice cells; it counts in the one where both have begun
-    once = (F.col("gx") == F.greatest(low(F.col("s_x0")), low(F.col("box.x0")))) & (F.col("gy") == F.greatest(low(F.col("s_y0")), low(F.col("box.y0"))))
-    pairs = rows.join(texts, [*keys, "gx", "gy"], "left").withColumn("once", once)
-    x, y = (F.col("s_x0") + F.col("s_x1")) / 2, (F.col("s_y0") + F.col("s_y1")) / 2
-    pairs = pairs.withColumns({"centred": _contains(F.col("box"), x, y), "share": _shares(F.col("box"))})
-    is_cell = F.col("cell").isNotNull() & F.col("once")
-    found = pairs.groupBy(*KEY, "span_id", "block_order", "line", "seq", "text", *[f"s_{c}" for c in BOX]).agg(
-        F.max(F.col("cell").isNull() & ((F.col("share") >= p.overlap) | F.col("centred"))).alias("belongs"), F.sum((is_cell & F.col("centred")).cast("int")).alias("centres"),
-        F.min(F.when(is_cell & F.col("centred"), F.col("cell"))).alias("centre"), F.sort_array(F.collect_list(F.when(is_cell, F.struct("share", "cell"))), False).alias("claims"))
-    found = found.where("belongs or span_id is null")
-    best, second = F.get("claims", F.lit(0)), F.get("claims", F.lit(1))
-    tie = F.coalesce(F.abs(best["share"] - second["share"]) <= 1e-9, F.lit(False))
-    owner = F.when(F.col("centres") == 1, F.col("centre")).when((best["share"] >= p.overlap) & ~tie, best["cell"])
-    return found.select(*KEY, "span_id", "block_order", "line", "seq", "text", owner.alias("cell"), *[F.col(f"s_{c}").alias(c) for c in BOX])
-
-
-def block_places(spans: DataFrame) -> DataFrame:
-    """The place of each block among those of its page."""
-    return spans.select(*PAGE, "block_order").distinct().withColumn("place", F.row_number().over(Window.partitionBy(*PAGE).orderBy("block_order")))
-
-
-def inspect_tables(grids: DataFrame, spans: DataFrame, *, prefix: str = "", places: DataFrame | None = None, policy: TablePolicy = POLICY) -> DataFrame:
+    find = by_row("array<struct<at:int,cell:int>>", lambda x0, y0, x1, y1, anchors, each: _owners((x0, y0, x1, y1), anchors or [], each or [], policy))
+    rows = _with_spans(grids, spans, "span_id", "seq", "text").withColumn("gm_found", find(*BOX, "anchors", _numbers()))
+    rows = rows.select(*KEY, "anchors", "gm_spans", F.explode_outer("gm_found").alias("f"))
+    s, cell = F.get("gm_spans", F.col("f.at")), F.get("anchors", F.col("f.cell"))
+    held = F.when(cell.isNotNull(), F.struct(*[cell[c].alias(c) for c in ("row", "col", "row_span", "col_span")]))
+    return rows.select(*KEY, s["span_id"].alias("span_id"), s["n"]["block_order"].alias("block_order"), s["n"]["line"].alias("line"), s["seq"].alias("seq"), s["text"].alias("text"), held.alias("cell"), *[s["n"][c].alias(c) for c in BOX])
+
+
+def _inspected(box: tuple, anchors: list[tuple], spans: list[tuple], order: list[int], prefix: str, p: TablePolicy) -> tuple:
+    """Reason against a candidate from its text, its blocks, and the numbers of spans, cells, rows and columns that hold any.  ``order``: the page's blocks."""
+    whole: dict[int, int] = {}
+    for s in spans:
+        whole[s[0]] = whole.get(s[0], 0) + s[2]
+    inked: dict[int, int] = {}
+    lost, filled, held = set(), set(), 0
+    for at, cell in _owners(box, anchors, spans, p):
+        block = spans[at][0]
+        inked[block] = inked.get(block, 0) + spans[at][2]
+        if cell is None:
+            lost.add(block)
+        else:
+            held += 1
+            filled.add(anchors[cell][:4])
+    blocks = sorted(b for b in inked if b is not None)
+    wrong = next((UNOWNED if b in lost else CROSSING for b in blocks if b in lost or whole[b] > inked[b]), None)
+    rows, cols = {c[0] for c in filled}, {x for c in filled for x in range(c[1], c[1] + c[3])}
+    sparse = len(filled) < p.populated_cells or len(rows) < p.populated_rows or len(cols) < p.populated_cols
+    if wrong is None:
+        apart = bool(blocks) and bisect_left(order, blocks[-1]) - bisect_left(order, blocks[0]) + 1 != len(blocks)
+        wrong = NO_TEXT if not blocks else APART if apart else SPARSE if sparse else None
+    return wrong and prefix + wrong, blocks, held, len(filled), len(rows), len(cols)
+
+
+def _seen(block: str) -> str:
+    return f"struct<seen:string,blocks:array<{block}>,spans:long,cells_filled:int,rows_filled:int,cols_filled:int>"
+
+
+def _blocks(spans: list[tuple]) -> list[int]:
+    return sorted({s[0] for s in spans if s[0] is not None})
+
+
+def inspect_tables(grids: DataFrame, spans: DataFrame, *, prefix: str = "", policy: TablePolicy = POLICY) -> DataFrame:
     """Verdicts of candidates against the text of their pages: reason, blocks, and cells, rows and columns with text.
 
     Every span of a candidate has one cell; a block lies in the table or outside; the table's blocks
     follow one another on the page; enough cells, rows and columns hold text; a block belongs to the
     first candidate that takes it.  Candidates with a reason come back as they are.
     """
-    p = policy
-    keys = KEY if "table_id" in spans.columns else PAGE
-    open_ = grids.select(*KEY, *BOX, "anchors", F.col("reason").alias("shape"))
-    owned = span_cells(open_.where("shape is null").drop("shape"), spans, p)
-    blocks = spans.groupBy(*keys, "block_order").agg(F.sum(_inked().cast("int")).alias("inked"))
-    inside = owned.groupBy(*KEY, "block_order").agg(F.sum(_inked().cast("int")).alias("inked_inside"), F.max(F.col("cell").isNull()).alias("unowned"), F.count("cell").alias("held"), F.collect_set("cell").alias("cells"))
-    inside = inside.join(blocks, [*keys, "block_order"], "left").join(block_places(spans) if places is None else places, [*PAGE, "block_order"], "left")
-    there = F.col("block_order").isNotNull()
-    inside = inside.withColumn("wrong", F.when(there & F.col("unowned"), F.lit(prefix + UNOWNED)).when(F.col("inked") > F.col("inked_inside"), F.lit(prefix + CROSSING)))
-    made = inside.groupBy(*KEY).agg(F.min_by("wrong", F.when(F.col("wrong").isNotNull(), F.col("block_order"))).alias("wrong"), (F.max("place") - F.min("place") + 1 != F.count("block_order")).alias("apart"), F.sort_array(F.collect_list("block_order")).alias("blocks"), F.sum("held").alias("spans"), F.array_distinct(F.flatten(F.collect_list("cells"))).alias("filled"))
-    columns = F.array_distinct(F.flatten(F.transform("filled", lambda c: F.sequence(c["col"], c["col"] + c["col_span"] - 1))))
-    made = made.withColumns({"cells_filled": F.size("filled"), "rows_filled": F.size(F.array_distinct(F.transform("filled", lambda c: c["row"]))), "cols_filled": F.size(columns)})
-    sparse = (F.col("cells_filled") < p.populated_cells) | (F.col("rows_filled") < p.populated_rows) | (F.col("cols_filled") < p.populated_cols)
-    reason = F.when(F.col("wrong").isNotNull(), F.col("wrong")).when(F.size("blocks") == 0, F.lit(prefix + NO_TEXT)).when(F.col("apart"), F.lit(prefix + APART)).when(sparse, F.lit(prefix + SPARSE))
-    made = made.select(*KEY, "blocks", "spans", "cells_filled", "rows_filled", "cols_filled", reason.alias("seen"))
-    made = _first_takes(made, prefix + TAKEN)
-    return open_.select(*KEY, "shape").join(made, KEY, "left").select(*KEY, F.coalesce("shape", "seen").alias("reason"), "blocks", "spans", "cells_filled", "rows_filled", "cols_filled")
+    rows = _with_spans(grids, spans)
+    if "table_id" in spans.columns:
+        rows = rows.join(spans.groupBy(*PAGE).agg(F.sort_array(F.collect_set("block_order")).alias("gm_order")), PAGE, "left")
+    else:
+        rows = rows.withColumn("gm_order", F.lit(None).cast("array<int>"))
+
+    def look(shape, x0, y0, x1, y1, anchors, each, order):
+        return (shape, *[None] * 5) if shape else _inspected((x0, y0, x1, y1), anchors or [], each or [], order or _blocks(each or []), prefix, policy)
+
+    found = by_row(_seen(spans.schema["block_order"].dataType.simpleString()), look)("reason", *BOX, "anchors", _numbers(), "gm_order")
+    made = _first_takes(rows.select(*KEY, found.alias("gm")).select(*KEY, "gm.blocks", "gm.spans", "gm.cells_filled", "gm.rows_filled", "gm.cols_filled", "gm.seen"), prefix + TAKEN)
+    return made.select(*KEY, F.col("seen").alias("reason"), "blocks", "spans", "cells_filled", "rows_filled", "cols_filled")
 
 
 def _first_takes(tables: DataFrame, code: str) -> DataFrame:
@@ -468,54 +519,84 @@ def _first_takes(tables: DataFrame, code: str) -> DataFrame:
 # Boundary retry
 
 
-def partition_blocks(tables: DataFrame, spans: DataFrame, policy: TablePolicy = POLICY) -> DataFrame:
-    """Spans of the blocks that reach into a candidate, with ``part``: table or residual for a block that its box cuts (a prefix of whole
-    lines inside, the rest below), whole for others; and the candidate's number of cuts and first reason against cutting."""
-    p = policy
+def _partition(box: tuple, spans: list[tuple], p: TablePolicy) -> tuple[int | None, str | None, list[str | None]]:
+    """Cut blocks of a candidate, first reason against cutting, and the part of each span (none: its block does not reach into the candidate)."""
     none, unclear, no_prefix, no_rest, again, _, overlapping, too_many, _ = PARTITION_REASONS
     t = p.alignment
-    low = lambda c: F.floor(F.col(c) / p.lattice)
-    dealt = lambda df: df.withColumn("gx", F.explode(F.sequence(low("x0"), low("x1")))).withColumn("gy", F.explode(F.sequence(low("y0"), low("y1"))))
-    boxes = tables.select(*KEY, F.struct(*[F.col(c).cast("double").alias(c) for c in BOX]).alias("box"))
-    touched = dealt(spans.select(*PAGE, "block_order", *BOX)).join(dealt(tables.select(*KEY, *BOX)).select(*KEY, "gx", "gy"), [*PAGE, "gx", "gy"]).select(*KEY, "block_order").distinct()
-    rows = spans.join(touched, [*PAGE, "block_order"]).join(boxes, KEY)
-    x, y, q = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2, F.col("box")
-    within = (F.col("x0") >= q["x0"] - t) & (F.col("y0") >= q["y0"] - t) & (F.col("x1") <= q["x1"] + t) & (F.col("y1") <= q["y1"] + t) & _contains(q, x, y)
-    apart = (F.least(F.col("x1"), q["x1"]) <= F.greatest(F.col("x0"), q["x0"])) | (F.least(F.col("y1"), q["y1"]) <= F.greatest(F.col("y0"), q["y0"]))
-    relation = F.when(_inked(), F.when(within, F.lit("inside")).when(apart, F.lit("outside")).otherwise("ambiguous"))
-    line = Window.partitionBy(*KEY, "block_order", "line")
-    rows = rows.withColumn("relation", relation).withColumns({"kinds": F.collect_set("relation").over(line), "line_top": F.min("y0").over(line), "line_bottom": F.max("y1").over(line)})
-    rows = rows.withColumn("kind", F.when(F.size("kinds") == 0, F.lit("blank")).when(F.size("kinds") > 1, F.lit("ambiguous")).otherwise(F.get("kinds", F.lit(0))))
-    block = Window.partitionBy(*KEY, "block_order")
-    # the table part ends before the first line that is not inside
-    rows = rows.withColumn("behind", F.col("line") >= F.coalesce(F.min(F.when(F.col("kind") != "inside", F.col("line"))).over(block), F.col("line") + 1))
-    has = lambda c: F.max(c).over(block)
-    rows = rows.withColumns({"cut": has(F.col("kind") == "inside") & has(F.col("kind") == "outside"), "unclear": has(F.col("kind") == "ambiguous"), "again": has(F.col("behind") & (F.col("kind") == "inside")), "prefix": has(~F.col("behind")), "rest": has(F.col("behind")), "table_bottom": has(F.when(~F.col("behind"), F.col("line_bottom"))), "rest_top": F.min(F.when(F.col("behind") & (F.col("kind") == "outside"), F.col("line_top"))).over(block)})
-    wrong = (
-        F.when(F.col("unclear"), F.lit(unclear)).when(F.col("cut") & ~F.col("prefix"), F.lit(no_prefix)).when(F.col("cut") & ~F.col("rest"), F.lit(no_rest))
-        .when(F.col("cut") & F.col("again"), F.lit(again)).when(F.col("cut") & (F.col("rest_top") < F.col("table_bottom") - t), F.lit(overlapping))
-    )
-    table = Window.partitionBy(*KEY)
-    rows = rows.withColumn("wrong", wrong).withColumns({"first_wrong": F.min_by("wrong", F.when(F.col("wrong").isNotNull(), F.col("block_order"))).over(table), "cuts": F.size(F.collect_set(F.when(F.col("cut"), F.col("block_order"))).over(table))})
-    code = F.when(F.col("first_wrong").isNotNull(), F.col("first_wrong")).when(F.col("cuts") == 0, F.lit(none)).when(F.col("cuts") > p.partitioned_most, F.lit(too_many))
-    part = F.when(~F.col("cut"), F.lit("whole")).when(F.col("behind"), F.lit("residual")).otherwise("table")
-    return rows.select(*KEY, "span_id", "block_order", "line", "seq", "text", *BOX, part.alias("part"), "cuts", code.alias("code"))
+    low = lambda v: int(v // p.lattice)
+    a = [low(v) for v in box]
+    touched = {s[0] for s in spans if s[0] is not None and None not in s[4:] and low(s[4]) <= a[2] and low(s[6]) >= a[0] and low(s[5]) <= a[3] and low(s[7]) >= a[1]}
+    lines: dict[int, dict[int, list[int]]] = {}
+    for at, s in enumerate(spans):
+        if s[0] in touched:
+            lines.setdefault(s[0], {}).setdefault(s[1], []).append(at)
+
+    def relation(s: tuple) -> str:
+        x0, y0, x1, y1 = s[4:]
+        if x0 >= box[0] - t and y0 >= box[1] - t and x1 <= box[2] + t and y1 <= box[3] + t and _contains(box, (x0 + x1) / 2, (y0 + y1) / 2):
+            return "inside"
+        return "outside" if min(x1, box[2]) <= max(x0, box[0]) or min(y1, box[3]) <= max(y0, box[1]) else "ambiguous"
+
+    parts: list[str | None] = [None] * len(spans)
+    first, cuts = None, 0
+    for block in sorted(lines):
+        kinds = {}
+        for line, own in lines[block].items():
+            seen = {relation(spans[i]) if None not in spans[i][4:] else "ambiguous" for i in own if spans[i][2]}
+            kinds[line] = "blank" if not seen else seen.pop() if len(seen) == 1 else "ambiguous"
+        # the table part ends before the first line that is not inside
+        end = min((line for line, k in kinds.items() if k != "inside"), default=None)
+        behind = {line for line in kinds if end is not None and line >= end}
+        cut = "inside" in kinds.values() and "outside" in kinds.values()
+        cuts += cut
+        for line, own in lines[block].items():
+            for i in own:
+                parts[i] = "whole" if not cut else "residual" if line in behind else "table"
+        wrong = unclear if "ambiguous" in kinds.values() else None
+        if cut and wrong is None:
+            edge = lambda f, of, i: f((v for line in of for at in lines[block][line] if (v := spans[at][i]) is not None), default=None)
+            bottom, top = edge(max, kinds.keys() - behind, 7), edge(min, [x for x in behind if kinds[x] == "outside"], 5)
+            if len(behind) == len(kinds):
+                wrong = no_prefix
+            elif not behind:
+                wrong = no_rest
+            elif any(kinds[x] == "inside" for x in behind):
+                wrong = again
+            elif bottom is not None and top is not None and top < bottom - t:
+                wrong = overlapping
+        first = first or wrong
+    if not lines:
+        return None, None, parts
+    return cuts, first or (none if not cuts else too_many if cuts > p.partitioned_most else None), parts
 
 
 def retry_at_boundaries(grids: DataFrame, spans: DataFrame, policy: TablePolicy = POLICY) -> tuple[DataFrame, DataFrame]:
     """A second look at grids that failed because a block crosses their box: verdicts, and the spans of cut blocks with their part.
 
-    A crossing block counts with its table lines only, and all their spans with text must get a cell.
+    A block that a box cuts has a part in the table (a prefix of whole lines inside) and a residual (the rest, below);
+    blocks that only reach into the box are whole.  A crossing block counts with its table lines only, and all their
+    spans with text must get a cell.  Verdicts also count the residual spans.
     """
-    cut = partition_blocks(grids.where("reason is null"), spans, policy)
-    kept = cut.where("code is null and part != 'residual'")
-    seen = inspect_tables(grids, kept.drop("cuts", "code", "part"), prefix="merged_", places=block_places(spans), policy=policy).withColumnRenamed("reason", "seen")
-    each = cut.groupBy(*KEY).agg(F.max("cuts").alias("cuts"), F.max("code").alias("code"), F.sum((F.col("part").isin("table", "whole") & (F.length("text") > 0)).cast("int")).alias("wanted"))
-    made = seen.join(each, KEY, "left")
+    p = policy
+
+    def look(shape, x0, y0, x1, y1, anchors, each):
+        box, each = (x0, y0, x1, y1), each or []
+        if shape:
+            return None, None, 0, 0, [], (shape, *[None] * 5)
+        cuts, code, parts = _partition(box, each, p)
+        own = [s for s, part in zip(each, parts, strict=True) if part in ("table", "whole")]
+        seen = _inspected(box, anchors or [], own if code is None else [], _blocks(each), "merged_", p)
+        return cuts, code, sum(s[3] for s in own), parts.count("residual"), parts, seen
+
+    kind = f"struct<cuts:int,code:string,wanted:int,residual:long,parts:array<string>,seen:{_seen(spans.schema['block_order'].dataType.simpleString())}>"
+    rows = _with_spans(grids, spans, "span_id").withColumn("gm", by_row(kind, look)("reason", *BOX, "anchors", _numbers()))
+    made = _first_takes(rows.select(*KEY, "gm.cuts", "gm.code", "gm.wanted", "gm.residual", "gm.seen.blocks", "gm.seen.spans", "gm.seen.seen"), "merged_" + TAKEN)
     # a candidate's own spans are those of blocks that reach into it; whole blocks beside its edge are counted by the inspection
     cover = F.when(F.col("spans") > F.col("wanted"), F.lit(PARTITION_REASONS[-1]))
-    verdicts = made.select(*KEY, F.coalesce("cuts", F.lit(0)).alias("cuts"), F.when(F.col("cuts").isNull(), F.lit(PARTITION_REASONS[0])).otherwise(F.coalesce("code", "seen", cover)).alias("reason"), "spans")
-    return verdicts, cut.where("code is null").select(*KEY, "span_id", "block_order", "line", "part")
+    verdicts = made.select(*KEY, F.coalesce("cuts", F.lit(0)).alias("cuts"), F.when(F.col("cuts").isNull(), F.lit(PARTITION_REASONS[0])).otherwise(F.coalesce("code", "seen", cover)).alias("reason"), "spans", "residual")
+    parts = rows.where("gm.cuts is not null and gm.code is null").select(*KEY, "gm_spans", F.posexplode("gm.parts").alias("at", "part")).where("part is not null")
+    s = F.get("gm_spans", F.col("at"))
+    return verdicts, parts.select(*KEY, s["span_id"].alias("span_id"), s["n"]["block_order"].alias("block_order"), s["n"]["line"].alias("line"), "part")
 
 
 # Regions

@@ -93,3 +93,34 @@ def test_grids_from_cells_are_one_step_a_row(spark):
     made = tables.merged_grids(df)
     assert [(r.page, r.reason, r.anchors and len(r.anchors)) for r in made.orderBy("page").collect()] == [(1, None, 1199), (2, "merged_grid_overlap", None)]
     assert "lambda" not in plan(made.select("reason", "anchors")) and "lambda" not in plan(tables.simple_grids(df).select("reason"))
+
+
+def _page_of_text(spark, pages=3):
+    """Grids of 3 by 3 with a span in each cell, and a block whose second line lies below."""
+    cells = [(p, 0, r, c, c * 40.0, r * 20.0, c * 40.0 + 40, r * 20.0 + 20) for p in range(pages) for r in range(3) for c in range(3)]
+    spans = [(p, r, 0, c, f"{r}:{c}", "t", x0 + 4, y0 + 4, x0 + 20, y0 + 12) for p, _, r, c, x0, y0, *_ in cells] + [(p, 2, 1, 0, "below", "t", 4.0, 80.0, 30.0, 90.0) for p in range(1, pages)]
+    frame = lambda rows, names: spark.createDataFrame([("d", *r) for r in rows], "document_id string, page int, " + names)
+    boxes = "x0 double, y0 double, x1 double, y1 double"
+    candidates = frame([(p, 0, 0.0, 0.0, 120.0, 60.0, 3, 3) for p in range(pages)], f"table_id int, {boxes}, n_rows int, n_cols int")
+    grids = tables.simple_grids(tables.gather(candidates, frame(cells, f"table_id int, row int, col int, {boxes}")))
+    return grids, frame(spans, f"block_order int, line int, seq int, span_id string, text string, {boxes}")
+
+
+def physical(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_inspection_deals_spans_once(spark):
+    grids, spans = _page_of_text(spark)
+    made = tables.inspect_tables(grids, spans)
+    assert sorted((r.page, r.reason, r.cells_filled) for r in made.collect()) == [(0, None, 9), (1, tables.CROSSING, 9), (2, tables.CROSSING, 9)]
+    # candidates, cells and spans by page, and pages again where blocks are taken in turn
+    assert physical(made).count("Exchange hashpartitioning") <= 5 and "gx" not in physical(made)
+
+
+def test_retries_do_not_deal_spans_by_line(spark):
+    grids, spans = _page_of_text(spark)
+    verdicts, parts = tables.retry_at_boundaries(grids, spans)
+    assert sorted((r.page, r.reason, r.cuts, r.spans, r.residual) for r in verdicts.collect()) == [(0, "boundary_partition_not_applicable", 0, 9, 0), (1, None, 1, 9, 1), (2, None, 1, 9, 1)]
+    assert sorted((r.page, r.span_id) for r in parts.where("part = 'residual'").collect()) == [(1, "below"), (2, "below")]
+    assert "Window" not in physical(verdicts) and physical(verdicts).count("Exchange hashpartitioning") <= 5
