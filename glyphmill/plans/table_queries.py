@@ -134,11 +134,9 @@ def boundary_retries(spark, d):
     k = F.col("page") % 5
     spans = _spans(rows, F.when(k.isin(2, 3), F.lit(2)).otherwise(F.lit(0)))
     spans = spans.where(~((k == 3) & (F.col("seq") > 0))).withColumn("x0", F.when((k == 1) & (F.col("span_id") == "a:0:0"), F.lit(-3.0)).otherwise(F.col("x0")))
-    verdicts, parts = T.retry_at_boundaries(T.simple_grids(T.gather(_candidates(rows), _cells(rows, F.lit(0)))), spans)
-    counts = parts.groupBy(*T.KEY).agg(F.sum((F.col("part") == "residual").cast("long")).alias("residual"))
+    verdicts, _ = T.retry_at_boundaries(T.simple_grids(T.gather(_candidates(rows), _cells(rows, F.lit(0)))), spans)
     good = F.col("reason").isNull()
-    made = verdicts.join(counts, T.KEY, "left")
-    return made.select("page", F.col("cuts").cast("long").alias("cuts"), "reason", F.when(good, F.col("spans")).otherwise(0).cast("long").alias("owned"), F.when(good, F.col("residual")).otherwise(0).cast("long").alias("residual"))
+    return verdicts.select("page", F.col("cuts").cast("long").alias("cuts"), "reason", F.when(good, F.col("spans")).otherwise(0).cast("long").alias("owned"), F.when(good, F.col("residual")).otherwise(0).cast("long").alias("residual"))
 
 
 @query("region_tables", f"""with {PAGES}, p as (select distinct page, n::int as n, page % 4 as k from pages), t as (select unnest([0, 1]) as table_id)
