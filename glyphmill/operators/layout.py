@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from .geometry import BOX, PAGE
+from .rows import by_row
 from .tables import KEY, _first_takes, _settled, _upto
 
 
@@ -127,11 +128,13 @@ def aligned(blocks: list[tuple], width: float, p: ColumnPolicy) -> bool:
         return False
     heights = [b[4] - b[2] for b in blocks if b[4] > b[2]]
     near = max(1.0, 0.35 * median(heights) if heights else 1.0)
-    seen = []
+    seen, from_left = [], sorted(blocks, key=lambda b: (b[1], b[2], b[0]))
     for seed in blocks:
         row: list[tuple] = []
-        for b in sorted((b for b in blocks if _share(seed[2], seed[4], b[2], b[4]) >= p.row_overlap), key=lambda b: (b[1], b[2], b[0])):
-            if not row or b[1] - row[-1][3] >= p.row_gap * width:
+        y0, y1 = seed[2], seed[4]
+        # boxes that share no height are left out before their share is worked out
+        for b in [b for b in from_left if b[2] < y1 and b[4] > y0] if p.row_overlap > 0 else from_left:
+            if _share(y0, y1, b[2], b[4]) >= p.row_overlap and (not row or b[1] - row[-1][3] >= p.row_gap * width):
                 row.append(b)
         if row:
             seen.append((sum((b[2] + b[4]) / 2 for b in row) / len(row), len(row)))
@@ -169,10 +172,7 @@ def order_page(blocks: list[tuple], width: float, p: ColumnPolicy) -> list[tuple
 def column_order(blocks: DataFrame, policy: ColumnPolicy = ColumnPolicy()) -> DataFrame:
     """``reading_order`` of the blocks (block_order, box) of pages (page_width)."""
 
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def ordered(pages: pd.Series, widths: pd.Series) -> pd.Series:
-        return pd.Series([[b[0] for b in order_page([tuple(r[c] for c in ("block_order", *BOX)) for r in rows], w, policy)] if w > 0 else None for rows, w in zip(pages, widths, strict=True)])
-
+    ordered = by_row("array<int>", lambda rows, w: [b[0] for b in order_page(rows, w, policy)] if w and w > 0 else None)
     row = F.struct(F.col("block_order").cast("int").alias("block_order"), *[F.col(c).cast("double").alias(c) for c in BOX])
     pages = blocks.groupBy(*PAGE).agg(F.sort_array(F.collect_list(row)).alias("blocks"), F.max("page_width").cast("double").alias("width"))
     return pages.withColumn("order", ordered("blocks", "width")).select(*PAGE, F.posexplode("order").alias("reading_order", "block_order"))

@@ -121,6 +121,15 @@ def test_inspection_deals_spans_once(spark):
 def test_retries_do_not_deal_spans_by_line(spark):
     grids, spans = _page_of_text(spark)
     verdicts, parts = tables.retry_at_boundaries(grids, spans)
-    assert sorted((r.page, r.reason, r.cuts, r.spans, r.residual) for r in verdicts.collect()) == [(0, "boundary_partition_not_applicable", 0, 9, 0), (1, None, 1, 9, 1), (2, None, 1, 9, 1)]
+    assert sorted((r.page, r.reason, r.cuts, r.spans, r.residual) for r in verdicts.collect()) == [(0, "boundary_partition_not_applicable", 0, 0, 0), (1, None, 1, 9, 1), (2, None, 1, 9, 1)]
     assert sorted((r.page, r.span_id) for r in parts.where("part = 'residual'").collect()) == [(1, "below"), (2, "below")]
     assert "Window" not in physical(verdicts) and physical(verdicts).count("Exchange hashpartitioning") <= 5
+
+
+def test_rows_of_blocks_are_sought_among_those_of_one_height(monkeypatch):
+    from glyphmill.operators import layout
+
+    calls, share = [], layout._share
+    monkeypatch.setattr(layout, "_share", lambda *a: calls.append(a) or share(*a))
+    blocks = [(i, 200.0 * (i % 2), 20.0 * (i // 2), 200.0 * (i % 2) + 180, 20.0 * (i // 2) + 10) for i in range(40)]
+    assert layout.aligned(blocks, 600.0, layout.ColumnPolicy()) and len(calls) <= 80
