@@ -271,24 +271,42 @@ def text_table_runs(rows: DataFrame, least_rows: int = 3, least_cols: int = 3) -
 
 
 def _swept(boxes: list[tuple], reach: float) -> list[int]:
-    """For boxes (x0, y0, x1, y1) in order of (y0, x0) the first place of each one's connected group, by a sweep that looks at boxes still open only."""
-    up = list(range(len(boxes)))
+    """For boxes (x0, y0, x1, y1) in order of (y0, x0) the first place of each one's connected group, by a sweep that looks at groups still open only.
 
-    def root(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    live: list[int] = []
-    for i, (x0, y0, x1, _) in enumerate(boxes):
-        live = [j for j in live if boxes[j][3] + reach >= y0]
-        for j in live:
-            if boxes[j][0] - reach <= x1 and x0 - reach <= boxes[j][2]:
-                a, b = sorted((root(i), root(j)))
-                up[b] = a
-        live.append(i)
-    return [root(i) for i in range(len(boxes))]
+    A group's boxes are looked at from the last one until one touches; those that the sweep has passed are dropped.
+    """
+    up = list(range(len(boxes)))
+    live: list[list] = []
+    for i, box in enumerate(boxes):
+        left, top, right = box[0] - reach, box[1], box[2]
+        on, rest = None, []
+        for group in live:
+            members = group[1]
+            for x0, _, x1, y1 in reversed(members):
+                if x0 - reach <= right and left <= x1 and y1 + reach >= top:
+                    if on is None:
+                        on = group
+                    else:
+                        first, last = (on, group) if on[0] < group[0] else (group, on)
+                        up[last[0]] = first[0]
+                        small, large = sorted((on[1], members), key=len)
+                        on[0], on[1], on[2] = first[0], large + small, len(boxes)
+                    break
+            else:
+                members = group[1] = [b for b in members if b[3] + reach >= top]
+                if members:
+                    rest.append(group)
+        if on is None:
+            on = [i, [], 16]
+        up[i] = on[0]
+        on[1].append(box)
+        if len(on[1]) > on[2]:
+            on[1] = [b for b in on[1] if b[3] + reach >= top]
+            on[2] = 2 * len(on[1]) + 16
+        live = [*rest, on]
+    for i, first in enumerate(up):
+        up[i] = up[first]
+    return up
 
 
 def box_clusters(boxes: DataFrame, reach: float = 2.0) -> DataFrame:

@@ -13,15 +13,16 @@ candidate's cells through a coarse lattice, so a page with many objects is not a
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
+from itertools import pairwise
+from math import ceil
+from operator import itemgetter
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from .geometry import BOX, PAGE, box_clusters
+from .geometry import BOX, PAGE, _swept
 from .rows import by_row
 
 KEY = [*PAGE, "table_id"]
@@ -98,34 +99,6 @@ def box_strokes(boxes: DataFrame) -> DataFrame:
     return boxes.select(*keep, F.explode(F.array(*[F.struct(*[F.col(c).alias(n) for c, n in zip(e, BOX, strict=True)]) for e in edges])).alias("e")).select(*keep, "e.*")
 
 
-def clustered(values: Column, tolerance: float) -> Column:
-    """Means of values in order, those within the tolerance of the one before together."""
-
-    def step(out: Column, v: Column) -> Column:
-        last = F.get(out, F.size(out) - 1)
-        near = (F.size(out) > 0) & (v - last["last"] <= tolerance)
-        grown = F.struct((last["sum"] + v).alias("sum"), (last["n"] + 1).alias("n"), v.alias("last"))
-        return F.when(near, F.concat(F.slice(out, 1, F.size(out) - 1), F.array(grown))).otherwise(F.concat(out, F.array(F.struct(v.alias("sum"), F.lit(1).alias("n"), v.alias("last")))))
-
-    start = F.array().cast("array<struct<sum:double,n:int,last:double>>")
-    return F.aggregate(F.array_sort(values), start, step, lambda out: F.transform(out, lambda g: g["sum"] / g["n"]))
-
-
-def _edges(axis: str) -> Column:
-    """Edges of a candidate's box and of its cells along an axis."""
-    there = F.filter("cells", lambda c: c["x0"].isNotNull())
-    return F.concat(F.array(F.col(f"{axis}0"), F.col(f"{axis}1")), F.transform(there, lambda c: c[f"{axis}0"]), F.transform(there, lambda c: c[f"{axis}1"]))
-
-
-def support(lines: Column, at: Column, low: Column, high: Column, alignment: float) -> Column:
-    """Share of low..high that the lines within ``alignment`` of a boundary cover together."""
-    near = F.filter(lines, lambda s: F.abs(s["at"] - at) <= alignment)
-    cut = F.filter(F.transform(near, lambda s: F.struct(F.greatest(low, s["start"]).alias("start"), F.least(high, s["stop"]).alias("stop"))), lambda s: s["stop"] > s["start"])
-    step = lambda a, s: F.struct((a["sum"] + F.greatest(F.lit(0.0), s["stop"] - F.greatest(s["start"], a["reached"]))).alias("sum"), F.greatest(a["reached"], s["stop"]).alias("reached"))
-    covered = F.aggregate(F.array_sort(cut), F.struct(F.lit(0.0).alias("sum"), low.alias("reached")), step, lambda a: a["sum"])
-    return F.when(high > low, F.least(F.lit(1.0), covered / (high - low))).otherwise(0.0)
-
-
 def _drawn(lines: Column) -> Column:
     """Lines at one place that touch or overlap, as one line: they cover the same, and grids draw a boundary cell by cell."""
 
@@ -138,65 +111,188 @@ def _drawn(lines: Column) -> Column:
     return F.aggregate(F.array_sort(lines), F.slice(lines, 1, 0), step)
 
 
-def _joined(bounds: Column, tolerance: float) -> Column:
-    """Ascending boundaries, each within the tolerance of the last one kept averaged into it."""
-
-    def step(out: Column, b: Column) -> Column:
-        last = F.get(out, F.size(out) - 1)
-        near = (F.size(out) > 0) & (b - last <= tolerance)
-        return F.when(near, F.concat(F.slice(out, 1, F.size(out) - 1), F.array((last + b) / 2))).otherwise(F.concat(out, F.array(b)))
-
-    return F.aggregate(bounds, F.slice(bounds, 1, 0), step)
+class _Lines:
+    """Lines (at, start, stop) along one axis, and the share of a stretch that those near a boundary cover together.
 
+    Lines at one place that touch or overlap are one: they cover the same, and grids draw a boundary cell by cell.
+    """
 
-def _supported(bounds: Column, lines: Column, low: Column, high: Column, p: TablePolicy) -> Column:
-    return _joined(F.filter(bounds, lambda b: support(lines, b, low, high, p.alignment) >= p.support), p.tolerance)
+    def __init__(self, lines: list[tuple], alignment: float):
+        self.lines: list[tuple] = []
+        for s in sorted(lines):
+            last = self.lines[-1] if self.lines else None
+            if last is not None and s[0] == last[0] and s[1] <= last[2]:
+                if s[2] > last[2]:
+                    self.lines[-1] = (*last[:2], s[2])
+            else:
+                self.lines.append(s)
+        self.places, self.alignment = [s[0] for s in self.lines], alignment
+        self.near: dict[float, list[tuple]] = {}
+        self.shares: dict[tuple, float] = {}
+
+    def share(self, at: float, low: float, high: float) -> float:
+        known = self.shares.get((at, low, high))
+        if known is None:
+            known = self.shares[at, low, high] = self._share(at, low, high)
+        return known
+
+    def _share(self, at: float, low: float, high: float) -> float:
+        if not high > low:
+            return 0.0
+        near = self._near(at)
+        if len(near) == 1:
+            start, stop = max(low, near[0][0]), min(high, near[0][1])
+            return min(1.0, (stop - start) / (high - low)) if stop > start else 0.0
+        cut = sorted((max(low, start), min(high, stop)) for start, stop in near if stop > low and start < high)
+        total, reached = 0.0, low
+        for start, stop in cut:
+            if stop > start:
+                total += max(0.0, stop - max(start, reached))
+                reached = max(reached, stop)
+        return min(1.0, total / (high - low))
+
+    def _near(self, at: float) -> list[tuple]:
+        near = self.near.get(at)
+        if near is None:
+            # the bounds of the search are wide, the comparison decides
+            first, last = bisect_left(self.places, at - 2 * self.alignment), bisect_right(self.places, at + 2 * self.alignment)
+            near = self.near[at] = sorted([s[1:] for s in self.lines[first:last] if abs(s[0] - at) <= self.alignment])
+        return near
+
+    def whole(self, at: float, low: float, high: float) -> bool:
+        """Whether one line covers the stretch, and with it each part of it."""
+        near = self._near(at)
+        return len(near) == 1 and near[0][0] <= low and near[0][1] >= high
+
+    def kept(self, bounds: list[float], low: float, high: float, p: TablePolicy) -> list[float]:
+        """Ascending boundaries with enough support, each within the tolerance of the last one kept averaged into it."""
+        out: list[float] = []
+        for b in bounds:
+            if self.share(b, low, high) >= p.support:
+                if out and b - out[-1] <= p.tolerance:
+                    out[-1] = (out[-1] + b) / 2
+                else:
+                    out.append(b)
+        return out
 
 
 # Grids from strokes
 
+#: The reasons against a grid from strokes.
+GRID_REASONS = ["segmented_invalid_candidate_bbox", "segmented_insufficient_raw_column_boundaries", "segmented_insufficient_raw_row_boundaries", "segmented_insufficient_source_vector_segments", "segmented_insufficient_supported_column_boundaries", "segmented_no_stable_vertical_grid_core", "segmented_multiple_stable_vertical_grid_cores", "segmented_insufficient_refined_column_boundaries", "segmented_empty_stable_grid_core", "segmented_logical_column_boundaries_unresolved", "segmented_logical_row_boundaries_unresolved", "segmented_grid_core_top_boundary_unsupported", "segmented_grid_core_bottom_boundary_unsupported", "segmented_normalized_grid_too_small", "segmented_nonrectangular_merged_component"]
+
+
+def _core(bounds: list[float], ys: list[float], vertical: _Lines, p: TablePolicy) -> tuple[int, float | None, float | None]:
+    """Runs of neighbouring row bands in which enough boundaries are drawn: their number, and top and bottom of the first."""
+    wanted = min(len(bounds), max(p.active_least, ceil(len(bounds) * p.active_fraction)))
+    broken = [b for b in bounds if not vertical.whole(b, ys[0], ys[-1])]
+    wanted -= len(bounds) - len(broken)
+    active = [wanted <= 0 or sum([vertical.share(b, low, high) >= p.support for b in broken]) >= wanted for low, high in pairwise(ys)]
+    starts = [i for i, on in enumerate(active) if on and not (i and active[i - 1])]
+    if not starts:
+        return 0, None, None
+    end = next((i for i in range(starts[0], len(active)) if not active[i]), len(active))
+    return len(starts), ys[starts[0]], ys[end]
+
+
+def _rooms(cols: int, right: list[bool], below: list[bool]) -> list[tuple]:
+    """Connected slots of a grid, given row by row with their open walls: first row and column, spans, and number of slots."""
+    if not any(right) and not any(below):
+        return [(i // cols, i % cols, 1, 1, 1) for i in range(len(right))]
+    up = list(range(len(right)))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for i, (r, b) in enumerate(zip(right, below, strict=True)):
+        for beside in [i + 1] * r + [i + cols] * b:
+            x, y = sorted((root(i), root(beside)))
+            up[y] = x
+    members: dict[int, list[int]] = {}
+    for i in range(len(up)):
+        members.setdefault(root(i), []).append(i)
+    out = []
+    for found in members.values():
+        rows, columns = [i // cols for i in found], [i % cols for i in found]
+        out.append((min(rows), min(columns), max(rows) - min(rows) + 1, max(columns) - min(columns) + 1, len(found)))
+    return out
 
-def _core(df: DataFrame, xs: str, p: TablePolicy, out: str) -> DataFrame:
-    """Runs of neighbouring row bands in which enough boundaries of ``xs`` are drawn: their number, and top and bottom of the first."""
-    x, ys = F.col(xs), F.col("ys")
-    wanted = F.least(F.size(x), F.greatest(F.lit(p.active_least), F.ceil(F.size(x) * F.lit(p.active_fraction)).cast("int")))
-    drawn = lambda i: F.size(F.filter(x, lambda b: support(F.col("vertical"), b, F.get(ys, i), F.get(ys, i + 1), p.alignment) >= p.support)) >= wanted
-    df = _settled(df.withColumn("gm_active", F.transform(_upto(F.size(ys) - 1), drawn)))
-    active = F.col("gm_active")
-    df = _settled(df.withColumn("gm_starts", F.filter(_upto(F.size(active)), lambda i: F.get(active, i) & ~F.coalesce(F.get(active, i - 1), F.lit(False)))))
-    first = F.get("gm_starts", F.lit(0))
-    end = F.coalesce(F.get(F.filter(_upto(F.size(active)), lambda i: (i > first) & ~F.get(active, i)), F.lit(0)), F.size(active))
-    return df.withColumns({f"{out}_runs": F.size("gm_starts"), f"{out}_top": F.get(ys, first), f"{out}_bottom": F.get(ys, end)}).drop("gm_active", "gm_starts")
-
-
-@F.pandas_udf(ArrayType(StructType([StructField(c, IntegerType()) for c in ("row", "col", "row_span", "col_span", "slots")])))
-def _rooms(n_cols: pd.Series, open_right: pd.Series, open_below: pd.Series) -> pd.Series:
-    """Connected slots of each grid, given row by row with their open walls: first row and column, spans, and number of slots."""
-
-    def rooms(cols: int, right, below) -> list[tuple]:
-        up = list(range(len(right)))
-
-        def root(i: int) -> int:
-            while up[i] != i:
-                up[i] = up[up[i]]
-                i = up[i]
-            return i
-
-        for i, (r, b) in enumerate(zip(right, below, strict=True)):
-            for beside in [i + 1] * bool(r) + [i + cols] * bool(b):
-                x, y = sorted((root(i), root(beside)))
-                up[y] = x
-        members: dict[int, list[int]] = {}
-        for i in range(len(up)):
-            members.setdefault(root(i), []).append(i)
-        out = []
-        for found in members.values():
-            rows, columns = [i // cols for i in found], [i % cols for i in found]
-            out.append((min(rows), min(columns), max(rows) - min(rows) + 1, max(columns) - min(columns) + 1, len(found)))
-        return out
 
-    names = ("row", "col", "row_span", "col_span", "slots")
-    return pd.Series([[dict(zip(names, r, strict=True)) for r in rooms(int(n), a, b)] if a is not None else None for n, a, b in zip(n_cols, open_right, open_below, strict=True)])
+def _grid(box: tuple, cells: list[tuple], strokes: list[tuple], p: TablePolicy) -> tuple:
+    """Reason against a candidate, or rows, columns and anchors of the grid that strokes support; whether it merges slots; and the boundaries there were before."""
+    invalid, few_x, few_y, no_lines, few_kept, no_core, cores, few_second, empty, no_cols, no_rows, top_off, bottom_off, small, uneven = GRID_REASONS
+    tall, flat = [], []
+    for stroke in strokes:
+        if None in stroke:
+            continue
+        x0, y0, x1, y1 = stroke
+        level, upright = abs(y1 - y0) <= p.alignment, abs(x1 - x0) <= p.alignment
+        if upright and not level:
+            tall.append(((x0 + x1) / 2, y0, y1) if y0 <= y1 else ((x0 + x1) / 2, y1, y0))
+        elif level and not upright:
+            flat.append(((y0 + y1) / 2, x0, x1) if x0 <= x1 else ((y0 + y1) / 2, x1, x0))
+    raw = []
+    for i, lines in enumerate((tall, flat)):
+        drawn = [v for c in cells if c[2] is not None for v in (c[2 + i], c[4 + i])] if cells else [s[0] for s in lines]
+        values = [box[i], box[i + 2], *drawn]
+        there = [v for v in values if v is not None]
+        raw.append((_means(sorted(there), p.tolerance), len(values) - len(there)))
+    (xs, x_lost), (ys, y_lost) = raw
+    sizes = len(xs) + x_lost, len(ys) + y_lost
+    no = lambda reason, merged=False: (reason, None, None, None, merged, *sizes)
+    if any(box[i] is not None and box[i + 2] is not None and box[i + 2] <= box[i] for i in (0, 1)):
+        return no(invalid)
+    if sizes[0] < p.cols + 1 or sizes[1] < p.rows + 1:
+        return no(few_x if sizes[0] < p.cols + 1 else few_y)
+    if not tall or not flat:
+        return no(no_lines)
+    vertical, horizontal = _Lines(tall, p.alignment), _Lines(flat, p.alignment)
+    first = vertical.kept(xs, box[1], box[3], p) if None not in (box[1], box[3]) else []
+    if len(first) < p.cols + 1:
+        return no(few_kept)
+    runs, top, bottom = _core(first, ys, vertical, p)
+    if runs != 1:
+        return no(cores if runs else no_core)
+    second = vertical.kept(xs, top, bottom, p)
+    if len(second) < p.cols + 1:
+        return no(few_second)
+    if second != first:
+        runs, second_top, second_bottom = _core(second, ys, vertical, p)
+        if runs != 1:
+            return no(cores if runs else no_core)
+        top, bottom = max(top, second_top), min(bottom, second_bottom)
+    if bottom <= top:
+        return no(empty)
+    gx = vertical.kept(xs, top, bottom, p) if second != first else second
+    n_cols = len(gx) - 1
+    if n_cols < p.cols:
+        return no(no_cols)
+    gy = horizontal.kept([b for b in ys if top - p.tolerance <= b <= bottom + p.tolerance], gx[0], gx[-1], p)
+    n_rows = len(gy) - 1
+    if n_rows < p.rows:
+        return no(no_rows)
+    if abs(gy[0] - top) > p.tolerance or abs(gy[-1] - bottom) > p.tolerance:
+        return no(top_off if abs(gy[0] - top) > p.tolerance else bottom_off)
+    if n_rows * n_cols < p.cells:
+        return no(small)
+    walls = [c + 1 == n_cols or vertical.whole(gx[c + 1], gy[0], gy[-1]) for c in range(n_cols)]
+    floors = [r + 1 == n_rows or horizontal.whole(gy[r + 1], gx[0], gx[-1]) for r in range(n_rows)]
+    beside = [not wall and vertical.share(gx[c + 1], gy[r], gy[r + 1]) < p.support for r in range(n_rows) for c, wall in enumerate(walls)]
+    below = [not floor and horizontal.share(gy[r + 1], gx[c], gx[c + 1]) < p.support for r, floor in enumerate(floors) for c in range(n_cols)]
+    rooms = _rooms(n_cols, beside, below)
+    merged = any([r[4] > 1 for r in rooms])
+    if any([slots != high * wide for _, _, high, wide, slots in rooms]):
+        return no(uneven, merged)
+    return None, n_rows, n_cols, [(r, c, high, wide, gx[c], gy[r], gx[c + wide], gy[r + high]) for r, c, high, wide, _ in rooms], merged, *sizes
+
+
+def _stroke_boxes(strokes: DataFrame, keys: list[str]) -> DataFrame:
+    """Strokes of a page or of a candidate as one array."""
+    box = F.struct(*[F.col(c).cast("double").alias(c) for c in BOX])
+    return strokes.groupBy(*keys).agg(F.collect_list(box).alias("gm_strokes"))
 
 
 def normalise_grids(candidates: DataFrame, strokes: DataFrame, policy: TablePolicy = POLICY) -> DataFrame:
@@ -208,55 +304,11 @@ def normalise_grids(candidates: DataFrame, strokes: DataFrame, policy: TablePoli
     are kept by their cover between the outer columns.  Neighbouring slots without a wall
     between them are one cell, which must be a rectangle.
     """
-    p = policy
-    lines = segments(strokes, p.alignment)
-    keys = KEY if "table_id" in lines.columns else PAGE
-    line = F.struct("at", "start", "stop")
-    side = lambda axis: F.collect_list(F.when(F.col("axis") == axis, line))
-    none = F.array().cast("array<struct<at:double,start:double,stop:double>>")
-    df = candidates.join(lines.groupBy(*keys).agg(side("x").alias("vertical"), side("y").alias("horizontal")), keys, "left")
-    df = df.withColumns({"vertical": F.coalesce("vertical", none), "horizontal": F.coalesce("horizontal", none)})
-    own = lambda axis, drawn: F.when(F.size("cells") > 0, _edges(axis)).otherwise(F.concat(F.array(F.col(f"{axis}0"), F.col(f"{axis}1")), F.transform(drawn, lambda s: s["at"])))
-    df = _settled(df.withColumns({"xs": clustered(own("x", "vertical"), p.tolerance), "ys": clustered(own("y", "horizontal"), p.tolerance), "vertical": _drawn(F.col("vertical")), "horizontal": _drawn(F.col("horizontal"))}))
-    df = _settled(df.withColumn("x_first", _supported(F.col("xs"), F.col("vertical"), F.col("y0"), F.col("y1"), p)))
-    df = _core(df, "x_first", p, "a")
-    df = _settled(df.withColumn("x_second", _supported(F.col("xs"), F.col("vertical"), F.col("a_top"), F.col("a_bottom"), p)))
-    df = _core(df, "x_second", p, "b").withColumns({"top": F.greatest("a_top", "b_top"), "bottom": F.least("a_bottom", "b_bottom")})
-    df = _settled(df.withColumn("gx", _supported(F.col("xs"), F.col("vertical"), F.col("top"), F.col("bottom"), p)))
-    left, right = F.get("gx", F.lit(0)), F.get("gx", F.size("gx") - 1)
-    inside = lambda b: (b >= F.col("top") - p.tolerance) & (b <= F.col("bottom") + p.tolerance) & (support(F.col("horizontal"), b, left, right, p.alignment) >= p.support)
-    df = _settled(df.withColumn("gy", _joined(F.filter("ys", inside), p.tolerance)))
-    n_rows, n_cols = F.size("gy") - 1, F.size("gx") - 1
-    reason = (
-        F.when((F.col("x1") <= F.col("x0")) | (F.col("y1") <= F.col("y0")), F.lit("segmented_invalid_candidate_bbox"))
-        .when(F.size("xs") < p.cols + 1, F.lit("segmented_insufficient_raw_column_boundaries"))
-        .when(F.size("ys") < p.rows + 1, F.lit("segmented_insufficient_raw_row_boundaries"))
-        .when((F.size("horizontal") == 0) | (F.size("vertical") == 0), F.lit("segmented_insufficient_source_vector_segments"))
-        .when(F.size("x_first") < p.cols + 1, F.lit("segmented_insufficient_supported_column_boundaries"))
-        .when((F.col("a_runs") == 0), F.lit("segmented_no_stable_vertical_grid_core"))
-        .when((F.col("a_runs") > 1), F.lit("segmented_multiple_stable_vertical_grid_cores"))
-        .when(F.size("x_second") < p.cols + 1, F.lit("segmented_insufficient_refined_column_boundaries"))
-        .when((F.col("b_runs") == 0), F.lit("segmented_no_stable_vertical_grid_core"))
-        .when((F.col("b_runs") > 1), F.lit("segmented_multiple_stable_vertical_grid_cores"))
-        .when(F.col("bottom") <= F.col("top"), F.lit("segmented_empty_stable_grid_core"))
-        .when(n_cols < p.cols, F.lit("segmented_logical_column_boundaries_unresolved"))
-        .when(n_rows < p.rows, F.lit("segmented_logical_row_boundaries_unresolved"))
-        .when(F.abs(F.get("gy", F.lit(0)) - F.col("top")) > p.tolerance, F.lit("segmented_grid_core_top_boundary_unsupported"))
-        .when(F.abs(F.get("gy", n_rows) - F.col("bottom")) > p.tolerance, F.lit("segmented_grid_core_bottom_boundary_unsupported"))
-        .when(n_rows * n_cols < p.cells, F.lit("segmented_normalized_grid_too_small"))
-    )
-    df = _settled(df.withColumns({"reason": reason, "n_rows": n_rows, "n_cols": n_cols}))
-    place = F.transform(_upto(F.col("n_rows") * F.col("n_cols")), lambda i: F.struct(F.floor(i / F.col("n_cols")).cast("int").alias("row"), (i % F.col("n_cols")).alias("col")))
-    df = _settled(df.withColumn("gm_slots", F.when(F.col("reason").isNull(), place)))
-    drawn = lambda lines, at, low, high: support(F.col(lines), at, low, high, p.alignment) >= p.support
-    beside = F.transform("gm_slots", lambda s: (s["col"] + 1 < F.col("n_cols")) & ~drawn("vertical", F.get("gx", s["col"] + 1), F.get("gy", s["row"]), F.get("gy", s["row"] + 1)))
-    below = F.transform("gm_slots", lambda s: (s["row"] + 1 < F.col("n_rows")) & ~drawn("horizontal", F.get("gy", s["row"] + 1), F.get("gx", s["col"]), F.get("gx", s["col"] + 1)))
-    df = _settled(df.withColumns({"gm_beside": beside, "gm_below": below})).withColumn("gm_rooms", _rooms("n_cols", "gm_beside", "gm_below"))
-    uneven = F.exists("gm_rooms", lambda r: r["slots"] != r["row_span"] * r["col_span"])
-    anchors = F.transform("gm_rooms", lambda r: F.struct(r["row"].alias("row"), r["col"].alias("col"), r["row_span"].alias("row_span"), r["col_span"].alias("col_span"), F.get("gx", r["col"]).alias("x0"), F.get("gy", r["row"]).alias("y0"), F.get("gx", r["col"] + r["col_span"]).alias("x1"), F.get("gy", r["row"] + r["row_span"]).alias("y1")))
-    df = _settled(df.withColumns({"reason": F.coalesce("reason", F.when(uneven, F.lit("segmented_nonrectangular_merged_component"))), "merged": F.coalesce(F.exists("gm_rooms", lambda r: r["slots"] > 1), F.lit(False)), "anchors": anchors}))
-    kept = lambda c: F.when(F.col("reason").isNull(), F.col(c)).alias(c)
-    return df.select(*KEY, *BOX, "reason", kept("n_rows"), kept("n_cols"), kept("anchors"), "merged", F.size("xs").alias("raw_cols"), F.size("ys").alias("raw_rows"))
+    keys = KEY if "table_id" in strokes.columns else PAGE
+    kind = f"struct<reason:string,n_rows:int,n_cols:int,anchors:{ANCHORS},merged:boolean,raw_cols:int,raw_rows:int>"
+    find = by_row(kind, lambda x0, y0, x1, y1, cells, each: _grid((x0, y0, x1, y1), cells or [], each or [], policy))
+    made = candidates.join(_stroke_boxes(strokes, keys), keys, "left").withColumn("gm", find(*BOX, "cells", "gm_strokes"))
+    return made.select(*KEY, *BOX, "gm.*")
 
 
 # Simple and merged grids from cells
@@ -384,7 +436,7 @@ def _share(s: tuple, q: tuple) -> float:
 def _owner(s: tuple, anchors: list[tuple], near: list[int], least: float) -> int | None:
     """The place of the anchor that holds a span's box, among those near it."""
     x, y = (s[0] + s[2]) / 2, (s[1] + s[3]) / 2
-    centred = [i for i in near if _contains(anchors[i][4:], x, y)]
+    centred = [i for i in near if (a := anchors[i])[4] <= x <= a[6] and a[5] <= y <= a[7]]
     if len(centred) == 1:
         return centred[0]
     claims = sorted([(_share(s, anchors[i][4:]), anchors[i][:4], i) for i in near], reverse=True)[:2]
@@ -399,16 +451,22 @@ def _owners(box: tuple, anchors: list[tuple], spans: list[tuple], p: TablePolicy
     Anchors are looked up by the lattice cells they lie in, so a candidate with many of them is not all pairs.
     """
     cells: dict[tuple[int, int], list[int]] = {}
+    step = p.lattice
     for i, a in enumerate(anchors):
-        for gx in range(int(a[4] // p.lattice), int(a[6] // p.lattice) + 1):
-            for gy in range(int(a[5] // p.lattice), int(a[7] // p.lattice) + 1):
+        for gx in range(int(a[4] // step), int(a[6] // step) + 1):
+            for gy in range(int(a[5] // step), int(a[7] // step) + 1):
                 cells.setdefault((gx, gy), []).append(i)
     out = []
     for at, span in enumerate(spans):
         s = span[4:]
-        if not span[3] or None in s or not (_contains(box, (s[0] + s[2]) / 2, (s[1] + s[3]) / 2) or _share(s, box) >= p.overlap):
+        if not span[3] or None in s:
             continue
-        x0, y0, x1, y1 = (int(v // p.lattice) for v in s)
+        # a box that lies beside has no share, unless a share of none is enough
+        if p.overlap > 0 and (s[0] > box[2] or s[2] < box[0] or s[1] > box[3] or s[3] < box[1]) and s[0] <= s[2] and s[1] <= s[3]:
+            continue
+        if not (_contains(box, (s[0] + s[2]) / 2, (s[1] + s[3]) / 2) or _share(s, box) >= p.overlap):
+            continue
+        x0, y0, x1, y1 = int(s[0] // step), int(s[1] // step), int(s[2] // step), int(s[3] // step)
         near = cells.get((x0, y0), []) if (x0, y0) == (x1, y1) else sorted({i for gx in range(x0, x1 + 1) for gy in range(y0, y1 + 1) for i in cells.get((gx, gy), [])})
         out.append((at, _owner(s, anchors, near, p.overlap)))
     return out
@@ -426,7 +484,8 @@ def _with_spans(grids: DataFrame, spans: DataFrame, *more: str) -> DataFrame:
     keys = KEY if "table_id" in spans.columns else PAGE
     numbers = F.struct("block_order", F.col("line").cast("long").alias("line"), F.coalesce(_inked(), F.lit(False)).cast("int").alias("inked"), F.coalesce(F.length("text") > 0, F.lit(False)).cast("int").alias("there"), *[F.col(c).cast("double").alias(c) for c in BOX])
     each = spans.repartition(*PAGE).groupBy(*keys).agg(F.collect_list(F.struct(numbers.alias("n"), *more)).alias("gm_spans"))
-    return grids.join(each, keys, "left")
+    # the planner does not see how much longer arrays of spans are than the rows they come from: no broadcast
+    return grids.join(each.hint("merge"), keys, "left")
 
 
 def _numbers() -> Column:
@@ -602,43 +661,83 @@ def retry_at_boundaries(grids: DataFrame, spans: DataFrame, policy: TablePolicy
 # Regions
 
 
+def _rows_of(pages: DataFrame) -> DataFrame:
+    """Tables that a function found for each page; an inner generator would infer a filter from the function's result and call it a second time."""
+    return pages.select(*PAGE, F.inline_outer("gm")).where("table_id is not null")
+
+
+def _upright(stroke: tuple) -> tuple:
+    """A stroke from its upper left to its lower right end; one end stands for both where the other is not known."""
+    x, y = ([v for v in (stroke[i], stroke[i + 2]) if v is not None] or [None] for i in (0, 1))
+    return (min(x), min(y), max(x), max(y)) if None not in (*x, *y) else (None,) * 4
+
+
+def _regions(boxes: list[tuple], reach: float) -> list[tuple[tuple, list[tuple]]]:
+    """Groups of strokes (x0, y0, x1, y1) that touch within ``reach``, with their box, from the top of the page; a group without width or height is none."""
+    there = {b if None not in b and b[0] <= b[2] and b[1] <= b[3] else _upright(b) for b in boxes}
+    ordered = sorted([b for b in there if None not in b], key=itemgetter(1, 0, 2, 3))
+    groups: dict[int, list[tuple]] = {}
+    for first, b in zip(_swept(ordered, reach), ordered, strict=True):
+        groups.setdefault(first, []).append(b)
+    found = []
+    for own in groups.values():
+        x0, y0, x1, y1 = zip(*own, strict=True)
+        box = (min(x0), min(y0), max(x1), max(y1))
+        if box[2] > box[0] and box[3] > box[1]:
+            found.append((box, own))
+    return sorted(found, key=lambda r: (r[0][1], r[0][0], r[0][3], r[0][2], r[1][0]))
+
+
 def stroke_regions(strokes: DataFrame, policy: TablePolicy = POLICY) -> tuple[DataFrame, DataFrame]:
     """Groups of strokes that touch within ``region_reach``: strokes with the table_id of their group, and the groups, numbered from the top of their page."""
-    p = policy
-    boxes = strokes.select(*PAGE, *[f(a, b).cast("double").alias(n) for f, a, b, n in ((F.least, "x0", "x1", "x0"), (F.least, "y0", "y1", "y0"), (F.greatest, "x0", "x1", "x1"), (F.greatest, "y0", "y1", "y1"))]).distinct()
-    named = boxes.withColumn("box_id", F.concat_ws(":", *[F.col(c).cast("string") for c in BOX]))
-    corner = F.transform(F.split("box_id", ":"), lambda x: x.cast("double"))
-    rows = box_clusters(named, p.region_reach).select(*PAGE, "cluster", *[F.get(corner, F.lit(i)).alias(c) for i, c in enumerate(BOX)])
-    w = Window.partitionBy(*PAGE, "cluster")
-    rows = rows.withColumns({"u_x0": F.min("x0").over(w), "u_y0": F.min("y0").over(w), "u_x1": F.max("x1").over(w), "u_y1": F.max("y1").over(w)}).where("u_x1 > u_x0 and u_y1 > u_y0")
-    rows = rows.withColumn("table_id", F.dense_rank().over(Window.partitionBy(*PAGE).orderBy("u_y0", "u_x0", "u_y1", "u_x1", "cluster")) - 1)
-    regions = rows.select(*KEY, *[F.col(f"u_{c}").alias(c) for c in BOX]).distinct()
-    return rows.select(*KEY, *BOX), regions
+    box = "x0:double,y0:double,x1:double,y1:double"
+    find = by_row(f"array<struct<table_id:int,{box},own:array<struct<{box}>>>>", lambda each: [(i, *b, own) for i, (b, own) in enumerate(_regions(each, policy.region_reach))])
+    rows = _rows_of(_stroke_boxes(strokes, PAGE).select(*PAGE, find("gm_strokes").alias("gm")))
+    return rows.select(*KEY, F.explode("own").alias("s")).select(*KEY, "s.*"), rows.drop("own")
+
+
+def _page_reason(boxes: list[tuple], p: TablePolicy) -> str | None:
+    """Reason against all regions of a page: too few, too many, or two that run into each other."""
+    if not p.regions_least <= len(boxes) <= p.regions_most:
+        return "segmented_insufficient_vector_regions" if len(boxes) < p.regions_least else "segmented_too_many_vector_regions"
+    meet = lambda a, b: min(a[2], b[2]) - max(a[0], b[0]) > p.region_reach and min(a[3], b[3]) - max(a[1], b[1]) > p.region_reach
+    return "segmented_vector_regions_overlap" if any(meet(a, b) for i, a in enumerate(boxes) for b in boxes[i + 1 :]) else None
+
+
+def _region_tables(strokes: list[tuple], spans: list[tuple], p: TablePolicy) -> list[tuple]:
+    """Verdicts of a page's regions: number, box, reason, rows, columns, strategy and anchors."""
+    regions = _regions(strokes, p.region_reach)
+    against = _page_reason([box for box, _ in regions], p)
+    order, taken, out = _blocks(spans), set(), []
+    for i, (box, own) in enumerate(regions):
+        if against:
+            out.append((i, *box, against, None, None, None, None))
+            continue
+        reason, n_rows, n_cols, anchors, merged, raw_cols, raw_rows = _grid(box, [], own, p)
+        strategy = None
+        if reason is None:
+            strategy = "lines_strict" if not merged and (raw_cols, raw_rows) == (n_cols + 1, n_rows + 1) else "lines"
+            reason, blocks, *_ = _inspected(box, anchors, spans, order, "", p)
+            if reason is None:
+                # a block belongs to the first table that takes it
+                reason = None if taken.isdisjoint(blocks) else TAKEN
+                taken.update([] if reason else blocks)
+        out.append((i, *box, reason, n_rows, n_cols, strategy, None if reason else anchors))
+    if sum([r[5] is None for r in out]) >= p.regions_least:
+        return out
+    return [r if r[5] else (*r[:5], "segmented_minimum_tables_not_met", *r[6:9], None) for r in out]
 
 
 def region_tables(strokes: DataFrame, spans: DataFrame, policy: TablePolicy = POLICY) -> DataFrame:
     """Tables of pages with several separate ruled regions: verdicts with grid size, strategy and anchors.
 
-    Each region's grid is made from its own strokes and inspected against the page's text; a grid that keeps all
-    drawn boundaries and merges nothing is ``lines_strict``.  A page gives its tables only if at least
-    ``regions_least`` regions are accepted.
+    Regions are groups of strokes that touch, numbered from the top of their page.  Each one's grid is made from its
+    own strokes and inspected against the page's text; a grid that keeps all drawn boundaries and merges nothing
+    is ``lines_strict``.  A page gives its tables only if at least ``regions_least`` regions are accepted.
+    Strokes and spans of a page are an array each, so a page is one row and regions are not dealt again.
     """
     p = policy
-    own, regions = stroke_regions(strokes, p)
-    boxes = F.struct("table_id", *BOX)
-    pages = regions.groupBy(*PAGE).agg(F.sort_array(F.collect_list(boxes)).alias("each"))
-    meet = lambda a, b: (a["table_id"] < b["table_id"]) & (F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"]) > p.region_reach) & (F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"]) > p.region_reach)
-    n = F.size("each")
-    reason = F.when(n < p.regions_least, F.lit("segmented_insufficient_vector_regions")).when(n > p.regions_most, F.lit("segmented_too_many_vector_regions")).when(F.exists("each", lambda a: F.exists("each", lambda b: meet(a, b))), F.lit("segmented_vector_regions_overlap"))
-    none = F.array().cast("array<struct<row:int,col:int,x0:double,y0:double,x1:double,y1:double>>")
-    open_ = pages.withColumn("page_reason", reason).select(*PAGE, "page_reason", F.explode("each").alias("e")).select(*PAGE, "page_reason", "e.*").withColumn("cells", none)
-    grids = normalise_grids(open_, own, p)
-    grids = grids.join(open_.select(*KEY, "page_reason"), KEY)
-    grids = grids.withColumns({"reason": F.coalesce("page_reason", "reason"), **{c: F.when(F.col("page_reason").isNull(), F.col(c)) for c in ("n_rows", "n_cols")}}).drop("page_reason")
-    strict = ~F.col("merged") & (F.col("raw_cols") == F.col("n_cols") + 1) & (F.col("raw_rows") == F.col("n_rows") + 1)
-    grids = grids.withColumn("strategy", F.when(F.col("n_rows").isNotNull(), F.when(strict, F.lit("lines_strict")).otherwise("lines")))
-    seen = inspect_tables(grids, spans, policy=p).select(*KEY, F.col("reason").alias("seen"))
-    made = grids.select(*KEY, *BOX, "n_rows", "n_cols", "strategy", "anchors").join(seen, KEY)
-    accepted = F.sum(F.col("seen").isNull().cast("int")).over(Window.partitionBy(*PAGE))
-    made = made.withColumn("reason", F.coalesce("seen", F.when(accepted < p.regions_least, F.lit("segmented_minimum_tables_not_met"))))
-    return made.select(*KEY, *BOX, "reason", "n_rows", "n_cols", "strategy", F.when(F.col("reason").isNull(), F.col("anchors")).alias("anchors"))
+    pages = _with_spans(_stroke_boxes(strokes, PAGE), spans.drop("table_id"))
+    kind = f"array<struct<table_id:int,x0:double,y0:double,x1:double,y1:double,reason:string,n_rows:int,n_cols:int,strategy:string,anchors:{ANCHORS}>>"
+    find = by_row(kind, lambda each, text: _region_tables(each, text or [], p))
+    return _rows_of(pages.select(*PAGE, find("gm_strokes", _numbers()).alias("gm")))

@@ -46,15 +46,16 @@ def _candidates(rows: DataFrame, cols: int = COLS, table_id: int = 0) -> DataFra
 def _strokes(rows: DataFrame, kind: Column, dx: float = 0.0, cols: int = COLS) -> DataFrame:
     """Row by row the left walls, the last right wall and the upper walls; below the last row a full line.  ``kind`` says what is left out."""
     r, n, c = F.col("r"), F.col("n"), F.col("c")
-    walls = rows.withColumn("kind", kind).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(cols))))
-    top = r * HIGH
+    # walls, then the line above the row, then the one below the last row: rows are read once
+    drawn = rows.withColumn("kind", kind).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(cols + 2))))
+    top, wall, above = r * HIGH, c <= cols, c == cols + 1
     no_wall = ((F.col("kind").isin(1, 3)) & (r == 0) & (c == cols - 1)) | ((F.col("kind") == 5) & (r == 1))
     low = F.when((F.col("kind") == 4) & (c > 0), top + HIGH / 2).otherwise(top + HIGH)
-    tall = walls.where(~no_wall).select("document_id", "page", (c * WIDE + dx).alias("x0"), top.alias("y0"), (c * WIDE + dx).alias("x1"), low.alias("y1"))
     end = F.when(F.col("kind").isin(2, 3) & (r == 1), F.lit((cols - 1) * WIDE)).otherwise(F.lit(cols * WIDE))
-    flat = walls.where("c = 0").select("document_id", "page", F.lit(dx).alias("x0"), top.alias("y0"), (end + dx).alias("x1"), top.alias("y1"))
-    last = walls.where("c = 0").where(r == n - 1).select("document_id", "page", F.lit(dx).alias("x0"), (n * HIGH).alias("y0"), F.lit(cols * WIDE + dx).alias("x1"), (n * HIGH).alias("y1"))
-    return tall.unionByName(flat).unionByName(last)
+    drawn = drawn.where(F.when(wall, ~no_wall).otherwise(above | (r == n - 1)))
+    x0, x1 = F.when(wall, c * WIDE).otherwise(0.0), F.when(wall, c * WIDE).when(above, end).otherwise(cols * WIDE)
+    y0, y1 = F.when(wall | above, top).otherwise(n * HIGH), F.when(wall, low).when(above, top).otherwise(n * HIGH)
+    return drawn.select("document_id", "page", (x0 + dx).alias("x0"), y0.alias("y0"), (x1 + dx).alias("x1"), y1.alias("y1"))
 
 
 @query("stroke_grids", f"""with {PAGES}, p as (select distinct page, n::int as n, page % 6 as k from pages)
@@ -96,14 +97,18 @@ def _spans(rows: DataFrame, kind: Column, cols: int = COLS, dx: float = 0.0, tag
     """A block for each row with a span in each cell.  Kinds: 1 a span half in each of two cells, 2 a block goes on below the table,
     3 a block outside lies between those of the table in the page's order, 4 text in the first row only, 5 no text, 6 the second span hangs over its cell's edge."""
     r, n, c, k = F.col("r"), F.col("n"), F.col("c"), F.col("kind")
-    slots = rows.withColumn("kind", kind).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
-    left = F.when((k == 1) & (r == 2) & (c == 0), F.lit(WIDE - 4)).when((k == 6) & (c == 1), c * WIDE - 2).otherwise(c * WIDE + 4) + dx
-    name = lambda *x: F.concat_ws(":", F.lit(tag), *[y.cast("string") for y in x])
-    row = lambda *extra: ["document_id", "page", *extra]
-    inside = slots.where(~((k == 4) & (r > 0)) & (k != 5)).select(*row((r * 2).alias("block_order"), F.lit(0).alias("line"), c.alias("seq"), name(r, c).alias("span_id"), F.concat(F.lit("t"), r.cast("string")).alias("text"), left.alias("x0"), (r * HIGH + 4).alias("y0"), (left + 8).alias("x1"), (r * HIGH + 12).alias("y1")))
-    after = rows.withColumn("kind", kind).where((k == 2) & (r == n - 1)).select(*row((r * 2).alias("block_order"), F.lit(1).alias("line"), F.lit(0).alias("seq"), name(r, F.lit("below")).alias("span_id"), F.lit("rest").alias("text"), F.lit(4.0 + dx).alias("x0"), (n * HIGH + 10).alias("y0"), F.lit(30.0 + dx).alias("x1"), (n * HIGH + 18).alias("y1")))
-    between = rows.withColumn("kind", kind).where((k == 3) & (r == 0)).select(*row(F.lit(1).alias("block_order"), F.lit(0).alias("line"), F.lit(0).alias("seq"), name(r, F.lit("between")).alias("span_id"), F.lit("note").alias("text"), F.lit(4.0 + dx).alias("x0"), (n * HIGH + 30).alias("y0"), F.lit(30.0 + dx).alias("x1"), (n * HIGH + 38).alias("y1")))
-    return inside.unionByName(after).unionByName(between)
+    # cells, then the one span beside them: rows are read once
+    slots = rows.withColumn("kind", kind).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(cols))))
+    cell, after, between = c < cols, (k == 2) & (r == n - 1), (k == 3) & (r == 0)
+    slots = slots.where(F.when(cell, ~((k == 4) & (r > 0)) & (k != 5)).otherwise(after | between))
+    left = F.when((k == 1) & (r == 2) & (c == 0), F.lit(WIDE - 4)).when((k == 6) & (c == 1), c * WIDE - 2).otherwise(c * WIDE + 4)
+    pick = lambda inside, below, note: F.when(cell, inside).when(after, below).otherwise(note)
+    made = {
+        "block_order": pick(r * 2, r * 2, F.lit(1)), "line": pick(F.lit(0), F.lit(1), F.lit(0)), "seq": pick(c, F.lit(0), F.lit(0)),
+        "span_id": F.concat_ws(":", F.lit(tag), r.cast("string"), pick(c.cast("string"), F.lit("below"), F.lit("between"))), "text": pick(F.concat(F.lit("t"), r.cast("string")), F.lit("rest"), F.lit("note")),
+        "x0": pick(left, F.lit(4.0), F.lit(4.0)) + dx, "y0": pick(r * HIGH + 4, n * HIGH + 10, n * HIGH + 30), "x1": pick(left + 8, F.lit(30.0), F.lit(30.0)) + dx, "y1": pick(r * HIGH + 12, n * HIGH + 18, n * HIGH + 38),
+    }
+    return slots.select("document_id", "page", *[v.alias(x) for x, v in made.items()])
 
 
 @query("inspected_tables", f"""with {PAGES}, p as (select distinct page, n, page % 7 as k from pages)

@@ -133,3 +133,20 @@ def test_rows_of_blocks_are_sought_among_those_of_one_height(monkeypatch):
     monkeypatch.setattr(layout, "_share", lambda *a: calls.append(a) or share(*a))
     blocks = [(i, 200.0 * (i % 2), 20.0 * (i // 2), 200.0 * (i % 2) + 180, 20.0 * (i // 2) + 10) for i in range(40)]
     assert layout.aligned(blocks, 600.0, layout.ColumnPolicy()) and len(calls) <= 80
+
+
+def test_regions_of_a_page_are_one_step(spark):
+    """Strokes and spans are an array of their page each; grids are made and inspected in one function, called once, and no page goes to the driver."""
+    wall = [(c * 40.0 + dx, r * 20.0, c * 40.0 + dx, r * 20.0 + 20) for r in range(3) for c in range(4) for dx in (0.0, 200.0)]
+    floor = [(dx, r * 20.0, dx + 120.0, r * 20.0) for r in range(4) for dx in (0.0, 200.0)]
+    boxes = "x0 double, y0 double, x1 double, y1 double"
+    frame = lambda rows, names: spark.createDataFrame([("d", p, *r) for p in range(2) for r in rows], f"document_id string, page int, {names}")
+    spans = [(r + (dx > 0) * 50, 0, c, f"{dx}:{r}:{c}", "t", c * 40.0 + dx + 4, r * 20.0 + 4, c * 40.0 + dx + 20, r * 20.0 + 12) for r in range(3) for c in range(3) for dx in (0.0, 200.0)]
+    strokes = frame([*wall, *floor, (None, 1.0, None, 2.0)], boxes)
+    made = tables.region_tables(strokes, frame(spans, f"block_order int, line int, seq int, span_id string, text string, {boxes}"))
+    assert [(r.page, r.table_id, r.x0, r.reason, r.strategy, len(r.anchors)) for r in made.orderBy("page", "table_id").collect()] == [(p, t, 200.0 * t, None, "lines_strict", 9) for p in (0, 1) for t in (0, 1)]
+    text = physical(made)
+    assert text.count("+- ArrowEvalPython") == 1 and "Window" not in text and "Broadcast" not in text and text.count("Exchange hashpartitioning") <= 2
+    candidate = frame([(0, 0.0, 0.0, 120.0, 60.0, 3, 3)], f"table_id int, {boxes}, n_rows int, n_cols int")
+    cells = frame([], f"table_id int, row int, col int, {boxes}")
+    assert "lambda" not in plan(tables.normalise_grids(tables.gather(candidate, cells), strokes))
