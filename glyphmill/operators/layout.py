@@ -1,23 +1,23 @@
 """Order of prose columns on a page, and tables that only the alignment of their text shows.
 
 Both read one row a page with the page's blocks or text segments as an array; what goes from
-one object to the next (joining columns, filling rows) is a small step on that array, all checks
-after it are array functions in the same row.
+one object to the next (joining columns, filling rows) and the checks after it are small steps on
+that array, in one function of the page's row.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from itertools import pairwise
 from statistics import median
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
 from .geometry import BOX, PAGE
 from .rows import by_row
-from .tables import KEY, _first_takes, _settled, _upto
+from .tables import _rows_of
 
 
 @dataclass(frozen=True)
@@ -201,31 +201,56 @@ OPERATORS = "=:;+−-×÷*/|<>≤≥±→←↔"
 TEXT_REASONS = ["text_aligned_insufficient_column_gap", "text_aligned_dense_row_spacing", "text_aligned_rows_too_far_apart", "text_aligned_operator_lane", "text_aligned_source_block_crosses_boundary", "text_aligned_no_source_text_ownership", "text_aligned_source_blocks_noncontiguous", "text_aligned_invalid_column_boundaries", "text_aligned_invalid_row_boundaries", "text_aligned_overlapping_source_ownership"]
 
 
-def _beside(a: Column, b: Column) -> Column:
-    """Shared height of two boxes as a share of the lower one."""
-    least = F.least(a["y1"] - a["y0"], b["y1"] - b["y0"])
-    return F.when(least > 0, F.greatest(F.lit(0.0), F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"])) / least).otherwise(0.0)
+#: White space as Spark's patterns have it, and the end of a text before its last line's end.
+BLANK = " \t\n\x0b\f\r"
+_BLANK_END = re.compile(f"[{BLANK}](?=[\x85\u2028\u2029]?\\Z)")
+_OPERATORS = re.compile("[" + re.escape(OPERATORS) + "]+[\x85\u2028\u2029]?")
+_NO_BLANK = str.maketrans("", "", BLANK)
 
 
-def text_segments(spans: DataFrame, policy: TextTablePolicy = TextTablePolicy()) -> DataFrame:
-    """Spans of a line that follow closely and stand at one height, as one segment: block_order, box, text, n_spans."""
-    p = policy
-    inked = F.length(F.trim(F.regexp_replace("text", "\\s+", " "))) > 0
-    span = F.struct(F.col("x0").cast("double").alias("x0"), "seq", *[F.col(c).cast("double").alias(c) for c in BOX[1:]], "text")
-    lines = spans.where(inked).groupBy(*PAGE, "block_order", "line").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+def _joined(last: str, text: str) -> str:
+    """Two texts with a blank between them, unless one of them has it."""
+    return last + ("" if text[0] in BLANK or _BLANK_END.search(last) else " ") + text
+
+
+def _segments(spans: list[tuple], p: TextTablePolicy) -> list[tuple]:
+    """Spans (block_order, line, seq, box, text) of a page that follow closely in a line and stand at one height, as segments: y0, x0, x1, y1, block_order, text, number of spans.
+
+    Spans without text or without a box are in no segment.
+    """
+    lines: dict[tuple, list[tuple]] = {}
+    for block, line, seq, x0, y0, x1, y1, text in spans:
+        if text is not None and text.strip(BLANK) and x0 is not None and y0 is not None and x1 is not None and y1 is not None:
+            lines.setdefault((block, line), []).append((x0, (seq is not None, seq), y0, x1, y1, text))
+    out = []
+    for (block, _), own in lines.items():
+        own.sort()
+        x0, _, y0, x1, y1, text = own[0]
+        n = 1
+        for a, _, b, c, d, more in own[1:]:
+            if a - x1 <= p.join and _share(y0, y1, b, d) >= p.overlap:
+                x0, y0, x1, y1, text, n = min(x0, a), min(y0, b), max(x1, c), max(y1, d), _joined(text, more), n + 1
+            else:
+                out.append((y0, x0, x1, y1, block, text, n))
+                x0, y0, x1, y1, text, n = a, b, c, d, more, 1
+        out.append((y0, x0, x1, y1, block, text, n))
+    return out
+
+
+SEGMENT_SPAN = ["block_order", "line", "seq", *BOX, "text"]
+
+
+def _page_spans(spans: DataFrame) -> DataFrame:
+    """Spans of a page as one array."""
+    made = F.struct(*[F.col(c).cast("double").alias(c) if c in BOX else F.col(c) for c in SEGMENT_SPAN])
+    return spans.groupBy(*PAGE).agg(F.collect_list(made).alias("spans"))
 
-    def step(out: Column, s: Column) -> Column:
-        last = F.get(out, F.size(out) - 1)
-        on = (F.size(out) > 0) & (s["x0"] - last["x1"] <= p.join) & (_beside(last, s) >= p.overlap)
-        blank = last["text"].rlike("\\s$") | s["text"].rlike("^\\s")
-        text = F.concat(last["text"], F.when(blank, F.lit("")).otherwise(" "), s["text"])
-        grown = F.struct(F.least(last["x0"], s["x0"]).alias("x0"), F.least(last["y0"], s["y0"]).alias("y0"), F.greatest(last["x1"], s["x1"]).alias("x1"), F.greatest(last["y1"], s["y1"]).alias("y1"), text.alias("text"), (last["n_spans"] + 1).alias("n_spans"))
-        fresh = F.struct(*[s[c].alias(c) for c in BOX], s["text"].alias("text"), F.lit(1).alias("n_spans"))
-        return F.when(on, F.concat(F.slice(out, 1, F.size(out) - 1), F.array(grown))).otherwise(F.concat(out, F.array(fresh)))
 
-    kind = "array<struct<x0:double,y0:double,x1:double,y1:double,text:string,n_spans:int>>"
-    made = lines.withColumn("segments", F.aggregate("spans", F.array().cast(kind), step))
-    return made.select(*PAGE, "block_order", F.explode("segments").alias("s")).select(*PAGE, "block_order", "s.*")
+def text_segments(spans: DataFrame, policy: TextTablePolicy = TextTablePolicy()) -> DataFrame:
+    """Spans of a line that follow closely and stand at one height, as one segment: block_order, box, text, n_spans."""
+    kind = f"array<struct<y0:double,x0:double,x1:double,y1:double,block_order:{spans.schema['block_order'].dataType.simpleString()},text:string,n_spans:int>>"
+    found = _page_spans(spans).select(*PAGE, by_row(kind, lambda each: _segments(each, policy))("spans").alias("s"))
+    return found.select(*PAGE, F.inline_outer("s")).where("n_spans is not null").select(*PAGE, "block_order", *BOX, "text", "n_spans")
 
 
 def aligned_runs(boxes: list[tuple], p: TextTablePolicy) -> list[list[list[int]]]:
@@ -235,24 +260,41 @@ def aligned_runs(boxes: list[tuple], p: TextTablePolicy) -> list[list[list[int]]
     """
     rows: list[tuple[list[int], list[float]]] = []
     for i, (_, y0, _, y1) in enumerate(boxes):
-        home = next((r for r in reversed(rows[-3:]) if _share(y0, y1, *r[1]) >= p.overlap), None)
-        if home is None:
-            rows.append(([i], [y0, y1]))
+        for own, reach in rows[:-4:-1]:
+            if _share(y0, y1, reach[0], reach[1]) >= p.overlap:
+                own.append(i)
+                if y0 < reach[0] or y1 > reach[1]:
+                    reach[:] = [min(reach[0], y0), max(reach[1], y1)]
+                break
         else:
-            home[0].append(i)
-            home[1][:] = [min(home[1][0], y0), max(home[1][1], y1)]
-    lines = sorted(([sorted(own, key=lambda i: boxes[i][0]) for own, _ in rows]), key=lambda own: (min(boxes[i][1] for i in own), min(boxes[i][0] for i in own)))
-    found = []
+            rows.append(([i], [y0, y1]))
+    lines = sorted(([sorted(own, key=lambda i: boxes[i][0]) for own, _ in rows]), key=lambda own: (min([boxes[i][1] for i in own]), boxes[own[0]][0]))
+    found, reached = [], 0
     for start, head in enumerate(lines):
         if len(head) < p.cols:
             continue
+        if start < reached:
+            # a run that no edge ends goes on from each of its rows
+            if reached - start >= p.rows:
+                found.append((start, reached))
+            continue
         edges = [[boxes[i][0], boxes[i][0], boxes[i][2], boxes[i][2]] for i in head]
         end = start + 1
         while end < len(lines) and len(lines[end]) == len(head):
-            grown = [[min(e[0], boxes[i][0]), max(e[1], boxes[i][0]), min(e[2], boxes[i][2]), max(e[3], boxes[i][2])] for e, i in zip(edges, lines[end], strict=True)]
-            if any(e[1] - e[0] > p.align and e[3] - e[2] > p.align for e in grown):
+            grown = []
+            for e, i in zip(edges, lines[end], strict=True):
+                x0, _, x1, _ = boxes[i]
+                # edges that stay as they are have been looked at
+                if not (e[0] <= x0 <= e[1] and e[2] <= x1 <= e[3]):
+                    e = [min(e[0], x0), max(e[1], x0), min(e[2], x1), max(e[3], x1)]
+                    if e[1] - e[0] > p.align and e[3] - e[2] > p.align:
+                        break
+                grown.append(e)
+            if len(grown) < len(head):
                 break
             edges, end = grown, end + 1
+        else:
+            reached = end
         if end - start >= p.rows:
             found.append((start, end))
     taken: list[tuple[int, int]] = []
@@ -262,46 +304,68 @@ def aligned_runs(boxes: list[tuple], p: TextTablePolicy) -> list[list[list[int]]
     return [lines[a:b] for a, b in sorted(taken)]
 
 
+def _text_table(rows: list[list[tuple]], inked: dict, order: dict, p: TextTablePolicy) -> tuple:
+    """Reason against a run of rows of segments, the blocks it owns, and its cells (row, column, box, text).  ``inked``: spans with text of the page's blocks, ``order``: their places."""
+    tight, dense, far, operators, crossing, none, apart, bad_x, bad_y, _ = TEXT_REASONS
+    n_rows, lanes = len(rows), list(zip(*rows, strict=True))
+    left, right = [min([s[1] for s in lane]) for lane in lanes], [max([s[2] for s in lane]) for lane in lanes]
+    top, low = [min([s[0] for s in row]) for row in rows], [max([s[3] for s in row]) for row in rows]
+    height = [max(0.01, b - a) for a, b in zip(top, low, strict=True)]
+    gaps = sorted([max(0.0, top[i + 1] - low[i]) / min(height[i], height[i + 1]) for i in range(n_rows - 1)])
+    half = (n_rows - 2) // 2
+    middle = gaps[half] if n_rows % 2 == 0 else (gaps[half] + gaps[half + 1]) / 2
+    owned: dict = {}
+    for row in rows:
+        for s in row:
+            if s[4] is not None:
+                owned[s[4]] = owned.get(s[4], 0) + s[6]
+    blocks = sorted(owned)
+    xs = [left[0], *[(a + b) / 2 for a, b in zip(right, left[1:], strict=False)], right[-1]]
+    ys = [top[0], *[(a + b) / 2 for a, b in zip(low, top[1:], strict=False)], low[-1]]
+    signs = lambda lane: sum([s[5].lstrip(BLANK)[0] in OPERATORS and _OPERATORS.fullmatch(s[5].translate(_NO_BLANK)) is not None for s in lane])
+    if any([b[1] - a[2] < p.column_gap for row in rows for a, b in pairwise(row)]):
+        reason = tight
+    elif middle < p.row_gap_least or middle > p.row_gap_most:
+        reason = dense if middle < p.row_gap_least else far
+    elif any([signs(lane) >= p.operators * n_rows for lane in lanes]):
+        reason = operators
+    elif any([inked[b] > n for b, n in owned.items()]):
+        reason = crossing
+    elif not blocks:
+        reason = none
+    elif order[blocks[-1]] - order[blocks[0]] + 1 != len(blocks):
+        reason = apart
+    else:
+        reason = bad_x if any([b <= a for a, b in pairwise(xs)]) else bad_y if any([b <= a for a, b in pairwise(ys)]) else None
+    cells = None if reason else [(i, j, xs[j], ys[i], xs[j + 1], ys[i + 1], s[5]) for i, row in enumerate(rows) for j, s in enumerate(row)]
+    return reason, blocks, cells
+
+
+def _text_tables(spans: list[tuple], p: TextTablePolicy) -> list[tuple]:
+    """Tables of a page: number, reason, rows, columns, blocks and cells; a block belongs to the first table that takes it."""
+    segments = sorted(_segments(spans, p), key=lambda s: (*s[:4], (s[4] is not None, s[4]), *s[5:]))
+    runs = aligned_runs([(x0, y0, x1, y1) for y0, x0, x1, y1, *_ in segments], p)
+    if not runs:
+        return []
+    inked: dict = {}
+    for s in spans:
+        inked[s[0]] = inked.get(s[0], 0) + (s[7] is not None and s[7].strip(BLANK) != "")
+    order = {b: i for i, b in enumerate(sorted(b for b in inked if b is not None))}
+    taken, out = set(), []
+    for i, run in enumerate(runs):
+        reason, blocks, cells = _text_table([[segments[at] for at in row] for row in run], inked, order, p)
+        if reason is None:
+            reason = None if taken.isdisjoint(blocks) else TEXT_REASONS[-1]
+            taken.update([] if reason else blocks)
+        out.append((i, reason, len(run), len(run[0]), blocks, None if reason else cells))
+    return out
+
+
 def text_tables(spans: DataFrame, policy: TextTablePolicy = TextTablePolicy()) -> DataFrame:
-    """Tables without rules: table_id, reason, n_rows, n_cols, blocks, and ``anchors`` with their text for accepted ones."""
-    p = policy
-
-    @F.pandas_udf(ArrayType(ArrayType(ArrayType(IntegerType()))))
-    def runs(pages: pd.Series) -> pd.Series:
-        return pd.Series([aligned_runs([tuple(s[c] for c in BOX) for s in rows], p) for rows in pages])
-
-    segment = F.struct("y0", "x0", "x1", "y1", "block_order", "text", "n_spans")
-    pages = text_segments(spans, p).groupBy(*PAGE).agg(F.sort_array(F.collect_list(segment)).alias("segments"))
-    inked = F.length(F.trim(F.regexp_replace("text", "\\s+", " "))) > 0
-    blocks = spans.groupBy(*PAGE, "block_order").agg(F.sum(inked.cast("int")).alias("inked")).groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("block_order", "inked"))).alias("page_blocks"))
-    df = pages.withColumn("runs", runs("segments")).join(blocks, PAGE).select(*PAGE, "segments", "page_blocks", F.posexplode("runs").alias("table_id", "run"))
-    df = _settled(df.select(*KEY, "page_blocks", F.transform("run", lambda r: F.transform(r, lambda i: F.get("segments", i))).alias("rows")))
-    n_rows, n_cols = F.size("rows"), F.size(F.get("rows", F.lit(0)))
-    edge = lambda f, side, j: f(F.transform("rows", lambda r: F.get(r, j)[side]))
-    lane = F.transform(_upto(n_cols), lambda j: F.struct(edge(F.array_min, "x0", j).alias("left"), edge(F.array_max, "x1", j).alias("right"), F.size(F.filter("rows", lambda r: F.regexp_replace(F.get(r, j)["text"], "\\s+", "").rlike("^[" + "".join("\\" + c for c in OPERATORS) + "]+$"))).alias("operators")))
-    line = F.transform("rows", lambda r: F.struct(F.array_min(F.transform(r, lambda s: s["y0"])).alias("top"), F.array_max(F.transform(r, lambda s: s["y1"])).alias("low")))
-    tight = F.exists("rows", lambda r: F.exists(_upto(F.size(r) - 1), lambda j: F.get(r, j + 1)["x0"] - F.get(r, j)["x1"] < p.column_gap))
-    parts = F.flatten(F.transform("rows", lambda r: F.transform(r, lambda s: F.struct(s["block_order"].alias("block_order"), s["n_spans"].alias("n_spans")))))
-    df = _settled(df.withColumns({"n_rows": n_rows, "n_cols": n_cols, "lanes": lane, "lines": line, "tight": tight, "parts": parts}))
-    height = lambda i: F.greatest(F.lit(0.01), F.get("lines", i)["low"] - F.get("lines", i)["top"])
-    gaps = F.array_sort(F.transform(_upto(F.col("n_rows") - 1), lambda i: F.greatest(F.lit(0.0), F.get("lines", i + 1)["top"] - F.get("lines", i)["low"]) / F.least(height(i), height(i + 1))))
-    half = F.floor((F.col("n_rows") - 2) / 2).cast("int")
-    owned = lambda b: F.aggregate(F.filter("parts", lambda x: x["block_order"] == b["block_order"]), F.lit(0), lambda a, x: a + x["n_spans"])
-    own = F.transform("page_blocks", lambda b, i: F.struct(b["block_order"].alias("block_order"), i.alias("place"), (b["inked"] - owned(b)).alias("left"), owned(b).alias("owned")))
-    inner = lambda c, low, high, n: F.transform(_upto(n - 1), lambda j: (F.get(c, j)[high] + F.get(c, j + 1)[low]) / 2)
-    xs = F.concat(F.array(F.get("lanes", F.lit(0))["left"]), inner("lanes", "left", "right", F.col("n_cols")), F.array(F.get("lanes", F.col("n_cols") - 1)["right"]))
-    ys = F.concat(F.array(F.get("lines", F.lit(0))["top"]), inner("lines", "top", "low", F.col("n_rows")), F.array(F.get("lines", F.col("n_rows") - 1)["low"]))
-    df = _settled(df.withColumns({"gaps": gaps, "own": F.filter(own, lambda b: b["owned"] > 0), "xs": xs, "ys": ys}))
-    middle = F.when(F.col("n_rows") % 2 == 0, F.get("gaps", half)).otherwise((F.get("gaps", half) + F.get("gaps", half + 1)) / 2)
-    falling = lambda c: F.exists(_upto(F.size(c) - 1), lambda i: F.get(c, i + 1) <= F.get(c, i))
-    places = F.transform("own", lambda b: b["place"])
-    tight_, dense, far, operators, crossing, none, apart, bad_x, bad_y, taken = TEXT_REASONS
-    reason = (
-        F.when(F.col("tight"), F.lit(tight_)).when(middle < p.row_gap_least, F.lit(dense)).when(middle > p.row_gap_most, F.lit(far))
-        .when(F.exists("lanes", lambda x: x["operators"] >= p.operators * F.col("n_rows")), F.lit(operators)).when(F.exists("own", lambda b: b["left"] > 0), F.lit(crossing)).when(F.size("own") == 0, F.lit(none))
-        .when(F.array_max(places) - F.array_min(places) + 1 != F.size("own"), F.lit(apart)).when(falling("xs"), F.lit(bad_x)).when(falling("ys"), F.lit(bad_y))
-    )
-    cell = lambda r, i: F.transform(r, lambda s, j: F.struct(i.alias("row"), j.alias("col"), F.get("xs", j).alias("x0"), F.get("ys", i).alias("y0"), F.get("xs", j + 1).alias("x1"), F.get("ys", i + 1).alias("y1"), s["text"].alias("text")))
-    df = _settled(df.select(*KEY, F.transform("own", lambda b: b["block_order"]).alias("blocks"), "n_rows", "n_cols", F.flatten(F.transform("rows", cell)).alias("anchors"), reason.alias("seen")))
-    made = _first_takes(df, taken)
-    return made.select(*KEY, F.col("seen").alias("reason"), "n_rows", "n_cols", "blocks", F.when(F.col("seen").isNull(), F.col("anchors")).alias("anchors"))
+    """Tables without rules: table_id, reason, n_rows, n_cols, blocks, and ``anchors`` with their text for accepted ones.
+
+    A page's spans are one array, and its segments, runs and checks one function of it, called once.
+    """
+    kind = f"array<struct<table_id:int,reason:string,n_rows:int,n_cols:int,blocks:array<{spans.schema['block_order'].dataType.simpleString()}>,anchors:array<struct<row:int,col:int,x0:double,y0:double,x1:double,y1:double,text:string>>>>"
+    found = _page_spans(spans).select(*PAGE, by_row(kind, lambda each: _text_tables(each, policy))("spans").alias("gm"))
+    return _rows_of(found)

@@ -61,16 +61,6 @@ class TablePolicy:
 POLICY = TablePolicy()
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """The same rows behind a generator: filters on their columns stay above it, so what the columns are made of is there once."""
-    return df.select(F.inline(F.array(F.struct(*df.columns))))
-
-
-def _upto(n: Column) -> Column:
-    """0 .. n - 1; nothing where n is below 1."""
-    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-
-
 def gather(tables: DataFrame, cells: DataFrame) -> DataFrame:
     """Candidates from a table of them and a table of their cells."""
     cell = F.struct(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), *[F.col(c).cast("double").alias(c) for c in BOX])

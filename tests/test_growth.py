@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -150,3 +151,19 @@ def test_regions_of_a_page_are_one_step(spark):
     candidate = frame([(0, 0.0, 0.0, 120.0, 60.0, 3, 3)], f"table_id int, {boxes}, n_rows int, n_cols int")
     cells = frame([], f"table_id int, row int, col int, {boxes}")
     assert "lambda" not in plan(tables.normalise_grids(tables.gather(candidate, cells), strokes))
+
+
+def test_tables_that_alignment_shows_are_one_step_a_page(spark):
+    """A page's spans are dealt once and looked at in one function, called once; a long run is not followed again from each of its rows."""
+    from glyphmill.operators import layout
+
+    spans = [("d", p, r, 0, c, f"{r}:{c}", "t", 40.0 * c, 20.0 * r, 40.0 * c + 20, 20.0 * r + 10) for p in range(3) for r in range(4 + p) for c in range(3)]
+    made = layout.text_tables(spark.createDataFrame(spans, "document_id string, page int, block_order int, line int, seq int, span_id string, text string, x0 double, y0 double, x1 double, y1 double"))
+    assert sorted((r.page, r.table_id, r.reason, r.n_rows, len(r.anchors), r.blocks) for r in made.collect()) == [(p, 0, None, 4 + p, 12 + 3 * p, list(range(4 + p))) for p in range(3)]
+    text = physical(made)
+    assert text.count("+- ArrowEvalPython") == 1 and text.count("Exchange hashpartitioning") == 1 and "Join" not in text and "lambda" not in plan(made)
+    # 3000 rows in which each start would go on to the end: 4.5 million steps before
+    boxes = [(50.0 * c, 20.0 * r, 50.0 * c + 10, 20.0 * r + 8) for r in range(3000) for c in range(3)]
+    began = time.process_time()
+    assert [len(r) for r in layout.aligned_runs(boxes, layout.TextTablePolicy())] == [3000]
+    assert time.process_time() - began < 4
