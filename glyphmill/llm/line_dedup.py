@@ -391,16 +391,21 @@ def _near(similarity: float):
     return near
 
 
-def _pairs(a: np.ndarray, b: np.ndarray, often: np.ndarray, ranges: int, kind: int) -> pa.Table:
-    """Pairs (the lesser id first) with the sum of their shared keys, packed by ranges of the lesser id."""
-    if not len(a):
-        return _table(kind, 0)
+def _summed(a: np.ndarray, b: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (the lesser id first) with the sum of their shared keys, by range of the lesser id."""
     a, b = np.minimum(a, b), np.maximum(a, b)
     # By range of the lesser id; where pairs agree in these bits, one may come twice, and _counted adds them.
     order = np.argsort((a.view(np.uint64) << np.uint64(32)) | (b.view(np.uint64) & np.uint64(0xFFFFFFFF)))
     a, b, often = a[order], b[order], often[order]
     heads = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-    a, b, often = a[heads], b[heads], np.add.reduceat(often, heads, dtype=np.int64)
+    return a[heads], b[heads], np.add.reduceat(often, heads, dtype=np.int64)
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, often: np.ndarray, ranges: int, kind: int) -> pa.Table:
+    """Pairs with the sum of their shared keys, packed by ranges of the lesser id."""
+    if not len(a):
+        return _table(kind, 0)
+    a, b, often = _summed(a, b, often)
     return _packed(kind, _part(a, ranges), [(a, _raw), (b, _raw), (often, W.pack)])
 
 
@@ -529,7 +534,11 @@ def _labelled(ranges: int):
 
 
 def _crossing(similarity: float, ranges: int):
-    """Pairs of members of a dense list that are not in one group."""
+    """Pairs of members of a dense list that are not in one group.
+
+    Members of a large group of near copies meet in many lists: pairs that wait are added up as soon as there are
+    PAIRS_AT_ONCE of them, and packed where half as many are left.
+    """
     near = _near(similarity)
 
     def run(table: pa.Table) -> pa.Table:
@@ -537,7 +546,7 @@ def _crossing(similarity: float, ranges: int):
         key, ids, place, label = _unraw(table.column("a")), _unraw(table.column("b")), _bytes(table.column("c")), _unraw(table.column("d"))
         order = np.argsort(key, kind="stable")
         key, ids, place, label = key[order], ids[order], place[order].astype(np.int16), label[order]
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        found, waiting, n_waiting = [_table(CROSSING, 0)], [], 0
         begins = _runs(key)
         for begin, end in zip(begins.tolist(), [*begins[1:].tolist(), len(key)], strict=True):
             i, p, g = ids[begin:end], place[begin:end], label[begin:end]
@@ -550,10 +559,17 @@ def _crossing(similarity: float, ranges: int):
             for at in range(0, len(out), AT_ONCE // len(g) + 1):
                 x = out[at : at + AT_ONCE // len(g) + 1]
                 u, v = np.nonzero(near(w[x][:, None], w, p[x][:, None], p) & ((g[x][:, None] != g) | (g[x][:, None] < 0)) & (rank < rank[x][:, None]))
-                a.append(i[x[u]])
-                b.append(i[v])
-        a, b = np.concatenate(a), np.concatenate(b)
-        return _pairs(a, b, np.ones(len(a), np.int64), ranges, CROSSING)
+                waiting.append((i[x[u]], i[v], np.ones(len(u), np.int8)))
+                n_waiting += len(u)
+                if n_waiting >= PAIRS_AT_ONCE:
+                    waiting = [_summed(*(np.concatenate(c) for c in zip(*waiting, strict=True)))]
+                    n_waiting = len(waiting[0][0])
+                    if n_waiting >= PAIRS_AT_ONCE // 2:
+                        found.append(_pairs(*waiting[0], ranges, CROSSING))
+                        waiting, n_waiting = [], 0
+        if n_waiting:
+            found.append(_pairs(*(np.concatenate(c) for c in zip(*waiting, strict=True)), ranges, CROSSING))
+        return pa.concat_tables(found)
 
     return run
 

@@ -702,3 +702,21 @@ def test_registry_has_every_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))
     assert set(registry.ORACLES) <= set(registry.QUERIES)
     assert json.dumps(sorted(registry.QUERIES))
+
+
+def test_pairs_of_many_dense_lists_are_added_up_as_they_come(monkeypatch):
+    """Members of one large group share many lists: what waits is bounded by the pairs, not by pairs times lists."""
+    members, lists = 100, 40
+    ids = (np.arange(members, dtype=np.int64) << line_dedup.LENGTH_BITS) + 8
+    key, each = np.repeat(np.arange(lists, dtype=np.int64), members), np.tile(ids, lists)
+    table = line_dedup._packed(line_dedup.MEMBERS, np.zeros(len(key), np.int64), [(key, line_dedup._raw), (each, line_dedup._raw), (np.full(len(key), 3, np.uint8), lambda v: v.tobytes()), (np.full(len(key), -1, np.int64), line_dedup._raw)])
+    sizes, summed = [], line_dedup._summed
+    monkeypatch.setattr(line_dedup, "PAIRS_AT_ONCE", 12_000)
+    monkeypatch.setattr(line_dedup, "_summed", lambda a, b, n: sizes.append(len(a)) or summed(a, b, n))
+    got = {}
+    for r in line_dedup._crossing(0.8, 7)(table).to_pylist():
+        a, b = (np.frombuffer(r[c], "<i8").tolist() for c in "ab")
+        for pair in zip(a, b, words.unpack(r["c"]).tolist(), strict=True):
+            got[pair[:2]] = got.get(pair[:2], 0) + pair[2]
+    assert got == {(int(x), int(y)): lists for i, x in enumerate(ids) for y in ids[i + 1 :]}
+    assert max(sizes) <= 12_000 + members * (members - 1) // 2
