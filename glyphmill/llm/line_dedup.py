@@ -16,12 +16,15 @@
    list is long and dense: more than ``list_size`` classes that pass with as many others
    each.  In such a list each class is paired with the list's most frequent class, its
    pivot; that is the line of which the others are variants, where there is such a line.
-   Pairs travel packed and are added up by ranges.
+   Dense lists of one pivot are one family, so a passage of many keys that many lines share
+   is looked at once and not once for each key.  Pairs travel packed and are added up by ranges.
 4. Pairs are verified by edit similarity over words: 1 - edits / words of the longer line.
-   Components of the links are groups.  In a dense list whose classes are not yet in one
-   group, those outside of its largest group are held against all others; pairs that pass
-   and have enough keys in common are verified and their groups joined.  So every pair that
-   is left out is within a group already.
+   Components of the links are groups.  In a family whose classes are not yet in one group,
+   those outside of its largest group seek partners by their words that are rare in the
+   family: of as many as edits are allowed and one more, two lines within the similarity
+   have one in common.  Of these, partners that lack no more of each other's words than edits
+   are allowed are verified and their groups joined.  Neither test loses a pair, so every
+   pair that is left out is within a group already.
 5. Of each group the first occurrence (least doc_id, then line) stays.
 
 How rare a word pair is comes from a bounded sample: that decides how long lists get, not
@@ -455,14 +458,14 @@ def _lists(table: pa.Table, list_size: int, similarity: float, least: int, range
     if waiting:
         pack()
     if members:
-        key, ids, place = (np.concatenate(x) for x in zip(*members, strict=True))
+        pivot, ids = _distinct(*(np.concatenate(x) for x in zip(*members, strict=True)))
         order = np.argsort(_part(ids, ranges), kind="stable")
-        found.append(_packed(MEMBERS, _part(ids[order], ranges), [(key[order], _raw), (ids[order], _raw), (place[order].astype(np.uint8), lambda v: v.tobytes())]))
+        found.append(_packed(MEMBERS, _part(ids[order], ranges), [(pivot[order], _raw), (ids[order], _raw)]))
     return pa.concat_tables(found)
 
 
 def _listed(key: np.ndarray, ids: np.ndarray, counts: np.ndarray, place: np.ndarray, near, list_size: int, least: int) -> Iterator[tuple]:
-    """Some pairs of whole lists with their shared keys, as two ids and a number each, or the members of a dense list (key, id and place)."""
+    """Some pairs of whole lists with their shared keys, as two ids and a number each, or the members of a dense list (its pivot and their ids)."""
     order = np.argsort(key)
     key = key[order]
     common = np.concatenate(([False], key[1:] == key[:-1]))
@@ -502,7 +505,15 @@ def _listed(key: np.ndarray, ids: np.ndarray, counts: np.ndarray, place: np.ndar
         else:
             pivot = mine[np.argmax(counts[mine])]
             yield pair(mine[mine != pivot], np.full(len(mine) - 1, pivot), least)
-            yield None, (key[mine], ids[mine], place[mine])
+            yield None, (np.full(len(mine), ids[pivot]), ids[mine])
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs of values, by a and b."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    heads = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)])
+    return a[heads], b[heads]
 
 
 def _gathered(list_size: int, similarity: float, least: int, ranges: int):
@@ -513,54 +524,131 @@ def _gathered(list_size: int, similarity: float, least: int, ranges: int):
     return run
 
 
+def _member_ids(table: pa.Table) -> pa.Table:
+    """The classes of a range of ids that are in dense lists."""
+    return pa.table([pa.array(np.unique(_unraw(table.column("b"))))], names=["k1"])
+
+
+def _expanded(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at ``begins``, one run after the other."""
+    return np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def _codes_of(words: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """A code of 31 bits for each word of each line (an n-th occurrence is a word of its own), and the words of each line."""
+    data, offsets = W.utf8(words)
+    codes, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    for a, b in W.blocks(offsets):
+        part = data[offsets[a] : offsets[b]]
+        starts, ends, row = W.spans(part, offsets[a : b + 1] - offsets[a], _INSIDE)
+        h = W.hashes(part, starts, ends)
+        order = np.lexsort((h, row))
+        h, row = h[order], row[order]
+        heads = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])))[: len(h)])
+        nth = np.arange(len(h)) - np.repeat(heads, np.diff(np.append(heads, len(h))))
+        codes.append((W.pair(h, nth.astype(np.uint64)) >> np.uint64(33)).astype(np.uint32))
+        sizes.append(np.bincount(row, minlength=b - a))
+    return np.concatenate(codes), np.concatenate(sizes)
+
+
 def _labelled(ranges: int):
-    """Members of dense lists with the groups of their classes (-1: none), packed by ranges of lists."""
+    """Members of families with the groups of their classes (-1: none) and the codes of their words (bit 31: the first of a line), packed by ranges of pivots."""
 
     def run(members: pa.Table, labels: pa.Table) -> pa.Table:
         W.release()
-        if not len(members):
-            return _table(MEMBERS, 0)
-        key, ids, place = _unraw(members.column("a")), _unraw(members.column("b")), _bytes(members.column("c"))
-        known, root = (labels.column(c).to_numpy() for c in ("k1", "root"))
+        if not len(members) or not len(labels):
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int32()), *[pa.array([], pa.binary())] * 5], names=["bucket", *"abcde"])
+        pivot, ids = _distinct(_unraw(members.column("a")), _unraw(members.column("b")))
+        known = labels.column("k1").to_numpy()
+        codes, sizes = _codes_of(labels.column("words"))
+        begins = np.cumsum(sizes) - sizes
+        codes[begins] |= np.uint32(1 << 31)
         order = np.argsort(known, kind="stable")
-        known, root = np.append(known[order], np.int64(-1)), np.append(root[order], np.int64(-1))
-        at = np.searchsorted(known[:-1], ids)
-        label = np.where(known[at] == ids, root[at], -1)
-        part = ((key >> 8) * ranges) >> (KEY_BITS - 8)
-        order = np.argsort(part, kind="stable")
-        return _packed(MEMBERS, part[order], [(key[order], _raw), (ids[order], _raw), (place[order], lambda v: v.tobytes()), (label[order], _raw)])
+        at = order[np.minimum(np.searchsorted(known[order], ids), len(known) - 1)]
+        found = np.flatnonzero(known[at] == ids)
+        part = _part(pivot[found], ranges)
+        order = found[np.argsort(part, kind="stable")]
+        label = labels.column("root").fill_null(-1).to_numpy()
+        return _packets(np.sort(part), [(pivot[order], _raw), (ids[order], _raw), (order, None), (label[at[order]], _raw), (at[order], lambda v: codes[_expanded(begins[v], sizes[v])].tobytes())])
 
-    return run
+    return lambda members, labels: pa.Table.from_batches([run(members, labels)])
+
+
+def _bags(codes: np.ndarray, size: np.ndarray, similarity: float):
+    """For the lines of a family, by the codes of their words: those that share a rare word with a line, and those of some that lack few enough of its words and it of theirs.
+
+    With e edits each of two lines lacks e words of the other at most.  So the rarest word that they share is among the e + 1 rarest of both.
+    """
+    _, code, often = np.unique(codes, return_inverse=True, return_counts=True)
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    owner, code = np.divmod(np.unique(np.repeat(np.arange(len(size)), size) * len(often) + rank[code]), len(often))
+    n = np.bincount(owner, minlength=len(size))
+    begins = np.cumsum(n) - n
+    # The longest line within the similarity decides.
+    most = allowed(np.floor(size / similarity + 1e-6), similarity)
+    rare = np.flatnonzero(np.arange(len(code)) - begins[owner] <= most[owner])
+    rare = rare[np.argsort(code[rare], kind="stable")]
+    lists, edges = owner[rare], np.searchsorted(code[rare], np.arange(len(often) + 1))
+    has = np.zeros(len(often), bool)
+
+    def sharing(x: int) -> np.ndarray:
+        if n[x] <= most[x]:
+            return np.arange(len(size))
+        return np.unique(np.concatenate([lists[edges[c] : edges[c + 1]] for c in code[begins[x] : begins[x] + most[x] + 1].tolist()]))
+
+    def within(x: int, some: np.ndarray) -> np.ndarray:
+        mine = code[begins[x] : begins[x] + n[x]]
+        has[mine] = True
+        both = np.add.reduceat(has[code[_expanded(begins[some], n[some])]], np.cumsum(n[some]) - n[some], dtype=np.int64)
+        has[mine] = False
+        return np.maximum(n[some], n[x]) - both <= allowed(np.maximum(size[some], size[x]), similarity)
+
+    return sharing, within
 
 
 def _crossing(similarity: float, ranges: int):
-    """Pairs of members of a dense list that are not in one group.
+    """Pairs of members of a family that are not in one group and may be within the similarity by their lengths and, where the table has them, their words.
 
-    Members of a large group of near copies meet in many lists: pairs that wait are added up as soon as there are
-    PAIRS_AT_ONCE of them, and packed where half as many are left.
+    Pairs that wait are added up as soon as there are PAIRS_AT_ONCE of them, and packed where half as many are left.
     """
     near = _near(similarity)
 
     def run(table: pa.Table) -> pa.Table:
         W.release()
-        key, ids, place, label = _unraw(table.column("a")), _unraw(table.column("b")), _bytes(table.column("c")), _unraw(table.column("d"))
+        key, ids, label = (_unraw(table.column(c)) for c in "abd")
         order = np.argsort(key, kind="stable")
-        key, ids, place, label = key[order], ids[order], place[order].astype(np.int16), label[order]
+        key, ids, label = key[order], ids[order], label[order]
+        worded = "e" in table.column_names
+        if worded:
+            codes = W.utf8(table.column("e"))[0].view("<u4")
+            heads = np.flatnonzero(codes >> np.uint32(31))
+            size = np.diff(np.append(heads, len(codes)))[order]
+            codes = codes[_expanded(heads[order], size)] & np.uint32((1 << 31) - 1)
+            edges = np.append(0, np.cumsum(size))
         found, waiting, n_waiting = [_table(CROSSING, 0)], [], 0
         begins = _runs(key)
         for begin, end in zip(begins.tolist(), [*begins[1:].tolist(), len(key)], strict=True):
-            i, p, g = ids[begin:end], place[begin:end], label[begin:end]
+            i, g = ids[begin:end], label[begin:end]
             w = lengths(i).astype(np.int16)
             groups, n = np.unique(g[g >= 0], return_counts=True)
             # Two members outside of the largest group are both here; they are paired once.
             out = np.flatnonzero(g != groups[np.argmax(n)]) if len(groups) else np.arange(len(g))
             rank = np.full(len(g), -1)
             rank[out] = np.arange(len(out))
-            for at in range(0, len(out), AT_ONCE // len(g) + 1):
-                x = out[at : at + AT_ONCE // len(g) + 1]
-                u, v = np.nonzero(near(w[x][:, None], w, p[x][:, None], p) & ((g[x][:, None] != g) | (g[x][:, None] < 0)) & (rank < rank[x][:, None]))
-                waiting.append((i[x[u]], i[v], np.ones(len(u), np.int8)))
-                n_waiting += len(u)
+            if worded and len(out):
+                sharing, within = _bags(codes[edges[begin] : edges[end]], size[begin:end], similarity)
+            for x in out.tolist():
+                v = sharing(x) if worded else np.arange(len(g))
+                v = v[(rank[v] < rank[x]) & ((g[v] != g[x]) | (g[x] < 0))]
+                v = v[near(w[v], w[x], ANYWHERE, ANYWHERE)]
+                if worded and len(v):
+                    step = int(AT_ONCE // size[begin:end].max()) + 1
+                    v = np.concatenate([(y := v[k : k + step])[within(x, y)] for k in range(0, len(v), step)])
+                if not len(v):
+                    continue
+                waiting.append((np.full(len(v), i[x]), i[v], np.ones(len(v), np.int8)))
+                n_waiting += len(v)
                 if n_waiting >= PAIRS_AT_ONCE:
                     waiting = [_summed(*(np.concatenate(c) for c in zip(*waiting, strict=True)))]
                     n_waiting = len(waiting[0][0])
@@ -575,17 +663,15 @@ def _crossing(similarity: float, ranges: int):
 
 
 def _counted(least: int):
-    """The pairs of a range that share enough keys; where members of dense lists were paired, those of them that were not found before."""
+    """The pairs of a range that share enough keys."""
 
     def run(table: pa.Table) -> pa.Table:
         W.release()
-        crossing = np.concatenate([np.full(len(x.as_buffer()) // 8, k) for k, x in zip(table.column("kind").to_pylist(), table.column("a"), strict=True)]) == CROSSING
         a, b, n = _unraw(table.column("a")), _unraw(table.column("b")), _unpacked(table.column("c"))
         order = np.lexsort((b, a))
-        a, b, n, crossing = a[order], b[order], n[order], crossing[order]
+        a, b, n = a[order], b[order], n[order]
         heads = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-        before, total = np.add.reduceat(np.where(crossing, 0, n), heads), np.add.reduceat(n, heads)
-        keep = (total >= least) & ((before < least) if crossing.any() else True)
+        keep = np.add.reduceat(n, heads) >= least
         return pa.table([pa.array(a[heads][keep]), pa.array(b[heads][keep])], names=["a", "b"])
 
     return run
@@ -705,25 +791,27 @@ def _words_of(ends: DataFrame, classes: DataFrame, rows: DataFrame, repeated_row
 
 def _groups(found: DataFrame, rows: DataFrame, repeated_rows: bool, ranges: int, similarity: float, least: int) -> DataFrame:
     """node and root of every class that is linked with another, roots included."""
-    classes, packed = found.where(F.col("kind") == CLASS), found.select("kind", "bucket", "a", "b", "c", "d")
-    counted = lambda x: x.repartition(ranges, "bucket").groupBy("bucket").applyInArrow(_counted(least), "a long, b long")
-    shared_short = packed.where(F.col("kind") == PAIRS)
-    pairs = written(counted(shared_short), "line-pairs")
-    texts = _words_of(_ends(pairs), classes, rows, repeated_rows)
+    classes, packed = found.where(F.col("kind") == CLASS), found.select("kind", "bucket", "a", "b", "c")
+    counted = lambda x, least: x.repartition(ranges, "bucket").groupBy("bucket").applyInArrow(_counted(least), "a long, b long")
+    pairs = written(counted(packed.where(F.col("kind") == PAIRS), least), "line-pairs")
+    members = packed.where(F.col("kind") == MEMBERS)
+    dense = not members.isEmpty()
+    ends = _ends(pairs)
+    if dense:
+        listed = written(members.groupBy("bucket").applyInArrow(_member_ids, "k1 long"), "line-members")
+        ends = ends.unionByName(listed).distinct()
+    texts = _words_of(ends, classes, rows, repeated_rows)
     links = _verified(pairs, texts, similarity)
     rooted = written(components(links), "line-roots")
-    members = packed.where(F.col("kind") == MEMBERS)
-    if not members.isEmpty():
+    if dense:
         part = F.shiftright(F.col("k1").bitwiseAND(F.lit(0xFFFFFFFF)) * F.lit(ranges), 32).cast("int").alias("bucket")
-        labels = texts.select("k1", "node").join(_with_roots(rooted), "node").select(part, "k1", "root")
-        labelled = members.groupBy("bucket").cogroup(labels.groupBy("bucket")).applyInArrow(_labelled(ranges), FOUND).select("bucket", "a", "b", "c", "d")
+        labels = texts.join(listed, "k1").join(_with_roots(rooted), "node", "left").select(part, "k1", "root", "words")
+        labelled = members.groupBy("bucket").cogroup(labels.groupBy("bucket")).applyInArrow(_labelled(ranges), PACKETS)
         crossing = written(labelled.repartition(ranges, "bucket").groupBy("bucket").applyInArrow(_crossing(similarity, ranges), FOUND).select(packed.columns), "line-crossing")
         if not crossing.isEmpty():
-            # A pair's keys in other lists count too.
-            again = written(counted(crossing.unionByName(shared_short)), "line-pairs")
-            more = _words_of(_ends(again).join(texts.select("k1"), "k1", "left_anti"), classes, rows, repeated_rows)
-            found = _verified(again, texts.unionByName(more), similarity)
-            rooted = written(components(rooted.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found)), "line-roots")
+            # What a family gives was compared by all words, so no number of keys is asked for.
+            again = _verified(written(counted(crossing, 1), "line-pairs"), texts, similarity)
+            rooted = written(components(rooted.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(again)), "line-roots")
     return _with_roots(rooted)
 
 

@@ -720,3 +720,73 @@ def test_pairs_of_many_dense_lists_are_added_up_as_they_come(monkeypatch):
             got[pair[:2]] = got.get(pair[:2], 0) + pair[2]
     assert got == {(int(x), int(y)): lists for i, x in enumerate(ids) for y in ids[i + 1 :]}
     assert max(sizes) <= 12_000 + members * (members - 1) // 2
+
+
+def lacking(u, v):
+    """Words that one of two lines lacks of the other, at most; edits are as many at least."""
+    u, v = Counter(u), Counter(v)
+    return max((u - v).total(), (v - u).total())
+
+
+def test_families_give_all_near_pairs_and_few_others():
+    rng, one = random.Random(8), Counter()
+    stems = [[f"w{rng.randrange(25)}" for _ in range(n)] for n in (5, 6, 12, 30, 70)]
+    lines = []
+    for _ in range(160):
+        w = list(rng.choice(stems))
+        for _ in range(rng.randrange(len(w) // 4 + 2)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.choice([0, 1])] = rng.choice([[], [f"w{rng.randrange(40)}"]])
+        lines.append(tuple(w))
+    lines = [x for x in sorted({x for x in lines}) if len(x) >= 5]
+    ids = np.array([(len(x) << 54) | rng.randrange(1 << 54) for x in lines], np.int64)
+    roots = [None if k % 3 else k % 2 for k in range(len(lines))]
+    family = rng.sample(range(1 << 40), 2)
+    # Members come from two ranges of keys, some of them twice, and in any order.
+    members = pa.concat_tables([line_dedup._packed(line_dedup.MEMBERS, np.zeros(len(m), np.int64), [(np.array(family)[m % 2], line_dedup._raw), (ids[m // 2], line_dedup._raw)]) for m in (np.array(rng.sample(range(2 * len(ids)), len(ids))), np.arange(2 * len(ids)))])
+    labels = pa.table({"bucket": pa.array([0] * len(ids), pa.int32()), "k1": ids, "root": pa.array(roots, pa.int64()), "words": [" ".join(x) for x in lines]})
+    labelled = line_dedup._labelled(1)(members, labels.take(np.random.default_rng(1).permutation(len(ids))))
+    for r in line_dedup._crossing(0.8, 1)(labelled).to_pylist():
+        for a, b, n in zip(*(np.frombuffer(r[c], "<i8").tolist() for c in "ab"), words.unpack(r["c"]).tolist(), strict=True):
+            one[a, b] += n
+    near, fit = set(), set()
+    for i, x in enumerate(lines):
+        for j in range(i):
+            most = int(0.2 * max(len(x), len(lines[j])) + 1e-9)
+            if (roots[i] is None or roots[i] != roots[j]) and lacking(x, lines[j]) <= most:
+                pair = tuple(sorted((int(ids[i]), int(ids[j]))))
+                fit.add(pair)
+                if word_edits(x, lines[j]) <= most:
+                    near.add(pair)
+    assert near and near <= set(one) <= fit and set(one.values()) == {2}
+
+
+def test_lines_that_share_a_long_passage_are_not_all_compared(spark, monkeypatch):
+    """The pairs that are verified follow the lines, not their square; what goes equals brute force."""
+    rng = random.Random(9)
+    passage = [f"p{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)]
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    own = [[word() for _ in range(20)] for _ in range(220)]
+    for k in range(60):
+        w = list(own[rng.randrange(len(own))])
+        for at in rng.sample(range(20), rng.randint(1, 19)):
+            w[at] = word()
+        own.append(w)
+    lines = [[*w, *passage] for w in own]
+    up = list(range(len(lines)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, x in enumerate(own):
+        for j in range(i):
+            if lacking(x, own[j]) <= 16 and word_edits(lines[i], lines[j]) <= 16:
+                up[max(find(i), find(j))] = min(find(i), find(j))
+    compared, verified = [], line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda pairs, *more: compared.append(pairs.count()) or verified(pairs, *more))
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {i: int(find(i) != i) for i in range(len(lines))} and 0 < sum(got.values()) < 60
+    assert len(compared) == 2 and sum(compared) < 5 * len(lines), compared
