@@ -802,17 +802,26 @@ def _groups(found: DataFrame, rows: DataFrame, repeated_rows: bool, ranges: int,
         ends = ends.unionByName(listed).distinct()
     texts = _words_of(ends, classes, rows, repeated_rows)
     links = _verified(pairs, texts, similarity)
-    rooted = written(components(links), "line-roots")
+    rooted = _with_roots(written(components(links), "line-roots"))
     if dense:
         part = F.shiftright(F.col("k1").bitwiseAND(F.lit(0xFFFFFFFF)) * F.lit(ranges), 32).cast("int").alias("bucket")
-        labels = texts.join(listed, "k1").join(_with_roots(rooted), "node", "left").select(part, "k1", "root", "words")
+        labels = texts.join(listed, "k1").join(rooted, "node", "left").select(part, "k1", "root", "words")
         labelled = members.groupBy("bucket").cogroup(labels.groupBy("bucket")).applyInArrow(_labelled(ranges), PACKETS)
         crossing = written(labelled.repartition(ranges, "bucket").groupBy("bucket").applyInArrow(_crossing(similarity, ranges), FOUND).select(packed.columns), "line-crossing")
         if not crossing.isEmpty():
             # What a family gives was compared by all words, so no number of keys is asked for.
             again = _verified(written(counted(crossing, 1), "line-pairs"), texts, similarity)
-            rooted = written(components(rooted.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(again)), "line-roots")
-    return _with_roots(rooted)
+            rooted = _joined(written(rooted, "line-roots"), again)
+    return rooted
+
+
+def _joined(rooted: DataFrame, links: DataFrame) -> DataFrame:
+    """``rooted`` with the groups joined that further links lead between; only groups and lone classes that have such a link are looked at."""
+    root = lambda p: rooted.select(F.col("node").alias(p), F.col("root").alias(f"{p}_root"))
+    between = links.join(root("u"), "u", "left").join(root("v"), "v", "left").select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v"))
+    merged = _with_roots(written(components(between), "line-groups"))
+    moved = rooted.join(merged.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return written(moved.unionByName(merged.join(rooted, "node", "left_anti")), "line-roots")
 
 
 def _with_roots(rooted: DataFrame) -> DataFrame:
