@@ -4,6 +4,7 @@ import hashlib
 import random
 import time
 
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -46,6 +47,18 @@ def test_units_reached_by_one_path_are_not_dealt_again(spark):
     assert plan(made).count("Join") == 2
 
 
+def test_pairs_of_one_target_come_out_of_many_tasks(spark):
+    n = 700
+    units = spark.range(n).select(F.lit("d").alias("document_id"), F.concat(F.lit("u"), "id").alias("unit_id"), F.array().cast("array<string>").alias("element_ids"))
+    notes = spark.range(n + 20).select(F.lit("d").alias("document_id"), F.concat(F.lit("a"), "id").alias("annotation_id"), F.when(F.col("id") < n, F.lit("c")).otherwise(F.lit("u3")).alias("target_id"), (F.col("id") * 2).alias("extra"))
+    made = semantics.unit_scopes(notes, units, units.select("document_id", "unit_id", F.lit("c").alias("target_id")))
+    assert made.columns == ["document_id", "target_id", "annotation_id", "extra", "unit_id", "scope_rank"]
+    assert made.select("annotation_id", "unit_id").distinct().count() == made.count() == n * n + 20
+    assert made.where("extra = 2 * int(substr(annotation_id, 2))").groupBy("scope_rank").count().orderBy("scope_rank").collect() == [(1, 20), (2, n * n)]
+    most = made.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most <= n * n / 2
+
+
 def test_tree_hash_stops_at_a_given_depth(spark):
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     rows = sorted(sha(str(i)) for i in range(40))
