@@ -463,7 +463,7 @@ def _owners(box: tuple, anchors: list[tuple], spans: list[tuple], p: TablePolicy
 
 
 def _inked() -> Column:
-    return F.length(F.trim(F.regexp_replace("text", "\\s+", " "))) > 0
+    return F.col("text").rlike("\\S")
 
 
 SPAN = ["block_order", "line", "inked", "there", *BOX]
@@ -694,16 +694,21 @@ def _page_reason(boxes: list[tuple], p: TablePolicy) -> str | None:
     return "segmented_vector_regions_overlap" if any(meet(a, b) for i, a in enumerate(boxes) for b in boxes[i + 1 :]) else None
 
 
-def _region_tables(strokes: list[tuple], spans: list[tuple], p: TablePolicy) -> list[tuple]:
-    """Verdicts of a page's regions: number, box, reason, rows, columns, strategy and anchors."""
+def _ruled(strokes: list[tuple], p: TablePolicy) -> tuple[str | None, list[tuple]]:
+    """Reason against a page's regions, and the regions: box and grid."""
     regions = _regions(strokes, p.region_reach)
     against = _page_reason([box for box, _ in regions], p)
+    return against, [(box, None if against else _grid(box, [], own, p)) for box, own in regions]
+
+
+def _region_tables(ruled: tuple[str | None, list[tuple]], spans: list[tuple], p: TablePolicy) -> list[tuple]:
+    """Verdicts of a page's regions: number, box, reason, rows, columns, strategy and anchors."""
+    against, regions = ruled
+    if against:
+        return [(i, *box, against, None, None, None, None) for i, (box, _) in enumerate(regions)]
     order, taken, out = _blocks(spans), set(), []
-    for i, (box, own) in enumerate(regions):
-        if against:
-            out.append((i, *box, against, None, None, None, None))
-            continue
-        reason, n_rows, n_cols, anchors, merged, raw_cols, raw_rows = _grid(box, [], own, p)
+    for i, (box, grid) in enumerate(regions):
+        reason, n_rows, n_cols, anchors, merged, raw_cols, raw_rows = grid
         strategy = None
         if reason is None:
             strategy = "lines_strict" if not merged and (raw_cols, raw_rows) == (n_cols + 1, n_rows + 1) else "lines"
@@ -724,10 +729,11 @@ def region_tables(strokes: DataFrame, spans: DataFrame, policy: TablePolicy = PO
     Regions are groups of strokes that touch, numbered from the top of their page.  Each one's grid is made from its
     own strokes and inspected against the page's text; a grid that keeps all drawn boundaries and merges nothing
     is ``lines_strict``.  A page gives its tables only if at least ``regions_least`` regions are accepted.
-    Strokes and spans of a page are an array each, so a page is one row and regions are not dealt again.
+    Strokes and spans of a page are an array each, so a page is one row and regions are not dealt again; grids of equal
+    rulings are made once a batch.
     """
     p = policy
     pages = _with_spans(_stroke_boxes(strokes, PAGE), spans.drop("table_id"))
     kind = f"array<struct<table_id:int,x0:double,y0:double,x1:double,y1:double,reason:string,n_rows:int,n_cols:int,strategy:string,anchors:{ANCHORS}>>"
-    find = by_row(kind, lambda each, text: _region_tables(each, text or [], p))
+    find = by_row(kind, lambda ruled, text: _region_tables(ruled, text or [], p), first=lambda each: _ruled(each, p))
     return _rows_of(pages.select(*PAGE, find("gm_strokes", _numbers()).alias("gm")))

@@ -43,7 +43,7 @@ def _candidates(rows: DataFrame, cols: int = COLS, table_id: int = 0) -> DataFra
     return rows.where("r = 0").select("document_id", "page", F.lit(table_id).alias("table_id"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(cols * WIDE).alias("x1"), (F.col("n") * HIGH).alias("y1"), F.col("n").alias("n_rows"), F.lit(cols).alias("n_cols"))
 
 
-def _strokes(rows: DataFrame, kind: Column, dx: float = 0.0, cols: int = COLS) -> DataFrame:
+def _strokes(rows: DataFrame, kind: Column, dx: float | Column = 0.0, cols: int = COLS) -> DataFrame:
     """Row by row the left walls, the last right wall and the upper walls; below the last row a full line.  ``kind`` says what is left out."""
     r, n, c = F.col("r"), F.col("n"), F.col("c")
     # walls, then the line above the row, then the one below the last row: rows are read once
@@ -93,9 +93,9 @@ def merged_tables(spark, d):
     return made.select("page", "reason", F.coalesce(F.size("anchors"), F.lit(0)).cast("long").alias("anchors"), most("col_span").alias("widest"), most("row_span").alias("tallest"))
 
 
-def _spans(rows: DataFrame, kind: Column, cols: int = COLS, dx: float = 0.0, tag: str = "a") -> DataFrame:
+def _spans(rows: DataFrame, kind: Column, cols: int = COLS, dx: float | Column = 0.0, tag: str | Column = "a", first: int | Column = 0) -> DataFrame:
     """A block for each row with a span in each cell.  Kinds: 1 a span half in each of two cells, 2 a block goes on below the table,
-    3 a block outside lies between those of the table in the page's order, 4 text in the first row only, 5 no text, 6 the second span hangs over its cell's edge."""
+    3 a block outside lies between those of the table in the page's order, 4 text in the first row only, 5 no text, 6 the second span hangs over its cell's edge.  ``first``: the number of the first block."""
     r, n, c, k = F.col("r"), F.col("n"), F.col("c"), F.col("kind")
     # cells, then the one span beside them: rows are read once
     slots = rows.withColumn("kind", kind).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(cols))))
@@ -104,7 +104,7 @@ def _spans(rows: DataFrame, kind: Column, cols: int = COLS, dx: float = 0.0, tag
     left = F.when((k == 1) & (r == 2) & (c == 0), F.lit(WIDE - 4)).when((k == 6) & (c == 1), c * WIDE - 2).otherwise(c * WIDE + 4)
     pick = lambda inside, below, note: F.when(cell, inside).when(after, below).otherwise(note)
     made = {
-        "block_order": pick(r * 2, r * 2, F.lit(1)), "line": pick(F.lit(0), F.lit(1), F.lit(0)), "seq": pick(c, F.lit(0), F.lit(0)),
+        "block_order": pick(r * 2, r * 2, F.lit(1)) + first, "line": pick(F.lit(0), F.lit(1), F.lit(0)), "seq": pick(c, F.lit(0), F.lit(0)),
         "span_id": F.concat_ws(":", F.lit(tag), r.cast("string"), pick(c.cast("string"), F.lit("below"), F.lit("between"))), "text": pick(F.concat(F.lit("t"), r.cast("string")), F.lit("rest"), F.lit("note")),
         "x0": pick(left, F.lit(4.0), F.lit(4.0)) + dx, "y0": pick(r * HIGH + 4, n * HIGH + 10, n * HIGH + 30), "x1": pick(left + 8, F.lit(30.0), F.lit(30.0)) + dx, "y1": pick(r * HIGH + 12, n * HIGH + 18, n * HIGH + 38),
     }
@@ -152,12 +152,13 @@ from p join t on k < 3 or table_id = 0""")
 def region_tables(spark, d):
     """Two grids side by side: both whole, one with a wide cell, one that fails and takes the other with it, and a page with one grid only."""
     rows = _pages(spark, d)
-    k = F.col("page") % 4
-    second = rows.where(k < 3)
-    apart = COLS * WIDE + 40
-    strokes = _strokes(rows, F.lit(0)).unionByName(_strokes(second, F.when(k == 1, F.lit(1)).when(k == 2, F.lit(3)).otherwise(F.lit(0)), apart))
-    right = _spans(second, F.lit(0), dx=apart, tag="b").withColumn("block_order", F.col("block_order") + 100)
-    made = T.region_tables(strokes, _spans(rows, F.lit(0)).unionByName(right))
+    k, side = F.col("page") % 4, F.col("side")
+    # both grids of a page are drawn and written in one pass over its rows
+    rows = rows.withColumn("side", F.explode(F.when(k < 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    kind = F.when((side == 1) & (k == 1), F.lit(1)).when((side == 1) & (k == 2), F.lit(3)).otherwise(F.lit(0))
+    apart = side * (COLS * WIDE + 40)
+    spans = _spans(rows, F.lit(0), dx=apart, tag=F.when(side == 1, F.lit("b")).otherwise(F.lit("a")), first=side * 100)
+    made = T.region_tables(_strokes(rows, kind, apart), spans)
     return made.select("page", "table_id", "reason", "n_rows", "strategy", F.coalesce(F.size("anchors"), F.lit(0)).cast("long").alias("cells"))
 
 @query("column_order", f"""with {PAGES}, b as (select page, r, n, c, case when page % 4 = 3 and c = 2 then null else r * 10 + c end as block_order from pages cross join (select unnest([0, 1, 2]) as c) where c < 2 + page % 2),

@@ -4,11 +4,12 @@ import hashlib
 import random
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from glyphmill.operators import evaluation, geometry, semantics, studio, tables
+from glyphmill.operators import evaluation, geometry, rows, semantics, studio, tables
 from glyphmill.sources import docx
 
 
@@ -166,6 +167,44 @@ def test_regions_of_a_page_are_one_step(spark):
     assert "lambda" not in plan(tables.normalise_grids(tables.gather(candidate, cells), strokes))
 
 
+def test_equal_rulings_of_a_batch_are_gridded_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(rows.F, "arrow_udf", lambda f, kind: made.append(f) or (lambda *c: f(*c)))
+    heads, calls = [], []
+    find = rows.by_row("array<string>", lambda lead, more: calls.append(more) or [lead, str(more)], first=lambda v: heads.append(v) or str(v))
+    point = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+    drawn = [[(9.0, 9.0)], [(1.0, None)], [(1.0, None)], [(1.0, 0.0)], [(1.0, -0.0)], None, [], [(1.0, None)], [(1.0, 0.0)], None, [(1.0, 0.0), (1.0, None)]]
+    text = [7, 0, 0, 1, 1, 2, 2, 3, 1, None, 0]
+    columns = lambda other: (pa.array([x and [dict(zip("xy", v, strict=True)) for v in x] for x in drawn], type=point)[1:], other[1:])
+    want = [[str(x), str(t)] for x, t in zip(drawn, text, strict=True)][1:]
+    assert find(*columns(pa.array(text))).to_pylist() == want
+    # ten rows, of which two equal an earlier one; six rulings
+    assert (len(calls), len(heads)) == (8, 6)
+    heads.clear(), calls.clear()
+    assert find(*columns(pa.array([None if t is None else str(t) for t in text]))).to_pylist() == want
+    assert (len(calls), len(heads)) == (10, 6)
+
+
+def test_pages_of_equal_rulings_and_other_texts_share_their_grids(spark, monkeypatch):
+    given, grids, real, grid = [], [], F.arrow_udf, tables._grid
+    monkeypatch.setattr(F, "arrow_udf", lambda f, kind: given.append(f) or real(f, kind))
+    monkeypatch.setattr(tables, "_grid", lambda *a: grids.append(a) or grid(*a))
+    boxes = "x0 double, y0 double, x1 double, y1 double"
+    frame = lambda names: spark.createDataFrame([], f"document_id string, page int, {names}")
+    tables.region_tables(frame(boxes), frame(f"block_order int, line int, span_id string, text string, {boxes}"))
+    box = [(c, pa.float64()) for c in ("x0", "y0", "x1", "y1")]
+    drawn = [(c * 40.0 + dx, 0.0, c * 40.0 + dx, 60.0) for c in range(4) for dx in (0.0, 200.0)] + [(dx, r * 20.0, dx + 120.0, r * 20.0) for r in range(4) for dx in (0.0, 200.0)]
+    # page p lacks the text of the second table from its row p on
+    text = lambda p: [(r + (dx > 0) * 50, 0, 1, 1, c * 40.0 + dx + 4, r * 20.0 + 4, c * 40.0 + dx + 20, r * 20.0 + 12) for r in range(3) for c in range(3) for dx in (0.0, 200.0) if not dx or r < p]
+    array = lambda pages, kind: pa.array([[dict(zip([n for n, _ in kind], x, strict=True)) for x in page] for page in pages], type=pa.list_(pa.struct(kind)))
+    numbers = [(c, pa.int32()) for c in ("block_order", "line", "inked", "there")]
+    found = given[-1](array([drawn] * 5, box), array([text(p) for p in (0, 1, 2, 3, 3)], [*numbers, *box])).to_pylist()
+    less = "segmented_minimum_tables_not_met"
+    assert [[t["reason"] for t in page] for page in found] == [[less, tables.NO_TEXT], [less, tables.SPARSE], [None, None], [None, None], [None, None]]
+    assert [[len(t["anchors"] or []) for t in page] for page in found] == [[0, 0]] * 2 + [[9, 9]] * 3
+    assert len(grids) == 2
+
+
 def test_tables_that_alignment_shows_are_one_step_a_page(spark):
     """A page's spans are dealt once and looked at in one function, called once; a long run is not followed again from each of its rows."""
     from glyphmill.operators import layout
