@@ -470,10 +470,10 @@ SPAN = ["block_order", "line", "inked", "there", *BOX]
 
 
 def _with_spans(grids: DataFrame, spans: DataFrame, *more: str) -> DataFrame:
-    """Candidates with the spans of their page (or their own, where spans have table_id) as an array, each the numbers of it and what ``more`` names."""
+    """Candidates with the spans of their page (or their own, where spans have table_id) as an array, each the numbers of it, beside them what ``more`` names."""
     keys = KEY if "table_id" in spans.columns else PAGE
     numbers = F.struct("block_order", F.col("line").cast("long").alias("line"), F.coalesce(_inked(), F.lit(False)).cast("int").alias("inked"), F.coalesce(F.length("text") > 0, F.lit(False)).cast("int").alias("there"), *[F.col(c).cast("double").alias(c) for c in BOX])
-    each = spans.repartition(*PAGE).groupBy(*keys).agg(F.collect_list(F.struct(numbers.alias("n"), *more)).alias("gm_spans"))
+    each = spans.repartition(*PAGE).groupBy(*keys).agg(F.collect_list(F.struct(numbers.alias("n"), *more) if more else numbers).alias("gm_spans"))
     # the planner does not see how much longer arrays of spans are than the rows they come from: no broadcast
     return grids.join(each.hint("merge"), keys, "left")
 
@@ -544,7 +544,7 @@ def inspect_tables(grids: DataFrame, spans: DataFrame, *, prefix: str = "", poli
     def look(shape, x0, y0, x1, y1, anchors, each, order):
         return (shape, *[None] * 5) if shape else _inspected((x0, y0, x1, y1), anchors or [], each or [], order or _blocks(each or []), prefix, policy)
 
-    found = by_row(_seen(spans.schema["block_order"].dataType.simpleString()), look)("reason", *BOX, "anchors", _numbers(), "gm_order")
+    found = by_row(_seen(spans.schema["block_order"].dataType.simpleString()), look)("reason", *BOX, "anchors", "gm_spans", "gm_order")
     made = _first_takes(rows.select(*KEY, found.alias("gm")).select(*KEY, "gm.blocks", "gm.spans", "gm.cells_filled", "gm.rows_filled", "gm.cols_filled", "gm.seen"), prefix + TAKEN)
     return made.select(*KEY, F.col("seen").alias("reason"), "blocks", "spans", "cells_filled", "rows_filled", "cols_filled")
 
@@ -736,4 +736,4 @@ def region_tables(strokes: DataFrame, spans: DataFrame, policy: TablePolicy = PO
     pages = _with_spans(_stroke_boxes(strokes, PAGE), spans.drop("table_id"))
     kind = f"array<struct<table_id:int,x0:double,y0:double,x1:double,y1:double,reason:string,n_rows:int,n_cols:int,strategy:string,anchors:{ANCHORS}>>"
     find = by_row(kind, lambda ruled, text: _region_tables(ruled, text or [], p), first=lambda each: _ruled(each, p))
-    return _rows_of(pages.select(*PAGE, find("gm_strokes", _numbers()).alias("gm")))
+    return _rows_of(pages.select(*PAGE, find("gm_strokes", "gm_spans").alias("gm")))
